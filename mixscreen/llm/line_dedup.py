@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_side, unique_sorted, written
-from .minhash import band_keys, groups, minima, verified
+from .minhash import STEP, band_keys, groups, one_permutation, verified
 from .unionfind import components
 
 #: Bytes in a shingle; Jaccard similarity of copies; bands and rows: a pair at the threshold is missed with probability (1 - 0.8^4)^12 < 0.002.
@@ -60,25 +60,32 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size += len(lines[end])
                     end += 1
                 values, starts = line_shingles(lines[at:end])
-                keys[at:end] = band_keys(minima(values, starts, BANDS * ROWS), BANDS, ROWS)
+                keys[at:end] = band_keys(one_permutation(values, starts, BANDS * ROWS), BANDS, ROWS)
                 at = end
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            found = [[{"doc": d, "line": n} for d, n in sorted(set(v))] for v in seen.values()]
+            found = [sorted(set(v)) if len(v) > 1 else v for v in seen.values()]
+            flat = [x for v in found for x in v]
+            places = pa.StructArray.from_arrays([pa.array([d for d, _ in flat], pa.int64()), pa.array([n for _, n in flat], pa.int32())], fields=list(place))
+            places = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), places)
             ids = pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, pa.array(found, pa.list_(place)), bands], ["digest", "id", "places", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, places, bands], ["digest", "id", "places", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the wanted lines of each text."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each text."""
     for batch in batches:
-        ids, sets = [], []
+        ids, items = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lines = text.split("\n")
             for w in wanted:
                 if w["line"] < len(lines) and (p := plain(lines[w["line"]])) and np.frombuffer(hashlib.blake2b(p, digest_size=16).digest()[:8], np.int64)[0] == w["id"]:
                     ids.append(w["id"])
-                    sets.append(unique_sorted(line_shingles([p])[0]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
+                    items.append(p)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "item"])
+
+
+def shingle_set(line: bytes) -> np.ndarray:
+    return unique_sorted(line_shingles([line])[0])
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,8 +106,8 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grouped = written(groups(lines.select("id", "bands")))
     wanted = lines.select("id", F.col("places")[0].alias("p")).join(grouped.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("p").alias("p"))
     by_doc = small_side(written(wanted.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list(F.struct("id", F.col("p.line").alias("line"))).alias("wanted"))), 200_000)
-    sets = texts.join(by_doc, "doc").select("text", "wanted").mapInArrow(_sets, "id long, set binary")
-    roots = components(verified(grouped, sets, threshold))
+    items = texts.join(by_doc, "doc").select("text", "wanted").mapInArrow(_lines, "id long, item binary")
+    roots = components(verified(grouped, items, threshold, shingle_set, hashes=STEP))
     # a component is named by its root, and else by the digest of its line
     named = lines.select("digest", "id", "places").join(small_side(written(roots)), "id", "left")
     named = named.select(F.coalesce(F.col("root").cast("string").cast("binary"), F.col("digest")).alias("component"), "places")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import comb
 
@@ -29,17 +29,33 @@ def minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 1) -
     rng = np.random.Generator(np.random.PCG64(seed))
     odd, add = rng.integers(0, 1 << 31, hashes, np.int64).astype(np.uint32) * 2 + 1, rng.integers(0, 1 << 32, hashes, np.int64).astype(np.uint32)
     out = np.empty((len(starts), hashes), np.uint32)
-    y, z = np.empty_like(x), np.empty_like(x)
+    y = np.empty_like(x)
     for k in range(hashes):
         np.multiply(x, np.uint32(odd[k]), out=y)
         y += np.uint32(add[k])
-        np.right_shift(y, np.uint32(15), out=z)
-        y ^= z
-        y *= np.uint32(0x2C1B3C6D)
         out[:, k] = np.minimum.reduceat(y, starts)
     return out
 
 
+def one_permutation(values: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
+    """Like minima(), but each value is hashed once and counts in one of the bins; an empty bin takes over the next filled one's value, changed by the distance."""
+    h = (mix(values) >> np.uint64(32)).astype(np.uint32)
+    counts = np.diff(np.append(starts, len(values)))
+    at = np.repeat(np.arange(len(starts)) * bins, counts) + ((h.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    none = np.uint32(0xFFFFFFFF)
+    out = np.full(len(starts) * bins, none)
+    np.minimum.at(out, at, h)
+    out = out.reshape(-1, bins)
+    short = np.flatnonzero((out == none).any(axis=1))
+    own = out[short]
+    filled, full = own != none, own.copy()
+    for d in range(1, bins):
+        take = (full == none) & np.roll(filled, -d, axis=1)
+        full[take] = (np.roll(own, -d, axis=1)[take] ^ np.uint32(d)) * np.uint32(0x9E3779B1) | np.uint32(1)
+    out[short] = full
+    return out
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of `rows` values, one row for each signature."""
     out = np.empty((len(signatures), bands), np.uint64)
@@ -166,7 +182,7 @@ def candidates(signatures: np.ndarray, threshold: float, tolerance: float) -> tu
     return a, b, found
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int, float]]:
+def links(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int, float]]:
     """Verified links that join all of a group's members which chains of similar pairs join: a spanning forest.
 
     Candidate pairs are taken with the most matches first; a pair whose members a chain of links joins already is not
@@ -174,8 +190,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance:
     """
     if len(ids) < 2:
         return []
-    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    a, b, found = candidates(minima(np.concatenate(sets), starts, HASHES, seed=2), threshold, tolerance)
+    a, b, found = candidates(signatures, threshold, tolerance)
     sizes = np.array([len(s) for s in sets])
     hold = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
     a, b, found = a[hold], b[hold], found[hold]
@@ -191,31 +206,48 @@ def links(ids: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance:
     return out
 
 
-def _linked(threshold: float, tolerance: float):
-    """Rows (group, id, set) in order of group: the links of each group."""
+#: Values of sets whose signatures are computed together.
+TOGETHER = 2_000_000
+
+
+def _linked(to_set: Callable[[bytes], np.ndarray], threshold: float, tolerance: float, hashes: int):
+    """Rows (group, id, item) in order of group: the links of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list) -> pa.RecordBatch:
+        def out(held: list, sets: list) -> pa.RecordBatch:
+            rows = []
+            if sets:
+                signatures = minima(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), hashes, seed=2)
+                at = 0
+                for ids in held:
+                    rows += links(np.array(ids), sets[at : at + len(ids)], signatures[at : at + len(ids)], threshold, tolerance)
+                    at += len(ids)
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-        group, ids, sets = None, [], []
+        group, held, sets, size = None, [], [], 0
         for batch in batches:
-            rows = []
-            for g, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if g == group and ids and ids[-1] == i:
+            for g, i, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g == group and held[-1][-1] == i:
                     continue
                 if g != group:
-                    rows += links(np.array(ids), sets, threshold, tolerance)
-                    group, ids, sets = g, [], []
-                ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-            yield out(rows)
-        yield out(links(np.array(ids), sets, threshold, tolerance))
+                    if size > TOGETHER:
+                        yield out(held, sets)
+                        held, sets, size = [], [], 0
+                    group = g
+                    held.append([])
+                held[-1].append(i)
+                sets.append(to_set(item))
+                size += len(sets[-1])
+        yield out(held, sets)
 
     return run
 
 
-def verified(grouped: DataFrame, sets: DataFrame, threshold: float, tolerance: float = TOLERANCE) -> DataFrame:
-    """(a, b, similarity) of the links inside the groups; sets: id, set (sorted distinct 64-bit values, packed; not empty)."""
-    rows = grouped.join(sets, "id").select("group", "id", "set")
-    return rows.repartition(partitions(grouped.sparkSession), "group").sortWithinPartitions("group", "id").mapInArrow(_linked(threshold, tolerance), "a long, b long, similarity double")
+def packed_set(item: bytes) -> np.ndarray:
+    return np.frombuffer(item, np.uint64)
+
+
+def verified(grouped: DataFrame, items: DataFrame, threshold: float, to_set: Callable[[bytes], np.ndarray] = packed_set, tolerance: float = TOLERANCE, hashes: int = HASHES) -> DataFrame:
+    """(a, b, similarity) of the links inside the groups. items: id, item; to_set makes of an item its set (sorted distinct 64-bit values, not empty)."""
+    rows = grouped.join(items, "id").select("group", "id", "item")
+    return rows.repartition(partitions(grouped.sparkSession), "group").sortWithinPartitions("group", "id").mapInArrow(_linked(to_set, threshold, tolerance, hashes), "a long, b long, similarity double")
