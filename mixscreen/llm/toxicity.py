@@ -13,6 +13,8 @@ from .common import read, remainder
 
 #: Bytes in an n-gram; bits of a feature's number; labelled documents and their characters that the fit takes at most.
 ORDERS, BITS, SAMPLE, SAMPLE_CHARS = (4, 5, 6), 20, 6000, 24_000_000
+#: Characters of the longest texts that the fit takes (all texts are scored, whole).
+LONGEST = 20_000
 THRESHOLD = 0.7
 GAP = b"\0" * 8
 
@@ -46,9 +48,12 @@ def grams(texts: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarr
     return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 60, penalty: float = 1e-4, least: int = 4) -> tuple[float, np.ndarray]:
-    """(bias, weight of each feature): logistic regression (Adam, full batches, classes of equal mass) on binary features times their log-count ratios."""
-    y = np.asarray(labels, np.float64)
+def fit(texts: list[str], labels: list[int], rounds: int = 60, least: int = 4) -> tuple[float, np.ndarray]:
+    """(bias, weight of each feature): logistic regression (Adam, full batches, classes of equal mass) on binary features times their log-count ratios.
+
+    The penalty on squared weights is 0.001, and more for under 500 texts, whose rare n-grams would be learned by heart.
+    """
+    y, penalty = np.asarray(labels, np.float64), max(1e-3, 0.5 / len(labels))
     doc, feature = grams(texts)
     df = np.bincount(feature, minlength=1 << BITS)
     used = df >= least
@@ -89,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     marked = marked.withColumn("h", F.xxhash64("doc_id", F.lit(9)))
     taken = marked.where("toxic = 1").orderBy("h", "doc_id").limit(sample // 2).unionAll(marked.where("toxic = 0").orderBy("h", "doc_id").limit(sample // 2))
     ids = F.broadcast(taken.select("doc_id", "toxic", "h"))  # at most `sample` rows
-    short = F.length("text") <= max(1, chars // 64)
+    short = F.length("text") <= LONGEST
     rows = docs.where(F.col("text").isNotNull() & short).select("doc_id", "text").join(ids, "doc_id").select("text", "toxic", "h").collect()
     texts, y, left = [], [], chars
     for r in sorted(rows, key=lambda r: r.h):
