@@ -58,18 +58,20 @@ class CrossParser:
         self.symbol = np.full(256, len(used), np.int64)  # the last symbol stands for bytes that no language has
         self.symbol[used] = np.arange(len(used))
         self.width = len(used) + 1
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for name in self.languages:
             moves = suffix_automaton(data[name])
             t = np.full((len(moves), self.width), -1, np.int64)
             for state, to in enumerate(moves):
                 for c, x in to.items():
                     t[state, self.symbol[c]] = base + x
-            # where no move is left, a new phrase begins: with this byte if the language has it; the lowest bit counts it
-            again = np.where(t[0] >= 0, t[0], base)
-            tables.append(np.where(t >= 0, t * 2, again * 2 + 1))
-            self.roots.append(base)
-            base += len(moves)
+            # where no move is left, a new phrase begins: with this byte if the language has it; the lowest bit counts it.
+            # One more state stands before a text and behind a byte that the language lacks: whatever follows is a new phrase
+            fresh = base + len(moves)
+            again = np.where(t[0] >= 0, t[0], fresh) * 2 + 1
+            tables += [np.where(t >= 0, t * 2, again), again[None]]
+            self.starts.append(fresh)
+            base = fresh + 1
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
@@ -85,9 +87,9 @@ class CrossParser:
         symbols = self.symbol[np.frombuffer(b"".join(texts), np.uint8)]
         order = np.argsort(-size, kind="stable")
         size, start, owner = size[order], start[order], owner[order]
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(size), axis=1)
-        found = np.ones(state.shape, np.int32)
+        starts = np.array(self.starts, np.int32)[:, None]
+        state = np.repeat(starts, len(size), axis=1)
+        found = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-size, -np.arange(SEGMENT), side="left") if len(size) else []
         for k in range(int(size[0]) if len(size) else 0):
             n = active[k]
