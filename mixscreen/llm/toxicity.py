@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import read, remainder
 
 #: Bytes in an n-gram; bits of a feature's number; labelled documents and their characters that the fit takes at most.
-ORDERS, BITS, SAMPLE, SAMPLE_CHARS = (4, 5, 6), 20, 6000, 24_000_000
+ORDERS, BITS, SAMPLE, SAMPLE_CHARS = (4, 5, 6), 20, 2400, 4_000_000
 #: Characters of the longest texts that the fit takes (all texts are scored, whole).
 LONGEST = 20_000
 THRESHOLD = 0.7
@@ -54,19 +54,25 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, least: int = 4) -
     The penalty on squared weights is 0.001, and more for under 500 texts, whose rare n-grams would be learned by heart.
     """
     y, penalty = np.asarray(labels, np.float64), max(1e-3, 0.5 / len(labels))
-    doc, feature = grams(texts)
+    held = []
+    for k in range(0, len(texts), 64):  # a few texts at a time, kept in four bytes: the driver has little memory
+        doc, feature = grams(texts[k : k + 64])
+        held.append(((doc + k).astype(np.int32), feature.astype(np.int32)))
+    doc, feature = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
     df = np.bincount(feature, minlength=1 << BITS)
     used = df >= least
-    number = np.cumsum(used) - 1
+    number = (np.cumsum(used) - 1).astype(np.int32)
     hold = used[feature]
     doc, col = doc[hold], number[feature[hold]]
+    del feature, hold
     m, n = int(used.sum()), len(texts)
     p, q = (1.0 + np.bincount(col, weights=w[doc], minlength=m) for w in (y, 1 - y))
     ratio = np.log((p / max(y.sum(), 1)) / (q / max((1 - y).sum(), 1)))
     ratio[np.abs(ratio) < 0.7] = 0  # features that say next to nothing
     hold = ratio[col] != 0
     doc, col = doc[hold], col[hold]
-    x = ratio[col]
+    x = ratio[col].astype(np.float32)
     mass = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(m), 0.0
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
