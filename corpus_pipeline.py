@@ -31,7 +31,7 @@ def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that with the smallest doc_id."""
-    members, _ = jaccard_join(docs)
+    members, _ = jaccard_join(docs, whole=False)
     gone = members.where("class_id is not null and doc_id != class_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 

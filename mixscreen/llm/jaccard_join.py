@@ -17,6 +17,11 @@ from .unionfind import components
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 
 
+def _keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Band keys of sets, none of them empty."""
+    return band_keys(minima(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), bands * rows), bands, rows)
+
+
 def _signed(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -26,8 +31,7 @@ def _signed(words: int, bands: int, rows: int):
                 full = np.array([len(s) > 0 for s in sets], bool)
                 keys = np.zeros((len(sets), bands), np.uint64)
                 if full.any():
-                    own = [s for s in sets if len(s)]
-                    keys[full] = band_keys(minima(np.concatenate(own), np.cumsum([0, *(len(s) for s in own[:-1])]), bands * rows), bands, rows)
+                    keys[full] = _keys([s for s in sets if len(s)], bands, rows)
                 offsets = pa.array(np.arange(len(sets) + 1) * bands, pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(full), lists], ["digest", "full", "bands"])
@@ -35,23 +39,26 @@ def _signed(words: int, bands: int, rows: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles(part.column(1).to_pylist(), words)], pa.binary())], ["id", "item"])
+                sets = shingles(part.column(1).to_pylist(), words)
+                keys = _keys(sets, bands, rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sets, keys))], ["id", "item", "keys"])
 
     return run
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: doc_id, text_class (smallest doc_id of the same text), class_id (smallest doc_id that chains of links
     lead to), for each row of docs. links: a, b, similarity; pairs of text classes whose sets of `words`-word n-grams
-    (lower-cased, between white space) have a Jaccard similarity of at least `threshold`. Among the links of a group
-    those are returned that join all that any chain of such pairs joins; copies of a text are not expanded.
+    (lower-cased, between white space) have a Jaccard similarity of at least `threshold`, each once; copies of a text are
+    not expanded. A group of k texts that are all similar has k(k-1)/2 links. Without `whole`, for callers that need
+    classes alone, only links are searched that join all that any chain of such pairs joins.
 
     Null counts as empty. Texts without a word have no n-gram and link to nothing, but equal ones are one text class.
     A text with fewer words has one n-gram. Rows with a null doc_id have the classes of their text, which are null if
@@ -68,9 +75,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     signed = texts.select("digest", "text").mapInArrow(_signed(words, bands, rows), "digest binary, full boolean, bands array<long>").where("full")
     grouped = written(groups(signed.groupBy("digest").agg(F.first("bands").alias("bands")).join(once, "digest").select("id", "bands")))
     needed = small_side(once.join(grouped.select("id").distinct(), "id").select("id", F.col("digest").alias("d"), "text_class"), 500_000)
-    sets = texts.join(needed, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("text_class"))).select("id", "text").mapInArrow(_sets(words), "id long, item binary")
-    found = written(verified(grouped, sets, threshold, tolerance=tolerance).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    rooted = written(once.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sets = texts.join(needed, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("text_class"))).select("id", "text").mapInArrow(_sets(words, bands, rows), "id long, item binary, keys binary")
+    found = written(verified(grouped, sets, threshold, tolerance=tolerance, whole=whole).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("tree").alias("tree")))
+    rooted = written(once.join(components(found.where("tree")), "id", "left").withColumn("root", F.coalesce("root", "id")))
     least = rooted.groupBy("root").agg(F.min("text_class").alias("class_id"))
     classes = rooted.join(least, "root").select("digest", "id", "text_class", "class_id")
     named = classes.select("id", "text_class")
@@ -79,7 +86,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with its class, its text's representative, and the number of links that its text has among those returned."""
+    """Each document with its class, its text's representative, and the number of links that its text has to other texts."""
     members, found = jaccard_join(read(spark, sf_dir, "documents"))
     degree = found.select(F.explode(F.array("a", "b")).alias("text_class")).groupBy("text_class").agg(F.count("*").alias("n_links"))
     return members.join(degree, "text_class", "left").select("doc_id", "class_id", "text_class", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -206,39 +206,94 @@ def links(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, thres
     return out
 
 
-#: Values of sets whose signatures are computed together.
-TOGETHER = 2_000_000
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of each pair. Where pairs are many, they come from products of membership matrices, some values at a time."""
+    n = len(sets)
+    if len(a) <= 4 * n:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    hold = counts[at] > 1  # values of one set alone are in no intersection
+    rows, at = rows[hold], (np.cumsum(counts > 1) - 1)[at[hold]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    common = np.zeros((n, n), np.float64)
+    for k in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        x, y = np.searchsorted(at, (k, k + COLUMNS))
+        member = np.zeros((n, COLUMNS), np.float32)
+        member[rows[x:y], at[x:y] - k] = 1
+        common += member @ member.T
+    return common[a, b].astype(np.int64)
+
+
+def all_links(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, bands: np.ndarray, threshold: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity, tree) of all verified links of a group that are its own; those with `tree` are a spanning forest of them.
+
+    A pair belongs to the groups that share, as a whole, the first band key that its two members share: such a group
+    always exists, and the pair is not verified again in the groups of its other keys.
+    """
+    a, b, _ = candidates(signatures, threshold, tolerance)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    hold = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+    a, b = a[hold], b[hold]
+    first = np.full(len(a), -1)
+    for k in range(bands.shape[1] - 1, -1, -1):
+        first[bands[a, k] == bands[b, k]] = k
+    own = (bands == bands[0]).all(axis=0)[first] & (first >= 0)
+    a, b = a[own], b[own]
+    common = overlaps(sets, a, b)
+    similarity = common / (sizes[a] + sizes[b] - common)
+    hold = similarity >= threshold - 1e-12
+    a, b, similarity = a[hold], b[hold], similarity[hold]
+    forest = Forest()
+    tree = np.fromiter((forest.join(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+    return ids[a], ids[b], similarity, tree
+
+
+#: Values of sets whose signatures are computed together; values that are counted together in overlaps().
+TOGETHER, COLUMNS = 2_000_000, 4096
 
 
-def _linked(to_set: Callable[[bytes], np.ndarray], threshold: float, tolerance: float, hashes: int):
-    """Rows (group, id, item) in order of group: the links of each group."""
+def _linked(to_set: Callable[[bytes], np.ndarray], threshold: float, tolerance: float, hashes: int, whole: bool):
+    """Rows (group, id, item) in order of group: a spanning forest of each group's links; or, of (group, id, item, bands), all that are its own."""
+    names = ["a", "b", "similarity", "tree"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list, sets: list) -> pa.RecordBatch:
-            rows = []
-            if sets:
-                signatures = minima(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), hashes, seed=2)
-                at = 0
-                for ids in held:
-                    rows += links(np.array(ids), sets[at : at + len(ids)], signatures[at : at + len(ids)], threshold, tolerance)
-                    at += len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
-
-        group, held, sets, size = None, [], [], 0
+        def out(held: list, sets: list, bands: list) -> Iterator[pa.RecordBatch]:
+            if not sets:
+                return
+            signatures = minima(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), hashes, seed=2)
+            at, rows = 0, []
+            for ids in held:
+                part = slice(at, at + len(ids))
+                at = part.stop
+                if not whole:
+                    rows += [(*r, True) for r in links(np.array(ids), sets[part], signatures[part], threshold, tolerance)]
+                elif len(ids) > 1:
+                    found = all_links(np.array(ids), sets[part], signatures[part], np.array(bands[part]), threshold, tolerance)
+                    if len(found[0]) < 1000:
+                        rows += zip(*(x.tolist() for x in found), strict=True)
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names)
+
+        group, held, sets, bands, size = None, [], [], [], 0
         for batch in batches:
-            for g, i, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            keys = batch.column(3).to_pylist() if whole else [None] * batch.num_rows
+            for g, i, item, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), keys, strict=True):
                 if g == group and held[-1][-1] == i:
                     continue
                 if g != group:
                     if size > TOGETHER:
-                        yield out(held, sets)
-                        held, sets, size = [], [], 0
+                        yield from out(held, sets, bands)
+                        held, sets, bands, size = [], [], [], 0
                     group = g
                     held.append([])
                 held[-1].append(i)
                 sets.append(to_set(item))
+                bands.append(np.frombuffer(key, np.int64) if whole else None)
                 size += len(sets[-1])
-        yield out(held, sets)
+        yield from out(held, sets, bands)
 
     return run
 
@@ -247,7 +302,10 @@ def packed_set(item: bytes) -> np.ndarray:
     return np.frombuffer(item, np.uint64)
 
 
-def verified(grouped: DataFrame, items: DataFrame, threshold: float, to_set: Callable[[bytes], np.ndarray] = packed_set, tolerance: float = TOLERANCE, hashes: int = HASHES) -> DataFrame:
-    """(a, b, similarity) of the links inside the groups. items: id, item; to_set makes of an item its set (sorted distinct 64-bit values, not empty)."""
-    rows = grouped.join(items, "id").select("group", "id", "item")
-    return rows.repartition(partitions(grouped.sparkSession), "group").sortWithinPartitions("group", "id").mapInArrow(_linked(to_set, threshold, tolerance, hashes), "a long, b long, similarity double")
+def verified(grouped: DataFrame, items: DataFrame, threshold: float, to_set: Callable[[bytes], np.ndarray] = packed_set, tolerance: float = TOLERANCE, hashes: int = HASHES, whole: bool = False) -> DataFrame:
+    """(a, b, similarity, tree) of links inside the groups. items: id, item; to_set makes of an item its set (sorted distinct 64-bit values, not empty).
+
+    whole: all links (some more than once) rather than a spanning forest of each group's; items then has `keys`, the band keys packed as longs.
+    """
+    rows = grouped.join(items, "id").select("group", "id", "item", *(["keys"] if whole else []))
+    return rows.repartition(partitions(grouped.sparkSession), "group").sortWithinPartitions("group", "id").mapInArrow(_linked(to_set, threshold, tolerance, hashes, whole), "a long, b long, similarity double, tree boolean")

@@ -101,6 +101,31 @@ def test_jaccard_brute_force(spark):
     assert {m.doc_id: m.class_id for m in members.collect()} == {k: forest.find(k) for k in range(len(texts))}
 
 
+def test_jaccard_all_links(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 16)  # so that groups are met in tiles
+    texts, r = [], random.Random(7)
+    for k, copies in enumerate((3, 60, 1)):
+        base = prose(400 + k, 120).split()
+        for _ in range(copies):
+            words = list(base)
+            words[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets, want = common.shingles(texts), {}
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        if (similarity := n / (len(sets[a]) + len(sets[b]) - n)) >= 0.8:
+            want[a, b] = pytest.approx(similarity)
+    assert len(want) == 3 + 60 * 59 // 2
+    make(spark, [(k, t, None, None) for k, t in enumerate([*texts, texts[0]])]).write.parquet(f"{tmp_path}/documents.parquet")
+    _, links = jaccard_join.jaccard_join(common.read(spark, str(tmp_path), "documents"))
+    got = [(x.a, x.b, x.similarity) for x in links.collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+    degree = [sum(k in p for p in want) for k in range(len(texts))]
+    assert {x.doc_id: x.n_links for x in jaccard_join.op2_jaccard_join(spark, str(tmp_path)).collect()} == dict(enumerate([*degree, degree[0]]))
+    _, forest = jaccard_join.jaccard_join(common.read(spark, str(tmp_path), "documents"), whole=False)
+    assert forest.count() < len(want)
+
+
 def test_tiles(spark):
     rows = [(k, [7, 1000 + k]) for k in range(1300)] + [(5000, [3, 4]), (5001, [3, 5])]
     found = minhash.groups(spark.createDataFrame(rows, "id long, bands array<long>"))
