@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read
 
-#: Documents in a block, and slots after which the schedule repeats (weights are rounded to multiples of 1/PERIOD).
-BLOCK, PERIOD = 8, 400
+#: Documents in a block.
+BLOCK = 8
 #: Rows of one source that are ranked together.
 RANKED = 512
-PHASES = "source string, phases array<struct<first:bigint,last:bigint,slot:bigint,each:int,length:int,slots:array<int>>>"
+STARTS = "s string, b int, start long, slots array<bigint>"
 
 
 def shares(weights: Mapping, period: int) -> dict:
@@ -47,59 +51,118 @@ def one_period(share: Mapping, period: int) -> list:
     return out
 
 
-def plan(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> dict:
+def exact_shares(weights: Mapping) -> dict:
+    """Slots of each key in the shortest period in which all have whole numbers of slots. Floats count as the decimals that they print as."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    whole = lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * whole) for s, x in exact.items()}
+    common = gcd(*out.values())
+    return {s: n // common for s, n in out.items()}
+
+
+def slots(share: Mapping, left: Mapping, most: int) -> tuple[dict, int]:
+    """(slots of each key, number of slots): one_period(), until a key has no block left or `most` slots are dealt out."""
+    length = sum(share.values())
+    waiting = [(0, -(-length // n), str(s), s) for s, n in share.items()]  # a key's next block: release, deadline
+    ready: list = []
+    heapq.heapify(waiting)
+    out: dict = {}
+    for t in range(most):
+        while waiting and waiting[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        deadline, _, s = heapq.heappop(ready)
+        assert deadline > t
+        own = out.setdefault(s, [])
+        own.append(t)
+        j, n = len(own), share[s]
+        if j >= left[s]:
+            return out, t + 1
+        heapq.heappush(waiting, (j * length // n, -(-(j + 1) * length // n), str(s), s))
+    return out, most
+
+
+def plan(blocks: Mapping, weights: Mapping, period: int | None = None) -> dict:
     """For each key its phases (first, last block, first slot, slots and blocks of a period, slots of its blocks in a period).
 
-    A phase ends when a key has no block left; the others go on with their weights in proportion.
+    A phase ends when a key has no block left; the others go on with their weights in proportion. Keys of weight 0
+    come when all others have ended. No more slots are worked out than there are blocks, twice.
     """
-    left, done, slot = dict(blocks), dict.fromkeys(blocks, 0), 0
+    left, done, slot = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0
     out: dict = {s: [] for s in blocks}
-    while active := [s for s in left if left[s]]:
-        share = shares({s: weights[s] for s in active}, period)
-        table = one_period(share, period)
-        own: dict = {s: [] for s in active}
-        for t, s in enumerate(table):
-            own[s].append(t)
+    while left:
+        active = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
+        share = shares(active, period) if period else exact_shares(active)
+        length = sum(share.values())
         whole = min(left[s] // share[s] for s in active)
-        ends = min(own[s][left[s] - whole * share[s]] if left[s] - whole * share[s] < share[s] else period for s in active)  # the slot at which a key has none left
-        for s in active:
-            n = whole * share[s] + sum(t < ends for t in own[s])
-            out[s].append((done[s], done[s] + n, slot, share[s], period, own[s]))
-            done[s] += n
-            left[s] -= n
-        slot += whole * period + ends
+        rest = {s: left[s] - whole * share[s] for s in active}
+        if whole:
+            own, _ = slots(share, {s: n + 1 for s, n in share.items()}, length)
+            ends = 0 if 0 in rest.values() else min(own[s][n - 1] + 1 for s, n in rest.items() if n <= share[s])
+        else:
+            own, ends = slots(share, left, length)
+        for s, ts in own.items():
+            n = whole * share[s] + bisect_left(ts, ends)
+            if n:
+                out[s].append((done[s], done[s] + n, slot, share[s], length, np.array(ts, np.int64)))
+                done[s] += n
+                left[s] -= n
+                if not left[s]:
+                    del left[s]
+        slot += whole * length + ends
+    return out
+
+
+def block_slots(phases: list, first: int, last: int) -> np.ndarray:
+    """Slots of a key's blocks first to last - 1, by its phases."""
+    out = np.empty(last - first, np.int64)
+    at = max(0, bisect_right(phases, first, key=lambda p: p[0]) - 1)
+    while at < len(phases) and phases[at][0] < last:
+        begin, end, slot, each, length, own = phases[at]
+        k = np.arange(max(first, begin), min(last, end)) - begin
+        out[k + begin - first] = slot + k // each * length + own[k % each]
+        at += 1
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, period: int = PERIOD, ranked: int = RANKED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping | None = None, block: int = BLOCK, period: int | None = None, ranked: int = RANKED) -> DataFrame:
     """docs with mix_source, mix_block, mix_slot, mix_position: sort by mix_position to read the sources in their target proportions.
 
-    weights has the target weight of each source (default, and for sources it lacks: 1). A source's documents are put
-    in the order of a hash of doc_id and cut into blocks (the last may be short). Slot by slot, no source is a whole
-    block ahead of or behind its weight's share until a source has no blocks left; the rest then share its slots.
+    weights has the target weight of each source (default, and for sources it lacks: 1; 0: after all others; negative:
+    ValueError). A source's documents are put in the order of a hash of doc_id and cut into blocks (the last may be
+    short). Slot by slot, no source is a whole block ahead of or behind its weight's share until a source has no blocks
+    left; the rest then share its slots, and deviations count from there. Weights are exact, unless a `period` is given:
+    they are then rounded to multiples of 1/period, at least one each (for up to `period` sources).
     No row is dropped or repeated. A null source is a source of its own. Equal doc_ids of one source keep any order
-    among themselves. No rows give no rows. At most `period` sources (ValueError beyond; the schedule's table, which
-    is broadcast, has a row for each source and under sources*period slots in each).
+    among themselves. No rows give no rows.
 
     Ranks within a source come from counts by (source, hash bucket) of about `ranked` rows, so a source of any size
-    is never in one task.
+    is never in one task. The schedule is made on the driver from the sources' sizes: a period of each phase, and no
+    more slots than there are blocks. Tasks read slots from it by bucket.
     """
+    spark = docs.sparkSession
     source = F.coalesce("source", F.lit("\0null"))
-    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().limit(period + 1).collect()}
-    if len(sizes) > period:
-        raise ValueError(f"more than {period} sources")
+    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().collect()}
     want = {s: (weights or {}).get(None if s == "\0null" else s, 1) for s in sizes}
-    phases = plan({s: -(-n // block) for s, n in sizes.items()}, want, period)
-    table = docs.sparkSession.createDataFrame([(s, p) for s, p in phases.items()], PHASES)
+    if any(w < 0 for w in want.values()):
+        raise ValueError("negative weight")
+    if period and len(sizes) > period:
+        raise ValueError(f"more sources than slots in a period of {period}")
+    phases = spark.sparkContext.broadcast(plan({s: -(-n // block) for s, n in sizes.items()}, want, period))
     buckets = max(1, -(-max(sizes.values(), default=1) // ranked))
+
+    def with_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [block_slots(phases.value[s], start // block, (start + n - 1) // block + 1) for s, start, n in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.int64()))], ["s", "b", "start", "slots"])
+
     h = docs.withColumns({"__s": source, "__h": F.xxhash64("doc_id")}).withColumn("__b", F.floor((F.col("__h") / 2.0**64 + 0.5) * buckets).cast("int"))
     in_order = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = h.groupBy(F.col("__s").alias("s"), F.col("__b").alias("b")).count().select("s", "b", F.coalesce(F.sum("count").over(in_order), F.lit(0)).alias("start"))
+    starts = h.groupBy(F.col("__s").alias("s"), F.col("__b").alias("b")).count().select("s", "b", F.coalesce(F.sum("count").over(in_order), F.lit(0)).alias("start"), "count")
+    starts = starts.mapInArrow(with_slots, STARTS)
     rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", "doc_id"))
     h = h.withColumn("__r", rank).join(starts, (F.col("__s") == F.col("s")) & (F.col("__b") == F.col("b"))).withColumn("__r", F.col("start") + F.col("__r") - 1)
-    h = h.join(F.broadcast(table.withColumnRenamed("source", "__t")), F.col("__s") == F.col("__t")).withColumn("__k", F.floor(F.col("__r") / block).cast("long"))
-    h = h.withColumn("__p", F.expr("filter(phases, p -> __k >= p.first and __k < p.last)[0]"))
-    slot = F.expr("__p.slot + ((__k - __p.first) div __p.each) * __p.length + __p.slots[cast((__k - __p.first) % __p.each as int)]")
+    h = h.withColumn("__k", F.floor(F.col("__r") / block).cast("long"))
+    slot = F.get("slots", (F.col("__k") - F.floor(F.col("start") / block)).cast("int"))
     added = {"mix_source": F.col("source"), "mix_block": F.col("__k"), "mix_slot": slot, "mix_position": slot * block + F.col("__r") % block}
     return h.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 

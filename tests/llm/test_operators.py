@@ -52,6 +52,30 @@ def test_pfair():
             assert all(abs(done[k] - share[k] / 100 * t) < 1 for k in weights)
 
 
+@pytest.mark.parametrize("weights", [{k: 1 for k in range(3)}, {k: 1 + k % 3 for k in range(7)}, {k: 1 for k in range(450)}, {"a": 0.001, "b": 0.3, "c": 0.699}, {"a": 10**12 + 1, "b": 3, "c": 10**12}])
+def test_pfair_target_weights(weights):
+    blocks = {s: 1 + int(20_000 * w / sum(weights.values())) for s, w in weights.items()}
+    phases = mixing.plan(blocks, weights)
+    at = {s: mixing.block_slots(phases[s], 0, n) for s, n in blocks.items()}
+    assert sorted(np.concatenate(list(at.values()))) == list(range(sum(blocks.values())))
+    ends = min(x[-1] for x in at.values())  # up to here all have blocks
+    assert ends > 1000
+    for s, x in at.items():
+        served = np.searchsorted(x, np.arange(ends + 2))  # before each slot
+        assert (abs(served - weights[s] / sum(weights.values()) * np.arange(ends + 2)) < 1 + 1e-9).all()
+        assert (mixing.block_slots(phases[s], 1, len(x)) == x[1:]).all()
+
+
+def test_mix_many_sources(spark):
+    rows = [(k, "t", None, f"s{k % 410}") for k in range(410 * 5)]
+    got = mixing.mix_sources(make(spark, rows), block=1, weights={"s3": 2, "s4": 0}, ranked=16).collect()
+    slot = {r.mix_slot: r.mix_source for r in got}
+    assert sorted(slot) == list(range(len(rows)))
+    first = [slot[t] for t in range(410)]  # a period: 408 sources of one slot, one of two
+    assert first.count("s3") == 2 and len(set(first)) == 409 and "s4" not in first
+    assert [slot[t] for t in range(len(rows) - 5, len(rows))] == ["s4"] * 5
+
+
 def test_mix(spark, docs):
     big = make(spark, [(k, "t", None, "hot" if k % 3 else f"s{k % 5}") for k in range(400)] + [(None, None, None, None)])
     got = mixing.mix_sources(big, block=4, period=20, ranked=16).collect()
