@@ -6,6 +6,9 @@ Parquet to the shared folder and reads again as the next one's docs. All but the
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +45,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.repartitionByRange(partitions(spark), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
+def in_file_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs, read from Parquet files, with __order: the row's number by the number of the task that wrote its file, then by its place in the file. Spark reads files in another order."""
+    path = F.col("_metadata.file_path")
+    sizes = docs.groupBy(path.alias("path")).count().collect()
+    sizes.sort(key=lambda r: (int(m[1]) if (m := re.search(r"part-(\d+)[^/]*$", r["path"])) else -1, r["path"]))
+    starts = list(accumulate((r["count"] for r in sizes), initial=0))
+    table = spark.createDataFrame([(r["path"], n) for r, n in zip(sizes, starts[:-1], strict=True)], "__path string, __start long")
+    placed = docs.select("*", path.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return placed.join(F.broadcast(table), F.col("__file") == F.col("__path")).withColumn("__order", F.col("__start") + F.col("__row"))
+
+
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, without their ids."""
-    return digest(pack(docs))
+    """The pieces of all documents, without their ids. Sequence ids follow the order of the mix."""
+    return digest(pack(in_file_order(spark, docs), order=F.col("__order")))
 
 
 STAGES = [

@@ -9,13 +9,15 @@ from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
 
 MAX_LENGTH, END = 2048, 1
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
+#: Pieces that a document in a given order may have: more than a text of 2 GB has.
+MOST_PIECES = 1 << 21
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long"
 
 
 def decompose(n: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
@@ -68,29 +70,30 @@ def _pieces(path: str, end: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, encoder(path))
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):  # bounds what is held for the longest texts
-                part = batch.slice(k, 256)
-                cols: tuple = ([], [], [], [], [])
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for first in range(0, batch.num_rows, 256):  # bounds what is held for the longest texts
+                part = batch.slice(first, 256)
+                cols: tuple = ([], [], [], [], [], [])
+                for doc_id, text, at in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     numbers = encode(text)
                     n = len(numbers) + 1
                     ids = struct.pack(f"<{n}I", *numbers, end)
-                    for start, length in decompose(n, most):
-                        for col, x in zip(cols, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n), strict=True):
+                    for k, (start, length) in enumerate(decompose(n, most)):
+                        for col, x in zip(cols, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n, None if at is None else at * MOST_PIECES + k), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, most: int = MAX_LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, most: int = MAX_LENGTH, order: Column | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset, bucket) of the token sequences of docs.
 
     A document's ids (and `end`) are cut into pieces of power-of-two lengths up to `most`; a piece is a sequence of
     its own, so none crosses documents and none needs padding. `bucket` is the length's logarithm: batches are drawn
     from one bucket (write with partitionBy("bucket")). ids: little-endian uint32. A null or empty text has the end
     id alone; null or repeated doc_ids are carried along, a row for each piece of each row. Sequence ids are unique,
-    not consecutive. Other columns of docs are not read. No shuffle: each row is packed where it is read.
+    not consecutive; with `order` (a long, not negative, of its own for each row) they follow it, and the pieces of a
+    document follow each other. Other columns of docs are not read. No shuffle: each row is packed where it is read.
     tokenizer: path of a byte-level BPE file for `tokenizers`.
     """
     if tokenizer is None:
@@ -99,8 +102,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, most: in
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     if most & (most - 1):
         raise ValueError("most must be a power of two")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pieces(str(tokenizer), end, most), PIECES)
-    return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.lit(None) if order is None else order).cast("long").alias("order")).mapInArrow(_pieces(str(tokenizer), end, most), PIECES)
+    number = F.monotonically_increasing_id() if order is None else F.col("sequence_id")
+    return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from test_operators import DOCS, prose
 
 import corpus_pipeline
-from mixscreen.llm import common, language_id, packing, toxicity, unionfind
+from mixscreen.llm import common, language_id, mixing, packing, toxicity, unionfind
 
 DATA = "/root/testdata/sf0.01"
 
@@ -95,6 +95,19 @@ def test_pipeline_brute_force(spark, tmp_path):
     assert len({r.sequence_id for r in got}) == len(got)
 
 
+def test_pipeline_follows_the_mix(spark, tmp_path):
+    rows = [(k, prose(2000 + k, 20 + (k * 37) % 300), f"s{k % 7 % 3}") for k in range(300)] + [(300, prose(2300, 3000), "s0")]
+    spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = common.read(spark, str(tmp_path), "documents")
+    want = [r.doc_id for r in mixing.mix_sources(docs).orderBy("mix_position").collect()]
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.sequence_id)
+    assert [r.doc_id for r in got if r.start == 0] == want
+    assert [i for i, _ in itertools.groupby(r.doc_id for r in got)] == want  # a document's pieces follow each other
+    assert all(b.start == a.start + a.length for a, b in itertools.pairwise(got) if a.doc_id == b.doc_id)
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
 def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
