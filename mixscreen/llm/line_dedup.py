@@ -39,15 +39,15 @@ def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct lines of every few hundred documents: digest, id, occurrences in order, band keys."""
-    place = pa.struct([("doc", pa.int64()), ("line", pa.int32())])
+    place = pa.struct([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
             seen: dict[bytes, list] = {}
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for doc, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for n, line in enumerate(text.split("\n")):
                     if p := plain(line):
-                        seen.setdefault(p, []).append((doc, n))
+                        seen.setdefault(p, []).append((doc, key, n))
             if not seen:
                 continue
             digests = [hashlib.blake2b(p, digest_size=16).digest() for p in seen]
@@ -65,7 +65,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             found = [sorted(set(v)) if len(v) > 1 else v for v in seen.values()]
             flat = [x for v in found for x in v]
-            places = pa.StructArray.from_arrays([pa.array([d for d, _ in flat], pa.int64()), pa.array([n for _, n in flat], pa.int32())], fields=list(place))
+            places = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], fields=list(place))
             places = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), places)
             ids = pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, places, bands], ["digest", "id", "places", "bands"])
@@ -94,27 +94,28 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines are compared in lower case with single spaces, by the Jaccard similarity of their byte 8-grams (a shorter
     line is one shingle). Lines that a chain of pairs with at least `threshold` joins are one component; of all its
     occurrences the first stays: that of the smallest doc_id, then of the smallest line number. Blank lines stay.
-    Null texts stay null. Null doc_ids come last and count as one document, and rows that repeat a doc_id share the
-    decisions about a line number if the lines are equal. Columns of docs stay as they are (but for removed_lines).
+    Null texts stay null. Null doc_ids come last. Rows with null or repeated doc_ids are told apart by a hash of their
+    text, and come in its order; only rows that repeat the doc_id and the text share their decisions. Columns of docs stay as they are (but for removed_lines).
 
     Each task merges equal lines before anything moves; candidates are matched by packed band keys; only lines that
     share a key with a different line are verified; components come from distributed union-find.
     """
     me = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    texts = docs.select(me.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = written(texts.mapInArrow(_signed, "digest binary, id long, places array<struct<doc:long,line:int>>, bands array<long>"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(me.alias("doc"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = written(texts.mapInArrow(_signed, "digest binary, id long, places array<struct<doc:long,key:long,line:int>>, bands array<long>"))
     grouped = written(groups(lines.select("id", "bands")))
     wanted = lines.select("id", F.col("places")[0].alias("p")).join(grouped.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("p").alias("p"))
-    by_doc = small_side(written(wanted.groupBy(F.col("p.doc").alias("doc")).agg(F.collect_list(F.struct("id", F.col("p.line").alias("line"))).alias("wanted"))), 200_000)
-    items = texts.join(by_doc, "doc").select("text", "wanted").mapInArrow(_lines, "id long, item binary")
+    by_doc = small_side(written(wanted.groupBy(F.col("p.doc").alias("doc"), F.col("p.key").alias("key")).agg(F.collect_list(F.struct("id", F.col("p.line").alias("line"))).alias("wanted"))), 200_000)
+    items = texts.join(by_doc, ["doc", "key"]).select("text", "wanted").mapInArrow(_lines, "id long, item binary")
     roots = components(verified(grouped, items, threshold, shingle_set, hashes=STEP))
     # a component is named by its root, and else by the digest of its line
     named = lines.select("digest", "id", "places").join(small_side(written(roots)), "id", "left")
     named = named.select(F.coalesce(F.col("root").cast("string").cast("binary"), F.col("digest")).alias("component"), "places")
     stays = named.groupBy("component").agg(F.min(F.col("places")[0]).alias("stays"), F.sum(F.size("places")).alias("n")).where("n > 1")
     gone = named.join(stays, "component").select(F.explode("places").alias("p"), "stays").where("p != stays")
-    removed = gone.groupBy(F.col("p.doc").alias("__doc")).agg(F.array_sort(F.collect_set("p.line")).alias("removed_lines"))
-    out = docs.drop("removed_lines").join(removed.hint("shuffle_hash"), me == F.col("__doc"), "left").drop("__doc")
+    removed = gone.groupBy(F.col("p.doc").alias("__doc"), F.col("p.key").alias("__key")).agg(F.array_sort(F.collect_set("p.line")).alias("removed_lines"))
+    out = docs.drop("removed_lines").join(removed.hint("shuffle_hash"), (me == F.col("__doc")) & (key == F.col("__key")), "left").drop("__doc", "__key")
     left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(removed_lines, i)), '\\n')")
     return out.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left))
 

@@ -167,6 +167,17 @@ def test_lines(spark):
     assert got == {1: rows[0][1], 2: "\nsomething else entirely in here", 3: "third", 4: None, 5: ""}
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    x, y, z = (" ".join(prose(k, 12).split()) for k in (801, 802, 803))
+    rows = [(1, x), (None, f"{x}\nfirst own line"), (None, f"clean of nulls\n{y}"), (None, f"clean too\n{y}"), (7, f"{x}\nsecond own line"), (7, f"clean of sevens\n{z}"), (7, f"also of sevens\n{z}"), (8, z)]
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.line_dedup(make(spark, [(i, t, None, None) for i, t in rows])).collect())
+    texts = [t for _, t in got]
+    for own in ("first own line", "second own line", "clean of nulls", "clean too", "clean of sevens", "also of sevens"):
+        assert sum(own in t.split("\n") for t in texts) == 1
+    assert [sum(t.split("\n").count(w) for t in texts) for w in (x, y, z)] == [1, 1, 1]
+    assert (1, x) in got and (8, "") in got
+
+
 def test_lm(spark):
     rows = [(k, prose(k % 9, 30) if k % 4 else prose(k, 12), None, None) for k in range(40)] + [(50, None, None, None), (51, "NEW words", None, None)]
     df = make(spark, rows)
