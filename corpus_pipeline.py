@@ -12,7 +12,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixscreen.llm.common import partitions, read, remainder, written
+from mixscreen.llm.common import partitions, read, remainder, small_side, written
 from mixscreen.llm.jaccard_join import jaccard_join
 from mixscreen.llm.line_dedup import line_dedup
 from mixscreen.llm.mixing import mix_sources
@@ -33,10 +33,27 @@ def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the smallest doc_id."""
+    """One row of each class of near copies: that with the smallest doc_id (null ids last), then digest of the text.
+
+    A row is its doc_id and text, so a clean text stays whatever other rows have its doc_id. Of rows that repeat both,
+    that with the smallest other columns stays.
+    """
     members, _ = jaccard_join(docs, whole=False)
-    gone = members.where("class_id is not null and doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(members.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    firsts = rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("k")).where("k > 1").select("root", "first")
+    gone = rows.join(small_side(written(firsts), 500_000), "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))))
+    gone = written(gone.select(F.col("doc_id").alias("__i"), F.col("digest").alias("__g")))
+
+    own = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__g"))
+    left = own.join(gone.hint("shuffle_hash"), same, "left_anti")
+    twice = written(rows.where("n > 1").select(F.col("doc_id").alias("__i"), F.col("digest").alias("__g")))
+    if not twice.limit(1).count():
+        return left.select(*docs.columns)
+    twice = small_side(twice, 500_000)
+    one = left.join(twice, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(twice, same, "left_anti").select(*docs.columns).unionAll(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

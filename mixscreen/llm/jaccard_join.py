@@ -55,7 +55,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     """(members, links).
 
     members: doc_id, text_class (smallest doc_id of the same text), class_id (smallest doc_id that chains of links
-    lead to), for each row of docs. links: a, b, similarity; pairs of text classes whose sets of `words`-word n-grams
+    lead to), digest (SHA-256 of the text), root (a number of the class, also where ids are null), for each row of docs. links: a, b, similarity; pairs of text classes whose sets of `words`-word n-grams
     (lower-cased, between white space) have a Jaccard similarity of at least `threshold`, each once; copies of a text are
     not expanded. A group of k texts that are all similar has k(k-1)/2 links. Without `whole`, for callers that need
     classes alone, only links are searched that join all that any chain of such pairs joins.
@@ -79,10 +79,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     found = written(verified(grouped, sets, threshold, tolerance=tolerance, whole=whole).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("tree").alias("tree")))
     rooted = written(once.join(components(found.where("tree")), "id", "left").withColumn("root", F.coalesce("root", "id")))
     least = rooted.groupBy("root").agg(F.min("text_class").alias("class_id"))
-    classes = rooted.join(least, "root").select("digest", "id", "text_class", "class_id")
+    classes = rooted.join(least, "root").select("digest", "id", "text_class", "class_id", "root")
     named = classes.select("id", "text_class")
     out = found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return narrow.join(classes.drop("id"), "digest", "left").select("doc_id", "text_class", "class_id"), out
+    return narrow.join(classes.drop("id"), "digest", "left").select("doc_id", "text_class", "class_id", "digest", "root"), out
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
