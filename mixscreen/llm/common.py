@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows of 8 to 40 bytes that a join side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,14 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, changed until no column has it (case doesn't count)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def remainder(col: str, divisor: int) -> Column:
     """crc32 of the value as text, modulo divisor; -1 for null."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % divisor, F.lit(-1))

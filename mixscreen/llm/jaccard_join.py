@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, shingles, small_side, written
-from .minhash import TOLERANCE, band_keys, groups, minima, verified
+from .minhash import TOLERANCE, band_keys, chained, members, minima, shared, tiles, verified
 from .unionfind import components
 
 #: Words in an n-gram; Jaccard similarity of a link; bands and rows of the candidate search: a pair at the threshold is missed with probability (1 - 0.8^5)^20 < 0.0004.
@@ -51,18 +51,20 @@ def _sets(words: int, bands: int, rows: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, whole: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(members, links).
 
     members: doc_id, text_class (smallest doc_id of the same text), class_id (smallest doc_id that chains of links
-    lead to), digest (SHA-256 of the text), root (a number of the class, also where ids are null), for each row of docs. links: a, b, similarity; pairs of text classes whose sets of `words`-word n-grams
+    lead to), n_links (links of its text), digest (SHA-256 of the text), root (a number of the class, also where ids are null), for each row of docs. links: a, b, similarity; pairs of text classes whose sets of `words`-word n-grams
     (lower-cased, between white space) have a Jaccard similarity of at least `threshold`, each once; copies of a text are
-    not expanded. A group of k texts that are all similar has k(k-1)/2 links. Without `whole`, for callers that need
-    classes alone, only links are searched that join all that any chain of such pairs joins.
+    not expanded. A group of k texts that are all similar has k(k-1)/2 links: they are all verified, counted where
+    they are found, and only become rows where `links` is used. Without `whole`, for callers that need classes alone, links (then None) are looked for
+    only between ids that aren't in one class yet, and there is no n_links.
 
     Null counts as empty. Texts without a word have no n-gram and link to nothing, but equal ones are one text class.
     A text with fewer words has one n-gram. Rows with a null doc_id have the classes of their text, which are null if
     no row of the text, or of its class, has a doc_id. Rows that repeat share their classes. Other columns don't matter.
+    Texts are told apart by SHA-256 and numbered by its first 64 bits, so results don't depend on partitions.
 
     Texts that share a band key of their MinHash values meet in tiles of bounded size. There, values are compared
     STEP at a time, and a pair goes when the posterior probability that it reaches the threshold falls below the
@@ -70,26 +72,42 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     """
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", digest)
+    number = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     narrow = written(texts.select("doc_id", "digest"))
-    once = written(narrow.groupBy("digest").agg(F.min("doc_id").alias("text_class")).withColumn("id", F.monotonically_increasing_id()))
+    once = written(narrow.groupBy("digest").agg(F.min("doc_id").alias("text_class")).withColumn("id", number))
     signed = texts.select("digest", "text").mapInArrow(_signed(words, bands, rows), "digest binary, full boolean, bands array<long>").where("full")
-    grouped = written(groups(signed.groupBy("digest").agg(F.first("bands").alias("bands")).join(once, "digest").select("id", "bands")))
-    needed = small_side(once.join(grouped.select("id").distinct(), "id").select("id", F.col("digest").alias("d"), "text_class"), 500_000)
-    sets = texts.join(needed, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("text_class"))).select("id", "text").mapInArrow(_sets(words, bands, rows), "id long, item binary, keys binary")
-    found = written(verified(grouped, sets, threshold, tolerance=tolerance, whole=whole).groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("tree").alias("tree")))
-    rooted = written(once.join(components(found.where("tree")), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    least = rooted.groupBy("root").agg(F.min("text_class").alias("class_id"))
-    classes = rooted.join(least, "root").select("digest", "id", "text_class", "class_id", "root")
-    named = classes.select("id", "text_class")
-    out = found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return narrow.join(classes.drop("id"), "digest", "left").select("doc_id", "text_class", "class_id", "digest", "root"), out
+    found = shared(signed.groupBy("digest").agg(F.first("bands").alias("bands")).select(number.alias("id"), "bands"))
+
+    def items(ids: DataFrame) -> DataFrame:
+        needed = once.join(ids, "id", "left_semi").select("id", F.col("digest").alias("d"), "text_class")
+        own = texts.join(small_side(written(needed)), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("text_class")))
+        return own.select("id", "text").mapInArrow(_sets(words, bands, rows), "id long, item binary, keys binary").dropDuplicates(["id"])
+
+    links, counts = None, None
+    if whole:
+        met = written(tiles(members(found)))
+        own = items(met.select("id").distinct())
+        tallied = written(verified(met, own, threshold, tolerance=tolerance, mode="counts"))
+        roots = components(tallied.where("b is not null"))
+        counts = tallied.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+        named = once.select("id", "text_class")
+        links = verified(met, own, threshold, tolerance=tolerance).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+        links = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    else:
+        roots = chained(found, items, threshold, tolerance=tolerance)
+    rooted = once.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if counts is not None:
+        rooted = rooted.join(counts, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    rooted = written(rooted)
+    least = written(rooted.groupBy("root").agg(F.min("text_class").alias("class_id")))
+    classes = rooted.join(least, "root").drop("id")
+    return narrow.join(classes, "digest", "left"), links
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its class, its text's representative, and the number of links that its text has to other texts."""
-    members, found = jaccard_join(read(spark, sf_dir, "documents"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("text_class")).groupBy("text_class").agg(F.count("*").alias("n_links"))
-    return members.join(degree, "text_class", "left").select("doc_id", "class_id", "text_class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found, _ = jaccard_join(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "text_class", "n_links")
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}

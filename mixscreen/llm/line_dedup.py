@@ -10,110 +10,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_side, unique_sorted, written
-from .minhash import STEP, band_keys, groups, one_permutation, verified
-from .unionfind import components
+from .common import mix, read, small_side, unique_sorted, written
+from .minhash import band_keys, chained, one_permutation, shared
 
-#: Bytes in a shingle; Jaccard similarity of copies; bands and rows: a pair at the threshold is missed with probability (1 - 0.8^4)^12 < 0.002.
-SHINGLE, THRESHOLD, BANDS, ROWS = 8, 0.8, 12, 4
-GAP = b"\0" * SHINGLE
+#: Characters in a shingle; Jaccard similarity of copies; bands and rows: a pair at the threshold is missed with probability (1 - 0.8^4)^12 < 0.002.
+SHINGLE, THRESHOLD, BANDS, ROWS = 7, 0.8, 12, 4
+GAP = "\0" * SHINGLE
 LAST = (1 << 63) - 1
+#: Characters whose shingles are made together.
+TOGETHER = 500_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
+LINES = "digest binary, id long, line string, places array<struct<doc:long,key:long,line:int>>, bands array<long>"
 
 
-def plain(line: str) -> bytes:
+def plain(line: str) -> str:
     """What is compared: lower case, single spaces."""
-    return " ".join(line.lower().split()).encode()
+    return " ".join(line.lower().split())
 
 
-def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(all shingles as 64-bit numbers, where each line's begin): runs of SHINGLE bytes, or the whole line if it is shorter."""
-    b = np.frombuffer(GAP.join(lines) + GAP, np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(b, SHINGLE)
-    values = np.ascontiguousarray(words).view(np.uint64).ravel()
+def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all shingles, where each line's begin): runs of SHINGLE characters, or the whole line if it is shorter."""
+    text = GAP.join(lines) + GAP
+    c = (np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.uint64)
+    runs = c[: len(c) - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        runs *= ODD
+        runs += c[k : len(c) - SHINGLE + 1 + k]
     sizes = np.array([len(x) for x in lines], np.int64)
     begins = np.cumsum(sizes + SHINGLE) - sizes - SHINGLE
     counts = np.maximum(1, sizes - SHINGLE + 1)
     starts = np.cumsum(counts) - counts
-    return values[np.arange(int(counts.sum())) + np.repeat(begins - starts, counts)], starts
+    return mix(runs[np.arange(int(counts.sum())) + np.repeat(begins - starts, counts)]), starts
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    values, starts = line_shingles(lines)
+    return [unique_sorted(x) for x in np.split(values, starts[1:])]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band keys, a row for each line."""
+    out = np.empty((len(lines), BANDS), np.uint64)
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (size == 0 or size < TOGETHER):
+            size += len(lines[end])
+            end += 1
+        out[at:end] = band_keys(one_permutation(*line_shingles(lines[at:end]), BANDS * ROWS), BANDS, ROWS)
+        at = end
+    return out
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines of every few hundred documents: digest, id, occurrences in order, band keys."""
+    """The distinct lines of every few hundred documents: digest, number, text, occurrences in order, band keys."""
     place = pa.struct([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            seen: dict[bytes, list] = {}
+            seen: dict[str, list] = {}
             for doc, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for n, line in enumerate(text.split("\n")):
                     if p := plain(line):
                         seen.setdefault(p, []).append((doc, key, n))
             if not seen:
                 continue
-            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in seen]
-            keys = np.empty((len(seen), BANDS), np.uint64)
             lines = list(seen)
-            at = 0
-            while at < len(lines):  # about 4 MB of text at a time
-                end, size = at, 0
-                while end < len(lines) and (size == 0 or size < 4_000_000):
-                    size += len(lines[end])
-                    end += 1
-                values, starts = line_shingles(lines[at:end])
-                keys[at:end] = band_keys(one_permutation(values, starts, BANDS * ROWS), BANDS, ROWS)
-                at = end
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            digests = [hashlib.blake2b(p.encode(), digest_size=16).digest() for p in lines]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * BANDS, pa.int32()), pa.array(signatures(lines).ravel().view(np.int64)))
             found = [sorted(set(v)) if len(v) > 1 else v for v in seen.values()]
             flat = [x for v in found for x in v]
             places = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], fields=list(place))
             places = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), places)
             ids = pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, places, bands], ["digest", "id", "places", "bands"])
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of each text."""
-    for batch in batches:
-        ids, items = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = text.split("\n")
-            for w in wanted:
-                if w["line"] < len(lines) and (p := plain(lines[w["line"]])) and np.frombuffer(hashlib.blake2b(p, digest_size=16).digest()[:8], np.int64)[0] == w["id"]:
-                    ids.append(w["id"])
-                    items.append(p)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["id", "item"])
-
-
-def shingle_set(line: bytes) -> np.ndarray:
-    return unique_sorted(line_shingles([line])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, pa.array(lines, pa.string()), places, bands], ["digest", "id", "line", "places", "bands"])
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without lines that copy another line, and with removed_lines (array<int>, numbers from 0; null if none).
 
-    Lines are compared in lower case with single spaces, by the Jaccard similarity of their byte 8-grams (a shorter
-    line is one shingle). Lines that a chain of pairs with at least `threshold` joins are one component; of all its
+    Lines are compared in lower case with single spaces, by the Jaccard similarity of their character 7-grams (a
+    shorter line is one shingle). Lines that a chain of pairs with at least `threshold` joins are one component; of all its
     occurrences the first stays: that of the smallest doc_id, then of the smallest line number. Blank lines stay.
     Null texts stay null. Null doc_ids come last. Rows with null or repeated doc_ids are told apart by a hash of their
     text, and come in its order; only rows that repeat the doc_id and the text share their decisions. Columns of docs stay as they are (but for removed_lines).
 
-    Each task merges equal lines before anything moves; candidates are matched by packed band keys; only lines that
-    share a key with a different line are verified; components come from distributed union-find.
+    Each task merges equal lines before anything moves, and writes lines with their band keys; lines that share a key
+    are compared with those that stand for the key's lines (see chained()), and components come from distributed
+    union-find. Lines are numbered by 64 bits of their digest.
     """
     me = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(me.alias("doc"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = written(texts.mapInArrow(_signed, "digest binary, id long, places array<struct<doc:long,key:long,line:int>>, bands array<long>"))
-    grouped = written(groups(lines.select("id", "bands")))
-    wanted = lines.select("id", F.col("places")[0].alias("p")).join(grouped.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("p").alias("p"))
-    by_doc = small_side(written(wanted.groupBy(F.col("p.doc").alias("doc"), F.col("p.key").alias("key")).agg(F.collect_list(F.struct("id", F.col("p.line").alias("line"))).alias("wanted"))), 200_000)
-    items = texts.join(by_doc, ["doc", "key"]).select("text", "wanted").mapInArrow(_lines, "id long, item binary")
-    roots = components(verified(grouped, items, threshold, shingle_set, hashes=STEP))
+    lines = written(texts.mapInArrow(_signed, LINES))
+
+    def items(ids: DataFrame) -> DataFrame:
+        return lines.select("id", F.col("line").alias("item")).join(small_side(ids), "id", "left_semi").groupBy("id").agg(F.first("item").alias("item"))
+
+    roots = chained(shared(lines.select("id", "bands")), items, threshold, line_sets, hashes=0)
     # a component is named by its root, and else by the digest of its line
     named = lines.select("digest", "id", "places").join(small_side(written(roots)), "id", "left")
     named = named.select(F.coalesce(F.col("root").cast("string").cast("binary"), F.col("digest")).alias("component"), "places")
-    stays = named.groupBy("component").agg(F.min(F.col("places")[0]).alias("stays"), F.sum(F.size("places")).alias("n")).where("n > 1")
-    gone = named.join(stays, "component").select(F.explode("places").alias("p"), "stays").where("p != stays")
+    stays = written(named.groupBy("component").agg(F.min(F.col("places")[0]).alias("stays"), F.sum(F.size("places")).alias("n")).where("n > 1").select("component", "stays"))
+    gone = named.join(small_side(stays), "component").select(F.explode("places").alias("p"), "stays").where("p != stays")
     removed = gone.groupBy(F.col("p.doc").alias("__doc"), F.col("p.key").alias("__key")).agg(F.array_sort(F.collect_set("p.line")).alias("removed_lines"))
     out = docs.drop("removed_lines").join(removed.hint("shuffle_hash"), (me == F.col("__doc")) & (key == F.col("__key")), "left").drop("__doc", "__key")
     left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(removed_lines, i)), '\\n')")

@@ -1,4 +1,4 @@
-"""MinHash: signatures, band keys that several rows share, and links inside groups, pruned by posterior probability and verified exactly."""
+"""MinHash: signatures, band keys that several rows share, candidate pairs as stars or tiles, and links verified exactly."""
 
 from __future__ import annotations
 
@@ -12,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, written
-from .unionfind import Forest
+from .common import mix, partitions, small_side, written
+from .unionfind import Forest, components
 
-#: Rows of one key that a task sends on for matching with other tasks' rows; the others it gives out at once.
+#: Rows of one key that a task sends on for matching with other tasks' rows; of more it sends one.
 SENT = 64
-#: Members that meet in one task come from at most two chunks of about this size.
+#: Rows that one stands for in a star; members that meet in one task come from at most two chunks of about this size.
 CHUNK = 512
 #: Hashes of a signature that are compared at a time, in all, and the posterior probability below which a pair is dropped.
 STEP, HASHES, TOLERANCE = 16, 128, 1e-4
+#: Bits of a band key that hold the band's number.
+BAND_BITS = 8
 
 
 def minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:
@@ -37,10 +39,10 @@ def minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 1) -
     return out
 
 
-def one_permutation(values: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
-    """Like minima(), but each value is hashed once and counts in one of the bins; an empty bin takes over the next filled one's value, changed by the distance."""
-    h = (mix(values) >> np.uint64(32)).astype(np.uint32)
-    counts = np.diff(np.append(starts, len(values)))
+def one_permutation(hashes: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
+    """Like minima(), of values that are well mixed already: each counts in one of the bins; an empty bin takes over the next filled one's value, changed by the distance."""
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    counts = np.diff(np.append(starts, len(hashes)))
     at = np.repeat(np.arange(len(starts)) * bins, counts) + ((h.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
     none = np.uint32(0xFFFFFFFF)
     out = np.full(len(starts) * bins, none)
@@ -51,23 +53,26 @@ def one_permutation(values: np.ndarray, starts: np.ndarray, bins: int) -> np.nda
     filled, full = own != none, own.copy()
     for d in range(1, bins):
         take = (full == none) & np.roll(filled, -d, axis=1)
-        full[take] = (np.roll(own, -d, axis=1)[take] ^ np.uint32(d)) * np.uint32(0x9E3779B1) | np.uint32(1)
+        if take.any():
+            full[take] = (np.roll(own, -d, axis=1)[take] ^ np.uint32(d)) * np.uint32(0x9E3779B1) | np.uint32(1)
     out[short] = full
     return out
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of `rows` values, one row for each signature."""
+    """A 64-bit key for each band of `rows` values, one row for each signature; its lowest bits are the band's number."""
+    if bands > 1 << BAND_BITS:
+        raise ValueError(f"more than {1 << BAND_BITS} bands")
     out = np.empty((len(signatures), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(signatures), np.uint64(b + 1))
         for r in range(rows):
             key = mix(key ^ signatures[:, b * rows + r].astype(np.uint64))
-        out[:, b] = key
+        out[:, b] = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(b)
     return out
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (key, id)."""
     at = np.lexsort((ids, keys))
     keys, ids = keys[at], ids[at]
@@ -76,9 +81,19 @@ def _pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], ids[new]
 
 
-def _local_groups(buckets: int):
-    """Packs (key, id) by key range. Of a key with over SENT ids in the task, one is sent to its range; the others can't
-    be left to one task and go, with it, to a range of their own (number -1 - task)."""
+def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b) that join all ids of each key. keys, ids: sorted, distinct. Every CHUNK-th id of a key stands for those up to the next, the first for these."""
+    at = np.arange(len(keys))
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], keys[1:] != keys[:-1])), at, 0)) if len(keys) else at
+    place = at - first
+    up = np.where(place % CHUNK == 0, first, first + place // CHUNK * CHUNK)
+    hold = place > 0
+    return keys[hold], ids[up[hold]], ids[hold]
+
+
+def _local(buckets: int):
+    """Packs (key, id) by key range. Of a key with over SENT ids in the task, stars are made here and their first id alone is
+    sent to its range, so that no task gets all rows of a key; stars are packed under a number of the task (-1 - task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,22 +105,19 @@ def _local_groups(buckets: int):
         size = 0
 
         def packed() -> pa.RecordBatch:
-            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, ids = _pairs(keys, ids)
+            keys, ids = _sorted_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            first = np.flatnonzero(new)
-            counts = np.diff(np.append(first, len(keys)))
+            counts = np.diff(np.append(np.flatnonzero(new), len(keys)))
             big = np.repeat(counts > SENT, counts)
-            send = ~big | new
-            rows = []
-            k2, i2 = keys[send], ids[send]
+            rows: list = []
+            k2, i2 = keys[~big | new], ids[~big | new]
             cuts = np.searchsorted(k2, bounds)
             for k, (a, b) in enumerate(zip(np.split(k2, cuts), np.split(i2, cuts), strict=True)):
                 if len(a):
-                    rows.append((k, a.tobytes(), b.tobytes()))
+                    rows.append((k, a.tobytes(), b.tobytes(), None))
             if big.any():
-                rows.append((-1 - task, keys[big].tobytes(), ids[big].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "ids"])
+                rows.append((-1 - task, *(x.tobytes() for x in stars(keys[big], ids[big]))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -123,36 +135,63 @@ def _local_groups(buckets: int):
     return run
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """(key, id) of the keys that more than one row of a range has (of a task's own range: all)."""
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"]])
-    ids = np.concatenate([np.frombuffer(k, np.int64) for k in group["ids"]])
+def _starred(group: pd.DataFrame) -> pd.DataFrame:
+    keys, a = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"]]), np.concatenate([np.frombuffer(k, np.int64) for k in group["a"]])
     if int(group["bucket"].iloc[0]) >= 0:
-        keys, ids = _pairs(keys, ids)
-        same = keys[1:] == keys[:-1]
-        hold = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, ids = keys[hold], ids[hold]
-    return pd.DataFrame({"key": keys.view(np.int64), "id": ids})
+        keys, a, b = stars(*_sorted_pairs(keys, a))
+    else:
+        b = np.concatenate([np.frombuffer(k, np.int64) for k in group["b"]])
+    return pd.DataFrame({"key": keys.view(np.int64), "a": a, "b": b})
+
+
+def shared(signed: DataFrame) -> DataFrame:
+    """(key, a, b), written: of each band key that several ids have, stars that join all its ids.
+
+    signed: id long, bands array<long> (as many for each row; rows may repeat).
+    """
+    packed = signed.select("id", "bands").mapInArrow(_local(partitions(signed.sparkSession)), "bucket int, keys binary, a binary, b binary")
+    return written(packed.groupBy("bucket").applyInPandas(_starred, "key long, a long, b long"))
+
 
+def members(found: DataFrame) -> DataFrame:
+    """(key, id), each once, of the stars."""
+    return found.select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
 
-def groups(signed: DataFrame) -> DataFrame:
-    """(group, id): sets of rows that share a band key, each set of ids once, in tiles of bounded size.
 
-    signed: id long, bands array<long> (as many for each row; rows may repeat). Ids of a key that has more than CHUNK are dealt into
-    chunks, and every two chunks make a tile: whatever two rows share a key meet in a tile, and no task holds a key.
+def tiles(rows: DataFrame, labelled: bool = False) -> DataFrame:
+    """(tile, key, side, id, label) in which every two ids of a key meet once, in tiles of bounded size.
+
+    rows: key, id. Ids of a key that has more than CHUNK are dealt into chunks; every chunk is a tile (of one side) and
+    every two chunks are one (of two sides, between which pairs are to be looked for). Keys with the same ids have one
+    tile, under that key whose band comes first. With labels (a long, for each id the same) only pairs of two labels
+    need to meet: chunks are then dealt by label, and tiles of one label are left out.
     """
-    buckets = partitions(signed.sparkSession)
-    found = signed.select("id", "bands").mapInArrow(_local_groups(buckets), "bucket int, keys binary, ids binary").groupBy("bucket").applyInPandas(_shared, "key long, id long")
-    found = written(found.distinct())
-    sizes = found.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"), F.count("*").alias("n")).where("n > 1").select("key", "chunks")
-    dealt = found.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    lists = written(dealt.groupBy("key", "chunk", "chunks").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    single = lists.where("chunks = 1").select("ids")
-    many = lists.where("chunks > 1")
-    left, right = many.select("key", F.col("chunk").alias("a"), F.col("ids").alias("x")), many.select("key", F.col("chunk").alias("b"), F.col("ids").alias("y"))
-    tiles = left.join(right, "key").where("a < b").select(F.array_sort(F.concat("x", "y")).alias("ids"))
-    sets = single.unionAll(tiles).distinct()
-    return sets.select(F.xxhash64("ids", F.size("ids")).alias("group"), F.explode("ids").alias("id"))
+    if not labelled:
+        rows = rows.withColumn("label", F.lit(None).cast("long"))
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("key").agg(F.sum("n").alias("total"))
+    if labelled:
+        large = per.where(F.col("n") > CHUNK // 2).withColumnRenamed("n", "own")
+        dealt = rows.join(sizes, "key").join(large, ["key", "label"], "left")
+        pure = F.xxhash64("label", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / CHUNK)))
+        mixed = F.pmod(F.xxhash64("label"), F.ceil(F.col("total") / CHUNK)).cast("long")
+        chunk = F.when(F.col("total") <= CHUNK, F.lit(0)).when(F.col("own").isNotNull(), pure).otherwise(mixed)
+    else:
+        dealt = rows.join(sizes, "key")
+        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / CHUNK)).cast("long")
+    lists = dealt.groupBy("key", chunk.alias("chunk")).agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("id", "label"))).alias("ids"), F.min("label").alias("least"), F.max("label").alias("most"))
+    lists = written(lists)
+    alone = lists.where("least < most") if labelled else lists
+    alone = alone.where(F.size("ids") > 1).groupBy("ids").agg(F.min_by("key", F.pmod("key", F.lit(1 << BAND_BITS))).alias("key"))
+    alone = alone.select("key", F.xxhash64("ids", F.lit(-1)).alias("tile"), F.explode("ids").alias("x"), F.lit(0).alias("side"))
+    many = lists.where(F.col("total") > CHUNK)
+    other = many.select("key", F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    cross = many.join(other, "key").where("chunk < chunk2")
+    if labelled:
+        cross = cross.where("least < most OR least2 < most2 OR least <> least2")
+    side = lambda c, k: F.transform(c, lambda x: F.struct(x.alias("x"), F.lit(k).alias("side")))
+    cross = cross.select("key", F.xxhash64("key", "chunk", "chunk2").alias("tile"), F.explode(F.concat(side("ids", 0), side("ids2", 1))).alias("y")).select("key", "tile", "y.x", "y.side")
+    return alone.unionByName(cross).select("tile", "key", "side", "x.id", "x.label")
 
 
 @cache
@@ -167,8 +206,8 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
-def candidates(signatures: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a < b) that survive, with their matches: STEP values at a time, pairs go whose posterior probability falls below the tolerance."""
+def candidates(signatures: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) that survive: STEP values at a time, pairs go whose posterior probability falls below the tolerance."""
     n = len(signatures)
     match = np.zeros((n, n), np.int16)
     for k in range(STEP):
@@ -179,31 +218,17 @@ def candidates(signatures: np.ndarray, threshold: float, tolerance: float) -> tu
         found = found + (signatures[a, k : k + STEP] == signatures[b, k : k + STEP]).sum(axis=1)
         hold = found >= least_matches(k + STEP, threshold, tolerance)
         a, b, found = a[hold], b[hold], found[hold]
-    return a, b, found
+    return a, b
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int, float]]:
-    """Verified links that join all of a group's members which chains of similar pairs join: a spanning forest.
-
-    Candidate pairs are taken with the most matches first; a pair whose members a chain of links joins already is not
-    needed. Every link's Jaccard similarity is computed from the whole sets.
-    """
-    if len(ids) < 2:
-        return []
-    a, b, found = candidates(signatures, threshold, tolerance)
-    sizes = np.array([len(s) for s in sets])
-    hold = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
-    a, b, found = a[hold], b[hold], found[hold]
-    forest, out = Forest(), []
-    for k in np.argsort(-found, kind="stable"):
-        i, j = int(a[k]), int(b[k])
-        if forest.find(i) != forest.find(j):
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            similarity = common / (len(sets[i]) + len(sets[j]) - common)
-            if similarity >= threshold - 1e-12:
-                forest.join(i, j)
-                out.append((int(ids[i]), int(ids[j]), similarity))
-    return out
+def survives(x: np.ndarray, y: np.ndarray, threshold: float, tolerance: float) -> bool:
+    """candidates() for one pair of signatures."""
+    found = 0
+    for k in range(0, len(x), STEP):
+        found += int((x[k : k + STEP] == y[k : k + STEP]).sum())
+        if found < least_matches(min(k + STEP, len(x)), threshold, tolerance):
+            return False
+    return True
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,86 +251,153 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return common[a, b].astype(np.int64)
 
 
-def all_links(ids: np.ndarray, sets: list[np.ndarray], signatures: np.ndarray, bands: np.ndarray, threshold: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity, tree) of all verified links of a group that are its own; those with `tree` are a spanning forest of them.
+def tile_links(sides: np.ndarray, labels: np.ndarray | None, sets: list[np.ndarray], signatures: np.ndarray, bands: np.ndarray | None, key: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity), by places, of a tile's verified links.
 
-    A pair belongs to the groups that share, as a whole, the first band key that its two members share: such a group
-    always exists, and the pair is not verified again in the groups of its other keys.
+    bands (the band keys of each member): only pairs count whose first shared key is the tile's, so that a pair that
+    shares many keys counts in one tile. labels: only pairs of two labels count.
     """
-    a, b, _ = candidates(signatures, threshold, tolerance)
+    a, b = candidates(signatures, threshold, tolerance)
     sizes = np.array([len(s) for s in sets], np.int64)
     hold = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+    if sides.any():
+        hold &= sides[a] != sides[b]
+    if labels is not None:
+        hold &= labels[a] != labels[b]
     a, b = a[hold], b[hold]
-    first = np.full(len(a), -1)
-    for k in range(bands.shape[1] - 1, -1, -1):
-        first[bands[a, k] == bands[b, k]] = k
-    own = (bands == bands[0]).all(axis=0)[first] & (first >= 0)
-    a, b = a[own], b[own]
+    if bands is not None and len(a):
+        first = np.zeros(len(a), np.int64)
+        for k in range(bands.shape[1] - 1, -1, -1):
+            same = bands[a, k] == bands[b, k]
+            first[same] = bands[a[same], k]
+        a, b = a[first == key], b[first == key]
     common = overlaps(sets, a, b)
     similarity = common / (sizes[a] + sizes[b] - common)
     hold = similarity >= threshold - 1e-12
-    a, b, similarity = a[hold], b[hold], similarity[hold]
-    forest = Forest()
-    tree = np.fromiter((forest.join(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
-    return ids[a], ids[b], similarity, tree
+    return a[hold], b[hold], similarity[hold]
 
 
 #: Values of sets whose signatures are computed together; values that are counted together in overlaps().
 TOGETHER, COLUMNS = 2_000_000, 4096
+LINKS = "a long, b long, similarity double, n long"
+
+
+def _batch(a, b, similarity, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, b, similarity, n), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["a", "b", "similarity", "n"])
 
 
-def _linked(to_set: Callable[[bytes], np.ndarray], threshold: float, tolerance: float, hashes: int, whole: bool):
-    """Rows (group, id, item) in order of group: a spanning forest of each group's links; or, of (group, id, item, bands), all that are its own."""
-    names = ["a", "b", "similarity", "tree"]
+def _tiled(to_sets: Callable[[list[bytes]], list[np.ndarray]], threshold: float, tolerance: float, hashes: int, mode: str):
+    """Rows (tile, key, side, id, label, item, keys) in order of tile. mode: links, counts or forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list, sets: list, bands: list) -> Iterator[pa.RecordBatch]:
-            if not sets:
-                return
+        def out(held: list) -> Iterator[pa.RecordBatch]:
+            sets = to_sets([x[5] for rows in held for x in rows])
             signatures = minima(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), hashes, seed=2)
-            at, rows = 0, []
-            for ids in held:
-                part = slice(at, at + len(ids))
+            at = 0
+            for rows in held:
+                part = slice(at, at + len(rows))
                 at = part.stop
-                if not whole:
-                    rows += [(*r, True) for r in links(np.array(ids), sets[part], signatures[part], threshold, tolerance)]
-                elif len(ids) > 1:
-                    found = all_links(np.array(ids), sets[part], signatures[part], np.array(bands[part]), threshold, tolerance)
-                    if len(found[0]) < 1000:
-                        rows += zip(*(x.tolist() for x in found), strict=True)
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], names)
-
-        group, held, sets, bands, size = None, [], [], [], 0
+                ids = np.array([x[3] for x in rows], np.int64)
+                labels = None if rows[0][4] is None else np.array([x[4] for x in rows], np.int64)
+                bands = None if mode == "forest" else np.array([np.frombuffer(x[6], np.int64) for x in rows])
+                a, b, similarity = tile_links(np.array([x[2] for x in rows]), labels, sets[part], signatures[part], bands, rows[0][1], threshold, tolerance)
+                if mode == "links":
+                    yield _batch(ids[a], ids[b], similarity, np.ones(len(a), np.int64))
+                elif len(a):
+                    forest = Forest()
+                    tree = np.fromiter((forest.join(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+                    yield _batch(ids[a[tree]], ids[b[tree]], similarity[tree], np.zeros(int(tree.sum()), np.int64))
+                    if mode == "counts":
+                        n = np.bincount(np.concatenate((a, b)), minlength=len(ids))
+                        yield _batch(ids[n > 0], pa.nulls(int((n > 0).sum()), pa.int64()), pa.nulls(int((n > 0).sum()), pa.float64()), n[n > 0])
+
+        tile, held, size = None, [], 0
         for batch in batches:
-            keys = batch.column(3).to_pylist() if whole else [None] * batch.num_rows
-            for g, i, item, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), keys, strict=True):
-                if g == group and held[-1][-1] == i:
-                    continue
-                if g != group:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != tile:
                     if size > TOGETHER:
-                        yield from out(held, sets, bands)
-                        held, sets, bands, size = [], [], [], 0
-                    group = g
+                        yield from out(held)
+                        held, size = [], 0
+                    tile = row[0]
                     held.append([])
-                held[-1].append(i)
-                sets.append(to_set(item))
-                bands.append(np.frombuffer(key, np.int64) if whole else None)
-                size += len(sets[-1])
-        yield from out(held, sets, bands)
+                held[-1].append(row)
+                size += len(row[5]) // 8
+        if held:
+            yield from out(held)
+
+    return run
+
+
+def packed_sets(items: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in items]
+
+
+def verified(tiled: DataFrame, items: DataFrame, threshold: float, to_sets: Callable[[list[bytes]], list[np.ndarray]] = packed_sets, tolerance: float = TOLERANCE, hashes: int = HASHES, mode: str = "links") -> DataFrame:
+    """(a, b, similarity, n) from tiles. items: id, item, keys; to_sets makes sets (sorted distinct 64-bit values, not empty) of items.
+
+    mode links: all links, each once. counts: a spanning forest of each tile's links (n = 0), and for each id (a; b is
+    null) the number n of its links in a tile. forest: the spanning forest alone (`keys` is then not needed).
+    """
+    keys = F.lit(None).cast("binary").alias("keys") if mode == "forest" else F.col("keys")
+    rows = tiled.join(items, "id").select("tile", "key", "side", "id", "label", "item", keys)
+    return rows.repartition(partitions(tiled.sparkSession), "tile").sortWithinPartitions("tile", "side", "id").mapInArrow(_tiled(to_sets, threshold, tolerance, hashes, mode), LINKS)
+
+
+def _compared(to_sets: Callable[[list[bytes]], list[np.ndarray]], threshold: float, tolerance: float, hashes: int):
+    """Rows (a, id, item) in order of a, first its own: the links of each a with its ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, mine, own = None, np.zeros(0, np.uint64), None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                sets = to_sets(part.column(2).to_pylist())
+                signatures = minima(np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])]), hashes, seed=2) if hashes else [None] * len(sets)
+                out: tuple[list, list, list] = ([], [], [])
+                for a, i, x, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets, signatures, strict=True):
+                    if a == i:
+                        root, mine, own = a, x, s
+                        continue
+                    if a != root:
+                        raise ValueError(f"{a} has no item")
+                    m, n = len(mine), len(x)
+                    if min(m, n) < threshold * max(m, n) - 1e-9 or hashes and not survives(own, s, threshold, tolerance):
+                        continue
+                    common = m + n - len(unique_count(mine, x))
+                    if (similarity := common / (m + n - common)) >= threshold - 1e-12:
+                        for c, v in zip(out, (a, i, similarity), strict=True):
+                            c.append(v)
+                yield _batch(*out, [1] * len(out[0]))
 
     return run
 
 
-def packed_set(item: bytes) -> np.ndarray:
-    return np.frombuffer(item, np.uint64)
+def unique_count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The union of two sorted sets."""
+    z = np.sort(np.concatenate((x, y)), kind="stable")
+    return z[np.concatenate(([True], z[1:] != z[:-1]))]
 
 
-def verified(grouped: DataFrame, items: DataFrame, threshold: float, to_set: Callable[[bytes], np.ndarray] = packed_set, tolerance: float = TOLERANCE, hashes: int = HASHES, whole: bool = False) -> DataFrame:
-    """(a, b, similarity, tree) of links inside the groups. items: id, item; to_set makes of an item its set (sorted distinct 64-bit values, not empty).
+def chained(found: DataFrame, items: Callable[[DataFrame], DataFrame], threshold: float, to_sets: Callable[[list[bytes]], list[np.ndarray]] = packed_sets, tolerance: float = TOLERANCE, hashes: int = HASHES) -> DataFrame:
+    """(id, root): the classes into which chains of links put ids; ids without a link are left out.
 
-    whole: all links (some more than once) rather than a spanning forest of each group's; items then has `keys`, the band keys packed as longs.
+    found: stars as shared() gives them. items: gives (id, item) of a table of ids. hashes: 0 verifies every candidate
+    pair, without pruning. No link that joins two classes is lost, though not all are looked for: each id is compared
+    with those that stand for it, which takes no more pairs than rows; what is left are keys whose ids are still in
+    several classes, and there every two ids of different classes meet.
     """
-    rows = grouped.join(items, "id").select("group", "id", "item", *(["keys"] if whole else []))
-    return rows.repartition(partitions(grouped.sparkSession), "group").sortWithinPartitions("group", "id").mapInArrow(_linked(to_set, threshold, tolerance, hashes, whole), "a long, b long, similarity double, tree boolean")
+    pairs = found.select("a", "b").distinct()
+    wanted = written(pairs.unionAll(pairs.select("a", F.col("a").alias("b")).distinct()).withColumnRenamed("b", "id"))
+    rows = wanted.join(items(wanted.select("id").distinct()), "id").select("a", "id", "item")
+    links = rows.repartition(partitions(found.sparkSession), "a").sortWithinPartitions("a", F.col("a") != F.col("id"), "id").mapInArrow(_compared(to_sets, threshold, tolerance, hashes), LINKS)
+    links = written(links.select("a", "b"))
+    roots = small_side(components(links))
+    named = found.join(roots.toDF("a", "label_a"), "a", "left").join(roots.toDF("b", "label_b"), "b", "left")
+    named = named.select("key", "a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
+    split = written(named.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("label_a") != F.col("label_b")).alias("several")).where("several AND n > 1").select("key"))
+    both = F.array(F.struct(F.col("a").alias("id"), F.col("label_a").alias("label")), F.struct(F.col("b").alias("id"), F.col("label_b").alias("label")))
+    rest = written(named.join(split, "key", "left_semi").select("key", F.explode(both).alias("x")).select("key", "x.id", "x.label").distinct())
+    if not rest.limit(1).count():
+        return roots
+    more = verified(tiles(rest, labelled=True), items(rest.select("id").distinct()), threshold, to_sets, tolerance, hashes or STEP, "forest").select("a", "b")
+    return components(links.unionAll(written(more)))

@@ -56,15 +56,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round first gives the larger neighbours of a node the smallest one of its neighbourhood (large star), then
     its smaller ones (small star). Rounds are logarithmic in the longest path; links go to a written table after each.
-    Null ends and links of a node with itself are left out; repeated links change nothing; no links give no rows.
+    The smallest neighbours are written too: a join of two read tables is one whose hot keys (a large component's
+    root) adaptive execution splits. Null ends and links of a node with itself are left out; repeated links change
+    nothing; no links give no rows.
     """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
     edges, before = written(links.mapInArrow(_local, "u long, v long").distinct()), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(small)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
