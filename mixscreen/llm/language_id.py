@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, remainder
+from .common import read, remainder, unused
 
-#: Characters of labelled text that each language's automaton is built from, documents they come from, and languages, at most.
-CHARS, DOCUMENTS, LANGUAGES = 16_000, 64, 256
-#: Bytes after which a text's next phrase starts in any case.
-SEGMENT = 1024
+#: Labelled documents (rows, taken whole) that each language's automaton is built from, at most.
+DOCUMENTS = 16
+#: Bytes of a text that are parsed side by side with the text's other pieces; the parse is that of the whole text.
+PIECE = 1024
+#: Bytes of a text that count at most in the score.
+SCORED = 50
 UNKNOWN = "und"
 
 
@@ -54,14 +55,15 @@ class CrossParser:
 
     def __init__(self, data: dict[str, bytes]) -> None:
         self.languages = sorted(data)
+        self.bits = np.log2(np.array([[len(data[x]) + 2] for x in self.languages], np.float64))  # of a place in the data
         used = sorted(set().union(*data.values())) if data else []
         self.symbol = np.full(256, len(used), np.int64)  # the last symbol stands for bytes that no language has
         self.symbol[used] = np.arange(len(used))
         self.width = len(used) + 1
-        tables, self.starts, base = [], [], 0
+        tables, starts, base = [], [], 0
         for name in self.languages:
             moves = suffix_automaton(data[name])
-            t = np.full((len(moves), self.width), -1, np.int64)
+            t = np.full((len(moves), self.width), -1, np.int32)
             for state, to in enumerate(moves):
                 for c, x in to.items():
                     t[state, self.symbol[c]] = base + x
@@ -69,42 +71,88 @@ class CrossParser:
             # One more state stands before a text and behind a byte that the language lacks: whatever follows is a new phrase
             fresh = base + len(moves)
             again = np.where(t[0] >= 0, t[0], fresh) * 2 + 1
-            tables += [np.where(t >= 0, t * 2, again), again[None]]
-            self.starts.append(fresh)
+            tables += [np.where(t >= 0, t * 2, again).astype(np.int32), again[None].astype(np.int32)]
+            starts.append(fresh)
             base = fresh + 1
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.starts = np.array(starts, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Number of phrases: a row for each language, a column for each text."""
+        """Number of phrases: a row for each language, a column for each text.
+
+        Texts are cut into pieces that are parsed side by side, as if a phrase began with each. Then each piece is parsed
+        again from the state in which the one before ended, until both parses are in the same state: from there they
+        are one, most often after a few phrases. Where they never meet, the next piece is parsed again in turn.
+        """
         lengths = np.array([len(t) for t in texts], np.int64)
         counts = np.zeros((len(self.languages), len(texts)), np.int64)
-        segments = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), segments)
-        first = np.cumsum(segments) - segments
-        begin = (np.arange(len(owner)) - first[owner]) * SEGMENT
-        size = np.minimum(SEGMENT, lengths[owner] - begin)
-        start = (np.cumsum(lengths) - lengths)[owner] + begin
+        pieces = -(-lengths // PIECE)
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        if not len(owner) or not len(self.languages):
+            return counts
+        number = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+        size = np.minimum(PIECE, lengths[owner] - number * PIECE)
+        start = (np.cumsum(lengths) - lengths)[owner] + number * PIECE
         symbols = self.symbol[np.frombuffer(b"".join(texts), np.uint8)]
+
         order = np.argsort(-size, kind="stable")
-        size, start, owner = size[order], start[order], owner[order]
-        starts = np.array(self.starts, np.int32)[:, None]
-        state = np.repeat(starts, len(size), axis=1)
-        found = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-size, -np.arange(SEGMENT), side="left") if len(size) else []
-        for k in range(int(size[0]) if len(size) else 0):
+        by_size, at = size[order], start[order]
+        state = np.repeat(self.starts[:, None], len(order), axis=1)
+        found = np.zeros(state.shape, np.int64)
+        active = np.searchsorted(-by_size, -np.arange(PIECE), side="left")
+        for k in range(int(by_size[0])):
             n = active[k]
-            s = self.table[state[:, :n] * self.width + symbols[start[:n] + k]]
+            s = self.table[state[:, :n] * self.width + symbols[at[:n] + k]]
             found[:, :n] += s & 1
             state[:, :n] = s >> 1
-        for row, f in zip(counts, found, strict=True):
+        phrases, ends = np.empty_like(found), np.empty_like(state)
+        phrases[:, order], ends[:, order] = found, state
+
+        alone, more = ends.copy(), np.zeros_like(phrases)
+        later = np.flatnonzero(number > 0)
+        lang, piece = (x.ravel() for x in np.meshgrid(np.arange(len(self.languages)), later, indexing="ij"))
+        while len(piece):
+            lang, piece = self._again(symbols, start, size, lang, piece, alone, ends, more)
+            hold = piece + 1 < len(owner)
+            lang, piece = lang[hold], piece[hold] + 1
+            hold = number[piece] > 0
+            lang, piece = lang[hold], piece[hold]
+        for row, f in zip(counts, phrases + more, strict=True):
             row += np.bincount(owner, weights=f, minlength=len(texts)).astype(np.int64)
         return counts
 
+    def _again(self, symbols, start, size, lang, piece, alone, ends, more) -> tuple[np.ndarray, np.ndarray]:
+        """Parses pieces from the ends of those before; sets `more` phrases than alone, and `ends`; gives the pieces whose end is another than before."""
+        true, spare, extra = ends[lang, piece - 1], self.starts[lang], np.zeros(len(piece), np.int64)
+        changed: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(PIECE + 1):
+            met, over = true == spare, size[piece] == k
+            if k % 8 == 0 or over.any():
+                done = met | over
+                now, p, g = np.where(met, alone[lang, piece], true)[done], piece[done], lang[done]
+                more[g, p] = extra[done]
+                other = now != ends[g, p]
+                ends[g, p] = now
+                changed.append((g[other], p[other]))
+                lang, piece, true, spare, extra = (x[~done] for x in (lang, piece, true, spare, extra))
+                if not len(piece):
+                    break
+            c = symbols[start[piece] + k]
+            s, t = self.table[true * self.width + c], self.table[spare * self.width + c]
+            extra += (s & 1) - (t & 1)
+            true, spare = s >> 1, t >> 1
+        return tuple(np.concatenate(x) for x in zip(*changed, strict=True))
+
 
 _PARSERS: dict[int, CrossParser] = {}
 
 
-def _predict(data, seed: int):
+def plain(text: str) -> bytes:
+    """What is parsed: lower case, single spaces, UTF-8."""
+    return " ".join(text.lower().split()).encode()
+
+
+def _predict(data, seed: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if seed not in _PARSERS:
             _PARSERS.clear()
@@ -113,56 +161,50 @@ def _predict(data, seed: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                texts = part.column(part.schema.names.index("__text")).to_pylist()
-                raw = [" ".join(t.lower().split()).encode() for t in texts]
+                texts = part.column(part.num_columns - 1).to_pylist()
+                raw = [plain(t) for t in texts]
                 real = np.array([any(c.isalpha() for c in t) for t in texts], bool) & bool(parser.languages)
                 lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if real.any():
                     at = np.flatnonzero(real)
-                    n = parser.phrases([raw[i] for i in at])
                     size = np.array([len(raw[i]) for i in at], np.float64)
-                    bits = n * np.log2(size + 1) / size  # phrases for each byte, weighed as Ziv and Merhav do
-                    best = bits.argmin(axis=0)
-                    lang[at] = np.array(parser.languages, object)[best]
-                    score[at] = 1 / np.exp2(-np.minimum(50, (bits - bits.min(axis=0)) * np.minimum(size, 200) / 4)).sum(axis=0)
-                yield part.drop_columns(["__text"]).append_column("__lang", pa.array(lang, pa.string())).append_column("__score", pa.array(score, pa.float64()))
+                    bits = parser.phrases([raw[i] for i in at]) * parser.bits / size
+                    lang[at] = np.array(parser.languages, object)[bits.argmin(axis=0)]
+                    score[at] = 1 / np.exp2(-(bits - bits.min(axis=0)) * np.minimum(size, SCORED)).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
 
     return run
 
 
-def learn(docs: DataFrame, chars: int = CHARS, documents: int = DOCUMENTS) -> dict[str, bytes]:
-    """Text of each language: that of at most `documents` labelled documents of smallest hash, up to `chars` bytes.
+def learn(docs: DataFrame, documents: int = DOCUMENTS) -> dict[str, bytes]:
+    """Text of each language: the whole texts of at most `documents` labelled documents, those of smallest hash.
 
-    Rows without text or lang don't count. Which rows are taken depends on doc_id alone, so partitions don't matter.
+    Rows without text, lang or doc_id don't count. Which rows are taken depends on doc_id and text alone, so
+    partitions don't matter; rows that repeat both are one. The driver and each worker hold the sample's texts, and
+    the workers tables of at most 2 states a byte.
     """
-    rows = docs.where("text is not null and lang is not null and doc_id is not null and length(trim(text)) >= 40").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= documents)
-    names = first.select("lang").distinct().limit(LANGUAGES + 1).collect()
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    share = max(1, chars // 16)
-    texts = docs.select("doc_id", "lang", F.expr(f"substring(text, 1 + abs(hash(doc_id)) % greatest(1, length(text) - {share}), {share})").alias("piece")).join(F.broadcast(first.select("doc_id", "lang", "h")), ["doc_id", "lang"])  # at most LANGUAGES * documents rows
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("text").alias("t"), F.xxhash64("doc_id", F.lit(5)).alias("h")).distinct()
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))).where(F.col("r") <= documents).select("doc_id", "lang", "t", "h")
+    texts = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("t")).join(F.broadcast(first), ["doc_id", "lang", "t"])  # at most `documents` rows a language
     out: dict[str, bytes] = {}
-    for r in sorted(texts.dropDuplicates(["doc_id", "lang"]).collect(), key=lambda r: (r.lang, r.h, r.doc_id)):
-        have = out.get(r.lang, b"")
-        if len(have) < chars:
-            out[r.lang] = (have + b" " + " ".join(r.piece.lower().split()).encode())[:chars]
+    for r in sorted(texts.groupBy("lang", "h", "doc_id", "t").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.t)):
+        out[r.lang] = out.get(r.lang, b"") + b" " + plain(r.text)
     return out
 
 
 def identify(docs: DataFrame, data: dict[str, bytes], into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all), the language whose data gives the text the fewest phrases for each byte, and a score.
 
-    The whole text is parsed, lower-cased and with white space made single, in segments of SEGMENT bytes (a phrase
-    doesn't cross segments). The score is the share of the winner in 2^-(difference of code lengths), damped for texts
-    of over 200 bytes. Null texts, texts without a letter, and all if no language was learned: `und` and 0. Ties go
-    to the language that sorts first. Each row is scored where it is.
+    The whole text is parsed, lower-cased and with white space made single, into the longest phrases that the data of a
+    language has. Phrases are normalised: each counts the bits of a place in that data, over the text's bytes. The
+    score is the winner's share if languages are weighed by 2^-bits of a text of as many bytes, SCORED at most. Null
+    texts, texts without a letter, and all if no language was learned: `und` and 0. Ties go to the language that sorts
+    first. Each row is predicted where it is. Columns of docs that are named as those of `into` are replaced.
     """
     cols = [c for c in (keep or docs.columns) if c not in into]
-    schema = docs.select(*cols).schema.add("__lang", "string").add("__score", "double")
+    schema = docs.select(*cols).schema.add(into[0], "string").add(into[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    out = docs.select(*cols, F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(_predict(shared, hash(str(sorted(data.items())))), schema)
-    return out.withColumnsRenamed({"__lang": into[0], "__score": into[1]})
+    return docs.select(*cols, F.coalesce("text", F.lit("")).alias(unused("text", cols))).mapInArrow(_predict(shared, hash(str(sorted(data.items()))), schema.names), schema)
 
 
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
