@@ -5,74 +5,119 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, remainder
+from .common import read, remainder, unused, written
 
-#: Bytes in an n-gram; bits of a feature's number; labelled documents and their characters that the fit takes at most.
-ORDERS, BITS, SAMPLE, SAMPLE_CHARS = (4, 5, 6), 20, 2400, 4_000_000
-#: Characters of the longest texts that the fit takes (all texts are scored, whole).
-LONGEST = 20_000
+#: Characters in an n-gram; bits of a feature's number; labelled documents (rows) that the fit takes at most; ranges in which features are counted.
+ORDERS, BITS, SAMPLE, RANGES = (4, 5, 6), 20, 20_000, 64
+#: Least log-likelihood ratio (G squared) of a feature and the label.
+SIGNIFICANT = 12.0
 THRESHOLD = 0.7
-GAP = b"\0" * 8
-
-
-def grams(texts: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of each distinct lower-cased n-gram of each text, sorted; only those of non-zero weight if weights are given."""
-    raw = [t.lower().encode() for t in texts]
-    ends = np.cumsum([len(r) + len(GAP) for r in raw])
-    b = np.frombuffer(GAP.join(raw) + GAP, np.uint8)
+GAP = "\0" * 8
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters whose n-grams are made together.
+TOGETHER = 1 << 18
+
+
+def grams(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of each distinct lower-cased n-gram of each text, sorted; only of those features that are wanted, if given."""
+    low = [t.lower() for t in texts]
+    joined = GAP.join(low) + GAP
+    ends = np.cumsum([len(t) + len(GAP) for t in low])
+    text = np.frombuffer(joined.encode("ascii"), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = []
-    for start in range(0, len(b), 1 << 20):
-        c = b[start : start + (1 << 20) + 7].astype(np.uint64)
-        m = min(1 << 20, len(b) - start, len(c))
-        c = np.concatenate((c, np.zeros(m + 7 - len(c), np.uint64)))
-        key = c[:m].copy()
+    for start in range(0, len(text), TOGETHER):
+        c = np.zeros(TOGETHER + 7, np.uint64)
+        own = text[start : start + len(c)]
+        c[: len(own)] = own
+        m = min(TOGETHER, len(text) - start)
+        key, full = c[:m].copy(), c[:m] != 0
         for k in range(1, max(ORDERS)):
-            key |= c[k : m + k] << np.uint64(8 * k)
+            key *= ODD
+            key += c[k : m + k]
             if k + 1 in ORDERS:
-                f = ((key ^ np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-                real = c[k : m + k] != 0
-                real &= c[:m] != 0
-                if weights is not None:
-                    real &= weights[f] != 0
+                f = (mix_small(key, k) >> np.uint64(64 - BITS)).astype(np.int64)
+                real = full & (c[k : m + k] != 0)
+                if wanted is not None:
+                    real &= wanted[f]
                 at = np.flatnonzero(real)
                 doc = np.searchsorted(ends, at + start, side="right")
-                out.append((doc.astype(np.uint64) << np.uint64(BITS)) | f[at])
-        if weights is None and len(out) > 60:
+                out.append((doc << BITS) | f[at])
+        if wanted is None and len(out) > 60:
             out = [np.unique(np.concatenate(out))]
-    both = np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
-    return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    both = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    return both >> BITS, both & ((1 << BITS) - 1)
+
+
+def mix_small(x: np.ndarray, k: int) -> np.ndarray:
+    """A cheap mixing of numbers of which only the highest bits are used."""
+    y = (x ^ np.uint64(k << 56)) * ODD
+    return (y ^ (y >> np.uint64(32))) * ODD
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, toxic): in how many texts of either label each feature is, packed by range."""
+    counts, some = np.zeros((2, 1 << BITS), np.int32), False
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            doc, feature = grams(part.column(0).to_pylist())
+            toxic = part.column(1).to_numpy(zero_copy_only=False).astype(bool)[doc]
+            for label in (0, 1):
+                counts[label] += np.bincount(feature[toxic == bool(label)], minlength=1 << BITS).astype(np.int32)
+            some = True
+    if some:
+        ranges = np.split(counts, RANGES, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in ranges], pa.binary())], ["range", "counts"])
+
+
+def significance(n0: np.ndarray, n1: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """Log-likelihood ratio of independence, from the texts of either label that a feature is in."""
+    table = [(n1, toxic), (n0, rows - toxic), (toxic - n1, toxic), (rows - toxic - n0, rows - toxic)]
+    df = n0 + n1
+    g = np.zeros(len(n0))
+    for (n, of), total in zip(table, (df, df, rows - df, rows - df), strict=True):
+        expected = total * (of / rows)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g += np.where(n > 0, 2 * n * np.log(n / expected), 0)
+    return g
+
+
+def _summed(rows: int, toxic: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        size = 2 * (1 << BITS) // RANGES
+        total = np.zeros(size, np.int64)
+        for x in group["counts"]:
+            total += np.frombuffer(pa.decompress(x, decompressed_size=4 * size, codec="zstd"), np.int32)
+        n0, n1 = total.reshape(2, -1)
+        at = np.flatnonzero((n0 + n1 >= 3) & (significance(n0, n1, rows, toxic) >= SIGNIFICANT))
+        return pd.DataFrame({"feature": at + int(group["range"].iloc[0]) * (size // 2), "n0": n0[at], "n1": n1[at]})
 
+    return run
 
-def fit(texts: list[str], labels: list[int], rounds: int = 60, least: int = 4) -> tuple[float, np.ndarray]:
-    """(bias, weight of each feature): logistic regression (Adam, full batches, classes of equal mass) on binary features times their log-count ratios.
 
-    The penalty on squared weights is 0.001, and more for under 500 texts, whose rare n-grams would be learned by heart.
-    """
-    y, penalty = np.asarray(labels, np.float64), max(1e-3, 0.5 / len(labels))
-    held = []
-    for k in range(0, len(texts), 64):  # a few texts at a time, kept in four bytes: the driver has little memory
-        doc, feature = grams(texts[k : k + 64])
-        held.append(((doc + k).astype(np.int32), feature.astype(np.int32)))
-    doc, feature = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    df = np.bincount(feature, minlength=1 << BITS)
-    used = df >= least
-    number = (np.cumsum(used) - 1).astype(np.int32)
-    hold = used[feature]
-    doc, col = doc[hold], number[feature[hold]]
-    del feature, hold
-    m, n = int(used.sum()), len(texts)
-    p, q = (1.0 + np.bincount(col, weights=w[doc], minlength=m) for w in (y, 1 - y))
-    ratio = np.log((p / max(y.sum(), 1)) / (q / max((1 - y).sum(), 1)))
-    ratio[np.abs(ratio) < 0.7] = 0  # features that say next to nothing
-    hold = ratio[col] != 0
-    doc, col = doc[hold], col[hold]
-    x = ratio[col].astype(np.float32)
+def _selected(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                doc, feature = grams(part.column(0).to_pylist(), wanted.value)
+                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))], ["toxic", "features"])
+
+    return run
+
+
+def fit(features: list[np.ndarray], labels: list[int], ratio: np.ndarray, rounds: int = 200, penalty: float = 3e-3) -> tuple[float, np.ndarray]:
+    """(bias, weights): logistic regression (Adam, full batches, classes of equal mass) on the numbered features of each text, each times its log-count ratio."""
+    y = np.asarray(labels, np.float64)
+    n, m = len(features), len(ratio)
+    doc, col = np.repeat(np.arange(n), [len(x) for x in features]), np.concatenate(features).astype(np.int64)
+    x = ratio[col]
     mass = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b = np.zeros(m), 0.0
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
@@ -84,45 +129,52 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60, least: int = 4) -
         m2 += 0.01 * (g * g - m2)
         step = 0.05 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    out = np.zeros(1 << BITS, np.float32)
-    out[np.flatnonzero(used)] = np.where(np.abs(w * ratio) < 1e-3, 0, w * ratio)
-    return float(b), out
+    return float(b), w * ratio
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[float, np.ndarray]:
-    """Fits on at most `sample` labelled documents (those of smallest hash, half of them of either label if there are enough) and `chars` characters.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
+    """(bias, weight of each feature), learned from at most `sample` labelled documents: those of smallest hash, half of them of either label.
 
     labels: doc_id, toxic; null labels and ids, and null texts, are left out; of several labels of a document the
-    larger counts, of several texts any. With no row of one label the classifier gives every text its bias: 0 or 1
-    as the other label has it, 0.5 without any row.
+    larger counts, of several texts the one of smallest hash. With no row of one label the classifier gives every text
+    its bias: 0 or 1 as the other label has it, 0.5 without any row.
+
+    Whole texts are learned from. Tasks count features; sums by range give the log-count ratios, and the features that
+    go with the label (SIGNIFICANT). The driver gets these, and each text's numbers of them, never a text.
     """
+    spark, nothing = docs.sparkSession, np.zeros(1 << BITS, np.float32)
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = marked.withColumn("h", F.xxhash64("doc_id", F.lit(9)))
+    marked = marked.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(9)))
     taken = marked.where("toxic = 1").orderBy("h", "doc_id").limit(sample // 2).unionAll(marked.where("toxic = 0").orderBy("h", "doc_id").limit(sample // 2))
-    ids = F.broadcast(taken.select("doc_id", "toxic", "h"))  # at most `sample` rows
-    short = F.length("text") <= LONGEST
-    rows = docs.where(F.col("text").isNotNull() & short).select("doc_id", "text").join(ids, "doc_id").select("text", "toxic", "h").collect()
-    texts, y, left = [], [], chars
-    for r in sorted(rows, key=lambda r: r.h):
-        if len(r.text) <= left:
-            left -= len(r.text)
-            texts.append(r.text)
-            y.append(r.toxic)
-    if len(set(y)) < 2:
-        return (0.0 if not y else 40.0 if y[0] else -40.0), np.zeros(1 << BITS, np.float32)
-    return fit(texts, y)
-
-
-def _scores(model):
+    ids = F.broadcast(written(taken.select("doc_id", "toxic")))  # at most `sample` rows
+    rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
+    found = dict(rows.groupBy("toxic").count().collect())
+    n, toxic = sum(found.values()), found.get(1, 0)
+    if len(found) < 2:
+        return (0.0 if not n else 40.0 if toxic else -40.0), nothing
+    known = rows.mapInArrow(_counted, "range int, counts binary").groupBy("range").applyInPandas(_summed(n, toxic), "feature long, n0 long, n1 long").toPandas().sort_values("feature")
+    ratio = np.log(((known["n1"] + 1) / (toxic + 2)) / ((known["n0"] + 1) / (n - toxic + 2))).to_numpy()
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[known["feature"]] = True
+    number = np.cumsum(wanted) - 1
+    chosen = rows.mapInArrow(_selected(spark.sparkContext.broadcast(wanted)), "toxic int, features array<int>").toPandas()
+    order = sorted(range(len(chosen)), key=lambda k: (int(chosen["toxic"][k]), list(chosen["features"][k])))  # so that partitions make no difference
+    b, w = fit([number[np.asarray(chosen["features"][k], np.int64)] for k in order], [int(chosen["toxic"][k]) for k in order], ratio)
+    nothing[known["feature"]] = w
+    return b, nothing
+
+
+def _scores(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = model.value
+        wanted = weights != 0
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = part.column(part.schema.names.index("__text")).to_pylist()
-                doc, feature = grams(texts, weights)
-                s = bias + np.bincount(doc, weights=weights[feature], minlength=len(texts))
-                yield part.drop_columns(["__text"]).append_column("__score", pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40))), pa.float64()))
+                doc, feature = grams(part.column(part.num_columns - 1).to_pylist(), wanted)
+                s = bias + np.bincount(doc, weights=weights[feature], minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(s, -40, 40))), pa.float64())], names)
 
     return run
 
@@ -134,9 +186,9 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], text: str =
     a broadcast variable of fixed size. Rows stay where they are; a column named as `into` is replaced.
     """
     cols = [c for c in (keep or docs.columns) if c != into]
-    frame = docs.select(*cols, F.coalesce(text, F.lit("")).alias("__text"))
-    schema = docs.select(*cols).schema.add("__score", "double")
-    return frame.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), schema).withColumnRenamed("__score", into)
+    frame = docs.select(*cols, F.coalesce(text, F.lit("")).alias(unused("text", cols)))
+    schema = docs.select(*cols).schema.add(into, "double")
+    return frame.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), schema.names), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
