@@ -37,11 +37,15 @@ TOGETHER = re.compile(r"\s(?:\s|$)")
 
 
 def encoder(path: str) -> Callable[[str], Sequence[int]]:
-    """Ids of a text by the byte-level BPE in a `tokenizers` file, without special tokens.
+    """Ids of a text as `tokenizers` gives them by default, with add_special_tokens=False, for a byte-level BPE file.
 
     If the file's merges make its ids in order, as in such vocabularies, its ids are merge ranks and tiktoken's
-    faster core gives the same ids (tests compare them); else `tokenizers` itself is used.
+    faster core gives the same ids (tests compare them); `tokenizers` itself is used for other files, and for texts
+    with the literal content of an added token, which has an id of its own.
     """
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,18 +53,22 @@ def encoder(path: str) -> Callable[[str], Sequence[int]]:
     special = {t["content"] for t in spec.get("added_tokens", [])}
     merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
-    if plain and merged and merged == sorted(set(merged)) and merged[0] >= 256:
-        import public_tokenizers
-        import tiktoken
+    if not (plain and merged and merged == sorted(set(merged)) and merged[0] >= 256):
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
 
-        ranks = {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
-        core, alone = (tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for pattern in (public_tokenizers.PATTERN, ALONE))
-        return lambda text: core(text) if TOGETHER.search(text) else alone(text)
-    from tokenizers import Tokenizer
+    import public_tokenizers
+    import tiktoken
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return lambda text: whole.encode(text, add_special_tokens=False).ids
+    ranks = {bytes(byte[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
+    core, alone = (tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for pattern in (public_tokenizers.PATTERN, ALONE))
+    added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+
+    def encode(text: str) -> Sequence[int]:
+        if added.search(text):
+            return whole.encode(text, add_special_tokens=False).ids
+        return core(text) if TOGETHER.search(text) else alone(text)
+
+    return encode
 
 
 _ENCODERS: dict[str, Callable] = {}
@@ -90,9 +98,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, most: in
 
     A document's ids (and `end`) are cut into pieces of power-of-two lengths up to `most`; a piece is a sequence of
     its own, so none crosses documents and none needs padding. `bucket` is the length's logarithm: batches are drawn
-    from one bucket (write with partitionBy("bucket")). ids: little-endian uint32. A null or empty text has the end
+    from one bucket (see write_buckets()). ids: little-endian uint32. A null or empty text has the end
     id alone; null or repeated doc_ids are carried along, a row for each piece of each row. Sequence ids are unique,
-    not consecutive; with `order` (a long, not negative, of its own for each row) they follow it, and the pieces of a
+    not consecutive, and depend on how docs are partitioned; with `order` (a long, not negative, of its own for each row) they follow it, and the pieces of a
     document follow each other. Other columns of docs are not read. No shuffle: each row is packed where it is read.
     tokenizer: path of a byte-level BPE file for `tokenizers`.
     """
@@ -107,6 +115,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, most: in
     return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes pieces as Parquet, a folder for each bucket: sequences in it have one length, so a batch of them is a matrix. No rows write no folder."""
+    pieces.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
