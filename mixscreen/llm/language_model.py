@@ -16,8 +16,11 @@ from .common import hashed, mix, partitions, read, remainder, unique_sorted, wri
 #: Characters of text in a part, within which equal n-grams are asked for once; share of the training documents whose
 #: counts are held out to learn the weights (one in TUNE); buckets of context frequency (powers of two); steps of EM.
 PART_CHARS, TUNE, BUCKETS, STEPS = 10_000_000, 8, 24, 60
-#: Relative width of the cells in which held-out events are counted: probabilities of one cell differ by under 5 %.
-CELL = 16
+#: Cells of an octave in which held-out events are counted, so that a probability is known to 4.5 %: EM's mixture weights
+#: come from these, scores from exact counts. A context bucket k has at most CELL * k by CELL * 44 cells: under 800,000 in all.
+CELL = 8
+#: Characters of all texts for each hash range, whose n-grams one task counts.
+RANGE_CHARS = 32_000_000
 END = np.uint64(0x7E1D5C0FFEE5A11D)
 UNIGRAM, BIGRAM = 0, 1
 
@@ -65,9 +68,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
-        held[tune] = ([], 0)
+        size, held[tune] = held[tune][1], ([], 0)
         made += 1
-        return pa.RecordBatch.from_arrays([pa.array([(task << 24) + made], pa.int64()), pa.array([tune]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "tune", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array([(task << 24) + made], pa.int64()), pa.array([tune]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "tune", "size", "docs"])
 
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
@@ -237,14 +240,16 @@ def score_documents(docs: DataFrame, trained: Column) -> DataFrame:
 
     Texts are dealt into parts where they are read; a part asks for each of its n-grams once, packed by hash range.
     The ranges' counts go back to the parts, which meet their texts again by part number. So nothing is shuffled for
-    each occurrence, no word is a hot key, and memory goes with the size of a part and of a hash range (one for each
-    shuffle partition), never with the vocabulary.
+    each occurrence, no word is a hot key, and memory goes with the size of a part (or of the longest text) and of a hash
+    range (as many as RANGE_CHARS asks for, one for each shuffle partition at least), never with the vocabulary.
     """
     spark = docs.sparkSession
     tune = trained & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(TUNE)) == 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"), F.coalesce(tune, F.lit(False)).alias("tune"))
-    parts = written(rows.mapInArrow(_parts, "part long, tune boolean, docs binary"), "none")
-    asked = parts.mapInArrow(_requests(partitions(spark)), "bucket int, part long, tune boolean, kind int, keys binary, counts binary")
+    parts = written(rows.mapInArrow(_parts, "part long, tune boolean, size long, docs binary"), "none")
+    ranges = max(partitions(spark), -(-(parts.agg(F.sum("size")).first()[0] or 0) // RANGE_CHARS))
+    parts = parts.drop("size")
+    asked = parts.mapInArrow(_requests(ranges), "bucket int, part long, tune boolean, kind int, keys binary, counts binary")
     replies = written(asked.groupBy("bucket", "kind").applyInPandas(_replies, "part long, kind int, bucket int, total binary, apart binary, types long, n long, apart_n long"), "none")
     known = replies.where("part is null").groupBy("kind").agg(F.sum("types"), F.sum("n"), F.sum("apart_n")).collect()
     types, n, apart_n = next(((r[1], r[2], r[3]) for r in known if r[0] == UNIGRAM), (0, 0, 0))
