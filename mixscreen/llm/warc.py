@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, scratch, written
+from .common import partitions, read, scratch, small_side, written
 
-#: Payloads of fewer bytes are stored again each time; records that a file has at most.
-REVISIT_BYTES, FILE_RECORDS = 100, 2000
+#: Payloads of fewer bytes are stored again each time; records that a file has at most; entries of a run that are read at a time.
+REVISIT_BYTES, FILE_RECORDS, BLOCK = 100, 2000, 4096
+#: Entries that are sampled for each bound between two ranges of the index.
+SAMPLED = 64
 ENTRY = "url_key string, timestamp string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, offset long, length long, file string"
+TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+NAMES = [x.strip().split(" ")[0] for x in ENTRY.split(",")]
 
 
 def url_key(url: Column) -> Column:
@@ -27,22 +33,37 @@ def url_key(url: Column) -> Column:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """pages with payload, payload_digest, payload_bytes, record_type and refers_to.
 
-    The first of equal payloads (the smallest page_id) is the response. Only digests that occur more than once are
-    joined back, and copies of one payload may be any share of the rows: they meet as counts and minima, never as rows.
+    The first of equal payloads (the smallest page_id) is the response; if several rows have that page_id, all of them are.
+    Digests that occur more than once are counted by a map-side aggregate, and joined back by broadcast up to a
+    checked size; beyond it both sides are read tables, whose hot keys adaptive execution splits.
     """
     p = pages.withColumn("payload", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     p = p.withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
-    seen = written(p.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first"))
-    p = p.join(seen, "payload_digest", "left")
+    again = F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("payload_digest"))
+    seen = p.select(again.alias("again"), "page_id").where("again IS NOT NULL").groupBy("again").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("again", "first")
+    p = p.join(small_side(written(seen)), F.col("payload_digest") == F.col("again"), "left").drop("again")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return p.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (header, block) as gzip members."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            out = []
+            for header, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.append(z.compress(header.encode()) + z.compress(block.encode()) + z.compress(b"\r\n\r\n") + z.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+
+
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Writes a record for each row of with_revisits(pages), and url and timestamp, into gzipped WARC files below path.
+    """Writes a record for each row of with_revisits(pages), and url and timestamp, into WARC files below path.
 
-    A WARC record ends with two line ends, and so each row is a "line" of Spark's text writer. A revisit has no
-    block; its headers name the response's record and the payload's digest. Files have FILE_RECORDS records at most.
+    A record is a gzip member, so that a reader can begin with any of them; Spark's text writer puts one on each
+    "line", which ends with a zero byte, as gzip allows between members. A revisit has no block; its headers name the
+    response's record and the payload's digest. Files have FILE_RECORDS records at most.
     """
     crlf = F.lit("\r\n")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
@@ -52,23 +73,36 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">\r\n"))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(block).cast("string"), crlf, crlf,
     )
-    pages.select(F.concat(header, block)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members = pages.select(header.alias("header"), block.alias("block")).mapInArrow(_members, "member binary")
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of each record of an archive's bytes."""
-    at = 0
-    while at < len(data):
-        m = HEADER.match(data, at)
+def records(data) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """(headers, block, offset, length) of each record of an archive's bytes: offset and length are those of its gzip member."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if view[at] == 0:
+            at += 1
+            continue
+        z, out, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(view):
+                raise ValueError(f"the record at byte {at} has no end")
+            out.append(z.decompress(view[end : end + 65_536]))
+            end = min(len(view), end + 65_536)
+        end -= len(z.unused_data)
+        raw = b"".join(out)
+        m = HEADER.match(raw)
         if not m:
             raise ValueError(f"no WARC record at byte {at}")
         head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in m[1].decode().split("\r\n")[:-1])
-        end = m.end() + int(head["Content-Length"])
-        yield head, data[m.end() : end], at, end + 4 - at
-        at = end + 4
+        if len(raw) != m.end() + int(head["Content-Length"]) + 4:
+            raise ValueError(f"the record at byte {at} has another length than it names")
+        yield head, raw[m.end() : -4], at, end - at
+        at = end
 
 
 def order(e: tuple) -> tuple:
@@ -80,17 +114,16 @@ def _number(x: str | None) -> int | None:
     return int(digits) if digits else None
 
 
+def _batch(entries: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries, strict=True), TYPES, strict=True)], NAMES)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted index entries of each file: a run. Payload digests are taken again from the stored bytes."""
-    import gzip
-    import hashlib
-
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    names = [x.strip().split(" ")[0] for x in ENTRY.split(",")]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             entries = []
-            for head, block, offset, length in records(gzip.decompress(content.as_buffer())):
+            for head, block, offset, length in records(content.as_buffer()):
                 kind = head["WARC-Type"]
                 digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
                 if kind == "response" and (digest, size) != (hashlib.sha256(block).hexdigest(), len(block)):
@@ -98,75 +131,141 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entries.append((head["X-Url-Key"], head["WARC-Date"], _number(head["WARC-Record-ID"]), kind, digest, size, _number(head.get("WARC-Refers-To")), offset, length, path.rpartition("/")[2]))
             entries.sort(key=order)
             if entries:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries, strict=True), types, strict=True)], names)
-
-
-def merge(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
-    """Merges sorted runs by a loser tree: each inner node keeps the run that lost there, so an entry costs one match a level."""
-    sources = [iter(r) for r in runs]
-    k = max(1, 1 << (len(sources) - 1).bit_length()) if sources else 0
-    heads = [next(s, None) for s in sources] + [None] * (k - len(sources))
-    keys = [None if e is None else (order(e), i) for i, e in enumerate(heads)]
-    if not k:
-        return
-
-    def beats(a: int, b: int) -> bool:
-        return keys[a] is not None and (keys[b] is None or keys[a] < keys[b])
-
-    tree, level = [0] * k, list(range(k))
-    node = k // 2
-    while len(level) > 1:
-        winners = []
-        for i in range(0, len(level), 2):
-            a, b = level[i], level[i + 1]
-            won, lost = (a, b) if beats(a, b) else (b, a)
-            tree[node + i // 2] = lost
-            winners.append(won)
-        level, node = winners, node // 2
-    won = level[0]
-    while heads[won] is not None:
-        yield heads[won]
-        heads[won] = next(sources[won], None)
-        keys[won] = None if heads[won] is None else (order(heads[won]), won)
-        at = (won + k) // 2
+                yield _batch(entries)
+
+
+class LoserTree:
+    """Merges sorted runs: each inner node keeps the run that lost there, so an entry costs one match a level. A run may join at any time."""
+
+    def __init__(self, runs: Iterable[Iterable[tuple]] = ()) -> None:
+        self.sources: list = []
+        self.build([iter(r) for r in runs])
+
+    def build(self, more: list) -> None:
+        live = [(s, e) for s, e in [*zip(self.sources, getattr(self, "heads", []), strict=False), *((s, next(s, None)) for s in more)] if e is not None]
+        self.sources, self.heads = [s for s, _ in live], [e for _, e in live]
+        self.k = k = max(1, 1 << (len(live) - 1).bit_length()) if live else 1
+        self.heads += [None] * (k - len(live))
+        self.keys = [None if e is None else (order(e), i) for i, e in enumerate(self.heads)]
+        self.tree, level, node = [0] * k, list(range(k)), k // 2
+        while len(level) > 1:
+            winners = []
+            for i in range(0, len(level), 2):
+                won, lost = level[i : i + 2] if self.beats(level[i], level[i + 1]) else level[i : i + 2][::-1]
+                self.tree[node + i // 2] = lost
+                winners.append(won)
+            level, node = winners, node // 2
+        self.won = level[0]
+
+    def add(self, run: Iterable[tuple]) -> None:
+        self.build([iter(run)])
+
+    def beats(self, a: int, b: int) -> bool:
+        return self.keys[a] is not None and (self.keys[b] is None or self.keys[a] < self.keys[b])
+
+    def head(self) -> tuple | None:
+        """The smallest entry that is left."""
+        return self.heads[self.won]
+
+    def pop(self) -> tuple:
+        won = self.won
+        out = self.heads[won]
+        self.heads[won] = e = next(self.sources[won], None)
+        self.keys[won] = None if e is None else (order(e), won)
+        at = (won + self.k) // 2
         while at:
-            if beats(tree[at], won):
-                tree[at], won = won, tree[at]
+            if self.beats(self.tree[at], won):
+                self.tree[at], won = won, self.tree[at]
             at //= 2
+        self.won = won
+        return out
+
+
+def merge(blocks: Iterable[tuple[tuple, Iterable[tuple]]]) -> Iterator[tuple]:
+    """All entries in order, of blocks (first entry, sorted entries) that come in order of their first entries. Only blocks are open that overlap."""
+    tree = LoserTree()
+    for first, entries in blocks:
+        while (e := tree.head()) is not None and order(e) < order(first):
+            yield tree.pop()
+        tree.add(entries)
+    while tree.head() is not None:
+        yield tree.pop()
+
+
+def _blocks(bounds):
+    """Cuts runs, as they are read, into packed blocks of BLOCK entries at most, none across a bound: range, first entry's key, entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_right
+
+        def packed(held: list[tuple], k: int) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            own = _batch(held)
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(own)
+            columns = [[k], [held[0][0]], [held[0][1]], [held[0][2]], [sink.getvalue().to_pybytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["range", "url_key", "timestamp", "page_id", "entries"])
+
+        held: list[tuple] = []
+        at = 0
+        for batch in batches:
+            for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = bisect_right(bounds.value, order(e))
+                if held and (k != at or len(held) == BLOCK or order(e) < order(held[-1])):
+                    yield packed(held, at)
+                    held = []
+                held.append(e)
+                at = k
+        if held:
+            yield packed(held, at)
+
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(e[9], []).append(e)
+    def opened(content: bytes) -> Iterator[tuple]:
+        for batch in pa.ipc.open_stream(content):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def blocks() -> Iterator[tuple[tuple, Iterator[tuple]]]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a block is unpacked when it is its turn
+                yield tuple(batch.column(c)[k].as_py() for c in (1, 2, 3)), opened(batch.column(4)[k].as_py())
+
     held = []
-    for e in merge([sorted(r, key=order) for r in runs.values()]):  # a run arrives in order but for shuffled spills; sorting sorted rows is one pass
+    for e in merge(blocks()):
         held.append(e)
-        if len(held) == 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema.names)
+        if len(held) == BLOCK:
+            yield _batch(held)
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema.names)
+        yield _batch(held)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The capture histories of all archives below path: entries in order of url_key, timestamp and page_id.
 
-    Each file gives a sorted run. Runs are cut at the same range bounds, and each range's pieces are merged by a loser
-    tree; partitions follow each other in order. A URL captured any number of times is cut by timestamp and page_id.
+    Each file gives a sorted run, which is written. Runs are cut into blocks at the bounds of ranges, and each range's
+    blocks are merged by a loser tree as they come, sorted by their first entries, out of Spark's shuffle: a task holds
+    the blocks that overlap, never a range. Partitions follow each other in order. A URL captured any number of times
+    is cut by timestamp and page_id. Bounds come from SAMPLED entries a range, chosen by hash.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    runs = files.mapInArrow(_runs, ENTRY)
-    return written(runs).repartitionByRange(partitions(spark), "url_key", "timestamp", "page_id").mapInArrow(_merged, ENTRY)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    runs = written(files.mapInArrow(_runs, ENTRY))
+    ranges, total = partitions(spark), runs.count()
+    take = min(1.0, SAMPLED * ranges / max(1, total))
+    few = runs.where(F.pmod(F.xxhash64("url_key", "timestamp", "page_id", "offset"), F.lit(1_000_000)) < max(1, int(take * 1_000_000))).select("url_key", "timestamp", "page_id")
+    keys = sorted(order(tuple(r)) for r in few.limit(4 * SAMPLED * ranges).collect())
+    bounds = spark.sparkContext.broadcast([keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else [])
+    blocks = runs.mapInArrow(_blocks(bounds), "range int, url_key string, timestamp string, page_id long, entries binary")
+    return blocks.repartitionByRange(ranges, "range").sortWithinPartitions("range", "url_key", "timestamp", F.asc_nulls_first("page_id")).mapInArrow(_merged, ENTRY)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes pages (page_id, url, html, timestamp if there is one) as WARC files and gives their merged index.
 
-    Null html counts as empty, and a null url has the key ")/". Without a timestamp column, or where it is null, page
+    Null html counts as empty, and a null url has the key ")/". An entry's offset and length are those of its record's
+    gzip member in its file. Without a timestamp column, or where it is null, page
     n is captured n seconds after 2020-01-01. A null page_id is no response that others refer to unless all copies
     lack one. Rows that repeat a page_id get a record each. Other columns are not stored. No rows give no rows.
     """
