@@ -146,17 +146,56 @@ def test_jaccard_all_links(spark, tmp_path, monkeypatch):
     assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
     degree = [sum(k in p for p in want) for k in range(len(texts))]
     assert {x.doc_id: x.n_links for x in jaccard_join.op2_jaccard_join(spark, str(tmp_path)).collect()} == dict(enumerate([*degree, degree[0]]))
-    _, forest = jaccard_join.jaccard_join(common.read(spark, str(tmp_path), "documents"), whole=False)
-    assert forest.count() < len(want)
+    classes, none = jaccard_join.jaccard_join(common.read(spark, str(tmp_path), "documents"), whole=False)
+    assert none is None and {x.doc_id: x.class_id for x in classes.collect()} == {k: 0 if k < 3 or k == 64 else 3 if k < 63 else 63 for k in range(65)}
 
 
-def test_tiles(spark):
-    rows = [(k, [7, 1000 + k]) for k in range(1300)] + [(5000, [3, 4]), (5001, [3, 5])]
-    found = minhash.groups(spark.createDataFrame(rows, "id long, bands array<long>"))
-    sets = [set(r.ids) for r in found.groupBy("group").agg(F.collect_set("id").alias("ids")).collect()]
-    assert max(map(len, sets)) < 1300 and {5000, 5001} in sets
-    r = random.Random(1)
-    assert all(any({a, b} <= s for s in sets) for a, b in (r.sample(range(1300), 2) for _ in range(200)))
+def test_stars_and_tiles(spark, monkeypatch):
+    rows = [(k, [7, 1000 + k]) for k in range(1300)] + [(5000, [3, 4]), (5001, [3, 5]), (5001, [3, 5])]
+    signed = spark.createDataFrame([(i, [b << 8 | n for n, b in enumerate(bands)]) for i, bands in rows], "id long, bands array<long>").repartition(3)
+    found = minhash.shared(signed).cache()
+    forest = unionfind.Forest()
+    for r in found.collect():
+        forest.join(r.a, r.b)
+    assert {forest.find(k) for k in range(1300)} == {0} and forest.find(5001) == 5000 and found.count() == 1300
+    assert found.groupBy("a", "key").count().agg(F.max("count")).first()[0] <= minhash.CHUNK
+    met: dict = {}
+    for r in minhash.tiles(minhash.members(found)).collect():
+        met.setdefault(r.tile, []).append((r.id, r.side))
+    assert max(map(len, met.values())) < 1300
+    pairs = [tuple(sorted((a, b))) for t in met.values() for (a, x), (b, y) in itertools.combinations(t, 2) if x != y or not any(z for _, z in t)]
+    assert len(pairs) == len(set(pairs)) == 1300 * 1299 // 2 + 1
+    monkeypatch.setattr(minhash, "CHUNK", 100)
+    label = lambda i: i % 9 if i % 9 < 4 else i  # noqa: E731  three large classes, and one for each other id
+    rows = minhash.members(found).where("id < 1300").withColumn("label", F.expr("IF(id % 9 < 4, id % 9, id)"))
+    met = {}
+    for r in minhash.tiles(rows, labelled=True).collect():
+        met.setdefault(r.tile, []).append((r.id, r.side))
+    pairs = [tuple(sorted((a, b))) for t in met.values() for (a, x), (b, y) in itertools.combinations(t, 2) if label(a) != label(b) and (x != y or not any(z for _, z in t))]
+    want = {(a, b) for a, b in itertools.combinations(range(1300), 2) if label(a) != label(b)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+@pytest.mark.parametrize("chunk", [3, 512])
+def test_chained(spark, monkeypatch, chunk):
+    """Classes by stars and rests are those of all pairs, also where an id that stands for others is like none of them."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    r = random.Random(8)
+    sets: dict = {k: np.array([10**6 * k + 1], np.uint64) for k in range(2)}
+    for k in range(2, 60):
+        base = 1000 * (k % 7)
+        sets[k] = np.array(sorted({base + r.randrange(24) for _ in range(60)}), np.uint64)
+    signed = spark.createDataFrame([(k, [1 << 8, 2 << 8 | k % 5 << 9 | 1]) for k in sets], "id long, bands array<long>")
+    table = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "id long, item binary")
+    forest = unionfind.Forest()
+    for a, b in itertools.combinations(sets, 2):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
+            forest.join(a, b)
+    want = {k: forest.find(k) for k in sets if any(forest.find(j) == forest.find(k) for j in sets if j != k)}
+    assert len(set(want.values())) >= 7
+    got = minhash.chained(minhash.shared(signed), lambda ids: table.join(ids, "id", "left_semi"), 0.8)
+    assert {x.id: x.root for x in got.collect()} == want
 
 
 def test_lines(spark):
@@ -178,24 +217,57 @@ def test_lines_of_null_and_repeated_ids(spark):
     assert (1, x) in got and (8, "") in got
 
 
-def test_lm(spark):
-    rows = [(k, prose(k % 9, 30) if k % 4 else prose(k, 12), None, None) for k in range(40)] + [(50, None, None, None), (51, "NEW words", None, None)]
-    df = make(spark, rows)
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    got = {r.doc_id: r for r in language_model.score_documents(df, common.remainder("doc_id", 7) != 2).collect()}
-    split = {i: [w.lower() for w in (t or "").split()] + [None] for i, t, _, _ in rows}
-    counts: dict = {}
-    for i, ws in split.items():
-        if not held(i):
-            for w in ws:
-                counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    for i, ws in split.items():
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in counts for w in ws), n)
-        assert r.base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws), abs=1e-8)
-        assert r.score < 0
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+def test_lm(spark, monkeypatch):
+    """Counts, base_score, the weights that EM learns from held-out counts, and score, against plain Python."""
+    monkeypatch.setattr(language_model, "RANGE_CHARS", 1000)
+    rows = [(k, prose(k % 9, 30) if k % 4 else prose(k, 12), None, None) for k in range(60)] + [(70, None, None, None), (71, "NEW words", None, None), (72, prose(4, 20_000), None, None), (None, "no id", None, None), (1, "again", None, None)]
+    df = make(spark, rows).withColumns({"part": F.lit(1), "tune": F.lit("x"), "trained": F.lit(2)})
+    tunes = {r.doc_id for r in df.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(language_model.TUNE)) == 0).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    split = [(i, [w.lower() for w in (t or "").split()] + [None]) for i, t, _, _ in rows]
+    events = [(i, list(zip([None, *ws[:-1]], ws, strict=True))) for i, ws in split]
+    uni: dict = {}
+    bi: dict = {}
+    uni1, bi1 = {}, {}
+    for i, e in events:
+        for c, w in e if not held(i) else ():
+            for d in ((uni, bi), (uni1, bi1))[: 1 + (i in tunes)]:
+                d[0][w] = d[0].get(w, 0) + 1
+                d[1][c, w] = d[1].get((c, w), 0) + 1
+    n, v = sum(uni.values()), len(uni)
+    cells: dict = {}
+    for i, e in events:
+        for c, w in e if i in tunes and not held(i) else ():
+            b, f, u = bi[c, w] - bi1[c, w], uni[c] - uni1.get(c, 0), uni[w] - uni1[w]
+            p2 = round(language_model.CELL * np.log2(b / f)) if b else None
+            p1 = round(language_model.CELL * np.log2(u / (n - sum(uni1.values())))) if u else None
+            cells.setdefault(int(np.ceil(np.log2(f + 1))), []).append([0 if x is None else 2 ** (x / language_model.CELL) for x in (p2, p1)] + [1 / (v + 1)])
+    assert len(cells) >= 3
+    weights, before = [], np.array([0, 0.9, 0.1])
+    for k in range(language_model.BUCKETS):
+        if k in cells:
+            w = np.full(3, 1 / 3)
+            for _ in range(language_model.STEPS):
+                post = w * np.array(cells[k])
+                w = np.maximum((post / post.sum(axis=1, keepdims=True)).mean(axis=0), [0, 0, 1e-9])
+                w /= w.sum()
+            before = w
+        weights.append(before)
+    weights[0] = weights[0] * [0, 1, 1] / (weights[0][1:].sum())
+    got = sorted(language_model.score_documents(df.repartition(3), common.remainder("doc_id", 7) != 2).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
+    want = sorted(events, key=lambda e: (e[0] is None, e[0] or 0, len(e[1])))
+    for r, (i, e) in zip(got, want, strict=True):
+        assert (r.doc_id, r.trained, r.n_tokens, r.n_known, r.train_tokens) == (i, not held(i), len(e), sum(w in uni for _, w in e), n)
+        assert r.base_score == pytest.approx(sum(np.log10((uni.get(w, 0) + 1) / (n + v + 1)) for _, w in e), abs=1e-6)
+        total = 0.0
+        for c, w in e:
+            own = weights[int(np.ceil(np.log2(uni.get(c, 0) + 1)))]
+            total += np.log10(own[0] * bi.get((c, w), 0) / max(1, uni.get(c, 0)) + own[1] * uni.get(w, 0) / n + own[2] / (v + 1))
+        assert r.score == pytest.approx(total, rel=1e-6)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert language_model.score_documents(df.limit(0), common.remainder("doc_id", 7) != 2).count() == 0
+    none = language_model.score_documents(df.where("doc_id < 3"), F.lit(False)).first()
+    assert none.train_tokens == 0 and none.score == none.base_score == 0
 
 
 def test_warc(spark):
@@ -206,55 +278,180 @@ def test_warc(spark):
     assert got[3].payload_digest == hashlib.sha256(body.encode()).hexdigest() and got[3].payload_bytes == len(body)
     assert [got[k].url_key for k in (1, 2, 3, 4, 5)] == ["org,a)/", "org,a)/", "com,b)/x", "org,a)/q", ")/"]
     assert warc.archive(df.limit(0)).count() == 0
-    runs = [sorted((random.Random(s).choice("abcd"), str(k), k) for k in range(s, 60, 7)) for s in range(7)]
-    assert list(warc.merge(runs)) == sorted(x for r in runs for x in r)
-    assert gzip.decompress(gzip.compress(b"x")) == b"x"
+    df = df.withColumns({"payload": F.lit(1), "first": F.lit(2), "again": F.lit(3)})
+    assert {r.page_id for r in warc.archive(df).collect()} == {1, 2, 3, 4, 5}
+    assert got[1].payload_bytes == len(body) and zlib.decompress(gzip.compress(b"x"), 31) == b"x"
+
+
+def test_warc_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 5)
+    r = random.Random(4)
+    runs = [sorted(((r.choice("abcd"), str(r.randrange(40)), r.choice([None, k])) for k in range(s, 60, 7)), key=warc.order) for s in range(7)]
+    every = sorted((x for run in runs for x in run), key=warc.order)
+    tree = warc.LoserTree(runs)
+    assert [tree.pop() for _ in every] == every and tree.head() is None
+    blocks = [(run[k], run[k : k + 3]) for run in runs for k in range(0, len(run), 3)]
+    assert list(warc.merge(sorted(blocks, key=lambda b: warc.order(b[0])))) == every
+    assert list(warc.merge([])) == []
+
+    # a hot URL, repeated page ids, files of few records: the index is in order over partitions, and each entry leads to its record
+    monkeypatch.setattr(warc, "FILE_RECORDS", 40)
+    rows = [(k if k % 11 else None, "http://hot.org/" if k % 3 else f"http://h{k % 17}.org/{k}", f"<p>{k % 5}</p>" * (30 if k % 2 else 3)) for k in range(400)] + [(7, "http://hot.org/", "<p>x</p>" * 40)] * 3 + [(9, "http://q.org", "y" * 1_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = [(k, e) for k, part in enumerate(warc.archive(pages, f"{tmp_path}/w").rdd.glom().collect()) for e in part]
+    assert len(found) == len(rows) and len({k for k, _ in found}) > 1
+    entries = [e for _, e in found]
+    assert entries == sorted(entries, key=warc.order)
+    for e in entries[::7]:
+        with open(f"{tmp_path}/w/{e.file}", "rb") as f:
+            f.seek(e.offset)
+            raw = zlib.decompress(f.read(e.length), 31)
+        block = raw[raw.index(b"\r\n\r\n") + 4 : -4]
+        assert e.record_type == "revisit" or (len(block), hashlib.sha256(block).hexdigest()) == (e.payload_bytes, e.payload_digest)
+    with open(f"{tmp_path}/w/{entries[0].file}", "rb") as f:
+        assert gzip.decompress(f.read().replace(b"", b"")).startswith(b"WARC/1.1")
+    assert sum(e.page_id == 7 and e.record_type == "response" and e.payload_bytes == 320 for e in entries) == 3
+
+
+def phrases(text, data):
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in data:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+@pytest.mark.parametrize("piece", [7, 64, 1024])
+def test_phrases(monkeypatch, piece):
+    """Pieces are parsed side by side; the parse is that of the whole text, also where phrases are longer than pieces or never fall in step."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    r = random.Random(1)
+    some = lambda letters, n: bytes(r.choice(letters) for _ in range(n))
+    data = {"a": some(b"abc ", 500), "b": b"a" * 700 + b"bcd", "c": some(b"xyz", 300), "d": b"ab" * 900}
+    texts = [some(b"abcq ", n) for n in (1, 5, 7, 8, 64, 65, 1000, 3000)] + [b"a" * 3000, b"ab" * 2000, data["a"] * 3, b"q" * 100, data["b"][:500] + data["a"]]
+    p = language_id.CrossParser(data)
+    assert p.phrases(texts).tolist() == [[phrases(t, data[x]) for t in texts] for x in p.languages]
+    assert language_id.CrossParser({}).phrases(texts).shape == (0, len(texts))
 
 
 def test_language(spark):
-    data = {"aa": b"abab abba baab " * 30, "cc": b"cdcd dccd cddc " * 30}
-    p = language_id.CrossParser(data)
-    for text in (b"abba abab", b"cddc x cdcd" * 300):
-        for row, lang in zip(p.phrases([text]), p.languages, strict=True):
-            n = 0
-            for k in range(0, len(text), language_id.SEGMENT):
-                seg, at = text[k : k + language_id.SEGMENT], 0
-                while at < len(seg):
-                    size = 1
-                    while at + size < len(seg) and seg[at : at + size + 1] in data[lang]:
-                        size += 1
-                    n, at = n + 1, at + size
-            assert row[0] == n
-    rows = [(1, "abba baab", None, None), (2, "cdcd", None, None), (3, None, None, None), (4, "123 !", None, None)]
-    assert [r.lang_pred for r in language_id.identify(make(spark, rows), data).orderBy("doc_id").collect()] == ["aa", "cc", "und", "und"]
+    data = {"aa": b"abab abba baab " * 30, "cc": b"cdcd dccd cddc " * 30, "dd": b"cdcd dccd cddc " * 30}
+    texts = ["abba baab", "cdcd", None, "123 !", "", "abba cdcd dccd " * 200, "Cd  CD\nab"]
+    rows = [(k, t, None, None) for k, t in enumerate([*texts, texts[0]])]
+    df = make(spark, rows).withColumns({"__lang": F.lit(1), "score": F.lit("x"), "_text": F.lit(2)})
+    got = language_id.identify(df, data).orderBy("doc_id").collect()
+    for r, (_, t, _, _) in zip(got, rows, strict=True):
+        low = " ".join((t or "").lower().split()).encode()
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        bits = {x: phrases(low, data[x]) * np.log2(len(data[x]) + 2) / len(low) for x in data}
+        assert r.lang_pred == min(sorted(bits), key=bits.get)  # a tie goes to cc, not dd
+        assert r.score == pytest.approx(1 / sum(2 ** ((min(bits.values()) - b) * min(50, len(low))) for b in bits.values()))
+        assert r["__lang"] == 1 and r._text == 2
+    assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
+    assert language_id.identify(df.limit(0), data).count() == 0
+
+
+def test_language_learns_whole_rows(spark):
+    rows = [(1, "Short", "xx", None), (2, prose(5, 4000), "yy", None), (2, prose(5, 4000), "yy", None), (2, "other text", "yy", None), (3, None, "yy", None), (None, "no id", "yy", None), (4, "no lang", None, None)]
+    got = language_id.learn(make(spark, rows).repartition(3))
+    assert got["xx"] == b" short" and set(got) == {"xx", "yy"} and len(got["yy"]) == len(prose(5, 4000)) + len(" other text") + 1
+    assert got == language_id.learn(make(spark, rows).repartition(7))
+    assert language_id.learn(make(spark, [])) == {}
 
 
 def test_media(spark):
-    page = "<p>before &amp; <b>more</b></p><figure><img src='media:sha256:{0}'><figcaption>the  caption</figcaption></figure>after<script>no</script><img src='media:sha256:00' alt='lost'>"
+    page = "<p>before &amp; <b>more</b></p><figure><img src='media:sha256:{0}'><figcaption>the  caption</figcaption></figure>after<script>no</script><noscript>not <img src='x.png'></noscript><template><img src='y.png'></template><img src='media:sha256:00' alt='lost'><img src='http://a.org/z.png'/>"
     text = "é payload"
     full = text.encode() + b" " * (192 - len(text.encode()))
-    pages = spark.createDataFrame([(1, page.format(hashlib.sha256(full).hexdigest())), (2, None)], "page_id long, html string")
-    payloads = spark.createDataFrame([(text,), (text,), (None,)], "t string").select(media.payload(F.col("t")).alias("payload"))
-    got = [(r.position, r.kind, r.text, r.caption, r.payload_sha256) for r in media.interleave(pages, payloads).orderBy("position").collect()]
-    assert got == [(0, "text", "before & more", None, None), (1, "media", None, "the caption", hashlib.sha256(full).hexdigest()), (2, "text", "after", None, None), (3, "media", None, "lost", None)]
+    pages = spark.createDataFrame([(1, page.format(hashlib.sha256(full).hexdigest())), (2, None), (2, "again"), (None, "")], "page_id long, html string").withColumns({"digest": F.lit(1), "kind": F.lit(2)})
+    payloads = spark.createDataFrame([(text,), (text,), (None,)], "t string").select(F.when(F.col("t").isNotNull(), media.payload(F.col("t"))).alias("payload"), F.lit(1).alias("digest"))
+    got = [(r.position, r.kind, r.text, r.src, r.caption, r.payload_sha256) for r in media.interleave(pages, payloads).where("page_id = 1").orderBy("position").collect()]
+    sha = hashlib.sha256(full).hexdigest()
+    assert got == [(0, "text", "before & more", None, None, None), (1, "media", None, f"media:sha256:{sha}", "the caption", sha), (2, "text", "after", None, None, None), (3, "media", None, "media:sha256:00", "lost", None), (4, "media", None, "http://a.org/z.png", None, None)]
+    assert media.interleave(pages.limit(0), payloads.limit(0)).count() == 0
+
+
+def test_media_columns(spark, tmp_path):
+    texts = ["", None, "a", "b" * 192, "é" * 97, prose(3, 3000), prose(3, 3000), "hot", *["hot"] * 50]
+    make(spark, [(k, t, None, None) for k, t in enumerate(texts)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.op6_media_columns(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(len(texts)))
+    for r, t in zip(got, texts, strict=True):
+        raw = (t or "").encode()
+        full = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        stored = f"P5\n192 {len(full) // 192}\n255\n".encode() + full
+        x = np.frombuffer(full, np.uint8).reshape(-1, 192).astype(int)
+        bits = ""
+        for k in range(8):
+            a, b = k * len(x) // 8, (k + 1) * len(x) // 8
+            for c in range(8):
+                field = x[a : max(a + 1, b), 24 * c : 24 * c + 24]
+                bits += str(int(field.sum() * x.size > x.sum() * field.size))
+        want = (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{int(bits, 2):016x}-{int(x.mean() * 100 + 0.5)}")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
 
 
 def test_toxicity(spark):
-    rows = [(k, prose(k, 40) + (" vilewords here" if k % 2 else ""), None, None) for k in range(200)] + [(900, None, None, None)]
+    rows = [(k, prose(k, 40) + (" vilewörds here" if k % 2 else ""), None, None) for k in range(200)] + [(900, None, None, None), (901, prose(77, 30000) + " vilewörds here", None, None)]
+    rows += [(7, rows[7][1], None, None)] * 3 + [(8, rows[9][1], None, None)]  # repeated rows, and an id with another text
     df = make(spark, rows)
-    labels = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(None, 1), (901, None)], "doc_id long, toxic int")
-    got = toxicity.score_toxicity(df.withColumn("score", F.lit("clash")), toxicity.train(df, labels)).collect()
-    assert all((r.score >= 0.7) == bool(r.doc_id % 2) for r in got if 120 <= r.doc_id < 200)
-    assert toxicity.train(df, labels.limit(0))[0] == 0.0
-
-
-def test_packing(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(None, 1), (905, None), (3, 0)], "doc_id long, toxic int")
+    clash = df.withColumns({"score": F.lit("clash"), "__score": F.lit(1), "__text": F.lit(2)})
+    got = toxicity.score_toxicity(clash, toxicity.train(df.repartition(5), labels)).collect()
+    assert len(got) == len(rows) and all(r["__score"] == 1 for r in got)
+    assert all((r.score >= 0.7) == bool(r.doc_id % 2) for r in got if 120 <= r.doc_id < 200 or r.doc_id == 901)
+    one, two = toxicity.train(df.repartition(5), labels), toxicity.train(df.repartition(2), labels)
+    assert one[0] == pytest.approx(two[0]) and np.allclose(one[1], two[1])
+    assert toxicity.train(df, labels.limit(0))[0] == 0.0 and toxicity.train(df, labels.where("toxic = 1"))[0] == 40.0
+    assert toxicity.score_toxicity(df.limit(0), one).count() == 0
+
+
+def test_toxicity_fit(spark):
+    """Features, log-count ratios and scores against plain Python."""
+    texts = [prose(k, 6 + k % 3) + (" ärgernis" if k % 3 == 0 else "") + (" 🙂🙂🙂🙂🙂" if k % 5 == 0 else "") for k in range(60)] + ["", "abc", "abcd"]
+    y = [int(k % 3 == 0) for k in range(60)] + [0, 0, 0]
+
+    def features(t):
+        t, out = t.lower(), set()
+        for k in toxicity.ORDERS:
+            for a in range(len(t) - k + 1):
+                h = 0
+                for c in t[a : a + k]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                h = ((h ^ (k - 1 << 56)) * 0x9E3779B97F4A7C15) % 2**64
+                out.add(((h ^ h >> 32) * 0x9E3779B97F4A7C15) % 2**64 >> (64 - toxicity.BITS))
+        return out
+
+    sets = [features(t) for t in texts]
+    doc, f = toxicity.grams(texts)
+    assert [sorted(f[doc == k].tolist()) for k in range(len(texts))] == [sorted(s) for s in sets]
+    n, p = len(y), sum(y)
+    known = {}
+    for x in set().union(*sets):
+        n1, n0 = (sum(x in s for s, v in zip(sets, y, strict=True) if v == label) for label in (1, 0))
+        g = sum(2 * o * np.log(o * n / (row * col)) for o, row, col in ((n1, n1 + n0, p), (n0, n1 + n0, n - p), (p - n1, n - n1 - n0, p), (n - p - n0, n - n1 - n0, n - p)) if o)
+        if n1 + n0 >= 3 and g >= toxicity.SIGNIFICANT:
+            known[x] = np.log(((n1 + 1) / (p + 2)) / ((n0 + 1) / (n - p + 2)))
+    order = sorted(known)
+    rows = [np.array([i for i, x in enumerate(order) if x in s], np.int64) for s in sets]
+    at = sorted(range(n), key=lambda k: (y[k], [order[i] for i in rows[k]]))
+    bias, w = toxicity.fit([rows[k] for k in at], [y[k] for k in at], np.array([known[x] for x in order]))
+    got_bias, got = toxicity.train(make(spark, [(k, t, None, None) for k, t in enumerate(texts)]), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    assert got_bias == pytest.approx(bias) and np.flatnonzero(got).tolist() == [x for x, v in zip(order, w, strict=True) if v] and np.allclose(got[order], w, atol=1e-6)
+    scores = [r.score for r in toxicity.score_toxicity(make(spark, [(k, t, None, None) for k, t in enumerate(texts)]), (got_bias, got)).orderBy("doc_id").collect()]
+    assert scores == pytest.approx([1 / (1 + np.exp(-(bias + sum(w[i] for i in x)))) for x in rows], abs=1e-5)
+
+
+def test_packing(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = ["a  b", "a \nb", " x", "", None, "a\x1cb c", "don't  stop", "1 2\t 3\n\n4 é!", "<|endoftext|> a\nb", prose(1, 3000)]
+    texts = ["a  b", "a \nb", " x", "", None, "a\x1cb c", "don't  stop", "1 2\t 3\n\n4 é!", "<|endoftext|> a\nb", "x <|endoftext|><|endoftext|>  y", "<|endoftext", prose(1, 3000)]
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     got: dict = {}
     for r in packing.pack(make(spark, [(k, t, None, None) for k, t in enumerate(texts)])).orderBy("doc_id", "start").collect():
         assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0 and r.start == len(got.get(r.doc_id, b"")) // 4
@@ -262,4 +459,9 @@ def test_packing(spark):
     for k, t in enumerate(texts):
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 1]
         assert got[k] == struct.pack(f"<{len(ids)}I", *ids)
+    assert got[8][:4] == struct.pack("<I", 50256)
+    packing.write_buckets(packing.pack(make(spark, [(k, t, None, None) for k, t in enumerate(texts)])), f"{tmp_path}/pieces")
+    stored = spark.read.parquet(f"{tmp_path}/pieces")
+    assert stored.where("length != 1 << bucket").count() == 0 and stored.count() == sum(len(packing.decompose(len(x) // 4)) for x in got.values())
+    assert packing.pack(make(spark, [])).count() == 0
     assert packing.decompose(5000) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 256), (4864, 128), (4992, 8)]

@@ -8,7 +8,7 @@ import pytest
 from test_operators import DOCS, prose
 
 import corpus_pipeline
-from mixscreen.llm import common, language_id, mixing, packing, toxicity, unionfind
+from mixscreen.llm import common, language_id, line_dedup, mixing, packing, toxicity, unionfind
 
 DATA = "/root/testdata/sf0.01"
 
@@ -33,15 +33,14 @@ def jaccard(a, b):
 
 def toxic(text, model):
     bias, weights = model
-    raw = (text or "").lower().encode()
-    found = {(((int.from_bytes(raw[k : k + n], "little") ^ ((n - 1) << 56)) * 0x9E3779B97F4A7C15) % 2**64) >> (64 - toxicity.BITS) for n in toxicity.ORDERS for k in range(len(raw) - n + 1)}
-    return 1 / (1 + np.exp(-(bias + sum(float(weights[f]) for f in found)))) >= toxicity.THRESHOLD
+    _, found = toxicity.grams([text or ""])
+    return 1 / (1 + np.exp(-(bias + weights[found].sum()))) >= toxicity.THRESHOLD
 
 
 def without_copied_lines(rows):
-    lines = {(i, n): " ".join(x.lower().split()).encode() for i, t in rows for n, x in enumerate((t or "").split("\n"))}
+    lines = {(i, n): " ".join(x.lower().split()) for i, t in rows for n, x in enumerate((t or "").split("\n"))}
     lines = {p: x for p, x in lines.items() if x}
-    sets = {p: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for p, x in lines.items()}
+    sets = {p: {x[k : k + line_dedup.SHINGLE] for k in range(max(1, len(x) - line_dedup.SHINGLE + 1))} for p, x in lines.items()}
     forest = joined(sorted(lines), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
     gone = {p for p in lines if forest.find(p) != p}
     return [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) if t is not None else None) for i, t in rows]
