@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_side, unused, written
 
 #: Documents in a block.
 BLOCK = 8
-#: Rows of one source that are ranked together.
-RANKED = 512
-STARTS = "s string, b int, start long, slots array<bigint>"
+#: Rows of one source that are ranked together; such buckets whose sizes are summed up together.
+RANKED, SUMMED = 512, 4096
+#: Target weights of the query; other sources have weight 1.
+WEIGHTS = {"src0": 6, "src1": 2.5, "src2": 0.5}
 
 
 def shares(weights: Mapping, period: int) -> dict:
@@ -93,11 +94,11 @@ def plan(blocks: Mapping, weights: Mapping, period: int | None = None) -> dict:
         active = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
         share = shares(active, period) if period else exact_shares(active)
         length = sum(share.values())
-        whole = min(left[s] // share[s] for s in active)
+        whole = min((left[s] - 1) // share[s] for s in active)
         rest = {s: left[s] - whole * share[s] for s in active}
         if whole:
             own, _ = slots(share, {s: n + 1 for s, n in share.items()}, length)
-            ends = 0 if 0 in rest.values() else min(own[s][n - 1] + 1 for s, n in rest.items() if n <= share[s])
+            ends = min(own[s][n - 1] + 1 for s, n in rest.items() if n <= share[s])
         else:
             own, ends = slots(share, left, length)
         for s, ts in own.items():
@@ -128,47 +129,51 @@ def mix_sources(docs: DataFrame, weights: Mapping | None = None, block: int = BL
     """docs with mix_source, mix_block, mix_slot, mix_position: sort by mix_position to read the sources in their target proportions.
 
     weights has the target weight of each source (default, and for sources it lacks: 1; 0: after all others; negative:
-    ValueError). A source's documents are put in the order of a hash of doc_id and cut into blocks (the last may be
+    ValueError). A source's documents are put in the order of a hash of doc_id and the other columns (maps and variants
+    don't count) and cut into blocks (the last may be
     short). Slot by slot, no source is a whole block ahead of or behind its weight's share until a source has no blocks
     left; the rest then share its slots, and deviations count from there. Weights are exact, unless a `period` is given:
     they are then rounded to multiples of 1/period, at least one each (for up to `period` sources).
-    No row is dropped or repeated. A null source is a source of its own. Equal doc_ids of one source keep any order
-    among themselves. No rows give no rows.
+    No row is dropped or repeated. A null source is a source of its own; null ids are ids. Rows that are equal in all
+    columns keep any order among themselves. Columns that are named as the added ones are replaced, others stay. No rows give no rows.
 
-    Ranks within a source come from counts by (source, hash bucket) of about `ranked` rows, so a source of any size
-    is never in one task. The schedule is made on the driver from the sources' sizes: a period of each phase, and no
+    Ranks within a source come from counts by (source, hash bucket) of about `ranked` rows, summed up in two levels, so
+    neither a source of any size nor an id that many rows have is in one task. The schedule is made on the driver from the sources' sizes: a period of each phase, and no
     more slots than there are blocks. Tasks read slots from it by bucket.
     """
     spark = docs.sparkSession
+    s, h, b, r, k, start, slots = (unused(x, docs.columns) for x in ("source_", "hash_", "bucket_", "rank_", "block_", "start_", "slots_"))
     source = F.coalesce("source", F.lit("\0null"))
-    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().collect()}
-    want = {s: (weights or {}).get(None if s == "\0null" else s, 1) for s in sizes}
+    sizes = {x[0]: x[1] for x in docs.groupBy(source.alias("s")).count().collect()}
+    want = {x: (weights or {}).get(None if x == "\0null" else x, 1) for x in sizes}
     if any(w < 0 for w in want.values()):
         raise ValueError("negative weight")
     if period and len(sizes) > period:
         raise ValueError(f"more sources than slots in a period of {period}")
-    phases = spark.sparkContext.broadcast(plan({s: -(-n // block) for s, n in sizes.items()}, want, period))
+    phases = spark.sparkContext.broadcast(plan({x: -(-n // block) for x, n in sizes.items()}, want, period))
     buckets = max(1, -(-max(sizes.values(), default=1) // ranked))
 
     def with_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [block_slots(phases.value[s], start // block, (start + n - 1) // block + 1) for s, start, n in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.int64()))], ["s", "b", "start", "slots"])
-
-    h = docs.withColumns({"__s": source, "__h": F.xxhash64("doc_id")}).withColumn("__b", F.floor((F.col("__h") / 2.0**64 + 0.5) * buckets).cast("int"))
-    in_order = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = h.groupBy(F.col("__s").alias("s"), F.col("__b").alias("b")).count().select("s", "b", F.coalesce(F.sum("count").over(in_order), F.lit(0)).alias("start"), "count")
-    starts = starts.mapInArrow(with_slots, STARTS)
-    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", "doc_id"))
-    h = h.withColumn("__r", rank).join(starts, (F.col("__s") == F.col("s")) & (F.col("__b") == F.col("b"))).withColumn("__r", F.col("start") + F.col("__r") - 1)
-    h = h.withColumn("__k", F.floor(F.col("__r") / block).cast("long"))
-    slot = F.get("slots", (F.col("__k") - F.floor(F.col("start") / block)).cast("int"))
-    added = {"mix_source": F.col("source"), "mix_block": F.col("__k"), "mix_slot": slot, "mix_position": slot * block + F.col("__r") % block}
-    return h.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+            own = [block_slots(phases.value[x], first // block, (first + n - 1) // block + 1) for x, first, n in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.int64()))], [s, b, start, slots])
+
+    hashed = [f.name for f in docs.schema if f.name != "doc_id" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.withColumns({s: source, h: F.xxhash64("doc_id", *hashed)}).withColumn(b, F.floor((F.col(h) / 2.0**64 + 0.5) * buckets).cast("int"))
+    counts = written(rows.groupBy(F.col(s).alias("s"), F.col(b).alias("b")).agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("b") / SUMMED)))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("s", "part").agg(F.sum("n").alias("n")).select("s", "part", before("s", "part").alias("first"))
+    starts = counts.join(small_side(written(parts)), ["s", "part"]).select("s", "b", (F.col("first") + before("s", "part", "b")).alias("start"), "n")
+    starts = starts.mapInArrow(with_slots, f"{s} string, {b} int, {start} long, {slots} array<bigint>")
+    rank = F.row_number().over(Window.partitionBy(s, b).orderBy(h, "doc_id"))
+    rows = rows.withColumn(r, rank).join(starts, [s, b]).withColumn(r, F.col(start) + F.col(r) - 1).withColumn(k, F.floor(F.col(r) / block).cast("long"))
+    slot = F.get(slots, (F.col(k) - F.floor(F.col(start) / block)).cast("int"))
+    added = {"mix_source": F.col("source"), "mix_block": F.col(k), "mix_slot": slot, "mix_position": slot * block + F.col(r) % block}
+    return rows.select(*[c for c in docs.columns if c not in added], *[v.alias(c) for c, v in added.items()])
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    out = mix_sources(read(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
     return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
 
 

@@ -1,9 +1,11 @@
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -87,6 +89,47 @@ def test_mix(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def naive_schedule(blocks, weights):
+    """The source of each slot, slot by slot: of the sources whose next block is released the one with the earliest deadline."""
+    left, out = {s: n for s, n in blocks.items() if n}, []
+    while left:
+        active = {s: Fraction(str(weights[s])) for s in left if weights[s] > 0} or {s: Fraction(1) for s in left}
+        total, done, t = sum(active.values()), dict.fromkeys(active, 0), 0
+        while all(left[s] for s in active):
+            due = {s: (math.ceil((done[s] + 1) * total / active[s]), str(s)) for s in active if math.floor(done[s] * total / active[s]) <= t}
+            s = min(due, key=due.get)
+            out.append(s)
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_mix_brute_force(spark):
+    """Unequal weights, sources that run out, weight 0, null and repeated ids, equal rows, columns of all internal names."""
+    weights = {"a": 3, "b": 0.5, None: 1.25, "z": 0}
+    rows = [(k if k % 9 else None, "t" if k % 9 == 0 else f"t{k}", None, ["a", "a", "b", None, "z", "c", "a"][k % 7]) for k in range(500)] + [(5, "t5", None, "c")] * 3
+    names = ["s", "b", "start", "phases", "slots", "count", "n", "source_", "hash_", "bucket_", "rank_", "block_", "start_", "slots_", "mix_slot", "__s"]
+    df = make(spark, rows).withColumns({c: F.lit(c) for c in names}).withColumn("tags", F.create_map(F.lit(1), F.lit(2)))
+    got = mixing.mix_sources(df.repartition(5), weights, block=4, ranked=16).collect()
+    assert [r.mix_position for r in sorted(got, key=lambda r: r.mix_position)] != [] and len(got) == len(rows)
+    sizes: dict = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + 1
+    order = naive_schedule({s or "\0null": -(-n // 4) for s, n in sizes.items()}, {s or "\0null": weights.get(s, 1) for s in sizes})
+    slots: dict = {}
+    for t, s in enumerate(order):
+        slots.setdefault(s, []).append(t)
+    hashed = [c for c in df.columns if c not in ("doc_id", "tags")]
+    own: dict = {}
+    for r in df.withColumn("h", F.xxhash64("doc_id", *hashed)).collect():
+        own.setdefault(r.source, []).append((r.h, r.doc_id, r.text))
+    want = sorted((slots[s or "\0null"][k // 4] * 4 + k % 4, slots[s or "\0null"][k // 4], k // 4, i, t, s or "") for s, x in own.items() for k, (_, i, t) in enumerate(sorted(x, key=lambda x: x[0])))
+    assert sorted((r.mix_position, r.mix_slot, r.mix_block, r.doc_id, r.text, r.source or "") for r in got) == want
+    assert all(r[c] == c for r in got for c in names if c != "mix_slot")
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(30)] + [(9, 9)]
