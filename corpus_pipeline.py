@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from mixscreen.llm.common import partitions, read, remainder, small_side, written
 from mixscreen.llm.jaccard_join import jaccard_join
 from mixscreen.llm.line_dedup import line_dedup
-from mixscreen.llm.mixing import mix_sources
-from mixscreen.llm.packing import digest, pack
+from mixscreen.llm.mixing import WEIGHTS, mix_sources
+from mixscreen.llm.packing import pack
 from mixscreen.llm.toxicity import THRESHOLD, score_toxicity, train
 
 
@@ -57,8 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair schedule of equal source weights: files, and rows in them, follow each other in that order."""
-    out = mix_sources(docs)
+    """All documents, in the order of the Pfair schedule of the sources' target weights: files, and rows in them, follow each other in that order."""
+    out = mix_sources(docs, WEIGHTS)
     return out.repartitionByRange(partitions(spark), "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
@@ -74,8 +74,8 @@ def in_file_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, without their ids. Sequence ids follow the order of the mix."""
-    return digest(pack(in_file_order(spark, docs), order=F.col("__order")))
+    """The pieces of all documents with their ids (little-endian unsigned 32-bit) and a checksum of these. Sequence ids follow the order of the mix."""
+    return pack(in_file_order(spark, docs), order=F.col("__order")).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
