@@ -32,9 +32,9 @@ def uniform(*key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key])), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-def micro(x: Column) -> Column:
-    """A share in millionths, rounded half up, as long."""
-    return F.floor(x * 1e6 + 0.5).cast("long")
+def places(x: Column, digits: int) -> Column:
+    """A number from 0 to under 1000 as text with so many places, rounded from its exact value, ties to even, as C's printf does."""
+    return F.format_number(x, digits)
 
 
 def tidy(x: Column | str, digits: int) -> Column:

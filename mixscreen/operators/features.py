@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, evenness, total
 from ..sources.catalog import FEATURES, META, PROPERTIES, phases
+from ..sources.files import small_side
+
+#: Ingredients of a catalog that is broadcast at most.
+INGREDIENTS = 100_000
 
 #: Roles or families whose share is needed beside the phases.
 ROLES = ["hydrogel", "binder", "adhesion", "plasticizer", "crosslinker", "biomineral", "engine", "world_model", "advanced"]
@@ -22,11 +26,16 @@ def with_phases(catalog: DataFrame) -> DataFrame:
 
 def profile(shares: DataFrame, catalog: DataFrame) -> DataFrame:
     """A row for each mixture: w_PROPERTY, PHASE_like, s_ROLE, largest share, components over 0.008: one shuffle, on candidate_id."""
-    joined = shares.join(F.broadcast(with_phases(catalog)), "code")
+    joined = shares.join(small_side(with_phases(catalog), INGREDIENTS), "code")
+    return joined.groupBy("candidate_id").agg(*sums())
+
+
+def sums() -> list[Column]:
+    """The aggregates of profile(), of rows with frac and the columns of with_phases(); null shares don't count."""
     share = F.col("frac")
     held = lambda x: F.coalesce(F.sum(share * F.col(x)), F.lit(0.0))  # noqa: E731  never null: Spark then passes more columns between generated methods
-    sums = [held(p).alias(f"w_{p}") for p in PROPERTIES] + [held(f"p_{p}").alias(f"{p}_like") for p in phases()] + [held(f"r_{r}").alias(f"s_{r}") for r in ROLES]
-    return joined.groupBy("candidate_id").agg(*sums, F.max("frac").alias("max_share"), F.count_if(share > 0.008).alias("n_components"))
+    out = [held(p).alias(f"w_{p}") for p in PROPERTIES] + [held(f"p_{p}").alias(f"{p}_like") for p in phases()] + [held(f"r_{r}").alias(f"s_{r}") for r in ROLES]
+    return [*out, F.max("frac").alias("max_share"), F.count_if(share > 0.008).alias("n_components")]
 
 
 def _raw() -> dict[str, Column]:

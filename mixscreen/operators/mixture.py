@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import micro
+from ..functions import places
 from ..sources.catalog import DEFAULT_CODE
+from ..sources.files import small_side
 
 #: The classes of a diversity signature; the first of equal ones wins.
 DOMINANT = ["matrix", "mineral", "sorbent", "catalyst", "energy", "bio_process", "engine", "closed_loop"]
@@ -17,30 +18,39 @@ DOMINANT = ["matrix", "mineral", "sorbent", "catalyst", "energy", "bio_process",
 
 def normalize(header: DataFrame, lines: DataFrame, catalog: DataFrame, default: str = DEFAULT_CODE) -> DataFrame:
     """(candidate_id, code, frac): unknown codes and amounts that aren't positive go, the rest adds up to 1; a mixture left empty is the default ingredient."""
-    known = lines.where("amount > 0").join(F.broadcast(catalog.select("code")), "code", "left_semi").groupBy("candidate_id", "code").agg(F.sum("amount").alias("amount"))
+    known = lines.where("amount > 0").join(small_side(catalog.select("code"), 100_000), "code", "left_semi").groupBy("candidate_id", "code").agg(F.sum("amount").alias("amount"))
     shares = known.withColumn("frac", F.col("amount") / F.sum("amount").over(Window.partitionBy("candidate_id")))
     full = header.select("candidate_id").join(shares.select("candidate_id", "code", "frac"), "candidate_id", "left")
     return full.select("candidate_id", F.coalesce("code", F.lit(default)).alias("code"), F.coalesce("frac", F.lit(1.0)).alias("frac"))
 
 
-def keys(header: DataFrame, shares: DataFrame) -> DataFrame:
-    """candidate_id with fingerprint, hash16, formula, coarse_key, top1, top2: one aggregate by mixture.
+def keys(header: DataFrame, shares: DataFrame, prefix: str = "") -> DataFrame:
+    """candidate_id with fingerprint, hash16, formula, coarse_key, top1, top2, components: one aggregate by mixture."""
+    own = shares.groupBy("candidate_id").agg(F.collect_list(F.struct("code", "frac")).alias("parts"))
+    return with_keys(header.join(own, "candidate_id"), prefix).select("candidate_id", "archetype", *KEYS)
 
-    Fingerprints hold shares in millionths. Ties of shares go to the code that sorts first.
+
+KEYS = ["fingerprint", "hash16", "formula", "coarse_key", "top1", "top2", "components"]
+
+
+def with_keys(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """rows (archetype, tags, parts: array of code and frac) with KEYS in place of parts.
+
+    The fingerprint is the canonical text, with shares to six places; the prefix stands before the archetype's name
+    in it. Formulas have per cent to two places, as short as they are. Ties of shares go to the code that sorts first.
     """
-    part = F.struct((-F.col("frac")).alias("n"), "code", "frac")
-    own = shares.groupBy("candidate_id").agg(F.array_sort(F.collect_list(part)).alias("by_share"))
-    own = own.withColumn("by_code", F.array_sort(F.transform("by_share", lambda x: F.struct(x["code"], x["frac"]))))
+    by_share = F.array_sort(F.transform("parts", lambda x: F.struct((-x["frac"]).alias("n"), x["code"].alias("code"), x["frac"].alias("frac"))))
+    by_code = F.array_sort(F.transform("parts", lambda x: F.struct(x["code"].alias("code"), x["frac"].alias("frac"))))
+    out = rows.withColumns({"__s": by_share, "__c": by_code})
     all_tags = F.array_join(F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))), " ")
-    text = F.concat_ws(" ", "archetype", F.array_join(F.transform("by_code", lambda x: F.concat(x["code"], F.lit(":"), micro(x["frac"]).cast("string"))), " "), all_tags)
-    out = header.join(own, "candidate_id").withColumn("fingerprint", text)
-    percent = lambda x: F.concat(x["code"], F.lit("="), F.round(x["frac"] * 100, 2).cast("decimal(9,2)").cast("string"), F.lit("%"))
-    return out.select(
-        "candidate_id", "archetype", "fingerprint", F.substring(F.sha2("fingerprint", 256), 1, 16).alias("hash16"),
-        F.array_join(F.transform("by_share", percent), "; ").alias("formula"),
-        F.array_join(F.transform(F.filter("by_code", lambda x: x["frac"] > 0.055), lambda x: x["code"]), "|").alias("coarse_key"),
-        F.coalesce(F.get("by_share", F.lit(0))["code"], F.lit("NONE")).alias("top1"), F.coalesce(F.get("by_share", F.lit(1))["code"], F.lit("NONE")).alias("top2"),
-    )
+    text = F.concat_ws(" ", F.concat(F.lit(prefix), "archetype"), F.array_join(F.transform("__c", lambda x: F.concat(x["code"], F.lit(":"), places(x["frac"], 6))), " "), all_tags)
+    percent = lambda x: F.concat(x["code"], F.lit("="), F.regexp_replace(places(x["frac"] * 100, 2), "0$", ""), F.lit("%"))
+    out = out.withColumn("fingerprint", text).withColumns({
+        "hash16": F.substring(F.sha2("fingerprint", 256), 1, 16), "formula": F.array_join(F.transform("__s", percent), "; "),
+        "coarse_key": F.array_join(F.transform(F.filter("__c", lambda x: x["frac"] > 0.055), lambda x: x["code"]), "|"),
+        "top1": F.coalesce(F.get("__s", F.lit(0))["code"], F.lit("NONE")), "top2": F.coalesce(F.get("__s", F.lit(1))["code"], F.lit("NONE")), "components": F.map_from_entries("__c"),
+    })
+    return out.drop("parts", "__s", "__c")
 
 
 def signature(wide: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tidy
-from ..sources.catalog import FEATURES, phases
+from ..sources.catalog import FEATURES, INTERPRETATION, interpretations, phases
 from .screen import GATE, META_PROFILES, STAGE_PROFILES
 from .select import best_by, dedup_diverse, top
 
+# Texts of the exchange rows.
 BOUNDARY = "Research vector only, not a synthesis protocol."
 CLAIMS = ["literal_transmutation_claim", "elixir_claim", "hazardous_synthesis_protocol", "certified_material_claim", "dangerous_chemistry_instructions"]
+CLAIM_BOUNDARY = "No literal transmutation claim. No elixir claim. No hazardous synthesis protocol. No certified material claim. No instructions for dangerous chemistry. Computational research vector and expert-review request only."
 STATUS = "REQUEST_FOR_EXPERT_REVIEW_NOT_MEASURED_RESULTS"
 
 # Tests that a review request asks for, those of all profiles first.
@@ -41,30 +45,35 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _notes() -> Column:
+    """The notes of a row, as a struct in the order of the exchange form."""
+    audit = [F.lit(False).alias(c) for c in CLAIMS] + [F.col("archetype").isin(META_PROFILES).alias("demiurge_layer"), F.lit(True).alias("birth_gate_layer")]
+    return F.struct("archetype", F.col("description").alias("archetype_description"), F.col("reject_reason").isNotNull().alias("rejected"), F.coalesce("reject_reason", F.lit("")).alias("reject_reason"), F.lit(BOUNDARY).alias("boundary"), *audit, "gate_status", "gate_reason")
+
+
 def flat(rows: DataFrame) -> DataFrame:
-    """The flat exchange row: rounded scores and metrics, tags joined by spaces, audit columns."""
+    """The flat exchange row: rank (where rows have one), rounded scores and metrics, tags joined by spaces, audit columns, components and notes as JSON."""
     six = [tidy(c, 6).alias(c) for c in [*FEATURES, *GATE]] + [tidy("w_density", 6).alias("raw_density")] + [tidy(f"{p}_like", 6).alias(f"{p}_like") for p in phases()]
     audit = [F.lit(False).alias(c) for c in CLAIMS] + [F.lit(BOUNDARY).alias("boundary"), F.col("archetype").isin(META_PROFILES).alias("demiurge_layer"), F.lit(True).alias("birth_gate_layer")]
-    return rows.select("candidate_id", "archetype", tidy("score", 8).alias("score"), "hash16", "formula", "source", F.array_join(F.array_sort("tags"), " ").alias("process_tags"), *six, "gate_status", "gate_reason", *audit)
+    rank = ["rank"] if "rank" in rows.columns else []
+    return rows.select(*rank, "candidate_id", "archetype", tidy("score", 8).alias("score"), "hash16", "formula", "source", F.array_join(F.array_sort("tags"), " ").alias("process_tags"), *six, "gate_status", "gate_reason", *audit, F.to_json("components").alias("components_json"), F.to_json(_notes()).alias("notes_json"))
 
 
 def nested(rows: DataFrame) -> DataFrame:
-    """candidate_id and a struct of maps, arrays and structs, as the exchange form has it."""
+    """candidate_id and a struct of maps, arrays and structs, as the exchange form has it; rank is null where rows have none."""
     objectives = F.map_from_entries(F.array(*[F.struct(F.lit(f), tidy(f, 6)) for f in FEATURES]))
-    notes = F.struct("gate_status", "gate_reason", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"), F.col("reject_reason").isNotNull().alias("rejected"))
-    return rows.select("candidate_id", F.struct("archetype", tidy("score", 8).alias("score"), "hash16", "source", "tags", objectives.alias("objectives"), notes.alias("notes")).alias("candidate"))
+    gate = F.struct("gate_status", "gate_reason", *[tidy(c, 6).alias(c) for c in GATE])
+    rank = F.col("rank") if "rank" in rows.columns else F.lit(None).cast("int").alias("rank")
+    return rows.select("candidate_id", F.struct(rank, "archetype", tidy("score", 8).alias("score"), "hash16", F.col("formula").alias("formula_percent"), "components", F.array_sort("tags").alias("process_tags"), "source", objectives.alias("objectives"), gate.alias("gate"), _notes().alias("notes")).alias("candidate"))
 
 
 def ledger(rows: DataFrame) -> DataFrame:
     six = ["material_score", "canvas_score", "stagekeeper_score", "demiurge_score", "scene_viability", "birth_readiness", "containment_integrity", "hypothesis_visibility", "expert_gate", "final_priority", "creative_potential", "safe_containment", "signal_clarity"]
-    return rows.select("candidate_id", "archetype", "hash16", tidy("score", 8).alias("score_final"), "formula", "source", "gate_status", "gate_reason", *[tidy(c, 6).alias(c) for c in six], F.array_join(F.array_sort("tags"), " ").alias("process_tags"))
+    return rows.select("candidate_id", "archetype", "hash16", tidy("score", 8).alias("score_final"), "formula", "source", "gate_status", "gate_reason", *[tidy(c, 6).alias(c) for c in six], F.array_join(F.array_sort("tags"), " ").alias("process_tags"), F.to_json("components").alias("components_json"))
 
 
 def rejected(rows: DataFrame) -> DataFrame:
-    # a status is a case of nested conditions: pushed below the projections, the filter would repeat them all, and the
-    # optimizer would need minutes; a row number in the projection holds it above
-    held = rows.withColumn("__n", F.monotonically_increasing_id()).where(F.col("gate_status").isin("REJECTED", "REVIEW") & (F.col("__n") >= 0))
-    return ledger(held)
+    return ledger(rows.where(F.col("gate_status").isin("REJECTED", "REVIEW")))
 
 
 def gate_summary(rows: DataFrame) -> DataFrame:
@@ -82,10 +91,12 @@ def run_summary(rows: DataFrame) -> DataFrame:
     return gate_summary(rows).crossJoin(best)  # one row each
 
 
-def review_requests(rows: DataFrame, n: int = 3, replicates: int = 2, day: str = "20260101", prefix: str = "RQ") -> DataFrame:
-    """Requests for the n best diverse rows of each profile, `replicates` of each."""
+def review_requests(rows: DataFrame, n: int = 3, replicates: int = 2, day: str | date = "20260101", prefix: str = "RQ") -> DataFrame:
+    """Requests for the n best diverse rows of each profile, `replicates` of each, dated `day` (a date, or text as it stands)."""
     best = top(dedup_diverse(rows), n).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     tests = F.concat(F.array(*map(F.lit, TESTS)), *[F.when(F.col("archetype").isin(who), F.array(*map(F.lit, what))).otherwise(F.array().cast("array<string>")) for who, what in OWN_TESTS])
-    request = F.concat_ws("-", F.lit(prefix), F.lit(day), "archetype", F.lpad(F.col("rank").cast("string"), 2, "0"), F.concat(F.lit("R"), F.col("replicate").cast("string")))
+    when = F.date_format(F.lit(day), "yyyyMMdd") if isinstance(day, date) else F.lit(day)
+    request = F.concat_ws("-", F.lit(prefix), when, "archetype", F.lpad(F.col("rank").cast("string"), 2, "0"), F.concat(F.lit("R"), F.col("replicate").cast("string")))
+    why = F.coalesce(F.create_map(*[F.lit(x) for pair in interpretations().items() for x in pair])[F.col("archetype")], F.lit(INTERPRETATION))
     objectives = F.to_json(F.struct(*[tidy(c, 6).alias(c) for c in [*FEATURES, *GATE]]))
-    return best.select(request.alias("request_id"), "archetype", F.col("description").alias("archetype_description"), F.col("rank").alias("rank_within_archetype"), tidy("score", 8).alias("score"), "hash16", "formula", F.array_join(F.array_sort("tags"), " ").alias("process_tags"), F.array_join(tests, " | ").alias("requested_tests"), F.lit(STATUS).alias("data_status"), objectives.alias("objectives_json"))
+    return best.select(request.alias("request_id"), "archetype", F.col("description").alias("archetype_description"), F.col("rank").alias("rank_within_archetype"), tidy("score", 8).alias("score"), "hash16", "formula", F.array_join(F.array_sort("tags"), " ").alias("process_tags"), why.alias("why"), F.array_join(tests, " | ").alias("requested_tests"), F.lit(STATUS).alias("data_status"), F.lit(CLAIM_BOUNDARY).alias("claim_boundary"), F.to_json("components").alias("components_json"), objectives.alias("objectives_json"))

@@ -11,8 +11,9 @@ def _order(score: str):
 
 
 def best_by(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """The best row of each key."""
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), _order(score)).alias("b")).select("b.*")
+    """The best row of each key. candidate_id tells rows apart: keys are reduced to the best one's first, and only it is looked up again (rows should be cheap to read twice, such as a written table)."""
+    best = rows.groupBy(*keys).agg(F.min(_order(score)).alias("b")).select(F.col("b.candidate_id").alias("candidate_id"))
+    return rows.join(best, "candidate_id", "left_semi")
 
 
 def dedup_diverse(rows: DataFrame) -> DataFrame:

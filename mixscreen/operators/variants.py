@@ -7,14 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions import uniform
 from ..sources.catalog import META, biases, targets
+from ..sources.files import small_side
+from .select import best_by, top
 
-#: Ingredients that a recipe always has, that it draws from, and tags. Body: the matrices that material profiles start from.
+#: Rows of draw tables and pools (a few for each profile) that are broadcast at most.
+STEPS = 200_000
+
+# Ingredients that a recipe always has, that it draws from, and tags; body: the matrices that material profiles start from.
 STAGE_ESSENTIALS = ["CLEAN_CANVAS_SURFACE", "SIGNAL_CLARITY_GATE", "SAFE_CONTAINMENT_MATRIX", "REPRODUCIBLE_SCENE_PROTOCOL"]
 STAGE_EXTRA = ["ZEOLITE_SAFE", "ACTIVATED_CARBON_SAFE", "BACTERIAL_CELLULOSE_MATRIX", "CLAY_PLATELET_BARRIER", "CHITOSAN_BINDER"]
 META_ESSENTIALS = ["GPT_TRANSFORMER_ENGINE", "ACTIVE_LEARNING_AUTOLAB", "SCORING_FUNCTION_MUTATOR", "KNOWLEDGE_GRAPH_MEMORY", "EXPERT_REVIEW_GATE"]
 BODY = ["BACTERIAL_CELLULOSE_MATRIX", "CHITOSAN_BINDER", "ALGINATE_HYDROGEL", "PVA_FILM", "GELATIN_COLLAGEN_TOKEN"]
 MUTATION_TAGS = ["LAMINATED", "HYDROGEL_NETWORK", "BIOMINERALIZED", "PHOTOCATALYTIC_SURFACE", "ADSORBENT_CORE", "SELF_HEALING_LAYER", "CONDUCTIVE_TRACE", "CLOSED_LOOP", "RULE_REWRITE", "WORLD_MODEL"]
 
+# With what probability a sampled material mixture has a tag: for some profiles, and for the others.
+CHANCES = {
+    "LAMINATED": (0.45, [], 0.45),
+    "HYDROGEL_NETWORK": (0.45, ["HEALER", "LIFE"], 0.20),
+    "BIOMINERALIZED": (0.62, ["BIOMINERAL", "LIFE"], 0.22),
+    "PHOTOCATALYTIC_SURFACE": (0.62, ["CATALYST", "ENERGY"], 0.18),
+    "ADSORBENT_CORE": (0.65, ["PURIFIER", "UNIVERSAL"], 0.30),
+    "SELF_HEALING_LAYER": (0.66, ["HEALER"], 0.24),
+    "CONDUCTIVE_TRACE": (0.62, ["ENERGY"], 0.14),
+    "STONE_BODY": (0.62, ["STONE", "BIOMINERAL"], 0.25),
+    "ANIMA_BIO": (0.58, ["LIFE", "BIOMINERAL"], 0.18),
+}
+
 
 def kind(archetype: Column) -> Column:
     return F.when(archetype.isin("CANVAS", "STAGEKEEPER"), "stage").when(archetype.isin("DEMIURGE", "WORLD_REWRITER"), "meta").otherwise("material")
@@ -26,7 +44,7 @@ def draw_weights(catalog: DataFrame) -> DataFrame:
     pairs = spark.createDataFrame([(a, label, b) for a, own in biases().items() for label, b in own.items()], "archetype string, label string, bias double")
     names = spark.createDataFrame([(a,) for a in targets()], "archetype string")
     base = F.lit(0.25) + F.col("low_hazard") + F.col("testability") * 0.25 + sum((F.col(f) for f in META[1:]), F.col(META[0])) * 0.06
-    rows = catalog.crossJoin(F.broadcast(names))  # 48 by 13
+    rows = catalog.crossJoin(F.broadcast(names))  # the fixed profiles
     for column in ("family", "role"):
         own = F.broadcast(pairs.withColumnsRenamed({"label": column, "bias": f"b_{column}"}))
         rows = rows.join(own, ["archetype", column], "left")
@@ -42,7 +60,7 @@ def cumulative(weights: DataFrame, group: list[str]) -> DataFrame:
 
 def weighted_draw(rows: DataFrame, steps: DataFrame, group: list[str], u: Column, into: str = "drawn") -> DataFrame:
     """Adds the code whose cumulative interval holds u times the total: a broadcast lookup."""
-    joined = rows.withColumn("__u", u).join(F.broadcast(steps), group)
+    joined = rows.withColumn("__u", u).join(small_side(steps, STEPS), group)
     hit = F.filter("steps", lambda s: s["up_to"] >= F.col("__u") * F.col("total"))
     return joined.withColumn(into, hit[0]["code"]).drop("steps", "total", "__u")
 
@@ -103,16 +121,62 @@ def sample(header: DataFrame, catalog: DataFrame, seed: int = 1) -> tuple[DataFr
     aided = rows.where((F.col("kind") == "material") & (u("aid?") < 0.25)).select("candidate_id", F.lit("ACTIVE_LEARNING_AUTOLAB").alias("code"), (0.01 + 0.04 * u("aid")).alias("amount"))
     tags = F.when(F.col("kind") == "stage", F.array(*map(F.lit, ["CLEAN_CANVAS", "LOW_NOISE_FIELD", "SAFE_STAGE"]))).when(F.col("kind") == "meta", F.array(*map(F.lit, ["CLOSED_LOOP", "RULE_REWRITE", "DEMIURGE_LAYER"]))).otherwise(F.array().cast("array<string>"))
     more = F.when(F.col("archetype") == "STAGEKEEPER", F.array(F.lit("SAFE_CONTAINMENT"), F.lit("REPRODUCIBLE_SCENE"))).when(F.col("archetype") == "WORLD_REWRITER", F.array(F.lit("WORLD_MODEL"), F.lit("SEARCH_SPACE_EDITOR"))).otherwise(F.array().cast("array<string>"))
-    chances = {"LAMINATED": (0.45, [], 0.45), "HYDROGEL_NETWORK": (0.45, ["HEALER", "LIFE"], 0.20), "BIOMINERALIZED": (0.62, ["BIOMINERAL", "LIFE"], 0.22), "PHOTOCATALYTIC_SURFACE": (0.62, ["CATALYST", "ENERGY"], 0.18), "ADSORBENT_CORE": (0.65, ["PURIFIER", "UNIVERSAL"], 0.30), "SELF_HEALING_LAYER": (0.66, ["HEALER"], 0.24), "CONDUCTIVE_TRACE": (0.62, ["ENERGY"], 0.14), "STONE_BODY": (0.62, ["STONE", "BIOMINERAL"], 0.25), "ANIMA_BIO": (0.58, ["LIFE", "BIOMINERAL"], 0.18)}
-    by_chance = F.array_compact(F.array(*[F.when((F.col("kind") == "material") & (u("tag", F.lit(t)) < F.when(F.col("archetype").isin(special), p).otherwise(q)), F.lit(t)) for t, (p, special, q) in chances.items()]))
+    by_chance = F.array_compact(F.array(*[F.when((F.col("kind") == "material") & (u("tag", F.lit(t)) < F.when(F.col("archetype").isin(special), p).otherwise(q)), F.lit(t)) for t, (p, special, q) in CHANCES.items()]))
     both = F.concat(F.array(F.lit("LOW_HAZARD_GATE"), F.lit("EXPERT_VALIDATION_REQUIRED")), tags, more, by_chance)
     out = rows.select("candidate_id", "archetype", F.lit("random").alias("source"), F.array_sort(F.array_distinct(both)).alias("tags"))
     return out, lines.unionByName(aided.join(lines.select("candidate_id", "code"), ["candidate_id", "code"], "left_anti"))
 
 
 def tournament(rows: DataFrame, slots: int, entrants: int = 9, seed: int = 1, score: str = "score") -> DataFrame:
-    """(archetype, slot, candidate_id): the best of about `entrants` hashed rows of a profile for each slot; a row may enter several."""
+    """(archetype, slot, candidate_id): the best of about `entrants` hashed rows of a profile for each slot; a row may enter several.
+
+    A row's slots are found first, as a short array, so that only entered rows are multiplied.
+    """
     n = rows.groupBy("archetype").agg(F.count("*").alias("n"))
-    entered = rows.join(F.broadcast(n), "archetype").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    entered = entered.where(uniform(F.lit(seed), "candidate_id", "slot") < entrants / F.col("n"))
+    u = lambda k: uniform(F.lit(seed), "candidate_id", k)
+    own = rows.select("archetype", "candidate_id", "hash16", score).join(small_side(n, STEPS), "archetype")
+    entered = own.withColumn("slot", F.explode(F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: u(k) < F.lit(float(entrants)) / F.col("n"))))
     return entered.groupBy("archetype", "slot").agg(F.min_by("candidate_id", F.struct((-F.col(score)).alias("s"), "hash16", "candidate_id")).alias("candidate_id"))
+
+
+def backfill(kept: DataFrame, header: DataFrame, sampled: DataFrame, need: int = 3) -> DataFrame:
+    """Of the sampled rows those that fill each profile of the header up to `need` rows, beside those kept of it.
+
+    Only positive rows with a signature that no kept row of the profile has, one for each signature, the best first.
+    kept, sampled: archetype, signature, score, hash16, candidate_id.
+    """
+    have = kept.groupBy("archetype").agg(F.count("*").alias("have"))
+    short = header.select("archetype").distinct().join(have, "archetype", "left").withColumn("missing", F.lit(need) - F.coalesce("have", F.lit(0))).where("missing > 0").select("archetype", "missing")
+    new = sampled.where("score > 0").join(small_side(short, STEPS), "archetype").join(kept.select("archetype", "signature").distinct(), ["archetype", "signature"], "left_anti")
+    return top(best_by(new, ["archetype", "signature"]), need).where("rank <= missing").drop("missing")
+
+
+def batch(header: DataFrame, pool: DataFrame, pool_shares: DataFrame, catalog: DataFrame, seed: int = 1, entrants: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(header, lines) of a variant for each (candidate_id, archetype): .55 perturb the best of `entrants` random pool rows of the profile, .27 blend two of them, the rest are sampled anew.
+
+    pool: candidate_id, archetype, rank (1 for a profile's best, without gaps), tags; pool_shares: candidate_id, code,
+    frac. With ranks, the best of random entrants is the least of their ranks: nothing is multiplied or sorted.
+    Profiles with fewer than two pool rows sample where they would blend, with none where they would perturb.
+    """
+    s = F.lit(seed)
+    u = lambda *salt: uniform(s, "candidate_id", *[F.lit(x) for x in salt])
+    sizes = pool.groupBy("archetype").agg(F.count("*").alias("n"))
+    rows = header.select("candidate_id", "archetype").join(small_side(sizes, STEPS), "archetype", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    draw = lambda k: F.floor(u("entrant", k) * F.col("n"))
+    first, second = F.floor(u("first") * F.col("n")), F.floor(u("second") * (F.col("n") - 1))
+    way = F.when((u("route") < 0.55) & (F.col("n") > 0), "perturb").when((u("route") >= 0.55) & (u("route") < 0.82) & (F.col("n") > 1), "blend").otherwise("sample")
+    rows = rows.withColumns({"way": way, "parent": F.least(*[draw(k) for k in range(entrants)]) + 1, "first": first + 1, "second": (first + 1 + second) % F.col("n") + 1})
+    known = small_side(pool.select("archetype", "rank", F.col("candidate_id").alias("of"), "tags"), STEPS)
+    parts = small_side(pool_shares.withColumnRenamed("candidate_id", "of"), STEPS)
+
+    mutants = rows.where("way = 'perturb'").withColumnRenamed("parent", "rank").join(known, ["archetype", "rank"])
+    h1, l1 = perturb(mutants.select("candidate_id", "archetype", "tags"), mutants.select("candidate_id", "of").join(parts, "of").select("candidate_id", "code", "frac"), catalog, seed)
+    crossed = rows.where("way = 'blend'")
+    for side in ("first", "second"):
+        crossed = crossed.withColumnRenamed(side, "rank").join(known.withColumnsRenamed({"of": f"of_{side}", "tags": f"tags_{side}"}), ["archetype", "rank"]).drop("rank")
+    alpha = 0.25 + 0.5 * u("alpha")
+    h2 = crossed.select("candidate_id", "archetype", F.lit("crossover").alias("source"), F.array_sort(F.array_union("tags_first", "tags_second")).alias("tags"))
+    sides = crossed.select("candidate_id", F.col("of_first").alias("of"), alpha.alias("part")).unionAll(crossed.select("candidate_id", "of_second", 1 - alpha))
+    l2 = sides.join(parts, "of").groupBy("candidate_id", "code").agg(F.sum(F.col("part") * F.col("frac")).alias("amount"))
+    h3, l3 = sample(rows.where("way = 'sample'"), catalog, seed)
+    return h1.unionByName(h2).unionByName(h3), l1.unionByName(l2).unionByName(l3)

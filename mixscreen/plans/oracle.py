@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.catalog import BIASES, FEATURES, META, PROPERTIES, TARGETS, descriptions, ingredients
+from ..sources.catalog import BANNED, BIASES, FEATURES, INTERPRETATIONS, META, PROPERTIES, TARGETS, descriptions, ingredients
 
 STAGE, ENGINE = "('CANVAS', 'STAGEKEEPER')", "('DEMIURGE', 'WORLD_REWRITER')"
 
@@ -64,8 +64,9 @@ srt AS (
     SELECT candidate_id, list({'n': -frac, 'code': code, 'frac': frac} ORDER BY frac DESC, code) AS s, list({'code': code, 'frac': frac} ORDER BY code) AS c FROM shr GROUP BY candidate_id
 ),
 keyed AS (
-    SELECT candidate_id, archetype, archetype || ' ' || list_aggregate(list_transform(c, lambda x: x.code || ':' || floor(x.frac * 1e6 + 0.5)::BIGINT), 'string_agg', ' ') || ' ' || coalesce(array_to_string(list_sort(tags), ' '), '') AS fingerprint,
+    SELECT candidate_id, archetype, archetype || ' ' || list_aggregate(list_transform(c, lambda x: x.code || ':' || printf('%.6f', x.frac)), 'string_agg', ' ') || ' ' || coalesce(array_to_string(list_sort(tags), ' '), '') AS fingerprint,
            coalesce(array_to_string(list_transform(list_filter(c, lambda x: x.frac > 0.055), lambda x: x.code), '|'), '') AS coarse_key,
+           array_to_string(list_transform(c, lambda x: x.code || ':' || printf('%.6f', x.frac)), ' ') AS components, len(c)::INT AS n_of,
            coalesce(s[1].code, 'NONE') AS top1, coalesce(s[2].code, 'NONE') AS top2, s
     FROM hdr JOIN srt USING (candidate_id)
 )"""
@@ -158,8 +159,8 @@ fin AS (SELECT *, greatest(0, least(1, final_priority * CASE gate_status WHEN 'R
 
 ALL = f"""
 one AS (
-    SELECT fin.*, fingerprint, substr(sha256(fingerprint), 1, 16) AS hash16, coarse_key, s, top1 || '|' || top2 || '|' || ['matrix', 'mineral', 'sorbent', 'catalyst', 'energy', 'bio_process', 'engine', 'closed_loop'][list_position(list_transform([ma, mi, so, ca, en, bp, eg, cl], lambda v: round(v, 9)), list_max(list_transform([ma, mi, so, ca, en, bp, eg, cl], lambda v: round(v, 9))))] AS signature,
-        array_to_string(list_sort(tags), ' ') AS process_tags, array_to_string(list_transform(s, lambda x: x.code || '=' || round(x.frac * 100, 2)::DECIMAL(9, 2) || '%'), '; ') AS formula
+    SELECT fin.*, fingerprint, substr(sha256(fingerprint), 1, 16) AS hash16, coarse_key, s, components, n_of, top1 || '|' || top2 || '|' || ['matrix', 'mineral', 'sorbent', 'catalyst', 'energy', 'bio_process', 'engine', 'closed_loop'][list_position(list_transform([ma, mi, so, ca, en, bp, eg, cl], lambda v: round(v, 9)), list_max(list_transform([ma, mi, so, ca, en, bp, eg, cl], lambda v: round(v, 9))))] AS signature,
+        array_to_string(list_sort(tags), ' ') AS process_tags, array_to_string(list_transform(s, lambda x: x.code || '=' || regexp_replace(printf('%.2f', x.frac * 100), '0$', '') || '%'), '; ') AS formula
     FROM fin JOIN keyed USING (candidate_id, archetype)
 ),
 ddp AS (SELECT * FROM one WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY archetype, coarse_key, signature ORDER BY score DESC, hash16, candidate_id) = 1),
@@ -176,28 +177,123 @@ def _r(columns: list[str]) -> str:
     return ", ".join(f"round({c} + 1e-10, 6) AS {c}" for c in columns)
 
 
+TERMS = sorted(BANNED.split())
+
+
+def _first_term(text: str, terms: list[str]) -> str:
+    return f"list_filter({sorted(terms)!r}, lambda t: contains(upper({text}), t))[1]"
+
+
+NOTES = (
+    """'{"archetype":"' || archetype || '","archetype_description":"' || description || '","rejected":' || (reason IS NOT NULL) || ',"reject_reason":"' || coalesce(reason, '') || '","boundary":"Research vector only, not a synthesis protocol.","""
+    f""""literal_transmutation_claim":false,"elixir_claim":false,"hazardous_synthesis_protocol":false,"certified_material_claim":false,"dangerous_chemistry_instructions":false,"demiurge_layer":' || (archetype IN {ENGINE}) || ',"birth_gate_layer":true,"""
+    """"gate_status":"' || gate_status || '","gate_reason":"' || gate_reason || '"}'"""
+)
+FLAT = f"candidate_id, archetype, round(score + 1e-12, 8) AS score, hash16, formula, source, process_tags, {_r([*FEATURES, *GATES])}, round(w_density + 1e-10, 6) AS raw_density, {', '.join(f'round({c} + 1e-10, 6) AS {p}_like' for p, c in PHASE_NAMES.items())}, gate_status, gate_reason, false AS literal_transmutation_claim, false AS elixir_claim, false AS hazardous_synthesis_protocol, false AS certified_material_claim, false AS dangerous_chemistry_instructions, 'Research vector only, not a synthesis protocol.' AS boundary, archetype IN {ENGINE} AS demiurge_layer, true AS birth_gate_layer, components, {NOTES} AS notes_json"
+
+DRAW = f"drw AS (SELECT t.name AS archetype, position, code, family, role, coalesce(f.b, 1) * coalesce(r.b, 1) * (0.25 + low_hazard + testability * 0.25 + ({' + '.join(META[1:] + META[:1])}) * 0.06) AS weight FROM cat CROSS JOIN tgt t LEFT JOIN bias f ON f.name = t.name AND f.label = family LEFT JOIN bias r ON r.name = t.name AND r.label = role)"
+CDF = "cdf AS (SELECT *, max(up_to) OVER (PARTITION BY archetype) AS total FROM (SELECT *, sum(weight) OVER (PARTITION BY archetype ORDER BY position ROWS UNBOUNDED PRECEDING) AS up_to FROM drw))"
+STARTED = "['CLEAN_CANVAS_SURFACE', 'SIGNAL_CLARITY_GATE', 'SAFE_CONTAINMENT_MATRIX', 'REPRODUCIBLE_SCENE_PROTOCOL']", "['GPT_TRANSFORMER_ENGINE', 'ACTIVE_LEARNING_AUTOLAB', 'SCORING_FUNCTION_MUTATOR', 'KNOWLEDGE_GRAPH_MEMORY', 'EXPERT_REVIEW_GATE']"
+POOLS = {
+    "stage": "family = 'canvas_layer' OR code IN ('ZEOLITE_SAFE', 'ACTIVATED_CARBON_SAFE', 'BACTERIAL_CELLULOSE_MATRIX', 'CLAY_PLATELET_BARRIER', 'CHITOSAN_BINDER')",
+    "meta": "family = 'meta_engine'",
+    "body": "code IN ('BACTERIAL_CELLULOSE_MATRIX', 'CHITOSAN_BINDER', 'ALGINATE_HYDROGEL', 'PVA_FILM', 'GELATIN_COLLAGEN_TOKEN')",
+    "material": "family <> 'meta_engine'",
+}
+MUTATIONS = "['LAMINATED', 'HYDROGEL_NETWORK', 'BIOMINERALIZED', 'PHOTOCATALYTIC_SURFACE', 'ADSORBENT_CORE', 'SELF_HEALING_LAYER', 'CONDUCTIVE_TRACE', 'CLOSED_LOOP', 'RULE_REWRITE', 'WORLD_MODEL']"
+
+
+def _perturbed(h: str, parts: str) -> str:
+    """CTEs ph (candidate_id, archetype, source, tags) and pl (candidate_id, code, amount) of variants of the mixtures in h and parts."""
+    u = lambda salt: _u("1", "candidate_id", f"'{salt}'")
+    v = lambda salt: _u("1", "candidate_id", "code", f"'{salt}'")
+    return f"""
+pa AS (SELECT candidate_id, archetype, {u('add')} AS x FROM {h} WHERE {u('add?')} < 0.18),
+pb AS (
+    SELECT candidate_id, code, CASE WHEN {v('scale?')} < 0.18 THEN frac * (0.55 + {v('scale')}) ELSE frac END AS amount FROM {parts}
+    UNION ALL
+    SELECT candidate_id, min_by(code, position), any_value(0.01 + 0.15 * {u('amount')}) FROM pa JOIN cdf USING (archetype) WHERE up_to >= x * total GROUP BY candidate_id
+),
+pc AS (SELECT candidate_id, code, sum(amount) AS amount FROM pb GROUP BY ALL),
+pl AS (SELECT candidate_id, code, amount FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY amount, code) AS r, count(*) OVER (PARTITION BY candidate_id) AS n FROM pc) WHERE NOT (r = 1 AND n > 5 AND {u('drop?')} < 0.18)),
+ph AS (SELECT candidate_id, archetype, 'mutated' AS source, list_sort(list_distinct(CASE WHEN {u('tag?')} < 0.18 THEN list_append(tags, {MUTATIONS}[1 + floor({u('tag')} * 10)::INT]) ELSE tags END)) AS tags FROM {h})"""
+
+
+def _sampled(h: str) -> str:
+    """CTEs sh and sl of a random mixture for each candidate_id and archetype in h."""
+    u = lambda *salt: _u("1", "candidate_id", *(f"'{x}'" if x != "k" and x != "code" else x for x in salt))
+    pools = " UNION ALL ".join(f"SELECT '{p}' AS pool, archetype, position, code, weight FROM drw WHERE {w}" for p, w in POOLS.items())
+    counts = {"stage": f"2 + floor({u('n')} * 4)", "meta": f"2 + floor({u('n')} * 4)", "body": f"CASE WHEN archetype IN ('CATALYST', 'ENERGY') THEN 1 ELSE 1 + floor({u('n body')} * 3) END", "material": f"3 + floor({u('n')} * 6)"}
+    amount = {"stage": "0.02 + 0.16", "meta": "0.02 + 0.16", "body": "0.04 + 0.21", "material": "0.01 + 0.21"}
+    draws = " UNION ALL ".join(f"SELECT candidate_id, archetype, '{p}' AS pool, k, {u(p, 'k')} AS x, {amount[p]} * {u(p + ' amount', 'k')} AS amount FROM (SELECT candidate_id, archetype, unnest(range(1, ({n})::BIGINT + 1)) AS k FROM sr WHERE kind = '{'material' if p == 'body' else p}')" for p, n in counts.items())
+    essentials = " UNION ALL ".join(f"SELECT candidate_id, code, 0.04 + 0.16 * {u('essential', 'code')} AS amount FROM (SELECT candidate_id, unnest({codes}) AS code FROM sr WHERE kind = '{kind}')" for kind, codes in zip(("stage", "meta"), STARTED, strict=True))
+    chances = [("LAMINATED", .45, "", .45), ("HYDROGEL_NETWORK", .45, "'HEALER', 'LIFE'", .2), ("BIOMINERALIZED", .62, "'BIOMINERAL', 'LIFE'", .22), ("PHOTOCATALYTIC_SURFACE", .62, "'CATALYST', 'ENERGY'", .18), ("ADSORBENT_CORE", .65, "'PURIFIER', 'UNIVERSAL'", .3), ("SELF_HEALING_LAYER", .66, "'HEALER'", .24), ("CONDUCTIVE_TRACE", .62, "'ENERGY'", .14), ("STONE_BODY", .62, "'STONE', 'BIOMINERAL'", .25), ("ANIMA_BIO", .58, "'LIFE', 'BIOMINERAL'", .18)]
+    tags = ", ".join(f"CASE WHEN kind = 'material' AND {u('tag', t)} < " + (f"CASE WHEN archetype IN ({who}) THEN {p} ELSE {q} END" if who else f"{q}") + f" THEN '{t}' END" for t, p, who, q in chances)
+    return f"""
+sr AS (SELECT candidate_id, archetype, CASE WHEN archetype IN {STAGE} THEN 'stage' WHEN archetype IN {ENGINE} THEN 'meta' ELSE 'material' END AS kind FROM {h}),
+sc AS (SELECT *, max(up_to) OVER (PARTITION BY pool, archetype) AS total FROM (SELECT *, sum(weight) OVER (PARTITION BY pool, archetype ORDER BY position ROWS UNBOUNDED PRECEDING) AS up_to FROM ({pools}))),
+sd AS ({draws}),
+se AS (
+    {essentials}
+    UNION ALL SELECT candidate_id, code, amount FROM (SELECT candidate_id, pool, k, min_by(code, position) AS code, any_value(amount) AS amount FROM sd JOIN sc USING (pool, archetype) WHERE up_to >= x * total GROUP BY candidate_id, pool, k)
+    UNION ALL SELECT candidate_id, 'ACTIVE_LEARNING_AUTOLAB', 0.01 + 0.04 * {u('aid')} FROM sr WHERE kind = 'material' AND {u('aid?')} < 0.25
+),
+sl AS (SELECT candidate_id, code, sum(amount) AS amount FROM se GROUP BY ALL),
+sh AS (SELECT candidate_id, archetype, 'random' AS source, list_sort(list_distinct(list_filter(list_concat(['LOW_HAZARD_GATE', 'EXPERT_VALIDATION_REQUIRED'],
+        CASE kind WHEN 'stage' THEN ['CLEAN_CANVAS', 'LOW_NOISE_FIELD', 'SAFE_STAGE'] WHEN 'meta' THEN ['CLOSED_LOOP', 'RULE_REWRITE', 'DEMIURGE_LAYER'] ELSE []::VARCHAR[] END,
+        CASE archetype WHEN 'STAGEKEEPER' THEN ['SAFE_CONTAINMENT', 'REPRODUCIBLE_SCENE'] WHEN 'WORLD_REWRITER' THEN ['WORLD_MODEL', 'SEARCH_SPACE_EDITOR'] ELSE []::VARCHAR[] END, [{tags}]), lambda t: t IS NOT NULL))) AS tags FROM sr)"""
+
+
+def _scored(name: str, h: str, parts: str) -> str:
+    return f"{name} AS (WITH hdr AS (SELECT * FROM {h}), shr AS (SELECT candidate_id, code, amount / sum(amount) OVER (PARTITION BY candidate_id) AS frac FROM {parts}), {WIDE}, {SCREEN}, {_gate('sco')}, {KEYS}, {ALL} SELECT candidate_id, archetype, source, hash16, signature, round(score + 1e-12, 8) AS score FROM one)"
+
+
+def _batched() -> str:
+    """CTEs vh and vl of the variants of a batch, from pool and the header's profiles."""
+    u = lambda *salt: _u("1", "candidate_id", *(f"'{x}'" if isinstance(x, str) else str(x) for x in salt))
+    return f"""
+pool AS (SELECT candidate_id, archetype, source, tags, s, hash16, score, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) AS rank FROM (SELECT * REPLACE (round(score + 1e-12, 8) AS score) FROM one) QUALIFY rank <= 280),
+share AS (SELECT candidate_id AS parent, x.code AS code, x.frac AS frac FROM (SELECT candidate_id, unnest(s) AS x FROM pool)),
+trial AS (SELECT *, {u('route')} AS route, 1 + least({', '.join(f"floor({u('entrant', k)} * n)" for k in range(9))})::BIGINT AS best, floor({u('first')} * n)::BIGINT AS f, floor({u('second')} * (n - 1))::BIGINT AS g
+    FROM (SELECT -candidate_id - 1 AS candidate_id, archetype, coalesce(n, 0) AS n FROM hdr LEFT JOIN (SELECT archetype, count(*) AS n FROM pool GROUP BY archetype) USING (archetype))),
+mu AS (SELECT t.candidate_id, t.archetype, p.tags, p.candidate_id AS parent FROM trial t JOIN pool p ON p.archetype = t.archetype AND p.rank = best WHERE route < 0.55),
+mp AS (SELECT mu.candidate_id, code, frac FROM mu JOIN share USING (parent)),
+{_perturbed('mu', 'mp')},
+xo AS (SELECT t.candidate_id, t.archetype, a.tags AS ta, b.tags AS tb, a.candidate_id AS pa, b.candidate_id AS pb, 0.25 + 0.5 * {_u('1', 't.candidate_id', "'alpha'")} AS alpha
+    FROM trial t JOIN pool a ON a.archetype = t.archetype AND a.rank = f + 1 JOIN pool b ON b.archetype = t.archetype AND b.rank = (f + 1 + g) % n + 1 WHERE route >= 0.55 AND route < 0.82 AND n > 1),
+xl AS (SELECT candidate_id, code, sum(w * frac) AS amount FROM (SELECT candidate_id, pa AS parent, alpha AS w FROM xo UNION ALL SELECT candidate_id, pb, 1 - alpha FROM xo) JOIN share USING (parent) GROUP BY ALL),
+xh AS (SELECT candidate_id, archetype, 'crossover' AS source, list_sort(list_distinct(list_concat(ta, tb))) AS tags FROM xo),
+rest AS (SELECT candidate_id, archetype FROM trial WHERE NOT (route < 0.55 AND n > 0) AND NOT (route >= 0.55 AND route < 0.82 AND n > 1)),
+{_sampled('rest')},
+vh AS (SELECT * FROM ph UNION ALL SELECT * FROM xh UNION ALL SELECT * FROM sh),
+vl AS (SELECT * FROM pl UNION ALL SELECT * FROM xl UNION ALL SELECT * FROM sl)"""
+
+
 def oracle_sql() -> dict[str, str]:
     base, wide = f"WITH {CATALOG}, {TARGET}, {HEADER}", f"WITH {CATALOG}, {TARGET}, {HEADER}, {WIDE}"
     keyed, feat, fin = f"{base}, {KEYS}", f"{wide}, {SCREEN}", f"{wide}, {SCREEN}, {_gate('sco')}"
     every = f"{fin}, {KEYS}, {ALL}"
-    ledger = "candidate_id, archetype, hash16, round(score + 1e-12, 8) AS score_final, formula, source, gate_status, gate_reason, " + _r([*GATES, "creative_potential", "safe_containment", "signal_clarity"]) + ", process_tags"
+    ledger = "candidate_id, archetype, hash16, round(score + 1e-12, 8) AS score_final, formula, source, gate_status, gate_reason, " + _r([*GATES, "creative_potential", "safe_containment", "signal_clarity"]) + ", process_tags, components"
+    drawn = f"{BIAS}, {DRAW}, {CDF}"
+    odd = "hd2 AS (SELECT candidate_id, CASE WHEN candidate_id % 100 = 7 THEN 'ANY_OTHER' ELSE archetype END AS archetype, source, CASE WHEN candidate_id % 400 = 0 THEN list_append(tags, 'LEAD_TEST') ELSE tags END AS tags FROM hdr)"
+    objectives = " || ' ' || ".join(f"printf('%.6f', round({c} + 1e-10, 6))" for c in [*FEATURES, *GATES])
+    why = "CASE archetype " + " ".join(f"WHEN '{line.split(': ', 1)[0]}' THEN '{line.split(': ', 1)[1]}'" for line in INTERPRETATIONS.split("\n") if line) + " ELSE 'modern research vector' END"
+    bound = "'No literal transmutation claim. No elixir claim. No hazardous synthesis protocol. No certified material claim. No instructions for dangerous chemistry. Computational research vector and expert-review request only.'"
     inputs = f"""inp AS (SELECT event_id AS candidate_id, (SELECT name FROM tgt WHERE ordinal = floor({_u("event_id", "'archetype'")} * 13)) AS archetype, CASE WHEN {_u("event_id", "'tag'")} < 0.5 THEN ['EXPERT_VALIDATION_REQUIRED'] ELSE []::VARCHAR[] END AS tags,
         CASE WHEN {_u("event_id", "'reject'")} < 0.05 THEN 'x' END AS reason, {_u("event_id", "'base'")} AS base_score, {', '.join(f"{_u('event_id', repr(f))} AS {f}" for f in FEATURES)} FROM events)"""
     prs = "prs AS (SELECT h.candidate_id AS pair_id, h.candidate_id AS a, h.candidate_id + 1 AS b, h.tags AS ta, k.tags AS tb, 0.25 + 0.5 * " + _u("1", "h.candidate_id", "'alpha'") + " AS alpha FROM hdr h JOIN hdr k ON k.candidate_id = h.candidate_id + 1)"
-    drw = f"drw AS (SELECT t.name AS archetype, position, code, family, role, coalesce(f.b, 1) * coalesce(r.b, 1) * (0.25 + low_hazard + testability * 0.25 + ({' + '.join(META[1:] + META[:1])}) * 0.06) AS weight FROM cat CROSS JOIN tgt t LEFT JOIN bias f ON f.name = t.name AND f.label = family LEFT JOIN bias r ON r.name = t.name AND r.label = role)"
-    cdf = f"{drw}, cdf AS (SELECT *, sum(weight) OVER (PARTITION BY archetype ORDER BY position ROWS UNBOUNDED PRECEDING) AS up_to, sum(weight) OVER (PARTITION BY archetype) AS total FROM drw)"
     tests = "'EXPERT_IDENTITY_REVIEW | SAFETY_BOUNDARY_REVIEW | FUNCTIONAL_SCREENING_FOR_ARCHETYPE | NO_HAZARDOUS_SYNTHESIS_WITHOUT_QUALIFIED_LAB' || CASE WHEN archetype IN ('CATALYST', 'ENERGY') THEN ' | SAFE_CATALYTIC_OR_PHOTO_ELECTROCHEMICAL_MODEL_SCREENING' WHEN archetype = 'PURIFIER' THEN ' | ADSORPTION_OR_SEPARATION_SCREENING' WHEN archetype = 'HEALER' THEN ' | SELF_HEALING_OR_DAMAGE_RECOVERY_SCREENING' WHEN archetype IN ('STONE', 'BIOMINERAL') THEN ' | STRUCTURE_MECHANICAL_OR_BIOMINERAL_REVIEW' WHEN archetype IN ('CANVAS', 'STAGEKEEPER') THEN ' | LOW_NOISE_SCENE_REVIEW | REPRODUCIBILITY_AND_CONTAINMENT_REVIEW | SURFACE_READINESS_REVIEW' WHEN archetype IN ('DEMIURGE', 'WORLD_REWRITER') THEN ' | CLOSED_LOOP_DISCOVERY_REVIEW | SEARCH_SPACE_REWRITE_REVIEW | REPRODUCIBILITY_AND_HUMAN_GATE_REVIEW' ELSE '' END"
     tags = "coalesce(array_to_string(list_sort(tags), ' '), '')"
     return {
         "catalog_profile": f"{base}, use AS (SELECT code, count(*) AS n, sum(amount) AS amount FROM lin GROUP BY code) SELECT family, role, count(*) AS n_codes, sum(n)::BIGINT AS n_mixtures, sum(amount) AS amount, round(avg(low_hazard) + 1e-10, 6) AS low_hazard FROM cat LEFT JOIN use USING (code) GROUP BY family, role",
         "target_weights": f"{base}, n AS (SELECT archetype, count(*) AS n FROM hdr GROUP BY archetype) SELECT feature, round(sum(weight * n) + 1e-10, 6) AS mass, count(*) AS n_profiles FROM (UNPIVOT (SELECT name, {', '.join(f't_{f} AS {f}' for f in FEATURES)} FROM tgt) ON {', '.join(FEATURES)} INTO NAME feature VALUE weight) JOIN n ON archetype = name WHERE weight > 0 GROUP BY feature",
-        "term_screen": "SELECT doc_id, CASE WHEN contains(upper(text), 'LICENSE') THEN 'LICENSE' WHEN contains(upper(text), 'NOT') THEN 'NOT' WHEN contains(upper(text), 'THE') THEN 'THE' WHEN contains(upper(text), 'WORTHLESS') THEN 'WORTHLESS' END AS term FROM documents",
+        "term_screen": f"SELECT doc_id, {_first_term("coalesce(text, '')", [*TERMS, 'LICENSE', 'NOT', 'THE', 'WORTHLESS'])} AS term FROM documents",
         "csv_roundtrip": f"{base} SELECT candidate_id, archetype, {tags} AS process_tags, '' AS note FROM hdr",
         "json_roundtrip": f"{base} SELECT candidate_id, archetype, coalesce(array_to_string(tags, ' '), '') AS process_tags FROM hdr",
         "partitioned_output": f"{base} SELECT candidate_id, archetype FROM hdr WHERE archetype = 'CANVAS'",
         "mixture_normalize": f"{base} SELECT candidate_id, code, round(frac + 1e-13, 9) AS frac FROM shr",
         "mixture_fingerprint": f"{keyed} SELECT candidate_id, fingerprint, substr(sha256(fingerprint), 1, 16) AS hash16 FROM keyed",
-        "formula_string": f"{keyed} SELECT candidate_id, array_to_string(list_transform(s, lambda x: x.code || '=' || round(x.frac * 100, 2)::DECIMAL(9, 2) || '%'), '; ') AS formula FROM keyed",
+        "formula_string": f"{keyed} SELECT candidate_id, array_to_string(list_transform(s, lambda x: x.code || '=' || regexp_replace(printf('%.2f', x.frac * 100), '0$', '') || '%'), '; ') AS formula FROM keyed",
         "coarse_key": f"{keyed} SELECT candidate_id, coarse_key FROM keyed",
         "top2_components": f"{keyed} SELECT candidate_id, top1, top2 FROM keyed",
         "diversity_signature": f"{every} SELECT candidate_id, signature FROM one",
@@ -206,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "role_share": f"{base} SELECT candidate_id, {', '.join(f'''round(sum(CASE WHEN role = '{r}' OR family = '{r}' THEN frac ELSE 0 END) + 1e-10, 6) AS {r}''' for r in ('matrix', 'sorbent', 'catalyst', 'advanced'))} FROM shr JOIN cat USING (code) GROUP BY candidate_id",
         "mixture_features": f"{feat} SELECT candidate_id, {_r(FEATURES)} FROM feat",
         "evenness_bonus": f"{wide} SELECT candidate_id, round(list_min(x) + 1e-10, 6) AS least, round(1 - list_stddev_pop(x) + 1e-10, 6) AS evenness FROM (SELECT candidate_id, [{', '.join(f'w_{f}' for f in FEATURES[:8])}] AS x FROM wide)",
-        "hard_reject": f"{feat} SELECT candidate_id, coalesce(reason, '') AS reason FROM rej",
+        "hard_reject": f"{wide}, {odd}, {SCREEN.replace('JOIN hdr USING', 'JOIN hd2 USING')}, cod AS (SELECT candidate_id, string_agg(code, ' ') AS codes FROM lin GROUP BY ALL), trm AS (SELECT rej.*, {_first_term("source || ' ' || archetype || ' ' || array_to_string(tags, ' ') || ' ' || coalesce(codes, '')", TERMS)} AS term FROM rej LEFT JOIN cod USING (candidate_id)) SELECT candidate_id, coalesce('banned_token:' || term, reason, '') AS reason FROM trm",
         "profile_score": f"{feat} SELECT candidate_id, round(base_score + 1e-12, 8) AS base_score FROM sco",
         "gate_metrics": f"{fin} SELECT candidate_id, {_r(GATES)} FROM fin",
         "gate_status": f"WITH {TARGET}, {inputs}, {_gate('inp')} SELECT candidate_id AS event_id, gate_status, gate_reason FROM fin",
@@ -216,18 +312,23 @@ def oracle_sql() -> dict[str, str]:
         "pool_truncate": f"{every} SELECT archetype, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) AS rank, candidate_id, round(score + 1e-12, 8) AS score FROM one QUALIFY rank <= 280",
         "champions": f"{every}, b AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) = 1) SELECT row_number() OVER (ORDER BY ordinal) AS rank, archetype, candidate_id, round(score + 1e-12, 8) AS score FROM b",
         "archetype_shortlist": f"{every} SELECT row_number() OVER (ORDER BY ordinal, rank) AS rank, archetype, candidate_id, round(score + 1e-12, 8) AS score FROM (SELECT * FROM rnk WHERE rank <= 4)",
-        "nested_rows": f"{fin} SELECT candidate_id, archetype, round(score + 1e-12, 8) AS score, round(transformation + 1e-10, 6) AS transformation, gate_status, reason IS NOT NULL AS rejected FROM fin",
-        "candidate_flat": f"{every} SELECT candidate_id, archetype, round(score + 1e-12, 8) AS score, hash16, formula, source, process_tags, {_r([*FEATURES, *GATES])}, round(w_density + 1e-10, 6) AS raw_density, {', '.join(f'round({c} + 1e-10, 6) AS {p}_like' for p, c in PHASE_NAMES.items())}, gate_status, gate_reason, false AS literal_transmutation_claim, false AS elixir_claim, false AS hazardous_synthesis_protocol, false AS certified_material_claim, false AS dangerous_chemistry_instructions, 'Research vector only, not a synthesis protocol.' AS boundary, archetype IN {ENGINE} AS demiurge_layer, true AS birth_gate_layer FROM one",
+        "nested_rows": f"{every} SELECT candidate_id, archetype, round(score + 1e-12, 8) AS score, formula AS formula_percent, n_of AS n_components, round(transformation + 1e-10, 6) AS transformation, gate_status, round(final_priority + 1e-10, 6) AS final_priority, reason IS NOT NULL AS rejected, 'Research vector only, not a synthesis protocol.' AS boundary FROM one",
+        "candidate_flat": f"{every} SELECT {FLAT} FROM one",
+        "top_flat": f"{every} SELECT rank, {FLAT} FROM rnk WHERE rank <= 20",
         "decision_ledger": f"{every} SELECT {ledger} FROM one",
         "gate_ledger": f"{every} SELECT {ledger} FROM one ORDER BY final_priority DESC, candidate_id",
         "rejected_ledger": f"{every} SELECT {ledger} FROM one WHERE gate_status <> 'PASSED'",
         "gate_summary": f"{fin} SELECT count(*) AS n_rows, count(*) FILTER (gate_status <> 'PASSED') AS rejected_or_review FROM fin",
         "archetype_summary": f"{every} SELECT archetype, count(*) AS n_rows, count(*) FILTER (gate_status = 'PASSED') AS n_passed, first(candidate_id ORDER BY score DESC, hash16, candidate_id) AS best_id, round(max(score) + 1e-12, 8) AS best_score FROM one GROUP BY archetype",
         "run_summary": f"{fin} SELECT count(*) AS n_rows, count(*) FILTER (gate_status <> 'PASSED') AS rejected_or_review, count(DISTINCT archetype)::INT AS n_champions, (SELECT string_agg(name, ',' ORDER BY ordinal) FROM tgt WHERE name IN (SELECT archetype FROM hdr)) AS profiles FROM fin",
-        "review_requests": f"{every} SELECT 'RQ-20260101-' || archetype || '-' || lpad(rank::VARCHAR, 2, '0') || '-R' || r AS request_id, archetype, description AS archetype_description, rank AS rank_within_archetype, round(score + 1e-12, 8) AS score, hash16, formula, process_tags, {tests} AS requested_tests, 'REQUEST_FOR_EXPERT_REVIEW_NOT_MEASURED_RESULTS' AS data_status FROM rnk, (VALUES (1), (2)) AS v(r) WHERE rank <= 3",
+        "review_requests": f"{every} SELECT 'RQ-20260101-' || archetype || '-' || lpad(rank::VARCHAR, 2, '0') || '-R' || r AS request_id, archetype, description AS archetype_description, rank AS rank_within_archetype, round(score + 1e-12, 8) AS score, hash16, formula, process_tags, {tests} AS requested_tests, 'REQUEST_FOR_EXPERT_REVIEW_NOT_MEASURED_RESULTS' AS data_status, {why} AS why, {bound} AS claim_boundary, components, {objectives} AS objectives FROM rnk, (VALUES (1), (2)) AS v(r) WHERE rank <= 3",
         "blend_pairs": f"{base}, {prs} SELECT pair_id, code, round(sum(p * frac) + 1e-13, 9) AS amount FROM (SELECT pair_id, a AS candidate_id, alpha AS p FROM prs UNION ALL SELECT pair_id, b, 1 - alpha FROM prs) JOIN shr USING (candidate_id) GROUP BY pair_id, code",
         "tag_union": f"{base}, {prs} SELECT pair_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(ta, tb))), ' '), '') AS tags FROM prs",
-        "draw_weights": f"{base}, {BIAS}, {drw} SELECT archetype, code, round(weight + 1e-13, 9) AS weight, n_mixtures FROM drw JOIN (SELECT archetype, count(*) AS n_mixtures FROM hdr GROUP BY archetype) USING (archetype)",
-        "weighted_draw": f"{base}, {BIAS}, {cdf}, r AS (SELECT candidate_id, archetype, {_u('candidate_id', chr(39) + 'draw' + chr(39))} AS u FROM hdr) SELECT candidate_id, min_by(code, position) AS drawn FROM r JOIN cdf USING (archetype) WHERE up_to >= u * total GROUP BY candidate_id",
+        "draw_weights": f"{base}, {BIAS}, {DRAW} SELECT archetype, code, round(weight + 1e-13, 9) AS weight, n_mixtures FROM drw JOIN (SELECT archetype, count(*) AS n_mixtures FROM hdr GROUP BY archetype) USING (archetype)",
+        "weighted_draw": f"{base}, {drawn}, r AS (SELECT candidate_id, archetype, {_u('candidate_id', chr(39) + 'draw' + chr(39))} AS u FROM hdr) SELECT candidate_id, min_by(code, position) AS drawn FROM r JOIN cdf USING (archetype) WHERE up_to >= u * total GROUP BY candidate_id",
+        "perturb_mixtures": f"{base}, {drawn}, {_perturbed('hdr', 'shr')} SELECT candidate_id, code, round(amount + 1e-13, 9) AS amount FROM pl",
+        "sample_mixtures": f"{base}, {drawn}, {_sampled('hdr')} SELECT candidate_id, code, round(amount + 1e-13, 9) AS amount FROM sl",
+        "diversity_backfill": f"{every}, kept AS (SELECT archetype, signature FROM rnk WHERE rank <= 20), short AS (SELECT archetype, 24 - coalesce(n, 0) AS missing FROM (SELECT DISTINCT archetype FROM hdr) LEFT JOIN (SELECT archetype, count(*) AS n FROM kept GROUP BY archetype) USING (archetype)), {drawn}, {_sampled('hdr')}, {_scored('fresh', 'sh', 'sl')}, best AS (SELECT * FROM fresh WHERE score > 0 AND (archetype, signature) NOT IN (SELECT (archetype, signature) FROM kept) QUALIFY row_number() OVER (PARTITION BY archetype, signature ORDER BY score DESC, hash16, candidate_id) = 1) SELECT archetype, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) AS rank, candidate_id, score FROM best JOIN short USING (archetype) QUALIFY rank <= missing",
+        "variant_batch": f"{every}, {drawn}, {_batched()}, {_scored('fresh', 'vh', 'vl')} SELECT archetype, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) AS rank, candidate_id, source, score FROM (SELECT candidate_id, archetype, source, hash16, score FROM pool UNION ALL SELECT candidate_id, archetype, source, hash16, score FROM fresh) QUALIFY rank <= 280",
         "tournament_pick": f"{every}, n AS (SELECT archetype, count(*) AS n FROM one GROUP BY archetype) SELECT archetype, slot::INT AS slot, first(candidate_id ORDER BY round(score + 1e-12, 8) DESC, hash16, candidate_id) AS candidate_id FROM one JOIN n USING (archetype), range(20) AS t(slot) WHERE {_u('1', 'candidate_id', 'slot')} < 9 / n GROUP BY archetype, slot",
     }

@@ -6,20 +6,21 @@ amounts, the customer picks the target profile, priority and status give tags.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import evenness, tidy, uniform
+from ..functions import evenness, places, tidy, uniform
 from ..operators import features, mixture, reports, screen, select, variants
 from ..sources import files
-from ..sources.catalog import FEATURES, PROPERTIES, catalog, ingredients, phases, profiles, target_weights, targets
-from .screening import screened, slim
+from ..sources.catalog import FEATURES, PROPERTIES, banned, catalog, ingredients, phases, target_weights, targets
+from ..sources.files import scratch, written
+from .screening import found_term, screened, slim, wide_rows
 
 SHARES = ["matrix", "sorbent", "catalyst", "advanced"]
+#: Terms that texts have, to be looked for beside the shipped ones.
 TERMS = ["LICENSE", "NOT", "THE", "WORTHLESS"]
+#: A quarter of one per cent of the orders have a tag with a banned term, one in a hundred an unknown profile.
+BAD_TAG, ODD_PROFILE = "LEAD_TEST", "ANY_OTHER"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +55,10 @@ def six(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, *[tidy(c, 6).alias(c) for c in columns])
 
 
-def folder(spark: SparkSession) -> str:
-    """A new path below the cluster's shared folder (a temporary one where none is set)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-mixscreen-", dir="/tmp")
-    return f"{root.rstrip('/')}/mixscreen-{uuid.uuid4().hex}"
+def texts(components: str = "components_json") -> Column:
+    """Components read back from JSON, as text: codes in order with shares to six places."""
+    entries = F.array_sort(F.map_entries(F.from_json(components, "map<string,double>")))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), places(e["value"], 6))), " ")
 
 
 def catalog_profile(spark, sf):
@@ -71,18 +72,18 @@ def target_weight_mass(spark, sf):
 
 
 def term_screen(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", screen.first_term(F.col("text"), TERMS).alias("term"))
+    return table(spark, sf, "documents").select("doc_id", screen.first_term(F.col("text"), [*TERMS, *banned()]).alias("term"))
 
 
 def csv_roundtrip(spark, sf):
-    path = folder(spark)
+    path = scratch(spark)
     columns = ["candidate_id", "archetype", "process_tags", "note"]
     files.write_csv(header(spark, sf).select("candidate_id", "archetype", F.array_join(F.array_sort("tags"), " ").alias("process_tags")), path, columns)
     return files.read_csv(spark, path, columns).withColumn("candidate_id", F.col("candidate_id").cast("long"))
 
 
 def json_roundtrip(spark, sf):
-    path = folder(spark)
+    path = scratch(spark)
     h = header(spark, sf).select("candidate_id", "archetype", "tags")
     files.append_json(h.where("candidate_id % 2 = 0"), path)
     files.append_json(h.where("candidate_id % 2 = 1"), path)
@@ -90,7 +91,7 @@ def json_roundtrip(spark, sf):
 
 
 def partitioned_output(spark, sf):
-    path = folder(spark)
+    path = scratch(spark)
     files.write_by_profile(header(spark, sf).select("candidate_id", "archetype"), path)
     return spark.read.parquet(path).where("archetype = 'CANVAS'").select("candidate_id", "archetype")
 
@@ -135,8 +136,12 @@ def evenness_bonus(spark, sf):
 
 
 def hard_reject(spark, sf):
-    w = wide(spark, sf).join(header(spark, sf), "candidate_id")
-    return w.select("candidate_id", F.coalesce(screen.reject_reason(F.lit(None).cast("string")), F.lit("")).alias("reason"))
+    """As the whole screen has it, over orders some of which have a tag with a banned term or an unknown profile."""
+    h = header(spark, sf)
+    tags = F.when(F.col("candidate_id") % 400 == 0, F.array_append("tags", F.lit(BAD_TAG))).otherwise(F.col("tags"))
+    h = h.withColumn("tags", tags).withColumn("archetype", F.when(F.col("candidate_id") % 100 == 7, ODD_PROFILE).otherwise(F.col("archetype")))
+    w = wide_rows(h, lines(spark, sf), catalog(spark))
+    return w.select("candidate_id", F.coalesce(screen.reject_reason(found_term()), F.lit("")).alias("reason"))
 
 
 def profile_score(spark, sf):
@@ -195,7 +200,24 @@ def top2_components(spark, sf):
 
 def nested_rows(spark, sf):
     n = reports.nested(slim(rows(spark, sf)))
-    return n.select("candidate_id", "candidate.archetype", "candidate.score", F.col("candidate.objectives")["transformation"].alias("transformation"), "candidate.notes.gate_status", "candidate.notes.rejected")
+    c = F.col("candidate")
+    return n.select("candidate_id", c["archetype"].alias("archetype"), c["score"].alias("score"), c["formula_percent"].alias("formula_percent"), F.size(c["components"]).alias("n_components"), c["objectives"]["transformation"].alias("transformation"), c["gate"]["gate_status"].alias("gate_status"), c["gate"]["final_priority"].alias("final_priority"), c["notes"]["rejected"].alias("rejected"), c["notes"]["boundary"].alias("boundary"))
+
+
+def read_back(df):
+    """Rows with components as text, from their JSON."""
+    return df.withColumn("components", texts()).drop("components_json")
+
+
+def top_flat(spark, sf):
+    """The flat rows of the best diverse mixtures of each profile, with ranks: what a profile's file of results has."""
+    return read_back(reports.flat(select.top(select.dedup_diverse(slim(rows(spark, sf))), 20)))
+
+
+def review_requests(spark, sf):
+    r = read_back(reports.review_requests(slim(rows(spark, sf))))
+    values = F.from_json("objectives_json", ", ".join(f"{c} double" for c in [*FEATURES, *screen.GATE]))
+    return r.withColumn("objectives", F.concat_ws(" ", *[places(values[c], 6) for c in [*FEATURES, *screen.GATE]])).drop("objectives_json")
 
 
 def archetype_summary(spark, sf):
@@ -248,26 +270,22 @@ def tournament_pick(spark, sf):
     return variants.tournament(own, 20)
 
 
-def backfill(spark, sf):
-    """For each profile up to three positive sampled mixtures whose signature no shortlisted one has."""
-    have = select.top(select.dedup_diverse(slim(rows(spark, sf))), 20).select("signature").distinct()
-    h, drawn = variants.sample(header(spark, sf), catalog(spark))
-    new = slim(screened(h, drawn)).where("score > 0").join(have, "signature", "left_anti")
-    best = select.best_by(new, ["archetype", "signature"])
-    return select.top(best, 3).select("archetype", "rank", "candidate_id", tidy("score", 8).alias("score"))
+def backfill(spark, sf, need: int = 24):
+    """Each profile's 20 best diverse mixtures, filled up to `need` with sampled ones of other signatures."""
+    kept = select.top(select.dedup_diverse(slim(rows(spark, sf))), 20)
+    h = header(spark, sf)
+    new = slim(screened(*variants.sample(h, catalog(spark)))).withColumn("score", tidy("score", 8))
+    return variants.backfill(kept, h, new, need).select("archetype", "rank", "candidate_id", "score")
 
 
 def variant_batch(spark, sf, keep: int = 280):
-    """One batch: each mixture is perturbed (.55), blended with its neighbour (.27) or sampled anew (.18); all are scored and the best of each profile kept."""
-    h, s = header(spark, sf), shares(spark, sf)
-    u = uniform("candidate_id", F.lit("route"))
-    h1, l1 = variants.perturb(h.where(u < 0.55), s.join(h.where(u < 0.55).select("candidate_id"), "candidate_id", "left_semi"), catalog(spark))
-    p = pairs(spark, sf).where((uniform("pair_id", F.lit("route")) >= 0.55) & (uniform("pair_id", F.lit("route")) < 0.82))
-    h2, l2 = variants.blend(p, h, s)
-    h3, l3 = variants.sample(h.where(u >= 0.82), catalog(spark))
-    heads = h1.unionByName(h2.withColumnRenamed("pair_id", "candidate_id")).unionByName(h3)
-    parts = l1.unionByName(l2.withColumnRenamed("pair_id", "candidate_id")).unionByName(l3)
-    return select.top(slim(screened(heads, parts)), keep).select("archetype", "rank", "candidate_id", "source", tidy("score", 8).alias("score"))
+    """A variant for each order, from the pool of its profile's best orders; pool and variants (with negative ids) are united, and the best of each profile kept."""
+    old = slim(rows(spark, sf)).withColumn("score", tidy("score", 8))
+    pool = written(select.top(old, keep))
+    own = pool.select("candidate_id", F.explode(F.map_entries("components")).alias("e")).select("candidate_id", "e.key", "e.value").toDF("candidate_id", "code", "frac")
+    trials = header(spark, sf).withColumn("candidate_id", -F.col("candidate_id") - 1)
+    new = slim(screened(*variants.batch(trials, pool, own, catalog(spark)))).withColumn("score", tidy("score", 8))
+    return select.top(pool.drop("rank").unionByName(new), keep).select("archetype", "rank", "candidate_id", "source", "score")
 
 
 def queries():
@@ -277,8 +295,8 @@ def queries():
         "weighted_profile": weighted_profile, "phase_shares": phase_shares, "role_share": role_share, "mixture_features": mixture_features, "evenness_bonus": evenness_bonus, "hard_reject": hard_reject, "profile_score": profile_score,
         "gate_metrics": gate_metrics, "gate_status": gate_status, "final_score": final_score, "dedup_diverse": reported(lambda r: select.dedup_diverse(r).select("archetype", "coarse_key", "signature", "candidate_id")),
         "topk_diverse": ranks(20), "pool_truncate": ranks(280, diverse=False), "champions": champions, "archetype_shortlist": archetype_shortlist, "top2_components": top2_components, "nested_rows": nested_rows,
-        "candidate_flat": reported(reports.flat), "decision_ledger": reported(reports.ledger), "gate_ledger": reported(lambda r: reports.ledger(r).orderBy(F.desc("final_priority"), "candidate_id")), "rejected_ledger": reported(reports.rejected),
-        "gate_summary": reported(reports.gate_summary), "archetype_summary": archetype_summary, "run_summary": run_summary, "review_requests": reported(lambda r: reports.review_requests(r).drop("objectives_json")),
+        "candidate_flat": reported(lambda r: read_back(reports.flat(r))), "top_flat": top_flat, "decision_ledger": reported(lambda r: read_back(reports.ledger(r))), "gate_ledger": reported(lambda r: read_back(reports.ledger(r)).orderBy(F.desc("final_priority"), "candidate_id")), "rejected_ledger": reported(lambda r: read_back(reports.rejected(r))),
+        "gate_summary": reported(reports.gate_summary), "archetype_summary": archetype_summary, "run_summary": run_summary, "review_requests": review_requests,
         "blend_pairs": blend_pairs, "tag_union": tag_union, "draw_weights": draw_weights, "weighted_draw": weighted_draw, "perturb_mixtures": perturb_mixtures, "sample_mixtures": sample_mixtures,
         "tournament_pick": tournament_pick, "diversity_backfill": backfill, "variant_batch": variant_batch,
     }

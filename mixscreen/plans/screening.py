@@ -1,32 +1,56 @@
-"""The whole screen: mixtures in, scored and gated rows out, with one shuffle of the lines."""
+"""The whole screen: mixtures in, scored and gated rows out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import features, mixture, screen
-from ..sources.catalog import FEATURES, catalog, phases, profiles
+from ..sources.catalog import DEFAULT_CODE, FEATURES, catalog, phases, profiles
+from ..sources.files import small_side, written
+
+
+def wide_rows(header: DataFrame, lines: DataFrame, cat: DataFrame, default: str = DEFAULT_CODE) -> DataFrame:
+    """header with averages, phase and role shares, KEYS and signature of each mixture, and code_term, the first banned term in its raw codes.
+
+    Lines are dealt out once, by candidate_id: merging codes, shares and sums need no other exchange than that and
+    the header's. Unknown codes and amounts that aren't positive count for terms alone; a mixture left empty is the default ingredient.
+    """
+    dealt = lines.repartition("candidate_id").groupBy("candidate_id", "code").agg(F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("amount"))
+    table = features.with_phases(cat).withColumnRenamed("code", "__code")
+    known = dealt.join(small_side(table, features.INGREDIENTS), F.col("code") == F.col("__code"), "left").withColumn("amount", F.when(F.col("__code").isNotNull(), F.col("amount")))
+    share = known.withColumn("frac", F.col("amount") / F.sum("amount").over(Window.partitionBy("candidate_id")))
+    part = F.when(F.col("frac").isNotNull(), F.struct("code", "frac"))
+    wide = share.groupBy("candidate_id").agg(*features.sums(), F.collect_list(part).alias("parts"), F.min(screen.first_term(F.col("code"))).alias("code_term"))
+    numbers = [c for c in wide.columns if c not in ("candidate_id", "parts", "code_term", "max_share", "n_components")]
+    alone = table.where(F.col("__code") == default).select(*[F.col(c.removeprefix("w_") if c.startswith("w_") else f"p_{c.removesuffix('_like')}" if c.endswith("_like") else c.replace("s_", "r_", 1)).cast("double").alias(f"__{c}") for c in numbers])
+    out = header.join(wide, "candidate_id", "left").crossJoin(F.broadcast(alone))  # one row
+    empty = F.coalesce(F.size("parts") == 0, F.lit(True))
+    fill = {c: F.when(empty, F.col(f"__{c}")).otherwise(F.col(c)) for c in numbers}
+    fill |= {"max_share": F.when(empty, 1.0).otherwise(F.col("max_share")), "n_components": F.when(empty, 1).otherwise(F.col("n_components"))}
+    fill |= {"parts": F.when(empty, F.array(F.struct(F.lit(default).alias("code"), F.lit(1.0).alias("frac")))).otherwise(F.col("parts"))}
+    return mixture.signature(mixture.with_keys(out.withColumns(fill).drop(*[f"__{c}" for c in numbers])))
+
+
+def found_term() -> Column:
+    """The alphabetically first banned term in source, archetype, tags and raw codes (code_term)."""
+    own = screen.first_term(F.concat_ws(" ", "source", "archetype", F.array_join("tags", " ")))
+    return F.coalesce(F.least(own, F.col("code_term")), own, F.col("code_term"))
 
 
 def screened(header: DataFrame, lines: DataFrame) -> DataFrame:
-    """A row for each mixture with its keys, features, phases, gate metrics, status and score. Terms are looked for in tags, source, archetype and raw codes."""
+    """A row for each mixture with its keys, features, phases, gate metrics, status and score.
+
+    Metrics are written before statuses are made of them: these are short cases then, that filters can be pushed to.
+    """
     spark = header.sparkSession
-    cat = catalog(spark)
-    shares = mixture.normalize(header, lines, cat)
-    raw = lines.groupBy("candidate_id").agg(screen_terms("code").alias("code_term"))
-    wide = features.profile(shares, cat).join(mixture.keys(header, shares).drop("archetype"), "candidate_id").join(header, "candidate_id").join(raw, "candidate_id", "left")
-    own = screen.first_term(F.concat_ws(" ", "source", "archetype", F.array_join("tags", " ")))
-    wide = mixture.signature(wide).withColumn("reject_reason", screen.reject_reason(F.when(F.col("code_term").isNull(), own).when(own.isNull(), F.col("code_term")).otherwise(F.least(own, F.col("code_term")))))
-    rows = screen.score(features.features(wide), profiles(spark))
+    wide = wide_rows(header, lines, catalog(spark)).withColumn("reject_reason", screen.reject_reason(found_term()))
+    keep = ["candidate_id", "ordinal", "archetype", "description", "source", "tags", "hash16", "formula", "coarse_key", "signature", "components", "reject_reason", "base_score", *FEATURES, "w_density", *[f"{p}_like" for p in phases()]]
+    rows = written(screen.score(features.features(wide), profiles(spark)).select(*keep))
     return screen.final_score(screen.gate_status(screen.gate_metrics(rows)))
 
 
-def screen_terms(code: str):
-    return F.min(screen.first_term(F.col(code)))
-
-
 def slim(rows: DataFrame) -> DataFrame:
     """What selections and reports need."""
-    keep = ["candidate_id", "ordinal", "archetype", "description", "source", "tags", "score", "hash16", "formula", "coarse_key", "signature", "reject_reason", *FEATURES, *screen.GATE, "gate_status", "gate_reason", "w_density", *[f"{p}_like" for p in phases()]]
+    keep = ["candidate_id", "ordinal", "archetype", "description", "source", "tags", "score", "hash16", "formula", "coarse_key", "signature", "components", "reject_reason", *FEATURES, *screen.GATE, "gate_status", "gate_reason", "w_density", *[f"{p}_like" for p in phases()]]
     return rows.select(*keep)

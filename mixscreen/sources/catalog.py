@@ -129,6 +129,24 @@ DEMIURGE: stone as engine: self-improving discovery loop that changes the search
 WORLD_REWRITER: stone as world-rewriter: rule-editing generative system, not a passive material
 """
 
+# How a review request words each profile, and any other.
+INTERPRETATIONS = """
+UNIVERSAL: balanced map of many functions
+CATALYST: modern transmutation as catalysis/resource conversion, not magical metal transmutation
+PURIFIER: matter purification through adsorption/separation/detox
+HEALER: repair through self-healing, damage recovery, biocompatible restoration
+STONE: corpus: stable durable structured matter
+LIFE: anima: life-compatible interface and biological fabrication
+ENERGY: spiritus: light/charge/energy conversion
+BIOMINERAL: living stone: biomineralization and biological mineral architecture
+LOWHAZARD: safe path: accessible, non-toxic, testable candidate space
+CANVAS: clean canvas: purified, low-noise surface where a new game can appear
+STAGEKEEPER: stagekeeper: safe, stable, reproducible scene preparation
+DEMIURGE: discovery engine: closed-loop transformer/search/review system
+WORLD_REWRITER: rule editor: system that changes the search space itself
+"""
+INTERPRETATION = "modern research vector"
+
 # Labels (roles or families) whose shares add up to a phase; an ingredient counts once for each label it has.
 PHASES = """
 matrix: matrix binder hydrogel crosslinker adhesion weak_acid plasticizer
@@ -196,6 +214,10 @@ def descriptions() -> dict[str, str]:
     return dict(line.split(": ", 1) for line in DESCRIPTIONS.split("\n") if line)
 
 
+def interpretations() -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in INTERPRETATIONS.split("\n") if line)
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """position, code, family, role and the properties of the shipped ingredients; any table with these columns can take its place."""
     schema = "position int, code string, family string, role string, " + ", ".join(f"{p} double" for p in PROPERTIES)

@@ -2,11 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the cluster's shared checkpoint folder, spark.checkpoint.dir; a temporary one where none is set and Spark runs in one process, as in tests."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("mixscreen.scratch.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-mixscreen-", dir="/tmp")
+        spark.conf.set("mixscreen.scratch.dir", root)
+    return f"{root.rstrip('/')}/mixscreen-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """The same rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows (counted, not guessed), else df itself, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Writes the columns in order, as text with a header; null and missing columns are empty."""
     have = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
