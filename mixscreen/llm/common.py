@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+from ..sources.files import scratch, written
+
+__all__ = ["BROADCAST_ROWS", "hashed", "mix", "partitions", "read", "remainder", "scratch", "shingles", "small_side", "unique_sorted", "unused", "written"]
+
 #: Largest number of rows of 8 to 40 bytes that a join side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -18,31 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared checkpoint folder (a temporary one where none is set, as in tests)."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("mixscreen.scratch.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-mixscreen-", dir="/tmp")
-        spark.conf.set("mixscreen.scratch.dir", root)
-    return f"{root.rstrip('/')}/mixscreen-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (counted, not guessed), else df itself, to be shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return files.small_side(df, most)
 
 
 def unused(name: str, columns: list[str]) -> str:
