@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import read, remainder, unused, written
 
 #: Characters in an n-gram; bits of a feature's number; labelled documents (rows) that the fit takes at most; ranges in which features are counted.
-ORDERS, BITS, SAMPLE, RANGES = (4, 5, 6), 20, 20_000, 64
-#: Least log-likelihood ratio (G squared) of a feature and the label.
-SIGNIFICANT = 12.0
+ORDERS, BITS, SAMPLE, RANGES = (4, 5, 6), 20, 10_000, 64
+#: Least log-likelihood ratio (G squared) of a feature and the label, and least size of its log-count ratio: others say next to nothing.
+SIGNIFICANT, TELLING = 12.0, 1.0
 THRESHOLD = 0.7
 GAP = "\0" * 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +87,11 @@ def significance(n0: np.ndarray, n1: np.ndarray, rows: int, toxic: int) -> np.nd
     return g
 
 
+def log_ratio(n0: np.ndarray, n1: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """The naive Bayes log-count ratio, smoothed by one."""
+    return np.log(((n1 + 1) / (toxic + 2)) / ((n0 + 1) / (rows - toxic + 2)))
+
+
 def _summed(rows: int, toxic: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         size = 2 * (1 << BITS) // RANGES
@@ -94,7 +99,7 @@ def _summed(rows: int, toxic: int):
         for x in group["counts"]:
             total += np.frombuffer(pa.decompress(x, decompressed_size=4 * size, codec="zstd"), np.int32)
         n0, n1 = total.reshape(2, -1)
-        at = np.flatnonzero((n0 + n1 >= 3) & (significance(n0, n1, rows, toxic) >= SIGNIFICANT))
+        at = np.flatnonzero((n0 + n1 >= 3) & (significance(n0, n1, rows, toxic) >= SIGNIFICANT) & (abs(log_ratio(n0, n1, rows, toxic)) >= TELLING))
         return pd.DataFrame({"feature": at + int(group["range"].iloc[0]) * (size // 2), "n0": n0[at], "n1": n1[at]})
 
     return run
@@ -106,8 +111,8 @@ def _selected(wanted):
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 doc, feature = grams(part.column(0).to_pylist(), wanted.value)
-                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))], ["toxic", "features"])
+                own = np.split(feature.astype(np.int32), np.searchsorted(doc, np.arange(1, part.num_rows)))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([x.tobytes() for x in own], pa.binary())], ["toxic", "features"])
 
     return run
 
@@ -154,13 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     if len(found) < 2:
         return (0.0 if not n else 40.0 if toxic else -40.0), nothing
     known = rows.mapInArrow(_counted, "range int, counts binary").groupBy("range").applyInPandas(_summed(n, toxic), "feature long, n0 long, n1 long").toPandas().sort_values("feature")
-    ratio = np.log(((known["n1"] + 1) / (toxic + 2)) / ((known["n0"] + 1) / (n - toxic + 2))).to_numpy()
+    ratio = log_ratio(known["n0"].to_numpy(), known["n1"].to_numpy(), n, toxic)
     wanted = np.zeros(1 << BITS, bool)
     wanted[known["feature"]] = True
     number = np.cumsum(wanted) - 1
-    chosen = rows.mapInArrow(_selected(spark.sparkContext.broadcast(wanted)), "toxic int, features array<int>").toPandas()
-    order = sorted(range(len(chosen)), key=lambda k: (int(chosen["toxic"][k]), list(chosen["features"][k])))  # so that partitions make no difference
-    b, w = fit([number[np.asarray(chosen["features"][k], np.int64)] for k in order], [int(chosen["toxic"][k]) for k in order], ratio)
+    chosen = rows.mapInArrow(_selected(spark.sparkContext.broadcast(wanted)), "toxic int, features binary").toPandas()
+    chosen = chosen.sort_values(["toxic", "features"], kind="stable")  # so that partitions make no difference
+    b, w = fit([number[np.frombuffer(x, np.int32)] for x in chosen["features"]], chosen["toxic"].tolist(), ratio)
     nothing[known["feature"]] = w
     return b, nothing
 

@@ -477,11 +477,12 @@ def test_toxicity_fit(spark):
     for x in set().union(*sets):
         n1, n0 = (sum(x in s for s, v in zip(sets, y, strict=True) if v == label) for label in (1, 0))
         g = sum(2 * o * np.log(o * n / (row * col)) for o, row, col in ((n1, n1 + n0, p), (n0, n1 + n0, n - p), (p - n1, n - n1 - n0, p), (n - p - n0, n - n1 - n0, n - p)) if o)
-        if n1 + n0 >= 3 and g >= toxicity.SIGNIFICANT:
-            known[x] = np.log(((n1 + 1) / (p + 2)) / ((n0 + 1) / (n - p + 2)))
+        r = np.log(((n1 + 1) / (p + 2)) / ((n0 + 1) / (n - p + 2)))
+        if n1 + n0 >= 3 and g >= toxicity.SIGNIFICANT and abs(r) >= toxicity.TELLING:
+            known[x] = r
     order = sorted(known)
     rows = [np.array([i for i, x in enumerate(order) if x in s], np.int64) for s in sets]
-    at = sorted(range(n), key=lambda k: (y[k], [order[i] for i in rows[k]]))
+    at = sorted(range(n), key=lambda k: (y[k], np.array(order, np.int32)[rows[k]].tobytes()))
     bias, w = toxicity.fit([rows[k] for k in at], [y[k] for k in at], np.array([known[x] for x in order]))
     got_bias, got = toxicity.train(make(spark, [(k, t, None, None) for k, t in enumerate(texts)]), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
     assert got_bias == pytest.approx(bias) and np.flatnonzero(got).tolist() == [x for x, v in zip(order, w, strict=True) if v] and np.allclose(got[order], w, atol=1e-6)
