@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, evenness, total
 from ..sources.catalog import FEATURES, META, PROPERTIES, phases
-from ..sources.files import small_side
-
-#: Ingredients of a catalog that is broadcast at most.
-INGREDIENTS = 100_000
 
 #: Roles or families whose share is needed beside the phases.
 ROLES = ["hydrogel", "binder", "adhesion", "plasticizer", "crosslinker", "biomineral", "engine", "world_model", "advanced"]
@@ -26,7 +22,7 @@ def with_phases(catalog: DataFrame) -> DataFrame:
 
 def profile(shares: DataFrame, catalog: DataFrame) -> DataFrame:
     """A row for each mixture: w_PROPERTY, PHASE_like, s_ROLE, largest share, components over 0.008: one shuffle, on candidate_id."""
-    joined = shares.join(small_side(with_phases(catalog), INGREDIENTS), "code")
+    joined = shares.join(with_phases(catalog), "code")
     return joined.groupBy("candidate_id").agg(*sums())
 
 

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import places
 from ..sources.catalog import DEFAULT_CODE
-from ..sources.files import small_side
 
 #: The classes of a diversity signature; the first of equal ones wins.
 DOMINANT = ["matrix", "mineral", "sorbent", "catalyst", "energy", "bio_process", "engine", "closed_loop"]
 
 
 def normalize(header: DataFrame, lines: DataFrame, catalog: DataFrame, default: str = DEFAULT_CODE) -> DataFrame:
-    """(candidate_id, code, frac): unknown codes and amounts that aren't positive go, the rest adds up to 1; a mixture left empty is the default ingredient."""
-    known = lines.where("amount > 0").join(small_side(catalog.select("code"), 100_000), "code", "left_semi").groupBy("candidate_id", "code").agg(F.sum("amount").alias("amount"))
+    """(candidate_id, code, frac): unknown codes and amounts that aren't positive go, the rest adds up to 1; a mixture left empty is the default ingredient. Lines are dealt out once, by candidate_id."""
+    known = lines.where("amount > 0").join(catalog.select("code"), "code", "left_semi").repartition("candidate_id").groupBy("candidate_id", "code").agg(F.sum("amount").alias("amount"))
     shares = known.withColumn("frac", F.col("amount") / F.sum("amount").over(Window.partitionBy("candidate_id")))
     full = header.select("candidate_id").join(shares.select("candidate_id", "code", "frac"), "candidate_id", "left")
     return full.select("candidate_id", F.coalesce("code", F.lit(default)).alias("code"), F.coalesce("frac", F.lit(1.0)).alias("frac"))

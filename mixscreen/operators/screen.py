@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, total
 from ..sources.catalog import DEFAULT_PROFILE, FEATURES, banned
-from ..sources.files import small_side
 
 META_PROFILES, STAGE_PROFILES = ["DEMIURGE", "WORLD_REWRITER"], ["CANVAS", "STAGEKEEPER"]
 GATE = ["material_score", "canvas_score", "stagekeeper_score", "demiurge_score", "scene_viability", "birth_readiness", "containment_integrity", "hypothesis_visibility", "expert_gate", "final_priority"]
 
-#: Profiles that are broadcast at most.
-PROFILES = 10_000
-
 # Profile: feature < threshold times factor.
 PENALTIES = """
 CANVAS: surface_readiness .42 .78, signal_clarity .40 .82, scene_preparation .40 .82
@@ -68,11 +64,10 @@ def reject_reason(term: Column) -> Column:
 
 def score(rows: DataFrame, profiles: DataFrame) -> DataFrame:
     """Adds base_score (the profile's dot product times penalties, 0 if rejected), ordinal and description; unknown profiles have the default's weights."""
-    weights = [f"w_{f}" for f in FEATURES]
-    table = profiles.select(F.col("archetype").alias("__a"), "ordinal", "description", *weights).withColumnsRenamed({f"w_{f}": f"t_{f}" for f in FEATURES})
-    other = profiles.where(F.col("archetype") == DEFAULT_PROFILE).select(F.col("ordinal").alias("__ordinal"), *[F.col(w).alias(f"__{w}") for w in weights])
-    out = rows.join(small_side(table, PROFILES), F.col("archetype") == F.col("__a"), "left").crossJoin(F.broadcast(other))  # one row
-    out = out.withColumns({"ordinal": F.coalesce("ordinal", "__ordinal"), "description": F.coalesce("description", F.lit(""))} | {f"t_{f}": F.coalesce(f"t_{f}", f"__w_{f}") for f in FEATURES})
+    table = profiles.select(F.col("archetype").alias("__a"), "ordinal", "description", *[F.col(f"w_{f}").alias(f"t_{f}") for f in FEATURES])
+    known = profiles.select(F.col("archetype").alias("__k"))
+    out = rows.join(known, F.col("archetype") == F.col("__k"), "left").withColumn("__w", F.coalesce("__k", F.lit(DEFAULT_PROFILE))).join(table, F.col("__w") == F.col("__a"))
+    out = out.withColumn("description", F.when(F.col("__k").isNotNull(), F.col("description")).otherwise(""))
     dot = total([F.col(f) * F.col(f"t_{f}") for f in FEATURES])
     for line in PENALTIES.split("\n"):
         if line:
@@ -81,7 +76,7 @@ def score(rows: DataFrame, profiles: DataFrame) -> DataFrame:
                 f, below, factor = rule.split()
                 dot = dot * F.when((F.col("archetype") == name) & (F.col(f) < float(below)), float(factor)).otherwise(1.0)
     out = out.withColumn("base_score", F.when(F.col("reject_reason").isNotNull(), 0.0).otherwise(clip(dot)))
-    return out.drop("__a", "__ordinal", *[f"t_{f}" for f in FEATURES], *[f"__{w}" for w in weights])
+    return out.drop("__a", "__k", "__w", *[f"t_{f}" for f in FEATURES])
 
 
 def gate_metrics(rows: DataFrame) -> DataFrame:

@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform
-from ..sources.catalog import META, biases, targets
-from ..sources.files import small_side
+from ..sources.catalog import META, biases, local, targets
 from .select import best_by, top
 
-#: Rows of draw tables and pools (a few for each profile) that are broadcast at most.
-STEPS = 200_000
-
 # Ingredients that a recipe always has, that it draws from, and tags; body: the matrices that material profiles start from.
 STAGE_ESSENTIALS = ["CLEAN_CANVAS_SURFACE", "SIGNAL_CLARITY_GATE", "SAFE_CONTAINMENT_MATRIX", "REPRODUCIBLE_SCENE_PROTOCOL"]
 STAGE_EXTRA = ["ZEOLITE_SAFE", "ACTIVATED_CARBON_SAFE", "BACTERIAL_CELLULOSE_MATRIX", "CLAY_PLATELET_BARRIER", "CHITOSAN_BINDER"]
@@ -41,12 +37,12 @@ def kind(archetype: Column) -> Column:
 def draw_weights(catalog: DataFrame) -> DataFrame:
     """(archetype, position, code, family, role, weight): the profile's bias of the family times that of the role times a base from hazard, testability and meta features."""
     spark = catalog.sparkSession
-    pairs = spark.createDataFrame([(a, label, b) for a, own in biases().items() for label, b in own.items()], "archetype string, label string, bias double")
-    names = spark.createDataFrame([(a,) for a in targets()], "archetype string")
+    pairs = local(spark, [(a, label, b) for a, own in biases().items() for label, b in own.items()], "archetype string, label string, bias double")
+    names = local(spark, [(a,) for a in targets()], "archetype string")
     base = F.lit(0.25) + F.col("low_hazard") + F.col("testability") * 0.25 + sum((F.col(f) for f in META[1:]), F.col(META[0])) * 0.06
-    rows = catalog.crossJoin(F.broadcast(names))  # the fixed profiles
+    rows = catalog.crossJoin(names)  # the fixed profiles
     for column in ("family", "role"):
-        own = F.broadcast(pairs.withColumnsRenamed({"label": column, "bias": f"b_{column}"}))
+        own = pairs.withColumnsRenamed({"label": column, "bias": f"b_{column}"})
         rows = rows.join(own, ["archetype", column], "left")
     return rows.select("archetype", "position", "code", "family", "role", (F.coalesce("b_family", F.lit(1.0)) * F.coalesce("b_role", F.lit(1.0)) * base).alias("weight"))
 
@@ -59,8 +55,8 @@ def cumulative(weights: DataFrame, group: list[str]) -> DataFrame:
 
 
 def weighted_draw(rows: DataFrame, steps: DataFrame, group: list[str], u: Column, into: str = "drawn") -> DataFrame:
-    """Adds the code whose cumulative interval holds u times the total: a broadcast lookup."""
-    joined = rows.withColumn("__u", u).join(small_side(steps, STEPS), group)
+    """Adds the code whose cumulative interval holds u times the total: steps has a row for each group, small enough to be broadcast."""
+    joined = rows.withColumn("__u", u).join(steps, group)
     hit = F.filter("steps", lambda s: s["up_to"] >= F.col("__u") * F.col("total"))
     return joined.withColumn(into, hit[0]["code"]).drop("steps", "total", "__u")
 
@@ -134,7 +130,7 @@ def tournament(rows: DataFrame, slots: int, entrants: int = 9, seed: int = 1, sc
     """
     n = rows.groupBy("archetype").agg(F.count("*").alias("n"))
     u = lambda k: uniform(F.lit(seed), "candidate_id", k)
-    own = rows.select("archetype", "candidate_id", "hash16", score).join(small_side(n, STEPS), "archetype")
+    own = rows.select("archetype", "candidate_id", "hash16", score).join(n, "archetype")
     entered = own.withColumn("slot", F.explode(F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: u(k) < F.lit(float(entrants)) / F.col("n"))))
     return entered.groupBy("archetype", "slot").agg(F.min_by("candidate_id", F.struct((-F.col(score)).alias("s"), "hash16", "candidate_id")).alias("candidate_id"))
 
@@ -147,7 +143,7 @@ def backfill(kept: DataFrame, header: DataFrame, sampled: DataFrame, need: int =
     """
     have = kept.groupBy("archetype").agg(F.count("*").alias("have"))
     short = header.select("archetype").distinct().join(have, "archetype", "left").withColumn("missing", F.lit(need) - F.coalesce("have", F.lit(0))).where("missing > 0").select("archetype", "missing")
-    new = sampled.where("score > 0").join(small_side(short, STEPS), "archetype").join(kept.select("archetype", "signature").distinct(), ["archetype", "signature"], "left_anti")
+    new = sampled.where("score > 0").join(short, "archetype").join(kept.select("archetype", "signature").distinct(), ["archetype", "signature"], "left_anti")
     return top(best_by(new, ["archetype", "signature"]), need).where("rank <= missing").drop("missing")
 
 
@@ -161,13 +157,13 @@ def batch(header: DataFrame, pool: DataFrame, pool_shares: DataFrame, catalog: D
     s = F.lit(seed)
     u = lambda *salt: uniform(s, "candidate_id", *[F.lit(x) for x in salt])
     sizes = pool.groupBy("archetype").agg(F.count("*").alias("n"))
-    rows = header.select("candidate_id", "archetype").join(small_side(sizes, STEPS), "archetype", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = header.select("candidate_id", "archetype").join(sizes, "archetype", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     draw = lambda k: F.floor(u("entrant", k) * F.col("n"))
     first, second = F.floor(u("first") * F.col("n")), F.floor(u("second") * (F.col("n") - 1))
     way = F.when((u("route") < 0.55) & (F.col("n") > 0), "perturb").when((u("route") >= 0.55) & (u("route") < 0.82) & (F.col("n") > 1), "blend").otherwise("sample")
     rows = rows.withColumns({"way": way, "parent": F.least(*[draw(k) for k in range(entrants)]) + 1, "first": first + 1, "second": (first + 1 + second) % F.col("n") + 1})
-    known = small_side(pool.select("archetype", "rank", F.col("candidate_id").alias("of"), "tags"), STEPS)
-    parts = small_side(pool_shares.withColumnRenamed("candidate_id", "of"), STEPS)
+    known = pool.select("archetype", "rank", F.col("candidate_id").alias("of"), "tags")
+    parts = pool_shares.withColumnRenamed("candidate_id", "of")
 
     mutants = rows.where("way = 'perturb'").withColumnRenamed("parent", "rank").join(known, ["archetype", "rank"])
     h1, l1 = perturb(mutants.select("candidate_id", "archetype", "tags"), mutants.select("candidate_id", "of").join(parts, "of").select("candidate_id", "code", "frac"), catalog, seed)

@@ -35,8 +35,7 @@ def header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array(*[F.lit(r["code"]) for r in ingredients()])
-    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), F.get(codes, (F.col("l_partkey") % 48).cast("int")).alias("code"), F.col("l_quantity").alias("amount"))
-    return own.groupBy("candidate_id", "code").agg(F.sum("amount").alias("amount"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), F.get(codes, (F.col("l_partkey") % 48).cast("int")).alias("code"), F.col("l_quantity").alias("amount"))
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,8 @@ def texts(components: str = "components_json") -> Column:
 
 
 def catalog_profile(spark, sf):
-    used = lines(spark, sf).groupBy("code").agg(F.count("*").alias("n_mixtures"), F.sum("amount").alias("amount"))
+    own = lines(spark, sf).groupBy("candidate_id", "code").agg(F.sum("amount").alias("amount"))
+    used = own.groupBy("code").agg(F.count("*").alias("n_mixtures"), F.sum("amount").alias("amount"))
     return catalog(spark).join(used, "code", "left").groupBy("family", "role").agg(F.count("*").alias("n_codes"), F.sum("n_mixtures").alias("n_mixtures"), F.sum("amount").alias("amount"), tidy(F.avg("low_hazard"), 6).alias("low_hazard"))
 
 

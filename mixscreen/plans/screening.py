@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, mixture, screen
 from ..sources.catalog import DEFAULT_CODE, FEATURES, catalog, phases, profiles
-from ..sources.files import small_side, written
+from ..sources.files import written
 
 
 def wide_rows(header: DataFrame, lines: DataFrame, cat: DataFrame, default: str = DEFAULT_CODE) -> DataFrame:
@@ -17,19 +17,15 @@ def wide_rows(header: DataFrame, lines: DataFrame, cat: DataFrame, default: str
     the header's. Unknown codes and amounts that aren't positive count for terms alone; a mixture left empty is the default ingredient.
     """
     dealt = lines.repartition("candidate_id").groupBy("candidate_id", "code").agg(F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("amount"))
-    table = features.with_phases(cat).withColumnRenamed("code", "__code")
-    known = dealt.join(small_side(table, features.INGREDIENTS), F.col("code") == F.col("__code"), "left").withColumn("amount", F.when(F.col("__code").isNotNull(), F.col("amount")))
-    share = known.withColumn("frac", F.col("amount") / F.sum("amount").over(Window.partitionBy("candidate_id")))
-    part = F.when(F.col("frac").isNotNull(), F.struct("code", "frac"))
-    wide = share.groupBy("candidate_id").agg(*features.sums(), F.collect_list(part).alias("parts"), F.min(screen.first_term(F.col("code"))).alias("code_term"))
-    numbers = [c for c in wide.columns if c not in ("candidate_id", "parts", "code_term", "max_share", "n_components")]
-    alone = table.where(F.col("__code") == default).select(*[F.col(c.removeprefix("w_") if c.startswith("w_") else f"p_{c.removesuffix('_like')}" if c.endswith("_like") else c.replace("s_", "r_", 1)).cast("double").alias(f"__{c}") for c in numbers])
-    out = header.join(wide, "candidate_id", "left").crossJoin(F.broadcast(alone))  # one row
-    empty = F.coalesce(F.size("parts") == 0, F.lit(True))
-    fill = {c: F.when(empty, F.col(f"__{c}")).otherwise(F.col(c)) for c in numbers}
-    fill |= {"max_share": F.when(empty, 1.0).otherwise(F.col("max_share")), "n_components": F.when(empty, 1).otherwise(F.col("n_components"))}
-    fill |= {"parts": F.when(empty, F.array(F.struct(F.lit(default).alias("code"), F.lit(1.0).alias("frac")))).otherwise(F.col("parts"))}
-    return mixture.signature(mixture.with_keys(out.withColumns(fill).drop(*[f"__{c}" for c in numbers])))
+    terms = dealt.groupBy("candidate_id").agg(F.min(screen.first_term(F.col("code"))).alias("code_term"))
+    known = dealt.where("amount IS NOT NULL").join(cat.select("code"), "code", "left_semi")
+    shares = known.select("candidate_id", "code", (F.col("amount") / F.sum("amount").over(Window.partitionBy("candidate_id"))).alias("frac"))
+    full = header.select("candidate_id").join(shares, "candidate_id", "left").select("candidate_id", F.coalesce("code", F.lit(default)).alias("code"), F.coalesce("frac", F.lit(1.0)).alias("frac"))
+    # sums and lists apart: lists would keep the sums out of generated code; both read the same exchanges
+    summed = features.profile(full, cat)
+    listed = full.groupBy("candidate_id").agg(F.collect_list(F.struct("code", "frac")).alias("parts"))
+    out = header.join(listed, "candidate_id").join(terms, "candidate_id", "left").join(summed, "candidate_id")
+    return mixture.signature(mixture.with_keys(out))
 
 
 def found_term() -> Column:

@@ -218,20 +218,31 @@ def interpretations() -> dict[str, str]:
     return dict(line.split(": ", 1) for line in INTERPRETATIONS.split("\n") if line)
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals of the plan: no job reads them, and the optimizer knows their size."""
+
+    def text(x) -> str:
+        return "NULL" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x)
+
+    columns = [c.strip().split(" ") for c in schema.split(",")]
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({c} AS {kind}) AS {c}' for c, kind in columns)} FROM VALUES {values} AS t({', '.join(c for c, _ in columns)})")
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """position, code, family, role and the properties of the shipped ingredients; any table with these columns can take its place."""
     schema = "position int, code string, family string, role string, " + ", ".join(f"{p} double" for p in PROPERTIES)
-    return spark.createDataFrame([(k, *r.values()) for k, r in enumerate(ingredients())], schema)
+    return local(spark, [(k, *r.values()) for k, r in enumerate(ingredients())], schema)
 
 
 def target_weights(spark: SparkSession) -> DataFrame:
     """(ordinal, archetype, feature, weight), long form."""
     rows = [(k, a, f, w) for k, (a, own) in enumerate(targets().items()) for f, w in own.items()]
-    return spark.createDataFrame(rows, "ordinal int, archetype string, feature string, weight double")
+    return local(spark, rows, "ordinal int, archetype string, feature string, weight double")
 
 
 def profiles(spark: SparkSession) -> DataFrame:
     """A row for each profile: ordinal, archetype, description and a weight column w_FEATURE for each feature."""
     text = descriptions()
     rows = [(k, a, text.get(a, ""), *(own.get(f, 0.0) for f in FEATURES)) for k, (a, own) in enumerate(targets().items())]
-    return spark.createDataFrame(rows, "ordinal int, archetype string, description string, " + ", ".join(f"w_{f} double" for f in FEATURES))
+    return local(spark, rows, "ordinal int, archetype string, description string, " + ", ".join(f"w_{f} double" for f in FEATURES))
