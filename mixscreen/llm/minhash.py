@@ -169,9 +169,9 @@ def tiles(rows: DataFrame, labelled: bool = False) -> DataFrame:
     if not labelled:
         rows = rows.withColumn("label", F.lit(None).cast("long"))
     per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    sizes = per.groupBy("key").agg(F.sum("n").alias("total"))
+    sizes = small_side(written(per.groupBy("key").agg(F.sum("n").alias("total"))))  # a read table: adaptive execution can split hot keys
     if labelled:
-        large = per.where(F.col("n") > CHUNK // 2).withColumnRenamed("n", "own")
+        large = small_side(written(per.where(F.col("n") > CHUNK // 2).withColumnRenamed("n", "own")))
         dealt = rows.join(sizes, "key").join(large, ["key", "label"], "left")
         pure = F.xxhash64("label", F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / CHUNK)))
         mixed = F.pmod(F.xxhash64("label"), F.ceil(F.col("total") / CHUNK)).cast("long")
