@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,9 +148,12 @@ class CrossParser:
 _PARSERS: dict[int, CrossParser] = {}
 
 
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+
+
 def plain(text: str) -> bytes:
-    """What is parsed: lower case, single spaces, UTF-8."""
-    return " ".join(text.lower().split()).encode()
+    """What is parsed: lower-case letters and their marks in UTF-8, a space for whatever stands between."""
+    return " ".join(WORD.findall(text.lower())).encode()
 
 
 def _predict(data, seed: int, names: list[str]):
@@ -195,7 +199,7 @@ def learn(docs: DataFrame, documents: int = DOCUMENTS) -> dict[str, bytes]:
 def identify(docs: DataFrame, data: dict[str, bytes], into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all), the language whose data gives the text the fewest phrases for each byte, and a score.
 
-    The whole text is parsed, lower-cased and with white space made single, into the longest phrases that the data of a
+    The whole text is parsed, its letters alone, in lower case and with single spaces between, into the longest phrases that the data of a
     language has. Phrases are normalised: each counts the bits of a place in that data, over the text's bytes. The
     score is the winner's share if languages are weighed by 2^-bits of a text of as many bytes, SCORED at most. Null
     texts, texts without a letter, and all if no language was learned: `und` and 0. Ties go to the language that sorts
