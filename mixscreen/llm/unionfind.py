@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Links that a task joins in the second pass, whose tasks are as many as the links ask for.
+LINKS = 500_000
+
+
 class Forest:
     """Union-find over any hashable nodes; the smallest node of a set is its root."""
 
@@ -54,14 +58,19 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) of each node that has a link to another node; root is the component's smallest id.
 
-    Each round first gives the larger neighbours of a node the smallest one of its neighbourhood (large star), then
+    Links are joined where they are, and the forests that come of it once more, LINKS of them in a task. If that is one
+    task, its forest is the result; else rounds follow. Each round first gives the larger neighbours of a node the smallest one of its neighbourhood (large star), then
     its smaller ones (small star). Rounds are logarithmic in the longest path; links go to a written table after each.
     The smallest neighbours are written too: a join of two read tables is one whose hot keys (a large component's
     root) adaptive execution splits. Null ends and links of a node with itself are left out; repeated links change
     nothing; no links give no rows.
     """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
-    edges, before = written(links.mapInArrow(_local, "u long, v long").distinct()), None
+    edges = written(links.mapInArrow(_local, "u long, v long").distinct())
+    tasks = 1 + edges.count() // LINKS
+    edges, before = written(edges.coalesce(tasks).mapInArrow(_local, "u long, v long")), None
+    if tasks == 1:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")))

@@ -130,7 +130,9 @@ def test_mix_brute_force(spark):
     assert all(r[c] == c for r in got for c in names if c != "mix_slot")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [20, 500_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(unionfind, "LINKS", most)
     r = random.Random(3)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + k, 401 + k) for k in range(30)] + [(9, 9)]
     forest = unionfind.Forest()
