@@ -128,4 +128,34 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}
-ORACLE: dict[str, str] = {}
+#: All pairs of lines that share a shingle. (The candidate search misses a pair at the threshold with probability under 0.002: none in the test tables.)
+ORACLE = {
+    "op7_line_dedup": r"""
+        WITH RECURSIVE u AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents
+        ), p AS (
+            SELECT *, array_to_string(string_split_regex(trim(lower(line), E' \t\n\r\f\v'), '\s+'), ' ') AS plain FROM u
+        ), d AS (
+            SELECT plain, row_number() OVER (ORDER BY plain) AS id FROM (SELECT DISTINCT plain FROM p WHERE plain <> '')
+        ), g AS (
+            SELECT DISTINCT id, unnest(list_transform(range(1, greatest(2, length(plain) - 5)), lambda i: substr(plain, i, 7))) AS gram FROM d
+        ), n AS (
+            SELECT id, count(*) AS n FROM g GROUP BY id
+        ), c AS (
+            SELECT x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL
+        ), h AS (
+            SELECT a, b FROM c JOIN n m ON m.id = a JOIN n o ON o.id = b WHERE k >= 0.8 * (m.n + o.n - k) - 1e-9
+        ), l AS (
+            SELECT a, b FROM h UNION ALL SELECT b, a FROM h
+        ), reach AS (
+            SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+        ), r AS (
+            SELECT id, least(id, coalesce(min(b), id)) AS root FROM d LEFT JOIN reach ON a = id GROUP BY id
+        ), o AS (
+            SELECT p.*, plain <> '' AND row_number() OVER (PARTITION BY CASE WHEN plain = '' THEN -1 ELSE root END ORDER BY doc_id, k) > 1 AS gone FROM p LEFT JOIN d USING (plain) LEFT JOIN r USING (id)
+        ), t AS (
+            SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (gone)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS body FROM o GROUP BY doc_id
+        )
+        SELECT doc_id, n_lines, n_removed, octet_length(encode(body)) AS kept_bytes, sha256(body) AS text_sha256 FROM t
+    """
+}
