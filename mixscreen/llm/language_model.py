@@ -191,11 +191,11 @@ def _held_out(n: int, apart_n: int):
 def expectation_maximisation(cells: pd.DataFrame, types: int, steps: int = STEPS) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of each context bucket that make the held-out events likeliest.
 
-    Where no event fell into a bucket the nearest lower bucket's weights hold, at first (0, 0.9, 0.1). The weight of
+    Where no event fell into a bucket the nearest lower bucket's weights hold, at first (0, 0.9, 0.1), or the uniform part's alone if nothing was learned. The weight of
     the uniform part stays over 0, so that no text gets probability 0; an unseen context has no bigram part.
     """
     out = np.zeros((BUCKETS, 3))
-    before = np.array([0.0, 0.9, 0.1])
+    before = np.array([0.0, 0.9, 0.1]) if types else np.array([0.0, 0.0, 1.0])
     for k in range(BUCKETS):
         own = cells[(cells["bucket"] == k) & (cells["n"] > 0)]
         if len(own):
