@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, read, small_side, unique_sorted, written
+from .common import mix, read, small_side, unique_sorted, unused, written
 from .minhash import band_keys, chained, one_permutation, shared
 
 #: Characters in a shingle; Jaccard similarity of copies; bands and rows: a pair at the threshold is missed with probability (1 - 0.8^4)^12 < 0.002.
@@ -114,8 +114,9 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = named.select(F.coalesce(F.col("root").cast("string").cast("binary"), F.col("digest")).alias("component"), "places")
     stays = written(named.groupBy("component").agg(F.min(F.col("places")[0]).alias("stays"), F.sum(F.size("places")).alias("n")).where("n > 1").select("component", "stays"))
     gone = named.join(small_side(stays), "component").select(F.explode("places").alias("p"), "stays").where("p != stays")
-    removed = gone.groupBy(F.col("p.doc").alias("__doc"), F.col("p.key").alias("__key")).agg(F.array_sort(F.collect_set("p.line")).alias("removed_lines"))
-    out = docs.drop("removed_lines").join(removed.hint("shuffle_hash"), (me == F.col("__doc")) & (key == F.col("__key")), "left").drop("__doc", "__key")
+    d, k = unused("__doc", docs.columns), unused("__key", docs.columns)
+    removed = gone.groupBy(F.col("p.doc").alias(d), F.col("p.key").alias(k)).agg(F.array_sort(F.collect_set("p.line")).alias("removed_lines"))
+    out = docs.drop("removed_lines").join(removed.hint("shuffle_hash"), (me == F.col(d)) & (key == F.col(k)), "left").drop(d, k)
     left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(removed_lines, i)), '\\n')")
     return out.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left))
 

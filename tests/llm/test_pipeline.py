@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import DOCS, prose
 
 import corpus_pipeline
@@ -111,7 +112,7 @@ def test_near_copies_by_row(spark):
     a, b, c, d = (prose(k, 120) for k in (851, 852, 853, 854))
     near = " ".join(w if k != 60 else "changed" for k, w in enumerate(a.split()))
     rows = [(1, a, "s"), (1, a, "r"), (2, near, "s"), (2, b, "s"), (None, near, "s"), (None, a, "s"), (None, c, "s"), (None, c, "s"), (None, d, "s"), (4, d, "s"), (5, "", "s"), (None, None, "s")]
-    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS).withColumns({c: F.lit(1) for c in ("id_", "gone_", "digest_", "digest", "root", "n", "__i")})
     got = sorted((r.doc_id or 0, r.text, r.source) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == sorted([(1, a, "r"), (2, b, "s"), (0, c, "s"), (4, d, "s"), (5, "", "s")])
 
