@@ -12,7 +12,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixscreen.llm.common import partitions, read, remainder, small_side, written
+from mixscreen.llm.common import partitions, read, remainder, small_side, unused, written
 from mixscreen.llm.jaccard_join import jaccard_join
 from mixscreen.llm.line_dedup import line_dedup
 from mixscreen.llm.mixing import WEIGHTS, mix_sources
@@ -23,7 +23,8 @@ from mixscreen.llm.toxicity import THRESHOLD, score_toxicity, train
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose toxicity score is under the threshold; the classifier learns from the labels that op9 learns from."""
     model = train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 3) != 1))
-    return score_toxicity(docs, model, into="__toxicity").where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    score = unused("toxicity", docs.columns)
+    return score_toxicity(docs, model, into=score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +44,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
     firsts = rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("k")).where("k > 1").select("root", "first")
     gone = rows.join(small_side(written(firsts), 500_000), "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))))
-    gone = written(gone.select(F.col("doc_id").alias("__i"), F.col("digest").alias("__g")))
+    i, g, d = (unused(x, docs.columns) for x in ("id_", "gone_", "digest_"))
+    gone = written(gone.select(F.col("doc_id").alias(i), F.col("digest").alias(g)))
 
-    own = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__g"))
+    own = docs.withColumn(d, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(d) == F.col(g))
     left = own.join(gone.hint("shuffle_hash"), same, "left_anti")
-    twice = written(rows.where("n > 1").select(F.col("doc_id").alias("__i"), F.col("digest").alias("__g")))
+    twice = written(rows.where("n > 1").select(F.col("doc_id").alias(i), F.col("digest").alias(g)))
     if not twice.limit(1).count():
         return left.select(*docs.columns)
     twice = small_side(twice, 500_000)
-    one = left.join(twice, same, "left_semi").groupBy("doc_id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    one = left.join(twice, same, "left_semi").groupBy("doc_id", d).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return left.join(twice, same, "left_anti").select(*docs.columns).unionAll(one)
 
 
@@ -63,13 +65,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_file_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, read from Parquet files, with __order: the row's number by the number of the task that wrote its file, then by its place in the file. Spark reads files in another order."""
+    """doc_id and text of docs, read from Parquet files, with __order: the row's number by the number of the task that wrote its file, then by its place in the file. Spark reads files in another order."""
     path = F.col("_metadata.file_path")
     sizes = docs.groupBy(path.alias("path")).count().collect()
     sizes.sort(key=lambda r: (int(m[1]) if (m := re.search(r"part-(\d+)[^/]*$", r["path"])) else -1, r["path"]))
     starts = list(accumulate((r["count"] for r in sizes), initial=0))
     table = spark.createDataFrame([(r["path"], n) for r, n in zip(sizes, starts[:-1], strict=True)], "__path string, __start long")
-    placed = docs.select("*", path.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    placed = docs.select("doc_id", "text", path.alias("__file"), F.col("_metadata.row_index").alias("__row"))
     return placed.join(F.broadcast(table), F.col("__file") == F.col("__path")).withColumn("__order", F.col("__start") + F.col("__row"))
 
 
