@@ -40,7 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     that with the smallest other columns stays.
     """
     members, _ = jaccard_join(docs, whole=False)
-    rows = written(members.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")))
+    # written before it is grouped: the join by digest can then be split where many rows have one text
+    rows = written(written(members.select("root", "doc_id", "digest")).groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
     firsts = rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("k")).where("k > 1").select("root", "first")
     gone = rows.join(small_side(written(firsts), 500_000), "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))))
