@@ -21,10 +21,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/mixscreen-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The same rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
+    """The same rows, written to the shared folder and read again: cuts lineage and survives lost executors. options: of the Parquet writer."""
     path = scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
