@@ -20,6 +20,8 @@ LAST = (1 << 63) - 1
 #: Characters whose shingles are made together.
 TOGETHER = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Values of lines hardly repeat: dictionaries would be built in vain.
+PLAIN = {"parquet.enable.dictionary": "false"}
 LINES = "digest binary, id long, line string, places array<struct<doc:long,key:long,line:int>>, bands array<long>"
 
 
@@ -103,7 +105,7 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     me = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(me.alias("doc"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = written(texts.mapInArrow(_signed, LINES))
+    lines = written(texts.mapInArrow(_signed, LINES), options=PLAIN)
 
     def items(ids: DataFrame) -> DataFrame:
         return lines.select("id", F.col("line").alias("item")).join(small_side(ids), "id", "left_semi").groupBy("id").agg(F.first("item").alias("item"))
