@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources import files
 from ..sources.files import scratch, written
 
-__all__ = ["BROADCAST_ROWS", "hashed", "mix", "partitions", "read", "remainder", "scratch", "shingles", "small_side", "unique_sorted", "unused", "written"]
+__all__ = ["BROADCAST_ROWS", "hashed", "mix", "partitions", "read", "remainder", "scratch", "shingles", "small_side", "unique_sorted", "unused", "whole_numbers", "written"]
 
 #: Largest number of rows of 8 to 40 bytes that a join side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -41,6 +41,12 @@ def remainder(col: str, divisor: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
+def whole_numbers(rows: DataFrame, *keep: str | Column, vector: str = "embedding", scale: int = 256) -> DataFrame:
+    """keep and x: the vector's entries times scale, rounded down (beyond 64 bits: the nearest such number). Rows go whose vector is null or has null or non-finite entries."""
+    odd = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return rows.where(F.col(vector).isNotNull() & ~odd).select(*keep, F.transform(vector, lambda c: F.floor(c.cast("double") * scale)).alias("x"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
