@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, jaccard_join, language_id, language_model, line_dedup, media, mixing, packing, toxicity, warc, whitening
+from . import byte_bpe, exact_dedup, hard_negatives, jaccard_join, language_id, language_model, line_dedup, media, mixing, packing, toxicity, warc, whitening
 
-MODULES = (mixing, jaccard_join, language_model, warc, language_id, media, line_dedup, exact_dedup, toxicity, packing, whitening, byte_bpe)
+MODULES = (mixing, jaccard_join, language_model, warc, language_id, media, line_dedup, exact_dedup, toxicity, packing, whitening, byte_bpe, hard_negatives)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
