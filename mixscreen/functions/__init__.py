@@ -12,6 +12,16 @@ def clip(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def clipped(x: str) -> str:
+    """SQL of clip(): one expression of many terms is a single call as text."""
+    return f"greatest(0D, least(1D, {x}))"
+
+
+def average(xs: list[str], clip: bool = False) -> str:
+    """SQL of the mean of columns or expressions, clipped or known to lie in 0..1."""
+    return f"(({' + '.join(clipped(x) if clip else x for x in xs)}) / {len(xs)}D)"
+
+
 def total(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, xs)
 

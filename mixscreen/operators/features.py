@@ -1,86 +1,118 @@
-"""Wide rows: weighted properties, phase shares and interaction features of each mixture."""
+"""Wide rows: weighted properties, phase shares and interaction features of each mixture.
+
+A mixture is a row with parts (array of code, frac and at, its ingredient's place in the book): all its averages and
+shares are one vector, the sum of its ingredients' vectors by share, so the plan stays small whatever their number.
+Formulas are SQL text over named columns.
+"""
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clip, evenness, total
-from ..sources.catalog import FEATURES, META, PROPERTIES, phases
+from ..functions import clipped
+from ..sources.catalog import FEATURES, META, PROPERTIES, local, phases
 
 #: Roles or families whose share is needed beside the phases.
 ROLES = ["hydrogel", "binder", "adhesion", "plasticizer", "crosslinker", "biomineral", "engine", "world_model", "advanced"]
 BALANCED = FEATURES[:8]
+#: What the entries of an ingredient's vector are: properties, how many of a phase's labels it has, whether it has a role or family.
+VECTOR = [*(f"w_{p}" for p in PROPERTIES), *(f"{p}_like" for p in phases()), *(f"s_{r}" for r in ROLES)]
+#: Most ingredients of a catalog: their vectors are literals of the plan.
+MOST_CODES = 5000
+
+
+class Book:
+    """A catalog's codes, in order, and their vectors."""
+
+    def __init__(self, catalog: DataFrame) -> None:
+        rows = catalog.select("code", "family", "role", *PROPERTIES).limit(MOST_CODES + 1).collect()
+        if len(rows) > MOST_CODES:
+            raise ValueError(f"a catalog has at most {MOST_CODES} ingredients")
+        rows.sort(key=lambda r: r.code)
+        self.codes = [r.code for r in rows]
+        if len(set(self.codes)) < len(self.codes):
+            raise ValueError("a code is in the catalog twice")
+        self.spark = catalog.sparkSession
+        labels = phases().values()
+        self.vectors = [[*((r[p] or 0.0) for p in PROPERTIES), *(float(sum(x in (r.role, r.family) for x in own)) for own in labels), *(float(x in (r.role, r.family)) for x in ROLES)] for r in rows]
+
+    def places(self) -> DataFrame:
+        """(code, at)"""
+        return local(self.spark, [(c, k) for k, c in enumerate(self.codes)], "code string, at int") if self.codes else self.spark.createDataFrame([], "code string, at int")
 
+    def vector(self) -> Column:
+        """The sum of the vectors of parts by their shares."""
+        vectors = F.from_json(F.lit(json.dumps(self.vectors)), "array<array<double>>")
+        add = lambda acc, p: F.zip_with(acc, F.get(vectors, p["at"]), lambda a, v: a + p["frac"] * v)
+        return F.aggregate("parts", F.lit([0.0] * len(VECTOR)), add)
 
-def with_phases(catalog: DataFrame) -> DataFrame:
-    """The catalog with p_PHASE: how many of the phase's labels an ingredient has, and r_ROLE: whether it has the role or family."""
-    has = lambda label: (F.col("role") == label) | (F.col("family") == label)
-    counts = {f"p_{p}": sum((has(x).cast("int") for x in labels), F.lit(0)) for p, labels in phases().items()}
-    return catalog.select("code", *PROPERTIES, *[c.alias(k) for k, c in counts.items()], *[has(r).cast("int").alias(f"r_{r}") for r in ROLES])
+
+def measured(rows: DataFrame, book: Book) -> DataFrame:
+    """rows with VECTOR, the largest share and the number of components over 0.008."""
+    out = rows.withColumns({"__v": book.vector(), "max_share": F.expr("array_max(transform(parts, p -> p.frac))"), "n_components": F.expr("size(filter(parts, p -> p.frac > 0.008D))")})
+    return out.selectExpr(*[c for c in out.columns if c != "__v"], *[f"__v[{k}] AS {c}" for k, c in enumerate(VECTOR)])
 
 
 def profile(shares: DataFrame, catalog: DataFrame) -> DataFrame:
-    """A row for each mixture: w_PROPERTY, PHASE_like, s_ROLE, largest share, components over 0.008: one shuffle, on candidate_id."""
-    joined = shares.join(with_phases(catalog), "code")
-    return joined.groupBy("candidate_id").agg(*sums())
-
-
-def sums() -> list[Column]:
-    """The aggregates of profile(), of rows with frac and the columns of with_phases(); null shares don't count."""
-    share = F.col("frac")
-    held = lambda x: F.coalesce(F.sum(share * F.col(x)), F.lit(0.0))  # noqa: E731  never null: Spark then passes more columns between generated methods
-    out = [held(p).alias(f"w_{p}") for p in PROPERTIES] + [held(f"p_{p}").alias(f"{p}_like") for p in phases()] + [held(f"r_{r}").alias(f"s_{r}") for r in ROLES]
-    return [*out, F.max("frac").alias("max_share"), F.count_if(share > 0.008).alias("n_components")]
-
-
-def _raw() -> dict[str, Column]:
-    w = {f: F.col(f"w_{f}") for f in FEATURES}
-    p = {x: F.col(f"{x}_like") for x in phases()}
-    s = {r: F.col(f"s_{r}") for r in ROLES}
-    low = F.least
-    solid = p["mineral"] + p["sorbent"]
-    loop = p["memory"] + p["closed_loop"]
-    guarded = p["safety_gate"] + p["engine"]
-    gain = {
-        "transformation": 0.18 * low(p["catalyst"], p["matrix"] + solid) + 0.08 * low(p["bio_process"], p["matrix"]),
-        "purification": 0.20 * low(p["sorbent"] + p["mineral"], p["matrix"] + p["catalyst"] + p["sorbent"]),
-        "self_healing": 0.20 * low(s["hydrogel"] + s["binder"] + s["adhesion"] + s["plasticizer"], p["matrix"] + p["bio_process"]),
-        "structure_strength": 0.20 * low(p["matrix"], solid) + 0.08 * low(s["crosslinker"] + s["adhesion"], p["matrix"]),
-        "durability": 0.16 * low(solid, p["matrix"] + p["catalyst"]) + F.when(F.array_contains("tags", "LOW_HAZARD_GATE"), 0.05).otherwise(0.0),
-        "energy_conversion": 0.18 * low(p["energy"] + p["catalyst"], p["matrix"] + solid),
-        "biomineralization": 0.25 * low(s["biomineral"] + p["bio_process"], p["matrix"] + p["mineral"]),
-        "rule_rewriting": 0.16 * low(p["rule_editor"] + p["generator"], loop),
-        "autocatalysis": 0.14 * low(p["closed_loop"], p["engine"]),
-        "closed_loop_learning": 0.18 * low(loop, guarded),
-        "generativity": 0.18 * low(p["generator"] + s["engine"], p["engine"]),
-        "programmability": 0.10 * low(p["rule_editor"] + p["engine"], loop),
-        "world_modeling": 0.14 * low(s["world_model"] + p["memory"], p["closed_loop"] + p["engine"]),
-        "agency": 0.12 * low(p["rule_editor"] + p["closed_loop"], guarded),
-        "feedback_gain": 0.18 * low(p["closed_loop"] + p["safety_gate"], p["memory"] + p["engine"]),
-        "noise_removal": 0.16 * low(p["sorbent"] + p["surface"] + p["canvas"], p["containment"] + p["matrix"] + p["engine"]),
-        "surface_readiness": 0.18 * low(p["surface"] + p["canvas"], p["containment"] + p["scene_protocol"] + p["matrix"]),
-        "signal_clarity": 0.16 * low(p["surface"] + p["memory"] + p["canvas"], p["scene_protocol"]),
-        "safe_containment": 0.18 * low(p["containment"] + p["safety_gate"] + p["canvas"], p["matrix"] + p["engine"] + p["scene_protocol"]),
-        "scene_preparation": 0.20 * low(p["canvas"] + p["scene_protocol"] + p["matrix"], p["sorbent"] + p["engine"] + p["containment"]),
-        "creative_potential": 0.16 * low(p["canvas"] + p["generator"] + p["scene_protocol"], p["surface"] + p["closed_loop"]),
-    }
-    return {f: w[f] + gain[f] if f in gain else w[f] for f in FEATURES}
-
-
-#: How much of its group's evenness bonus a feature gets.
+    """A row for each mixture of shares (candidate_id, code, frac) with w_PROPERTY, PHASE_like, s_ROLE, largest share, components over 0.008: one shuffle, on candidate_id."""
+    book = Book(catalog)
+    own = shares.join(book.places(), "code").groupBy("candidate_id").agg(F.collect_list(F.struct("code", "frac", "at")).alias("parts"))
+    return measured(own, book).drop("parts")
+
+
+# What a feature gains from phases (by name) and role shares (s_ROLE).
+GAINS = """
+transformation: 0.18 * least(catalyst, matrix + mineral + sorbent) + 0.08 * least(bio_process, matrix)
+purification: 0.20 * least(sorbent + mineral, matrix + catalyst + sorbent)
+self_healing: 0.20 * least(s_hydrogel + s_binder + s_adhesion + s_plasticizer, matrix + bio_process)
+structure_strength: 0.20 * least(matrix, mineral + sorbent) + 0.08 * least(s_crosslinker + s_adhesion, matrix)
+durability: 0.16 * least(mineral + sorbent, matrix + catalyst) + if(array_contains(tags, 'LOW_HAZARD_GATE'), 0.05, 0.0)
+energy_conversion: 0.18 * least(energy + catalyst, matrix + mineral + sorbent)
+biomineralization: 0.25 * least(s_biomineral + bio_process, matrix + mineral)
+rule_rewriting: 0.16 * least(rule_editor + generator, memory + closed_loop)
+autocatalysis: 0.14 * least(closed_loop, engine)
+closed_loop_learning: 0.18 * least(memory + closed_loop, safety_gate + engine)
+generativity: 0.18 * least(generator + s_engine, engine)
+programmability: 0.10 * least(rule_editor + engine, memory + closed_loop)
+world_modeling: 0.14 * least(s_world_model + memory, closed_loop + engine)
+agency: 0.12 * least(rule_editor + closed_loop, safety_gate + engine)
+feedback_gain: 0.18 * least(closed_loop + safety_gate, memory + engine)
+noise_removal: 0.16 * least(sorbent + surface + canvas, containment + matrix + engine)
+surface_readiness: 0.18 * least(surface + canvas, containment + scene_protocol + matrix)
+signal_clarity: 0.16 * least(surface + memory + canvas, scene_protocol)
+safe_containment: 0.18 * least(containment + safety_gate + canvas, matrix + engine + scene_protocol)
+scene_preparation: 0.20 * least(canvas + scene_protocol + matrix, sorbent + engine + containment)
+creative_potential: 0.16 * least(canvas + generator + scene_protocol, surface + closed_loop)
+"""
+#: How much of its group's evenness bonus a feature gets.
 BONUS = {"transformation": 1.0, "purification": 0.5, "self_healing": 0.5, "structure_strength": 0.4, "durability": 0.4, "energy_conversion": 0.5, "biomineralization": 0.5}
 META_BONUS = {"rule_rewriting": 1.0, "autocatalysis": 0.5, "closed_loop_learning": 0.7, "generativity": 0.7, "programmability": 0.5, "world_modeling": 0.6, "agency": 0.5, "feedback_gain": 0.7}
 
 
+def raw() -> dict[str, str]:
+    """SQL of each feature before its bonus: the weighted average and what it gains."""
+    gains = dict(line.split(": ", 1) for line in GAINS.split("\n") if line)
+    named = {f: re.sub(r"\b(" + "|".join(phases()) + r")\b", r"\1_like", g) for f, g in gains.items()}
+    return {f: f"w_{f} + {named[f]}" if f in named else f"w_{f}" for f in FEATURES}
+
+
+def even(array: str, least: float, spread: float) -> str:
+    """SQL of the evenness bonus of an array: least times its smallest value, and spread times 1 less its standard deviation."""
+    squares = f"aggregate({array}, 0D, (a, x) -> a + (x - {array}_mean) * (x - {array}_mean)) / size({array})"
+    return f"{least} * array_min({array}) + {spread} * (1 - sqrt({squares}))"
+
+
 def features(wide: DataFrame) -> DataFrame:
-    """Rows of profile() that have tags, with the 25 features in place of averages and role shares; even mixtures get a bonus."""
-    out = wide.withColumns({f"raw_{f}": x for f, x in _raw().items()})
-    out = out.withColumns({f"clip_{f}": clip(F.col(f"raw_{f}")) for f in BALANCED + META})
-    own, meta = ([F.col(f"clip_{f}") for f in group] for group in (BALANCED, META))
-    out = out.withColumns({"u_average": total(own) / len(own), "d_average": total(meta) / len(meta)})
-    (least, even), (least_d, even_d) = evenness(own, F.col("u_average")), evenness(meta, F.col("d_average"))
-    out = out.withColumns({"u_bonus": 0.05 * least + 0.03 * even, "d_bonus": 0.06 * least_d + 0.035 * even_d})
-    bonus = lambda f: F.col("u_bonus") * BONUS[f] if f in BONUS else F.col("d_bonus") * META_BONUS[f] if f in META_BONUS else F.lit(0.0)
-    used = {f"raw_{f}" for f in FEATURES} | {f"w_{f}" for f in FEATURES} | {f"s_{r}" for r in ROLES} | {"u_bonus", "d_bonus", "u_average", "d_average"} | {f"clip_{f}" for f in BALANCED + META}
-    return out.select(*[c for c in out.columns if c not in used], *[clip(F.col(f"raw_{f}") + bonus(f)).alias(f) for f in FEATURES])
+    """Rows of measured() that have tags, with the 25 features in place of averages and role shares; even mixtures get a bonus. w_density stays."""
+    own, rest = raw(), [c for c in wide.columns if c not in VECTOR or c == "w_density" or c.endswith("_like")]
+    clip = lambda group: f"array({', '.join(clipped(own[f]) for f in group)})"
+    mean = lambda array: f"aggregate({array}, 0D, (a, x) -> a + x) / size({array}) AS {array}_mean"
+    out = wide.selectExpr(*rest, *[f"{own[f]} AS __{f}" for f in FEATURES], f"{clip(BALANCED)} AS __own", f"{clip(META)} AS __meta")
+    out = out.selectExpr("*", mean("__own"), mean("__meta"))
+    out = out.selectExpr(*rest, *[f"__{f}" for f in FEATURES], f"{even('__own', 0.05, 0.03)} AS __u", f"{even('__meta', 0.06, 0.035)} AS __d")
+    bonus = {f: f"__u * {b}" for f, b in BONUS.items()} | {f: f"__d * {b}" for f, b in META_BONUS.items()}
+    return out.selectExpr(*rest, *[clipped(f"__{f} + {bonus[f]}" if f in bonus else f"__{f}") + f" AS {f}" for f in FEATURES])

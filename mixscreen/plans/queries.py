@@ -14,7 +14,7 @@ from ..operators import features, mixture, reports, screen, select, variants
 from ..sources import files
 from ..sources.catalog import FEATURES, PROPERTIES, banned, catalog, ingredients, phases, target_weights, targets
 from ..sources.files import scratch, written
-from .screening import found_term, screened, slim, wide_rows
+from .screening import rejected, screened, slim, wide_rows
 
 SHARES = ["matrix", "sorbent", "catalyst", "advanced"]
 #: Terms that texts have, to be looked for beside the shipped ones.
@@ -47,7 +47,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.profile(shares(spark, sf_dir), catalog(spark))
+    return wide_rows(header(spark, sf_dir), lines(spark, sf_dir), catalog(spark))
 
 
 def six(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -101,11 +101,11 @@ def mixture_normalize(spark, sf):
 
 
 def key_column(*names):
-    return lambda spark, sf: mixture.keys(header(spark, sf), shares(spark, sf)).select("candidate_id", *names)
+    return lambda spark, sf: wide(spark, sf).select("candidate_id", *names)
 
 
 def diversity_signature(spark, sf):
-    return mixture.signature(wide(spark, sf).join(mixture.keys(header(spark, sf), shares(spark, sf)), "candidate_id")).select("candidate_id", "signature")
+    return wide(spark, sf).select("candidate_id", "signature")
 
 
 def weighted_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def role_share(spark, sf):
 
 
 def featured(spark, sf):
-    return features.features(wide(spark, sf).join(header(spark, sf), "candidate_id"))
+    return features.features(wide(spark, sf))
 
 
 def mixture_features(spark, sf):
@@ -140,8 +140,8 @@ def hard_reject(spark, sf):
     h = header(spark, sf)
     tags = F.when(F.col("candidate_id") % 400 == 0, F.array_append("tags", F.lit(BAD_TAG))).otherwise(F.col("tags"))
     h = h.withColumn("tags", tags).withColumn("archetype", F.when(F.col("candidate_id") % 100 == 7, ODD_PROFILE).otherwise(F.col("archetype")))
-    w = wide_rows(h, lines(spark, sf), catalog(spark))
-    return w.select("candidate_id", F.coalesce(screen.reject_reason(found_term()), F.lit("")).alias("reason"))
+    w = rejected(wide_rows(h, lines(spark, sf), catalog(spark)))
+    return w.select("candidate_id", F.coalesce("reject_reason", F.lit("")).alias("reason"))
 
 
 def profile_score(spark, sf):
@@ -195,7 +195,7 @@ def ranks(n, diverse=True):
 
 
 def top2_components(spark, sf):
-    return mixture.keys(header(spark, sf), shares(spark, sf)).select("candidate_id", "top1", "top2")
+    return wide(spark, sf).select("candidate_id", "top1", "top2")
 
 
 def nested_rows(spark, sf):

@@ -2,50 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features, mixture, screen
+from ..operators.features import Book
 from ..sources.catalog import DEFAULT_CODE, FEATURES, catalog, phases, profiles
-from ..sources.files import written
 
 
-def wide_rows(header: DataFrame, lines: DataFrame, cat: DataFrame, default: str = DEFAULT_CODE) -> DataFrame:
-    """header with averages, phase and role shares, KEYS and signature of each mixture, and code_term, the first banned term in its raw codes.
-
-    Lines are dealt out once, by candidate_id: merging codes, shares and sums need no other exchange than that and
-    the header's. Unknown codes and amounts that aren't positive count for terms alone; a mixture left empty is the default ingredient.
-    """
-    dealt = lines.repartition("candidate_id").groupBy("candidate_id", "code").agg(F.sum(F.when(F.col("amount") > 0, F.col("amount"))).alias("amount"))
-    terms = dealt.groupBy("candidate_id").agg(F.min(screen.first_term(F.col("code"))).alias("code_term"))
-    known = dealt.where("amount IS NOT NULL").join(cat.select("code"), "code", "left_semi")
-    shares = known.select("candidate_id", "code", (F.col("amount") / F.sum("amount").over(Window.partitionBy("candidate_id"))).alias("frac"))
-    full = header.select("candidate_id").join(shares, "candidate_id", "left").select("candidate_id", F.coalesce("code", F.lit(default)).alias("code"), F.coalesce("frac", F.lit(1.0)).alias("frac"))
-    # sums and lists apart: lists would keep the sums out of generated code; both read the same exchanges
-    summed = features.profile(full, cat)
-    listed = full.groupBy("candidate_id").agg(F.collect_list(F.struct("code", "frac")).alias("parts"))
-    out = header.join(listed, "candidate_id").join(terms, "candidate_id", "left").join(summed, "candidate_id")
-    return mixture.signature(mixture.with_keys(out))
+def wide_rows(header: DataFrame, lines: DataFrame, cat: DataFrame, default: str = DEFAULT_CODE, dealt: bool = False) -> DataFrame:
+    """header with averages, phase and role shares, KEYS and signature of each mixture, and code_term, the first banned term in its raw codes: see mixture.packed(). All but the packing is projections."""
+    book = Book(cat)
+    return mixture.signature(mixture.with_keys(features.measured(mixture.packed(header, lines, book, default, dealt), book)))
 
 
 def found_term() -> Column:
     """The alphabetically first banned term in source, archetype, tags and raw codes (code_term)."""
-    own = screen.first_term(F.concat_ws(" ", "source", "archetype", F.array_join("tags", " ")))
-    return F.coalesce(F.least(own, F.col("code_term")), own, F.col("code_term"))
+    return F.expr("array_min(array_compact(array(__own, code_term)))")
 
 
-def screened(header: DataFrame, lines: DataFrame) -> DataFrame:
+def screened(header: DataFrame, lines: DataFrame, cat: DataFrame | None = None, targets: DataFrame | None = None, default: str = DEFAULT_CODE, dealt: bool = False) -> DataFrame:
     """A row for each mixture with its keys, features, phases, gate metrics, status and score.
 
-    Metrics are written before statuses are made of them: these are short cases then, that filters can be pushed to.
+    cat: another catalog of ingredients, with the columns of the shipped one; targets: other profiles, as profiles()
+    has them; default: the ingredient that a mixture without any becomes.
     """
     spark = header.sparkSession
-    wide = wide_rows(header, lines, catalog(spark)).withColumn("reject_reason", screen.reject_reason(found_term()))
-    keep = ["candidate_id", "ordinal", "archetype", "description", "source", "tags", "hash16", "formula", "coarse_key", "signature", "components", "reject_reason", "base_score", *FEATURES, "w_density", *[f"{p}_like" for p in phases()]]
-    rows = written(screen.score(features.features(wide), profiles(spark)).select(*keep))
+    wide = wide_rows(header, lines, catalog(spark) if cat is None else cat, default, dealt)
+    keep = ["candidate_id", "archetype", "source", "tags", "hash16", "formula", "coarse_key", "signature", "components", "reject_reason", *FEATURES, "w_density", *[f"{p}_like" for p in phases()]]
+    rows = features.features(rejected(wide)).select(*keep)
+    rows = screen.score(rows, profiles(spark) if targets is None else targets)
     return screen.final_score(screen.gate_status(screen.gate_metrics(rows)))
 
 
+def rejected(wide: DataFrame) -> DataFrame:
+    """wide_rows() with reject_reason."""
+    own = screen.first_term(F.concat_ws(" ", "source", "archetype", F.array_join("tags", " ")))
+    return wide.withColumn("__own", own).withColumn("reject_reason", screen.reject_reason(found_term())).drop("__own")
+
+
 def slim(rows: DataFrame) -> DataFrame:
     """What selections and reports need."""
     keep = ["candidate_id", "ordinal", "archetype", "description", "source", "tags", "score", "hash16", "formula", "coarse_key", "signature", "components", "reject_reason", *FEATURES, *screen.GATE, "gate_status", "gate_reason", "w_density", *[f"{p}_like" for p in phases()]]
