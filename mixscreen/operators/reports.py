@@ -91,11 +91,11 @@ def run_summary(rows: DataFrame) -> DataFrame:
     return gate_summary(rows).crossJoin(best)  # one row each
 
 
-def review_requests(rows: DataFrame, n: int = 3, replicates: int = 2, day: str | date = "20260101", prefix: str = "RQ") -> DataFrame:
-    """Requests for the n best diverse rows of each profile, `replicates` of each, dated `day` (a date, or text as it stands)."""
+def review_requests(rows: DataFrame, n: int = 3, replicates: int = 2, day: str | date | Column = "20260101", prefix: str = "RQ") -> DataFrame:
+    """Requests for the n best diverse rows of each profile, `replicates` of each, dated `day` (a date, a column of dates, or text as it stands)."""
     best = top(dedup_diverse(rows), n).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     tests = F.concat(F.array(*map(F.lit, TESTS)), *[F.when(F.col("archetype").isin(who), F.array(*map(F.lit, what))).otherwise(F.array().cast("array<string>")) for who, what in OWN_TESTS])
-    when = F.date_format(F.lit(day), "yyyyMMdd") if isinstance(day, date) else F.lit(day)
+    when = F.lit(day) if isinstance(day, str) else F.date_format(F.lit(day), "yyyyMMdd")
     request = F.concat_ws("-", F.lit(prefix), when, "archetype", F.lpad(F.col("rank").cast("string"), 2, "0"), F.concat(F.lit("R"), F.col("replicate").cast("string")))
     why = F.coalesce(F.create_map(*[F.lit(x) for pair in interpretations().items() for x in pair])[F.col("archetype")], F.lit(INTERPRETATION))
     objectives = F.to_json(F.struct(*[tidy(c, 6).alias(c) for c in [*FEATURES, *GATE]]))

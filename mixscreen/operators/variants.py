@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import uniform
 from ..sources.catalog import META, biases, local, targets
+from ..sources.files import written
 from .select import best_by, top
 
 # Ingredients that a recipe always has, that it draws from, and tags; body: the matrices that material profiles start from.
@@ -48,17 +51,19 @@ def draw_weights(catalog: DataFrame) -> DataFrame:
 
 
 def cumulative(weights: DataFrame, group: list[str]) -> DataFrame:
-    """For each group an array of (up_to, code) in the catalog's order, and the total: at most a few dozen entries."""
+    """For each group the cumulative weights in the catalog's order (ups), their codes, the total, and the strides of a binary search in them: at most a few dozen entries."""
     w = Window.partitionBy(*group).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     summed = weights.withColumn("up_to", F.sum("weight").over(w))
-    return summed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", "up_to", "code"))).alias("steps"), F.max("up_to").alias("total"))
+    steps = summed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("position", "up_to", "code"))).alias("s"), F.max("up_to").alias("total"))
+    strides = "transform(sequence(CAST(log2(size(s)) AS int), 0, -1), k -> shiftleft(1, k)) AS strides"
+    return steps.selectExpr(*group, "s.up_to AS ups", "s.code AS codes", "total", strides)
 
 
 def weighted_draw(rows: DataFrame, steps: DataFrame, group: list[str], u: Column, into: str = "drawn") -> DataFrame:
-    """Adds the code whose cumulative interval holds u times the total: steps has a row for each group, small enough to be broadcast."""
-    joined = rows.withColumn("__u", u).join(steps, group)
-    hit = F.filter("steps", lambda s: s["up_to"] >= F.col("__u") * F.col("total"))
-    return joined.withColumn(into, hit[0]["code"]).drop("steps", "total", "__u")
+    """Adds the code whose cumulative interval holds u times the total, by binary search: steps has a row for each group, small enough to be broadcast."""
+    joined = rows.withColumn("__u", u).join(steps, group).withColumn("__x", F.col("__u") * F.col("total"))
+    below = "aggregate(strides, 0, (p, s) -> if(get(ups, p + s - 1) < __x, p + s, p))"  # entries under x
+    return joined.withColumn(into, F.expr(f"get(codes, least({below}, size(codes) - 1))")).drop("ups", "codes", "strides", "total", "__u", "__x")
 
 
 def perturb(header: DataFrame, shares: DataFrame, catalog: DataFrame, seed: int = 1, rate: float = 0.18) -> tuple[DataFrame, DataFrame]:
@@ -124,27 +129,61 @@ def sample(header: DataFrame, catalog: DataFrame, seed: int = 1) -> tuple[DataFr
 
 
 def tournament(rows: DataFrame, slots: int, entrants: int = 9, seed: int = 1, score: str = "score") -> DataFrame:
-    """(archetype, slot, candidate_id): the best of about `entrants` hashed rows of a profile for each slot; a row may enter several.
+    """(archetype, slot, candidate_id): the best of about `entrants` random rows of a profile for each slot; a row may enter several.
 
-    A row's slots are found first, as a short array, so that only entered rows are multiplied.
+    A row has one place in a ring, by a hash; a slot's entrants are the rows in an arc of it, of random start, that
+    holds `entrants` of n rows on average (all rows of a profile with fewer). Rows find the arcs of their part of the
+    ring by a hash join, so a row costs one hash, whatever the number of slots. A slot whose arc is empty has no row.
     """
-    n = rows.groupBy("archetype").agg(F.count("*").alias("n"))
-    u = lambda k: uniform(F.lit(seed), "candidate_id", k)
-    own = rows.select("archetype", "candidate_id", "hash16", score).join(n, "archetype")
-    entered = own.withColumn("slot", F.explode(F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: u(k) < F.lit(float(entrants)) / F.col("n"))))
+    n = rows.groupBy("archetype").agg(F.count("*").alias("n")).withColumns({"wide": F.lit(float(entrants)) / F.col("n"), "cells": F.greatest(F.lit(1), F.floor(F.col("n") / entrants))})
+    arcs = n.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("start", uniform(F.lit(seed), "archetype", "slot")).withColumn("cell", F.floor(F.col("start") * F.col("cells")))
+    arcs = arcs.withColumn("cell", F.explode(F.array_distinct(F.array("cell", (F.col("cell") + 1) % F.col("cells"))))).select("archetype", "slot", "start", "wide", "cell")
+    own = rows.select("archetype", "candidate_id", "hash16", score, uniform(F.lit(seed), "candidate_id", F.lit("ring")).alias("place")).join(n.select("archetype", "cells"), "archetype")
+    own = own.withColumn("cell", F.floor(F.col("place") * F.col("cells")))
+    entered = own.join(arcs, ["archetype", "cell"]).where("place - start + if(place < start, 1, 0) < wide")
     return entered.groupBy("archetype", "slot").agg(F.min_by("candidate_id", F.struct((-F.col(score)).alias("s"), "hash16", "candidate_id")).alias("candidate_id"))
 
 
-def backfill(kept: DataFrame, header: DataFrame, sampled: DataFrame, need: int = 3) -> DataFrame:
+def missing(kept: DataFrame, header: DataFrame, need: int) -> DataFrame:
+    """(archetype, missing): how many rows each profile of the header lacks of `need`."""
+    have = kept.groupBy("archetype").agg(F.count("*").alias("have"))
+    return header.select("archetype").distinct().join(have, "archetype", "left").withColumn("missing", F.lit(need) - F.coalesce("have", F.lit(0))).where("missing > 0").select("archetype", "missing")
+
+
+def backfill(kept: DataFrame, header: DataFrame, sampled: DataFrame, need: int = 3, by: str = "score") -> DataFrame:
     """Of the sampled rows those that fill each profile of the header up to `need` rows, beside those kept of it.
 
-    Only positive rows with a signature that no kept row of the profile has, one for each signature, the best first.
-    kept, sampled: archetype, signature, score, hash16, candidate_id.
+    Only positive rows with a signature that no kept row of the profile has, one for each signature, the best first
+    (by the largest `by`). kept, sampled: archetype, signature, score, hash16, candidate_id.
     """
-    have = kept.groupBy("archetype").agg(F.count("*").alias("have"))
-    short = header.select("archetype").distinct().join(have, "archetype", "left").withColumn("missing", F.lit(need) - F.coalesce("have", F.lit(0))).where("missing > 0").select("archetype", "missing")
-    new = sampled.where("score > 0").join(short, "archetype").join(kept.select("archetype", "signature").distinct(), ["archetype", "signature"], "left_anti")
-    return top(best_by(new, ["archetype", "signature"]), need).where("rank <= missing").drop("missing")
+    new = sampled.where("score > 0").join(missing(kept, header, need), "archetype").join(kept.select("archetype", "signature").distinct(), ["archetype", "signature"], "left_anti")
+    return top(best_by(new, ["archetype", "signature"], by), need, score=by).where("rank <= missing").drop("missing")
+
+
+def fill(kept: DataFrame, header: DataFrame, catalog: DataFrame, screen: Callable[[DataFrame, DataFrame], DataFrame], need: int = 3, tries: int = 8000, seed: int = 1, first: int = 2, growth: int = 4) -> DataFrame:
+    """Random mixtures that fill each profile of the header up to `need` rows, as backfill() takes them, in the order of their turns.
+
+    Turn k of a profile is one mixture, the same whatever is asked for: candidate_id is -(k * profiles + place) - 1,
+    place that of the profile among all names in order. The first positive ones with a new signature are taken, at
+    most `tries` turns. Turns are made round by round, at first `first` for each missing row, `growth` times as many each further
+    round and only for profiles that still lack rows: what is screened follows what is missing.
+    screen: gives archetype, signature, score, hash16 and candidate_id of (header, lines).
+    """
+    names = header.agg(F.array_sort(F.collect_set("archetype")).alias("names")).select(F.posexplode("names").alias("place", "archetype"), F.size("names").alias("profiles"))
+    short = written(missing(kept, header, need).join(names, "archetype"))
+    lacking, pool, after, upto = short, None, 0, first
+    while True:
+        bounds = [F.least(F.lit(k) * F.col("missing"), F.lit(tries)) for k in (after, upto)]
+        turns = lacking.withColumns({"a": bounds[0], "b": bounds[1]}).where("a < b").withColumn("turn", F.explode(F.sequence("a", F.col("b") - 1)))
+        ids = turns.select((-(F.col("turn") * F.col("profiles") + F.col("place")) - 1).cast("long").alias("candidate_id"), "archetype")
+        made = screen(*sample(written(ids), catalog, seed)).select("archetype", "signature", "score", "hash16", "candidate_id")
+        new = written(made.join(short.select("archetype", "profiles"), "archetype").withColumn("turn_order", -F.floor((-F.col("candidate_id") - 1) / F.col("profiles")).cast("double")).drop("profiles"))
+        pool = new if pool is None else pool.unionByName(new)
+        taken = backfill(kept, header, pool, need, "turn_order")
+        after, upto = upto, upto * growth
+        lacking = written(short.join(taken.groupBy("archetype").agg(F.count("*").alias("got")), "archetype", "left").where(f"coalesce(got, 0) < missing AND {after} * missing < {tries}").drop("got"))
+        if lacking.isEmpty():
+            return taken.drop("turn_order")
 
 
 def batch(header: DataFrame, pool: DataFrame, pool_shares: DataFrame, catalog: DataFrame, seed: int = 1, entrants: int = 9) -> tuple[DataFrame, DataFrame]:

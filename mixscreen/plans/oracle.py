@@ -22,6 +22,8 @@ def _targets() -> list[tuple]:
 
 
 CATALOG = _values([(k, *r.values()) for k, r in enumerate(ingredients())], "cat", ["position", "code", "family", "role", *PROPERTIES])
+#: The same ingredients, more hazardous.
+SECOND = CATALOG.replace("cat(", "cat0(", 1) + ", cat AS (SELECT * REPLACE (low_hazard * 0.55 AS low_hazard) FROM cat0)"
 TARGET = _values(_targets(), "tgt", ["ordinal", "name", "description", *(f"t_{f}" for f in FEATURES)])
 BIAS = _values([(line.split()[0], w.split("=")[0], float(w.split("=")[1])) for line in BIASES.split("\n") if line for w in line.split()[1:]], "bias", ["name", "label", "b"])
 
@@ -114,14 +116,14 @@ rej AS (
     FROM feat
 ),
 sco AS (
-    SELECT rej.*, ordinal, description, CASE WHEN reason IS NOT NULL THEN 0 ELSE greatest(0, least(1, ({' + '.join(f'{f} * t_{f}' for f in FEATURES)}) * CASE archetype
+    SELECT rej.*, ordinal, CASE WHEN known IS NULL THEN '' ELSE description END AS description, CASE WHEN reason IS NOT NULL THEN 0 ELSE greatest(0, least(1, ({' + '.join(f'{f} * t_{f}' for f in FEATURES)}) * CASE archetype
         WHEN 'CANVAS' THEN (CASE WHEN surface_readiness < .42 THEN .78 ELSE 1 END) * (CASE WHEN signal_clarity < .4 THEN .82 ELSE 1 END) * (CASE WHEN scene_preparation < .4 THEN .82 ELSE 1 END)
         WHEN 'STAGEKEEPER' THEN (CASE WHEN safe_containment < .48 THEN .76 ELSE 1 END) * (CASE WHEN scene_preparation < .44 THEN .82 ELSE 1 END)
         WHEN 'DEMIURGE' THEN (CASE WHEN closed_loop_learning < .35 THEN .78 ELSE 1 END) * (CASE WHEN rule_rewriting < .3 THEN .82 ELSE 1 END) * (CASE WHEN generativity < .35 THEN .82 ELSE 1 END)
         WHEN 'WORLD_REWRITER' THEN (CASE WHEN rule_rewriting < .42 THEN .76 ELSE 1 END) * (CASE WHEN world_modeling < .35 THEN .82 ELSE 1 END)
         WHEN 'UNIVERSAL' THEN (CASE WHEN transformation < .25 THEN .88 ELSE 1 END) * (CASE WHEN purification < .25 THEN .88 ELSE 1 END) * (CASE WHEN closed_loop_learning < .2 THEN .93 ELSE 1 END)
         ELSE 1 END)) END AS base_score
-    FROM rej JOIN tgt ON name = archetype
+    FROM rej LEFT JOIN (SELECT name AS known FROM tgt) k ON known = archetype JOIN tgt ON name = coalesce(known, 'UNIVERSAL')
 )"""
 
 
@@ -320,6 +322,10 @@ def oracle_sql() -> dict[str, str]:
         "rejected_ledger": f"{every} SELECT {ledger} FROM one WHERE gate_status <> 'PASSED'",
         "gate_summary": f"{fin} SELECT count(*) AS n_rows, count(*) FILTER (gate_status <> 'PASSED') AS rejected_or_review FROM fin",
         "archetype_summary": f"{every} SELECT archetype, count(*) AS n_rows, count(*) FILTER (gate_status = 'PASSED') AS n_passed, first(candidate_id ORDER BY score DESC, hash16, candidate_id) AS best_id, round(max(score) + 1e-12, 8) AS best_score FROM one GROUP BY archetype",
+        "stored_screen": f"{fin} SELECT candidate_id, gate_status, gate_reason, round(score + 1e-12, 8) AS score FROM fin",
+        "second_catalog": f"WITH {SECOND}, {TARGET}, {HEADER.replace('hdr AS', 'hd0 AS', 1).replace('FROM hdr LEFT', 'FROM hd0 LEFT')}, hdr AS (SELECT * REPLACE (CASE WHEN candidate_id % 100 = 7 THEN 'ANY_OTHER' ELSE archetype END AS archetype) FROM hd0), {WIDE}, {SCREEN}, {_gate('sco')} SELECT candidate_id, archetype, description, coalesce(reason, '') AS reason, round(base_score + 1e-12, 8) AS base_score, gate_status, round(score + 1e-12, 8) AS score FROM fin",
+        "dated_requests": f"{every} SELECT 'DR-' || strftime(o_orderdate, '%Y%m%d') || '-' || archetype || '-' || lpad(rank::VARCHAR, 2, '0') || '-R1' AS request_id, archetype, round(score + 1e-12, 8) AS score, hash16 FROM rnk JOIN orders ON o_orderkey = candidate_id WHERE rank <= 2",
+        "report_bundle": f"{every}, best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) = 1) SELECT 'champions' AS report, count(*) AS n_rows, sum(candidate_id)::BIGINT AS ids FROM best UNION ALL SELECT 'profiles', count(*), sum(candidate_id)::BIGINT FROM best UNION ALL SELECT 'shortlist', count(*), sum(candidate_id)::BIGINT FROM rnk WHERE rank <= 4 UNION ALL SELECT 'top', count(*), sum(candidate_id)::BIGINT FROM rnk WHERE rank <= 20 UNION ALL SELECT 'decisions', count(*), sum(candidate_id)::BIGINT FROM one UNION ALL SELECT 'rejected', count(*), sum(candidate_id)::BIGINT FROM one WHERE gate_status <> 'PASSED' UNION ALL SELECT 'requests', 2 * count(*), NULL FROM rnk WHERE rank <= 3 UNION ALL SELECT 'gate', 1, NULL",
         "run_summary": f"{fin} SELECT count(*) AS n_rows, count(*) FILTER (gate_status <> 'PASSED') AS rejected_or_review, count(DISTINCT archetype)::INT AS n_champions, (SELECT string_agg(name, ',' ORDER BY ordinal) FROM tgt WHERE name IN (SELECT archetype FROM hdr)) AS profiles FROM fin",
         "review_requests": f"{every} SELECT 'RQ-20260101-' || archetype || '-' || lpad(rank::VARCHAR, 2, '0') || '-R' || r AS request_id, archetype, description AS archetype_description, rank AS rank_within_archetype, round(score + 1e-12, 8) AS score, hash16, formula, process_tags, {tests} AS requested_tests, 'REQUEST_FOR_EXPERT_REVIEW_NOT_MEASURED_RESULTS' AS data_status, {why} AS why, {bound} AS claim_boundary, components, {objectives} AS objectives FROM rnk, (VALUES (1), (2)) AS v(r) WHERE rank <= 3",
         "blend_pairs": f"{base}, {prs} SELECT pair_id, code, round(sum(p * frac) + 1e-13, 9) AS amount FROM (SELECT pair_id, a AS candidate_id, alpha AS p FROM prs UNION ALL SELECT pair_id, b, 1 - alpha FROM prs) JOIN shr USING (candidate_id) GROUP BY pair_id, code",
@@ -328,7 +334,7 @@ def oracle_sql() -> dict[str, str]:
         "weighted_draw": f"{base}, {drawn}, r AS (SELECT candidate_id, archetype, {_u('candidate_id', chr(39) + 'draw' + chr(39))} AS u FROM hdr) SELECT candidate_id, min_by(code, position) AS drawn FROM r JOIN cdf USING (archetype) WHERE up_to >= u * total GROUP BY candidate_id",
         "perturb_mixtures": f"{base}, {drawn}, {_perturbed('hdr', 'shr')} SELECT candidate_id, code, round(amount + 1e-13, 9) AS amount FROM pl",
         "sample_mixtures": f"{base}, {drawn}, {_sampled('hdr')} SELECT candidate_id, code, round(amount + 1e-13, 9) AS amount FROM sl",
-        "diversity_backfill": f"{every}, kept AS (SELECT archetype, signature FROM rnk WHERE rank <= 20), short AS (SELECT archetype, 24 - coalesce(n, 0) AS missing FROM (SELECT DISTINCT archetype FROM hdr) LEFT JOIN (SELECT archetype, count(*) AS n FROM kept GROUP BY archetype) USING (archetype)), {drawn}, {_sampled('hdr')}, {_scored('fresh', 'sh', 'sl')}, best AS (SELECT * FROM fresh WHERE score > 0 AND (archetype, signature) NOT IN (SELECT (archetype, signature) FROM kept) QUALIFY row_number() OVER (PARTITION BY archetype, signature ORDER BY score DESC, hash16, candidate_id) = 1) SELECT archetype, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) AS rank, candidate_id, score FROM best JOIN short USING (archetype) QUALIFY rank <= missing",
+        "diversity_backfill": f"{every}, kept AS (SELECT archetype, signature FROM rnk WHERE rank <= 20), short AS (SELECT archetype, 24 - coalesce(n, 0) AS missing FROM (SELECT DISTINCT archetype FROM hdr) LEFT JOIN (SELECT archetype, count(*) AS n FROM kept GROUP BY archetype) USING (archetype)), names AS (SELECT archetype, row_number() OVER (ORDER BY archetype) - 1 AS place, count(*) OVER () AS profiles FROM (SELECT DISTINCT archetype FROM hdr)), turns AS (SELECT -(k * profiles + place) - 1 AS candidate_id, archetype FROM names, range(400) AS t(k)), {drawn}, {_sampled('turns')}, {_scored('fresh', 'sh', 'sl')}, best AS (SELECT * FROM fresh WHERE score > 0 AND (archetype, signature) NOT IN (SELECT (archetype, signature) FROM kept) QUALIFY row_number() OVER (PARTITION BY archetype, signature ORDER BY candidate_id DESC) = 1) SELECT archetype, row_number() OVER (PARTITION BY archetype ORDER BY candidate_id DESC) AS rank, candidate_id, score FROM best JOIN short USING (archetype) QUALIFY rank <= missing",
         "variant_batch": f"{every}, {drawn}, {_batched()}, {_scored('fresh', 'vh', 'vl')} SELECT archetype, row_number() OVER (PARTITION BY archetype ORDER BY score DESC, hash16, candidate_id) AS rank, candidate_id, source, score FROM (SELECT candidate_id, archetype, source, hash16, score FROM pool UNION ALL SELECT candidate_id, archetype, source, hash16, score FROM fresh) QUALIFY rank <= 280",
-        "tournament_pick": f"{every}, n AS (SELECT archetype, count(*) AS n FROM one GROUP BY archetype) SELECT archetype, slot::INT AS slot, first(candidate_id ORDER BY round(score + 1e-12, 8) DESC, hash16, candidate_id) AS candidate_id FROM one JOIN n USING (archetype), range(20) AS t(slot) WHERE {_u('1', 'candidate_id', 'slot')} < 9 / n GROUP BY archetype, slot",
+        "tournament_pick": f"{every}, n AS (SELECT archetype, count(*) AS n FROM one GROUP BY archetype), ring AS (SELECT archetype, slot, candidate_id, hash16, score, 9.0::DOUBLE / n AS wide, {_u('1', 'candidate_id', "'ring'")} AS place, {_u('1', 'archetype', 'slot')} AS start FROM one JOIN n USING (archetype), range(20) AS t(slot)) SELECT archetype, slot::INT AS slot, first(candidate_id ORDER BY round(score + 1e-12, 8) DESC, hash16, candidate_id) AS candidate_id FROM ring WHERE place - start + (place < start)::INT < wide GROUP BY archetype, slot",
     }

@@ -14,7 +14,8 @@ from ..operators import features, mixture, reports, screen, select, variants
 from ..sources import files
 from ..sources.catalog import FEATURES, PROPERTIES, banned, catalog, ingredients, phases, target_weights, targets
 from ..sources.files import scratch, written
-from .screening import rejected, screened, slim, wide_rows
+from . import runs
+from .screening import rejected, screened, slim, stored, wide_rows
 
 SHARES = ["matrix", "sorbent", "catalyst", "advanced"]
 #: Terms that texts have, to be looked for beside the shipped ones.
@@ -42,6 +43,11 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.normalize(header(spark, sf_dir), lines(spark, sf_dir), catalog(spark))
 
 
+def run(spark: SparkSession, sf_dir: str) -> runs.Run:
+    """The kept screen of all orders, which the reports share."""
+    return runs.screen_run(header(spark, sf_dir), lines(spark, sf_dir), [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"])
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screened(header(spark, sf_dir), lines(spark, sf_dir))
 
@@ -170,25 +176,21 @@ def gate_status(spark, sf):
     return g.select(F.col("candidate_id").alias("event_id"), "gate_status", "gate_reason")
 
 
-def simple(f, *columns):
-    return lambda spark, sf: f(slim(rows(spark, sf))).select(*columns) if columns else f(slim(rows(spark, sf)))
-
-
 def reported(f):
-    return lambda spark, sf: f(slim(rows(spark, sf)))
+    return lambda spark, sf: f(run(spark, sf).rows)
 
 
 def champions(spark, sf):
-    return reports.champions(slim(rows(spark, sf))).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
+    return reports.champions(run(spark, sf).rows).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
 
 
 def archetype_shortlist(spark, sf):
-    return reports.shortlist(slim(rows(spark, sf))).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
+    return reports.shortlist(run(spark, sf).rows).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
 
 
 def ranks(n, diverse=True):
     def run(spark, sf):
-        own = slim(rows(spark, sf))
+        own = run(spark, sf).rows
         return select.top(select.dedup_diverse(own) if diverse else own, n).select("archetype", "rank", "candidate_id", tidy("score", 8).alias("score"))
 
     return run
@@ -199,7 +201,7 @@ def top2_components(spark, sf):
 
 
 def nested_rows(spark, sf):
-    n = reports.nested(slim(rows(spark, sf)))
+    n = reports.nested(run(spark, sf).rows)
     c = F.col("candidate")
     return n.select("candidate_id", c["archetype"].alias("archetype"), c["score"].alias("score"), c["formula_percent"].alias("formula_percent"), F.size(c["components"]).alias("n_components"), c["objectives"]["transformation"].alias("transformation"), c["gate"]["gate_status"].alias("gate_status"), c["gate"]["final_priority"].alias("final_priority"), c["notes"]["rejected"].alias("rejected"), c["notes"]["boundary"].alias("boundary"))
 
@@ -211,22 +213,57 @@ def read_back(df):
 
 def top_flat(spark, sf):
     """The flat rows of the best diverse mixtures of each profile, with ranks: what a profile's file of results has."""
-    return read_back(reports.flat(select.top(select.dedup_diverse(slim(rows(spark, sf))), 20)))
+    return read_back(reports.flat(select.top(select.dedup_diverse(run(spark, sf).rows), 20)))
 
 
 def review_requests(spark, sf):
-    r = read_back(reports.review_requests(slim(rows(spark, sf))))
+    r = read_back(reports.review_requests(run(spark, sf).rows))
     values = F.from_json("objectives_json", ", ".join(f"{c} double" for c in [*FEATURES, *screen.GATE]))
     return r.withColumn("objectives", F.concat_ws(" ", *[places(values[c], 6) for c in [*FEATURES, *screen.GATE]])).drop("objectives_json")
 
 
+def dated_requests(spark, sf):
+    """Requests dated by the orders."""
+    dated = run(spark, sf).rows.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("candidate_id"), "o_orderdate"), "candidate_id")
+    return reports.review_requests(dated, n=2, replicates=1, day=F.col("o_orderdate"), prefix="DR").select("request_id", "archetype", "score", "hash16")
+
+
+def second_catalog(spark, sf, factor: float = 0.55):
+    """The orders, some with an unknown profile, screened with another catalog, whose ingredients are more hazardous."""
+    cat = catalog(spark).withColumn("low_hazard", F.col("low_hazard") * factor)
+    h = header(spark, sf).withColumn("archetype", F.when(F.col("candidate_id") % 100 == 7, ODD_PROFILE).otherwise(F.col("archetype")))
+    out = screened(h, lines(spark, sf), cat)
+    return out.select("candidate_id", "archetype", "description", F.coalesce("reject_reason", F.lit("")).alias("reason"), tidy("base_score", 8).alias("base_score"), "gate_status", tidy("score", 8).alias("score"))
+
+
 def archetype_summary(spark, sf):
-    s = reports.archetype_summary(slim(rows(spark, sf)))
+    s = reports.archetype_summary(run(spark, sf).rows)
     return s.select("archetype", "n_rows", "n_passed", F.col("best.candidate_id").alias("best_id"), F.col("best.score").alias("best_score"))
 
 
+def gate_summary(spark, sf):
+    """From the counts that were taken as the rows were written."""
+    return run(spark, sf).gate_summary()
+
+
+def report_bundle(spark, sf):
+    """All reports of a run, written and read back: rows of each, and the sum of hashes of the mixtures named in them."""
+    out = None
+    for name, df in runs.write_reports(run(spark, sf), scratch(spark)).items():
+        ids = F.sum("candidate_id") if "candidate_id" in df.columns else F.sum("best_id") if "best_id" in df.columns else F.lit(None)
+        own = df.agg(F.count("*").alias("n_rows"), ids.cast("long").alias("ids")).select(F.lit(name).alias("report"), "n_rows", "ids")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def stored_screen(spark, sf):
+    """The screen of bucketed tables: no exchange."""
+    h, own = stored(header(spark, sf), lines(spark, sf), 2 * spark.sparkContext.defaultParallelism)
+    return screened(h, own, dealt=True).select("candidate_id", "gate_status", "gate_reason", tidy("score", 8).alias("score"))
+
+
 def run_summary(spark, sf):
-    s = reports.run_summary(slim(rows(spark, sf)))
+    s = reports.run_summary(run(spark, sf).rows)
     return s.select("n_rows", "rejected_or_review", F.size("champions").alias("n_champions"), F.array_join(F.transform("champions", lambda c: c["archetype"]), ",").alias("profiles"))
 
 
@@ -266,21 +303,20 @@ def sample_mixtures(spark, sf):
 
 
 def tournament_pick(spark, sf):
-    own = slim(rows(spark, sf)).withColumn("score", tidy("score", 8))
+    own = run(spark, sf).rows.withColumn("score", tidy("score", 8))
     return variants.tournament(own, 20)
 
 
-def backfill(spark, sf, need: int = 24):
-    """Each profile's 20 best diverse mixtures, filled up to `need` with sampled ones of other signatures."""
-    kept = select.top(select.dedup_diverse(slim(rows(spark, sf))), 20)
-    h = header(spark, sf)
-    new = slim(screened(*variants.sample(h, catalog(spark)))).withColumn("score", tidy("score", 8))
-    return variants.backfill(kept, h, new, need).select("archetype", "rank", "candidate_id", "score")
+def backfill(spark, sf, need: int = 24, tries: int = 400):
+    """Each profile's 20 best diverse mixtures, filled up to `need` with random ones of other signatures."""
+    kept = select.top(select.dedup_diverse(run(spark, sf).rows), 20)
+    screen = lambda h, own: slim(screened(h, own)).withColumn("score", tidy("score", 8))
+    return variants.fill(kept, header(spark, sf), catalog(spark), screen, need, tries).select("archetype", "rank", "candidate_id", "score")
 
 
 def variant_batch(spark, sf, keep: int = 280):
     """A variant for each order, from the pool of its profile's best orders; pool and variants (with negative ids) are united, and the best of each profile kept."""
-    old = slim(rows(spark, sf)).withColumn("score", tidy("score", 8))
+    old = run(spark, sf).rows.withColumn("score", tidy("score", 8))
     pool = written(select.top(old, keep))
     own = pool.select("candidate_id", F.explode(F.map_entries("components")).alias("e")).select("candidate_id", "e.key", "e.value").toDF("candidate_id", "code", "frac")
     trials = header(spark, sf).withColumn("candidate_id", -F.col("candidate_id") - 1)
@@ -296,7 +332,7 @@ def queries():
         "gate_metrics": gate_metrics, "gate_status": gate_status, "final_score": final_score, "dedup_diverse": reported(lambda r: select.dedup_diverse(r).select("archetype", "coarse_key", "signature", "candidate_id")),
         "topk_diverse": ranks(20), "pool_truncate": ranks(280, diverse=False), "champions": champions, "archetype_shortlist": archetype_shortlist, "top2_components": top2_components, "nested_rows": nested_rows,
         "candidate_flat": reported(lambda r: read_back(reports.flat(r))), "top_flat": top_flat, "decision_ledger": reported(lambda r: read_back(reports.ledger(r))), "gate_ledger": reported(lambda r: read_back(reports.ledger(r)).orderBy(F.desc("final_priority"), "candidate_id")), "rejected_ledger": reported(lambda r: read_back(reports.rejected(r))),
-        "gate_summary": reported(reports.gate_summary), "archetype_summary": archetype_summary, "run_summary": run_summary, "review_requests": review_requests,
+        "gate_summary": gate_summary, "archetype_summary": archetype_summary, "run_summary": run_summary, "report_bundle": report_bundle, "stored_screen": stored_screen, "review_requests": review_requests, "dated_requests": dated_requests, "second_catalog": second_catalog,
         "blend_pairs": blend_pairs, "tag_union": tag_union, "draw_weights": draw_weights, "weighted_draw": weighted_draw, "perturb_mixtures": perturb_mixtures, "sample_mixtures": sample_mixtures,
         "tournament_pick": tournament_pick, "diversity_backfill": backfill, "variant_batch": variant_batch,
     }

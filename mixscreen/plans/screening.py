@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, mixture, screen
 from ..operators.features import Book
 from ..sources.catalog import DEFAULT_CODE, FEATURES, catalog, phases, profiles
+from ..sources.files import bucketed
 
 
 def wide_rows(header: DataFrame, lines: DataFrame, cat: DataFrame, default: str = DEFAULT_CODE, dealt: bool = False) -> DataFrame:
@@ -35,6 +36,15 @@ def screened(header: DataFrame, lines: DataFrame, cat: DataFrame | None = None,
     return screen.final_score(screen.gate_status(screen.gate_metrics(rows)))
 
 
+def stored(header: DataFrame, lines: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """header and lines as tables bucketed by candidate_id, for screened(..., dealt=True): a screen of them, by any catalog and profiles, has no exchange.
+
+    Equal codes of a mixture are added up on the way, before rows are dealt out, so that one mixture may have any share of all lines.
+    """
+    own = lines.groupBy("candidate_id", "code").agg(F.expr("sum(if(amount > 0, amount, NULL)) AS amount"))
+    return bucketed(header, "candidate_id", buckets), bucketed(own, "candidate_id", buckets)
+
+
 def rejected(wide: DataFrame) -> DataFrame:
     """wide_rows() with reject_reason."""
     own = screen.first_term(F.concat_ws(" ", "source", "archetype", F.array_join("tags", " ")))
