@@ -43,7 +43,7 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.normalize(header(spark, sf_dir), lines(spark, sf_dir), catalog(spark))
 
 
-def run(spark: SparkSession, sf_dir: str) -> runs.Run:
+def order_run(spark: SparkSession, sf_dir: str) -> runs.Run:
     """The kept screen of all orders, which the reports share."""
     return runs.screen_run(header(spark, sf_dir), lines(spark, sf_dir), [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"])
 
@@ -177,20 +177,20 @@ def gate_status(spark, sf):
 
 
 def reported(f):
-    return lambda spark, sf: f(run(spark, sf).rows)
+    return lambda spark, sf: f(order_run(spark, sf).rows)
 
 
 def champions(spark, sf):
-    return reports.champions(run(spark, sf).rows).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
+    return reports.champions(order_run(spark, sf).rows).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
 
 
 def archetype_shortlist(spark, sf):
-    return reports.shortlist(run(spark, sf).rows).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
+    return reports.shortlist(order_run(spark, sf).rows).select("rank", "archetype", "candidate_id", tidy("score", 8).alias("score"))
 
 
 def ranks(n, diverse=True):
     def run(spark, sf):
-        own = run(spark, sf).rows
+        own = order_run(spark, sf).rows
         return select.top(select.dedup_diverse(own) if diverse else own, n).select("archetype", "rank", "candidate_id", tidy("score", 8).alias("score"))
 
     return run
@@ -201,7 +201,7 @@ def top2_components(spark, sf):
 
 
 def nested_rows(spark, sf):
-    n = reports.nested(run(spark, sf).rows)
+    n = reports.nested(order_run(spark, sf).rows)
     c = F.col("candidate")
     return n.select("candidate_id", c["archetype"].alias("archetype"), c["score"].alias("score"), c["formula_percent"].alias("formula_percent"), F.size(c["components"]).alias("n_components"), c["objectives"]["transformation"].alias("transformation"), c["gate"]["gate_status"].alias("gate_status"), c["gate"]["final_priority"].alias("final_priority"), c["notes"]["rejected"].alias("rejected"), c["notes"]["boundary"].alias("boundary"))
 
@@ -213,18 +213,18 @@ def read_back(df):
 
 def top_flat(spark, sf):
     """The flat rows of the best diverse mixtures of each profile, with ranks: what a profile's file of results has."""
-    return read_back(reports.flat(select.top(select.dedup_diverse(run(spark, sf).rows), 20)))
+    return read_back(reports.flat(select.top(select.dedup_diverse(order_run(spark, sf).rows), 20)))
 
 
 def review_requests(spark, sf):
-    r = read_back(reports.review_requests(run(spark, sf).rows))
+    r = read_back(reports.review_requests(order_run(spark, sf).rows))
     values = F.from_json("objectives_json", ", ".join(f"{c} double" for c in [*FEATURES, *screen.GATE]))
     return r.withColumn("objectives", F.concat_ws(" ", *[places(values[c], 6) for c in [*FEATURES, *screen.GATE]])).drop("objectives_json")
 
 
 def dated_requests(spark, sf):
     """Requests dated by the orders."""
-    dated = run(spark, sf).rows.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("candidate_id"), "o_orderdate"), "candidate_id")
+    dated = order_run(spark, sf).rows.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("candidate_id"), "o_orderdate"), "candidate_id")
     return reports.review_requests(dated, n=2, replicates=1, day=F.col("o_orderdate"), prefix="DR").select("request_id", "archetype", "score", "hash16")
 
 
@@ -237,19 +237,19 @@ def second_catalog(spark, sf, factor: float = 0.55):
 
 
 def archetype_summary(spark, sf):
-    s = reports.archetype_summary(run(spark, sf).rows)
+    s = reports.archetype_summary(order_run(spark, sf).rows)
     return s.select("archetype", "n_rows", "n_passed", F.col("best.candidate_id").alias("best_id"), F.col("best.score").alias("best_score"))
 
 
 def gate_summary(spark, sf):
     """From the counts that were taken as the rows were written."""
-    return run(spark, sf).gate_summary()
+    return order_run(spark, sf).gate_summary()
 
 
 def report_bundle(spark, sf):
     """All reports of a run, written and read back: rows of each, and the sum of hashes of the mixtures named in them."""
     out = None
-    for name, df in runs.write_reports(run(spark, sf), scratch(spark)).items():
+    for name, df in runs.write_reports(order_run(spark, sf), scratch(spark)).items():
         ids = F.sum("candidate_id") if "candidate_id" in df.columns else F.sum("best_id") if "best_id" in df.columns else F.lit(None)
         own = df.agg(F.count("*").alias("n_rows"), ids.cast("long").alias("ids")).select(F.lit(name).alias("report"), "n_rows", "ids")
         out = own if out is None else out.unionByName(own)
@@ -263,7 +263,7 @@ def stored_screen(spark, sf):
 
 
 def run_summary(spark, sf):
-    s = reports.run_summary(run(spark, sf).rows)
+    s = reports.run_summary(order_run(spark, sf).rows)
     return s.select("n_rows", "rejected_or_review", F.size("champions").alias("n_champions"), F.array_join(F.transform("champions", lambda c: c["archetype"]), ",").alias("profiles"))
 
 
@@ -303,20 +303,20 @@ def sample_mixtures(spark, sf):
 
 
 def tournament_pick(spark, sf):
-    own = run(spark, sf).rows.withColumn("score", tidy("score", 8))
+    own = order_run(spark, sf).rows.withColumn("score", tidy("score", 8))
     return variants.tournament(own, 20)
 
 
 def backfill(spark, sf, need: int = 24, tries: int = 400):
     """Each profile's 20 best diverse mixtures, filled up to `need` with random ones of other signatures."""
-    kept = select.top(select.dedup_diverse(run(spark, sf).rows), 20)
+    kept = select.top(select.dedup_diverse(order_run(spark, sf).rows), 20)
     screen = lambda h, own: slim(screened(h, own)).withColumn("score", tidy("score", 8))
     return variants.fill(kept, header(spark, sf), catalog(spark), screen, need, tries).select("archetype", "rank", "candidate_id", "score")
 
 
 def variant_batch(spark, sf, keep: int = 280):
     """A variant for each order, from the pool of its profile's best orders; pool and variants (with negative ids) are united, and the best of each profile kept."""
-    old = run(spark, sf).rows.withColumn("score", tidy("score", 8))
+    old = order_run(spark, sf).rows.withColumn("score", tidy("score", 8))
     pool = written(select.top(old, keep))
     own = pool.select("candidate_id", F.explode(F.map_entries("components")).alias("e")).select("candidate_id", "e.key", "e.value").toDF("candidate_id", "code", "frac")
     trials = header(spark, sf).withColumn("candidate_id", -F.col("candidate_id") - 1)
