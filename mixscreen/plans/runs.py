@@ -86,7 +86,7 @@ def kept_run(spark: SparkSession, inputs: list[str], make: Callable[[], DataFram
         seen = Observation()
         rows = slim(make()).observe(seen, *[F.expr(sql).alias(c) for c, sql in COUNTS.items()])
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
-        manifest = _manifest(spark, path, {"key": key, "inputs": {"paths": sorted(inputs), **found}, "parameters": parameters, "version": VERSION, "counts": {c: int(n) for c, n in seen.get.items()}})
+        manifest = _manifest(spark, path, {"key": key, "inputs": {"paths": sorted(inputs), **found}, "parameters": parameters, "version": VERSION, "counts": dict.fromkeys(COUNTS, 0) | {c: int(n) for c, n in files.observed(spark.read.parquet(f"{path}/rows"), seen).items()}})
     return Run(spark, path, manifest)
 
 

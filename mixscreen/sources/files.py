@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,11 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def observed(rows: DataFrame, seen: Observation) -> dict:
+    """What was observed of rows as they were written; nothing where there are none (rows should be cheap to look into, such as a table)."""
+    return {} if rows.isEmpty() else seen.get
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> dict:
     """Files, bytes and a sum of hashes of path, size and time of change of all files below the paths: listed by Spark, never opened."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", "modificationTime")

@@ -104,6 +104,8 @@ def test_run_of_nothing(spark, tmp_path):
     spark.createDataFrame([], HEADER).write.parquet(str(tmp_path / "h"))
     paths = [f"file://{tmp_path}/h"]
     run = runs.kept_run(spark, paths, lambda: screened(spark.read.parquet(paths[0]), spark.createDataFrame([], LINES)))
+    none = runs.kept_run(spark, paths, lambda: screened(spark.createDataFrame([], HEADER), spark.createDataFrame([], LINES)), seed=0)
+    assert none.rows.count() == 0 and none.counts().first().n_rows == 0
     assert run.rows.count() == 0 and set(run.counts().first().asDict().values()) == {0}
 
 
