@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, read, scratch, small_side, written
 
-#: Payloads of fewer bytes are stored again each time; records that a file has at most; entries of a run that are read at a time.
-REVISIT_BYTES, FILE_RECORDS, BLOCK = 100, 2000, 4096
+#: Payloads of fewer bytes are stored again each time; records and, beyond the largest record's, bytes that a file has at most; bytes of a gzip member's content.
+REVISIT_BYTES, FILE_RECORDS, FILE_BYTES, MEMBER_BYTES = 100, 2000, 1 << 29, (1 << 24) - 1
+#: Entries of a run that are read at a time; runs that are merged at a time.
+BLOCK, FAN = 512, 64
 #: Entries that are sampled for each bound between two ranges of the index.
 SAMPLED = 64
 ENTRY = "url_key string, timestamp string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, offset long, length long, file string"
@@ -40,30 +45,33 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     p = pages.withColumn("payload", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     p = p.withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
     again = F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("payload_digest"))
-    seen = p.select(again.alias("again"), "page_id").where("again IS NOT NULL").groupBy("again").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("again", "first")
-    p = p.join(small_side(written(seen)), F.col("payload_digest") == F.col("again"), "left").drop("again")
+    seen = written(p.select(again.alias("again"), "page_id").where("again IS NOT NULL").groupBy("again").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("again", "first"))
+    p = p.join(small_side(seen), F.col("payload_digest") == F.col("again"), "left").drop("again")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return p.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (header, block) as gzip members."""
+    """Rows (header, block) as gzip members, each without its last byte, which is zero: the highest of its length, under 2^24."""
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
             part = batch.slice(k, 64)
             out = []
             for header, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.append(z.compress(header.encode()) + z.compress(block.encode()) + z.compress(b"\r\n\r\n") + z.flush())
+                raw = header.encode() + block.encode() + b"\r\n\r\n"
+                members = [gzip.compress(raw[at : at + MEMBER_BYTES], 6, mtime=0) for at in range(0, len(raw), MEMBER_BYTES)]
+                out.append(b"".join(members)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Writes a record for each row of with_revisits(pages), and url and timestamp, into WARC files below path.
 
-    A record is a gzip member, so that a reader can begin with any of them; Spark's text writer puts one on each
-    "line", which ends with a zero byte, as gzip allows between members. A revisit has no block; its headers name the
-    response's record and the payload's digest. Files have FILE_RECORDS records at most.
+    A file is gzip members one after another, nothing between them, so that any gzip reader gives all records and a
+    reader can begin with any of them. A record is a member; one over 16 MB is several. Files are written by Spark's text writer,
+    with its commits: a line is a record's members but for their last byte, always zero, which is the line's end.
+    A revisit has no block; its headers name the response's record and the payload's digest. Files have FILE_RECORDS
+    records at most, and so few that they stay under FILE_BYTES, or one record.
     """
     crlf = F.lit("\r\n")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise("")
@@ -73,32 +81,34 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">\r\n"))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(block).cast("string"), crlf, crlf,
     )
+    longest = pages.agg(F.max("payload_bytes")).first()[0] or 0
     members = pages.select(header.alias("header"), block.alias("block")).mapInArrow(_members, "member binary")
-    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 4096)))).text(path)
 
 
 HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
 
 
 def records(data) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """(headers, block, offset, length) of each record of an archive's bytes: offset and length are those of its gzip member."""
+    """(headers, block, offset, length) of each record of an archive's bytes: offset and length are those of its gzip members."""
     view, at = memoryview(data), 0
     while at < len(view):
-        if view[at] == 0:
-            at += 1
-            continue
-        z, out, end = zlib.decompressobj(31), [], at
-        while not z.eof:
-            if end >= len(view):
-                raise ValueError(f"the record at byte {at} has no end")
-            out.append(z.decompress(view[end : end + 65_536]))
-            end = min(len(view), end + 65_536)
-        end -= len(z.unused_data)
+        out, size, m, head, end = [], 0, None, {}, at
+        while m is None or size < m.end() + int(head["Content-Length"]) + 4:
+            z = zlib.decompressobj(31)
+            while not z.eof:
+                if end >= len(view):
+                    raise ValueError(f"the record at byte {at} has no end")
+                out.append(z.decompress(view[end : end + 65_536]))
+                size += len(out[-1])
+                end = min(len(view), end + 65_536)
+            end -= len(z.unused_data)
+            if m is None:
+                m = HEADER.match(b"".join(out))
+                if not m:
+                    raise ValueError(f"no WARC record at byte {at}")
+                head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in m[1].decode().split("\r\n")[:-1])
         raw = b"".join(out)
-        m = HEADER.match(raw)
-        if not m:
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in m[1].decode().split("\r\n")[:-1])
         if len(raw) != m.end() + int(head["Content-Length"]) + 4:
             raise ValueError(f"the record at byte {at} has another length than it names")
         yield head, raw[m.end() : -4], at, end - at
@@ -118,8 +128,8 @@ def _batch(entries: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries, strict=True), TYPES, strict=True)], NAMES)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted index entries of each file: a run. Payload digests are taken again from the stored bytes."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index entries of each file. Payload digests are taken again from the stored bytes."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             entries = []
@@ -129,7 +139,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and (digest, size) != (hashlib.sha256(block).hexdigest(), len(block)):
                     raise ValueError(f"{path}: the record at {offset} doesn't have the payload that it names")
                 entries.append((head["X-Url-Key"], head["WARC-Date"], _number(head["WARC-Record-ID"]), kind, digest, size, _number(head.get("WARC-Refers-To")), offset, length, path.rpartition("/")[2]))
-            entries.sort(key=order)
             if entries:
                 yield _batch(entries)
 
@@ -192,73 +201,90 @@ def merge(blocks: Iterable[tuple[tuple, Iterable[tuple]]]) -> Iterator[tuple]:
         yield tree.pop()
 
 
+BLOCKS = "range int, run int, url_key string, timestamp string, page_id long, entries binary"
+
+
+def _packed(k: int, run: int, held: list[tuple]) -> pa.RecordBatch:
+    """A block as a row of BLOCKS."""
+    sink = pa.BufferOutputStream()
+    own = _batch(held)
+    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(own)
+    columns = [[k], [run], [held[0][0]], [held[0][1]], [held[0][2]], [sink.getvalue().to_pybytes()]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["range", "run", "url_key", "timestamp", "page_id", "entries"])
+
+
 def _blocks(bounds):
-    """Cuts runs, as they are read, into packed blocks of BLOCK entries at most, none across a bound: range, first entry's key, entries."""
+    """Cuts a task's sorted entries, a run, into blocks of BLOCK entries at most, none across a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
-        def packed(held: list[tuple], k: int) -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            own = _batch(held)
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(own)
-            columns = [[k], [held[0][0]], [held[0][1]], [held[0][2]], [sink.getvalue().to_pybytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["range", "url_key", "timestamp", "page_id", "entries"])
-
+        own = TaskContext.get().partitionId()
         held: list[tuple] = []
         at = 0
         for batch in batches:
             for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 k = bisect_right(bounds.value, order(e))
-                if held and (k != at or len(held) == BLOCK or order(e) < order(held[-1])):
-                    yield packed(held, at)
+                if held and (k != at or len(held) == BLOCK):
+                    yield _packed(at, own, held)
                     held = []
                 held.append(e)
                 at = k
         if held:
-            yield packed(held, at)
+            yield _packed(at, own, held)
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(last: bool):
+    """Rows of BLOCKS, sorted by range, group of FAN runs and first entry, to the entries of each range and group in order; packed as blocks of a longer run, unless it is the last pass."""
+
     def opened(content: bytes) -> Iterator[tuple]:
         for batch in pa.ipc.open_stream(content):
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    def blocks() -> Iterator[tuple[tuple, Iterator[tuple]]]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a block is unpacked when it is its turn
-                yield tuple(batch.column(c)[k].as_py() for c in (1, 2, 3)), opened(batch.column(4)[k].as_py())
-
-    held = []
-    for e in merge(blocks()):
-        held.append(e)
-        if len(held) == BLOCK:
-            yield _batch(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b.column(0)[k].as_py(), b.column(1)[k].as_py() // FAN, tuple(b.column(c)[k].as_py() for c in (2, 3, 4)), b.column(5)[k]) for b in batches for k in range(b.num_rows))
+        for (k, group), own in groupby(rows, key=lambda r: r[:2]):
             held = []
-    if held:
-        yield _batch(held)
+            for e in merge((first, opened(content.as_py())) for _, _, first, content in own):  # a block is unpacked when it is its turn
+                held.append(e)
+                if len(held) == BLOCK:
+                    yield _batch(held) if last else _packed(k, group, held)
+                    held = []
+            if held:
+                yield _batch(held) if last else _packed(k, group, held)
+
+    return run
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The capture histories of all archives below path: entries in order of url_key, timestamp and page_id.
 
-    Each file gives a sorted run, which is written. Runs are cut into blocks at the bounds of ranges, and each range's
-    blocks are merged by a loser tree as they come, sorted by their first entries, out of Spark's shuffle: a task holds
-    the blocks that overlap, never a range. Partitions follow each other in order. A URL captured any number of times
-    is cut by timestamp and page_id. Bounds come from SAMPLED entries a range, chosen by hash.
+    Each task sorts the entries of its files (Spark's sort, which spills): a run, cut into blocks at the bounds of
+    ranges. Passes of loser trees merge FAN runs at a time, range by range, into longer ones, until FAN are left, which the last
+    pass merges: blocks come out of Spark's shuffle in order of their first entries, and as those of a run don't overlap, a task
+    holds a block or two of each of FAN runs, never a range. An entry is moved once a pass, of which there are as many as
+    the logarithm of the runs to the base FAN. Partitions of the result follow each other in order. A URL captured any
+    number of times is cut by timestamp and page_id. Bounds come from SAMPLED entries a range, chosen by hash.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    runs = written(files.mapInArrow(_runs, ENTRY))
-    ranges, total = partitions(spark), runs.count()
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    entries = written(archives.mapInArrow(_entries, ENTRY))
+    key = ["url_key", "timestamp", F.asc_nulls_first("page_id")]
+    ranges, total = partitions(spark), entries.count()
     take = min(1.0, SAMPLED * ranges / max(1, total))
-    few = runs.where(F.pmod(F.xxhash64("url_key", "timestamp", "page_id", "offset"), F.lit(1_000_000)) < max(1, int(take * 1_000_000))).select("url_key", "timestamp", "page_id")
-    keys = sorted(order(tuple(r)) for r in few.limit(4 * SAMPLED * ranges).collect())
+    chance = F.pmod(F.xxhash64("url_key", "timestamp", "page_id", "offset"), F.lit(1_000_000))
+    few = entries.where(chance < max(1, int(take * 1_000_000))).select("url_key", "timestamp", "page_id", chance.alias("c"))
+    keys = sorted(order(tuple(r)[:3]) for r in few.orderBy("c").limit(4 * SAMPLED * ranges).collect())
     bounds = spark.sparkContext.broadcast([keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else [])
-    blocks = runs.mapInArrow(_blocks(bounds), "range int, url_key string, timestamp string, page_id long, entries binary")
-    return blocks.repartitionByRange(ranges, "range").sortWithinPartitions("range", "url_key", "timestamp", F.asc_nulls_first("page_id")).mapInArrow(_merged, ENTRY)
+    ordered = entries.sortWithinPartitions(*key)
+    blocks, runs = ordered.mapInArrow(_blocks(bounds), BLOCKS), entries.rdd.getNumPartitions()
+    group = F.floor(F.col("run") / FAN)
+    while runs > FAN:
+        dealt = blocks.repartition(ranges * min(4, -(-runs // FAN)), "range", group).sortWithinPartitions("range", group, *key)
+        blocks, runs = written(dealt.mapInArrow(_merged(False), BLOCKS)), -(-runs // FAN)
+    return blocks.repartitionByRange(ranges, "range").sortWithinPartitions("range", *key).mapInArrow(_merged(True), ENTRY)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -273,8 +299,8 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch(spark)
     base = F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.col("page_id"), F.lit(0)) % 1_000_000_000)
     stamp = F.coalesce(F.col("timestamp").cast("timestamp"), base) if "timestamp" in pages.columns else base
-    out = with_revisits(pages.select("page_id", "url", "html", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))).withColumn("url_key", url_key(F.col("url")))
-    write_warc(out, path)
+    out = with_revisits(pages.select("page_id", "url", "html", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))
+    write_warc(out.withColumn("url_key", url_key(F.col("url"))), path)
     return index(spark, path)
 
 

@@ -3,8 +3,11 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
+import subprocess
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -355,11 +358,53 @@ def test_warc_merge(spark, tmp_path, monkeypatch):
             raw = zlib.decompress(f.read(e.length), 31)
         block = raw[raw.index(b"\r\n\r\n") + 4 : -4]
         assert e.record_type == "revisit" or (len(block), hashlib.sha256(block).hexdigest()) == (e.payload_bytes, e.payload_digest)
-    with open(f"{tmp_path}/w/{entries[0].file}", "rb") as f:
-        assert gzip.decompress(f.read().replace(b"", b"")).startswith(b"WARC/1.1")
+    # other readers of gzip give all records of all files
+    got = Counter()
+    for file in (tmp_path / "w").glob("*.txt"):
+        raw = gzip.decompress(file.read_bytes())
+        assert subprocess.run(["gzip", "-dc"], input=file.read_bytes(), capture_output=True, check=True).stdout == raw
+        got.update(re.findall(rb"WARC-Record-ID: <urn:page:(\d*)>", raw))
+        assert raw.count(b"WARC/1.1\r\n") <= 40
+    assert got == Counter(str("" if r[0] is None else r[0]).encode() for r in rows)
     assert sum(e.page_id == 7 and e.record_type == "response" and e.payload_bytes == 320 for e in entries) == 3
 
 
+def test_warc_long_records(spark, tmp_path, monkeypatch):
+    """Records of several members, and files that bytes bound."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rows = [(k, f"http://a{k}.org/", "".join(map(chr, range(300, 300 + k * 9))) * (k % 3 * 10 + 1)) for k in range(40)]
+    out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"{tmp_path}/w").collect()
+    assert {r.page_id: r.payload_digest for r in out} == {k: hashlib.sha256(t.encode()).hexdigest() for k, _, t in rows}
+    files = list((tmp_path / "w").glob("*.txt"))
+    assert len(files) > 3 and b"".join(gzip.decompress(f.read_bytes()) for f in files).count(b"WARC/1.1\r\n") == 40
+
+
+def test_warc_merge_passes(spark, tmp_path, monkeypatch):
+    """More runs than are merged at a time: passes; only a few blocks are open in each."""
+    monkeypatch.setattr(warc, "BLOCK", 4)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 5)
+    rows = [(k, f"http://h{k * 7 % 31}.org/{k % 9}", f"<p>{k}</p>") for k in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "2k")
+    try:
+        parts = []
+        for fan in (64, 3):
+            monkeypatch.setattr(warc, "FAN", fan)
+            parts.append([e for part in warc.archive(pages, f"{tmp_path}/w{fan}").drop("file", "offset").rdd.glom().collect() for e in part])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [e.page_id for e in parts[0]] == [e.page_id for e in parts[1]] and parts[1] == sorted(parts[1], key=warc.order) and len(parts[1]) == 500
+    r, peak = random.Random(5), []
+    runs = [sorted((r.random(), "", k) for _ in range(200)) for k in range(16)]
+    blocks = sorted(((run[k], run[k : k + 8]) for run in runs for k in range(0, 200, 8)), key=lambda b: b[0])
+    build = warc.LoserTree.build
+    monkeypatch.setattr(warc.LoserTree, "build", lambda self, more: (build(self, more), peak.append(len(self.sources)))[0])
+    assert list(warc.merge(blocks)) == sorted(x for run in runs for x in run) and max(peak) <= 17
+
+
 def phrases(text, data):
     n = at = 0
     while at < len(text):
