@@ -20,17 +20,25 @@ SCHEME = "media:sha256:"
 
 
 class Sequence(HTMLParser):
-    """Collects text and media references in the order of the page; a figure's caption belongs to the figure's last reference. What a browser doesn't show, text or media, is left out."""
+    """Collects text and media references in the order of the page; a figure's caption belongs to the figure's last reference.
+
+    What a browser doesn't show, text or media, is left out: the title and what is in SKIPPED elements. Other parts of
+    the head show nothing, so its end, which pages may leave out, doesn't matter. An element that is never closed
+    skips nothing but itself: its start is among `ignored`, the places of start tags to pass over. Media are those of
+    src; srcset and attributes for scripts, such as data-src, aren't read.
+    """
 
     BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "figure", "figcaption", "img", "video", "audio", "source", "blockquote", "pre"}
-    SKIPPED = {"script", "style", "head", "noscript", "template"}
+    SKIPPED = {"script", "style", "title", "noscript", "template"}
     MEDIA = {"img", "video", "audio", "source"}
 
-    def __init__(self) -> None:
+    def __init__(self, ignored: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
-        self.skip, self.caption, self.last = 0, None, None
+        self.caption, self.last = None, None
+        self.ignored, self.starts = ignored, 0
+        self.open: list[tuple[str, int]] = []  # skipped elements: tag and place among the starts of such
 
     def flush(self) -> None:
         if text := " ".join("".join(self.text).split()):
@@ -39,8 +47,10 @@ class Sequence(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIPPED:
-            self.skip += 1
-        elif self.skip:
+            self.starts += 1
+            if self.starts not in self.ignored:
+                self.open.append((tag, self.starts))
+        elif self.open:
             return
         elif tag == "figcaption":
             self.flush()
@@ -61,8 +71,10 @@ class Sequence(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif self.skip:
+            at = max((k for k, (own, _) in enumerate(self.open) if own == tag), default=None)
+            if at is not None:  # what was opened inside ends too
+                del self.open[at:]
+        elif self.open:
             return
         elif tag == "figcaption" and self.caption is not None:
             if self.last is not None:
@@ -72,16 +84,21 @@ class Sequence(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.open:
             (self.text if self.caption is None else self.caption).append(data)
 
 
 def parse(html: str) -> list[dict]:
-    page = Sequence()
-    page.feed(html)
-    page.close()
-    page.flush()
-    return [p | {"position": k} for k, p in enumerate(page.parts)]
+    """The parts of a page, with their positions. A page with elements that are never closed is read again without their starts."""
+    ignored: frozenset[int] = frozenset()
+    while True:
+        page = Sequence(ignored)
+        page.feed(html)
+        page.close()
+        if not page.open:
+            page.flush()
+            return [p | {"position": k} for k, p in enumerate(page.parts)]
+        ignored |= {k for _, k in page.open}
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +161,14 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     """An entry for each stored payload, from the bytes read back: payload_sha256 (its key), payload_bytes, tail_crc32, media_bytes, media_sha256, feature.
 
     Copies of a payload meet as equal entries, of which one is kept by a map-side aggregate. Entries are written.
+    A payload that isn't the one it was stored as raises an error.
     """
     stored = spark.read.schema("digest string, media binary").parquet(path)
     body = F.expr("substring(media, locate('\n255\n', cast(substring(media, 1, 40) as string)) + 5)")
     rows = stored.select("digest", F.octet_length("media").cast("long").alias("media_bytes"), "media", F.sha2(body, 256).alias("payload_sha256"), F.octet_length(body).cast("long").alias("payload_bytes"), F.crc32(F.substring(body, -16, 16)).alias("tail_crc32"), F.sha2("media", 256).alias("media_sha256"))
     schema = "digest string, media_bytes long, payload_sha256 string, payload_bytes long, tail_crc32 long, media_sha256 string, feature string"
-    entries = rows.mapInArrow(_features, schema).where("digest = payload_sha256")
+    whole = F.when(F.col("digest") == F.col("payload_sha256"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("stored media is damaged: "), "digest")).cast("boolean"))
+    entries = rows.mapInArrow(_features, schema).where(whole)
     return written(entries.groupBy("payload_sha256").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature")]))
 
 

@@ -9,6 +9,7 @@ import subprocess
 import zlib
 from collections import Counter
 from fractions import Fraction
+from html import unescape
 
 import numpy as np
 import pytest
@@ -467,6 +468,73 @@ def test_media(spark):
     assert media.interleave(pages.limit(0), payloads.limit(0)).count() == 0
 
 
+def shown(html):
+    """Parts of a page without stray or unclosed tags, by patterns: (text or src, caption)."""
+    html = re.sub(r"(?is)<!--.*?-->|<(script|style|title|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", "", html)
+    parts, text, last, caption = [], "", None, None
+
+    def flush():
+        nonlocal text
+        if own := " ".join(unescape(text).split()):
+            parts.append([own, None])
+        text = ""
+
+    for end, tag, rest, data in re.findall(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", html):
+        tag = tag.lower()
+        if data:
+            if caption is None:
+                text += data
+            else:
+                caption += data
+        elif tag == "figcaption":
+            flush()
+            if end and caption is not None and last is not None:
+                last[1] = " ".join(unescape(caption).split())
+            caption = None if end else ""
+        elif tag in media.Sequence.BREAKS:
+            flush()
+            if tag == "figure" and not end:
+                last = None
+            given = {k.lower(): unescape(a or b or c) for k, a, b, c in re.findall(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", rest)}
+            if tag in media.Sequence.MEDIA and not end and given.get("src"):
+                last = [given["src"], given.get("alt")]
+                parts.append(last)
+    flush()
+    return [tuple(p) for p in parts]
+
+
+def test_page_sequences(spark):
+    """The query over whole tables against another parser."""
+    for sf in ("sf0.001", "sf0.01"):
+        pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "html").collect()
+        got = {r.page_id: r for r in media.op6_page_sequences(spark, f"/root/testdata/{sf}").collect()}
+        parts = {r.page_id: r.sequence for r in media.sequences(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).collect()}
+        assert len(got) == len(pages)
+        for page_id, html in pages:
+            want = shown(html or "")
+            assert [(p.text or p.src, p.caption) for p in parts[page_id]] == want
+            texts = [x.text for x in parts[page_id] if x.kind == "text"]
+            assert (got[page_id].n_parts, got[page_id].n_media) == (len(want), len(want) - len(texts)) and got[page_id].text_sha256 == hashlib.sha256("\n".join(texts).encode()).hexdigest()
+        assert sum(len(p) for p in parts.values()) > 3 * len(pages)
+
+
+def test_omitted_end_tags():
+    own = lambda html: [p["text"] or p["src"] for p in media.parse(html)]
+    assert own("<head><title>t</title><body><p>Hello<img src=a.png>") == ["Hello", "a.png"]
+    assert own("<head><meta charset=utf-8><p>no body tag") == ["no body tag"] and own("<html><title>t</title>text") == ["text"]
+    assert own("a<template>b<img src=c>") == ["ab", "c"]
+    assert own("<noscript>a<template>b</noscript>c<img src=d>") == ["c", "d"] and own("x</template>y</noscript>") == ["xy"]
+    assert own("<template>1</template><p>2<template>3<p>4<template>5</template>6") == ["23", "46"]
+    assert own("") == [] and own("<p>" * 3000 + "z") == ["z"] and own("<template>" * 400 + "z") == ["z"]
+
+
+def test_damaged_media(spark, tmp_path):
+    rows = spark.createDataFrame([("00", bytearray(b"P5\n192 1\n255\n" + b"x" * 192))], "digest string, media binary")
+    rows.write.parquet(f"{tmp_path}/m")
+    with pytest.raises(Exception, match="damaged"):
+        media.describe(spark, f"{tmp_path}/m")
+
+
 def test_media_columns(spark, tmp_path):
     texts = ["", None, "a", "b" * 192, "é" * 97, prose(3, 3000), prose(3, 3000), "hot", *["hot"] * 50]
     make(spark, [(k, t, None, None) for k, t in enumerate(texts)]).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
