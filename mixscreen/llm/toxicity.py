@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from .common import read, remainder, unused, written
 
 #: Characters in an n-gram; bits of a feature's number; labelled documents (rows) that the fit takes at most; ranges in which features are counted.
-ORDERS, BITS, SAMPLE, RANGES = (4, 5, 6), 20, 10_000, 64
+ORDERS, BITS, SAMPLE, RANGES = (4, 5, 6), 20, 20_000, 64
 #: Least log-likelihood ratio (G squared) of a feature and the label, and least size of its log-count ratio: others say next to nothing.
-SIGNIFICANT, TELLING = 12.0, 1.0
-THRESHOLD = 0.7
+SIGNIFICANT, TELLING = 6.0, 1.0
+#: The score from which a text counts as toxic; the share of clean texts that may reach it, by scores of texts that weren't learned from; parts that are left out in turn for these.
+THRESHOLD, FALSE_ALARMS, FOLDS = 0.7, 0.005, 3
 GAP = "\0" * 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters whose n-grams are made together.
@@ -92,6 +93,11 @@ def log_ratio(n0: np.ndarray, n1: np.ndarray, rows: int, toxic: int) -> np.ndarr
     return np.log(((n1 + 1) / (toxic + 2)) / ((n0 + 1) / (rows - toxic + 2)))
 
 
+def telling(n0: np.ndarray, n1: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """Which features are learned from."""
+    return (n0 + n1 >= 3) & (significance(n0, n1, rows, toxic) >= SIGNIFICANT) & (abs(log_ratio(n0, n1, rows, toxic)) >= TELLING)
+
+
 def _summed(rows: int, toxic: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         size = 2 * (1 << BITS) // RANGES
@@ -99,7 +105,7 @@ def _summed(rows: int, toxic: int):
         for x in group["counts"]:
             total += np.frombuffer(pa.decompress(x, decompressed_size=4 * size, codec="zstd"), np.int32)
         n0, n1 = total.reshape(2, -1)
-        at = np.flatnonzero((n0 + n1 >= 3) & (significance(n0, n1, rows, toxic) >= SIGNIFICANT) & (abs(log_ratio(n0, n1, rows, toxic)) >= TELLING))
+        at = np.flatnonzero(telling(n0, n1, rows, toxic))
         return pd.DataFrame({"feature": at + int(group["range"].iloc[0]) * (size // 2), "n0": n0[at], "n1": n1[at]})
 
     return run
@@ -137,6 +143,33 @@ def fit(features: list[np.ndarray], labels: list[int], ratio: np.ndarray, rounds
     return float(b), w * ratio
 
 
+def shift(features: list[np.ndarray], labels: list[int], m: int, folds: int = FOLDS) -> float:
+    """What is added to the bias so that THRESHOLD separates texts that weren't learned from.
+
+    Each of `folds` parts is scored by a model of the others, with counts, telling features and ratios of theirs. The
+    threshold's place is halfway between the score that FALSE_ALARMS of the clean texts pass and the next score of a
+    toxic one above it (that score itself, if there is none).
+    """
+    y, n = np.asarray(labels), len(features)
+    part, scores = np.arange(n) % folds, np.zeros(n)
+    for k in range(folds):
+        own, rest = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        toxic = int(y[own].sum())
+        if not 0 < toxic < len(own) or not len(rest):
+            return 0.0
+        n0, n1 = (np.bincount(np.concatenate([features[i] for i in own if y[i] == label]), minlength=m) for label in (0, 1))
+        used = telling(n0, n1, len(own), toxic)
+        number = np.where(used, np.cumsum(used) - 1, -1)
+        chosen = [x[x >= 0] for x in (number[features[i]] for i in own)]
+        b, w = fit(chosen, y[own].tolist(), log_ratio(n0[used], n1[used], len(own), toxic))
+        weights = np.zeros(m)
+        weights[used] = w
+        scores[rest] = [b + weights[features[i]].sum() for i in rest]
+    at = np.quantile(scores[y == 0], 1 - FALSE_ALARMS, method="higher")
+    above = scores[(y == 1) & (scores > at)]
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (at + above.min()) / 2 if len(above) else np.log(THRESHOLD / (1 - THRESHOLD)) - at)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
     """(bias, weight of each feature), learned from at most `sample` labelled documents: those of smallest hash, half of them of either label.
 
@@ -144,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     larger counts, of several texts the one of smallest hash. With no row of one label the classifier gives every text
     its bias: 0 or 1 as the other label has it, 0.5 without any row.
 
-    Whole texts are learned from. Tasks count features; sums by range give the log-count ratios, and the features that
+    The bias is set so that THRESHOLD keeps clean texts: see shift(). Whole texts are learned from. Tasks count features; sums by range give the log-count ratios, and the features that
     go with the label (SIGNIFICANT). The driver gets these, and each text's numbers of them, never a text.
     """
     spark, nothing = docs.sparkSession, np.zeros(1 << BITS, np.float32)
@@ -165,9 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     number = np.cumsum(wanted) - 1
     chosen = rows.mapInArrow(_selected(spark.sparkContext.broadcast(wanted)), "toxic int, features binary").toPandas()
     chosen = chosen.sort_values(["toxic", "features"], kind="stable")  # so that partitions make no difference
-    b, w = fit([number[np.frombuffer(x, np.int32)] for x in chosen["features"]], chosen["toxic"].tolist(), ratio)
+    numbers, marks = [number[np.frombuffer(x, np.int32)] for x in chosen["features"]], chosen["toxic"].tolist()
+    b, w = fit(numbers, marks, ratio)
     nothing[known["feature"]] = w
-    return b, nothing
+    return b + shift(numbers, marks, len(ratio)), nothing
 
 
 def _scores(model, names: list[str]):

@@ -601,12 +601,34 @@ def test_toxicity_fit(spark):
     rows = [np.array([i for i, x in enumerate(order) if x in s], np.int64) for s in sets]
     at = sorted(range(n), key=lambda k: (y[k], np.array(order, np.int32)[rows[k]].tobytes()))
     bias, w = toxicity.fit([rows[k] for k in at], [y[k] for k in at], np.array([known[x] for x in order]))
+    bias += toxicity.shift([rows[k] for k in at], [y[k] for k in at], len(order))
     got_bias, got = toxicity.train(make(spark, [(k, t, None, None) for k, t in enumerate(texts)]), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
     assert got_bias == pytest.approx(bias) and np.flatnonzero(got).tolist() == [x for x, v in zip(order, w, strict=True) if v] and np.allclose(got[order], w, atol=1e-6)
     scores = [r.score for r in toxicity.score_toxicity(make(spark, [(k, t, None, None) for k, t in enumerate(texts)]), (got_bias, got)).orderBy("doc_id").collect()]
     assert scores == pytest.approx([1 / (1 + np.exp(-(bias + sum(w[i] for i in x)))) for x in rows], abs=1e-5)
 
 
+def test_toxicity_shift():
+    """At the threshold, by models of the other parts: few clean texts, and the toxic ones that are above them."""
+    r = np.random.default_rng(0)
+    y = [0] * 600 + [1] * 200
+    features = [np.unique(np.concatenate((r.integers(0, 300, 20), r.integers(300, 312, 2) if (k >= 600 and r.random() < 0.9) or r.random() < 0.002 else []))).astype(np.int64) for k in range(800)]
+    b = toxicity.shift(features, y, 312)
+    scores = np.zeros(800)
+    for k in range(3):
+        own, rest = [i for i in range(800) if i % 3 != k], [i for i in range(800) if i % 3 == k]
+        n0, n1 = (np.bincount(np.concatenate([features[i] for i in own if y[i] == v]), minlength=312) for v in (0, 1))
+        toxic = sum(y[i] for i in own)
+        used = np.flatnonzero(toxicity.telling(n0, n1, len(own), toxic))
+        place = {f: j for j, f in enumerate(used.tolist())}
+        bias, w = toxicity.fit([np.array([place[f] for f in features[i].tolist() if f in place], np.int64) for i in own], [y[i] for i in own], toxicity.log_ratio(n0[used], n1[used], len(own), toxic))
+        for i in rest:
+            scores[i] = bias + sum(w[place[f]] for f in features[i].tolist() if f in place)
+    p = 1 / (1 + np.exp(-(scores + b)))
+    assert (p[:600] >= toxicity.THRESHOLD).mean() <= toxicity.FALSE_ALARMS and (p[600:] >= toxicity.THRESHOLD).mean() > 0.8
+    assert toxicity.shift(features[:3], [0, 0, 0], 312) == 0.0
+
+
 def test_packing(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
