@@ -8,29 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clip(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-
-
 def clipped(x: str) -> str:
-    """SQL of clip(): one expression of many terms is a single call as text."""
+    """SQL of a value brought into 0..1. Formulas are text: an expression of many terms is a single call."""
     return f"greatest(0D, least(1D, {x}))"
 
 
-def average(xs: list[str], clip: bool = False) -> str:
-    """SQL of the mean of columns or expressions, clipped or known to lie in 0..1."""
-    return f"(({' + '.join(clipped(x) if clip else x for x in xs)}) / {len(xs)}D)"
+def average(xs: list[str]) -> str:
+    """SQL of the mean of columns or expressions that lie in 0..1."""
+    return f"(({' + '.join(xs)}) / {len(xs)}D)"
 
 
 def total(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, xs)
 
 
-def mean(*xs: Column) -> Column:
-    """Mean of values clipped to 0..1."""
-    return total([clip(x) for x in xs]) / len(xs) if xs else F.lit(0.0)
-
-
 def evenness(xs: list[Column], average: Column | None = None) -> tuple[Column, Column]:
     """(smallest value, 1 - population standard deviation) across columns; average: a column that holds their mean already."""
     average = total(xs) / len(xs) if average is None else average

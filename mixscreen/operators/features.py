@@ -57,13 +57,6 @@ def measured(rows: DataFrame, book: Book) -> DataFrame:
     return out.selectExpr(*[c for c in out.columns if c != "__v"], *[f"__v[{k}] AS {c}" for k, c in enumerate(VECTOR)])
 
 
-def profile(shares: DataFrame, catalog: DataFrame) -> DataFrame:
-    """A row for each mixture of shares (candidate_id, code, frac) with w_PROPERTY, PHASE_like, s_ROLE, largest share, components over 0.008: one shuffle, on candidate_id."""
-    book = Book(catalog)
-    own = shares.join(book.places(), "code").groupBy("candidate_id").agg(F.collect_list(F.struct("code", "frac", "at")).alias("parts"))
-    return measured(own, book).drop("parts")
-
-
 # What a feature gains from phases (by name) and role shares (s_ROLE).
 GAINS = """
 transformation: 0.18 * least(catalyst, matrix + mineral + sorbent) + 0.08 * least(bio_process, matrix)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,7 +27,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, path: str, manifest: dict) -> None:
         self.spark, self.path, self.manifest = spark, path, manifest
-        self.rows = spark.read.parquet(f"{path}/rows")
+        self.rows = spark.read.parquet(f"{path}/{manifest['rows']}")
 
     def counts(self) -> DataFrame:
         """One row of the counts taken as the rows were written: nothing is read."""
@@ -85,8 +86,10 @@ def kept_run(spark: SparkSession, inputs: list[str], make: Callable[[], DataFram
     if manifest is None:
         seen = Observation()
         rows = slim(make()).observe(seen, *[F.expr(sql).alias(c) for c, sql in COUNTS.items()])
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
-        manifest = _manifest(spark, path, {"key": key, "inputs": {"paths": sorted(inputs), **found}, "parameters": parameters, "version": VERSION, "counts": dict.fromkeys(COUNTS, 0) | {c: int(n) for c, n in files.observed(spark.read.parquet(f"{path}/rows"), seen).items()}})
+        folder = f"rows-{uuid.uuid4().hex}"  # so that two that make the same run at once don't meet
+        rows.write.option("compression", "zstd").parquet(f"{path}/{folder}")
+        counts = dict.fromkeys(COUNTS, 0) | {c: int(n) for c, n in files.observed(spark.read.parquet(f"{path}/{folder}"), seen).items()}
+        manifest = _manifest(spark, path, {"key": key, "rows": folder, "inputs": {"paths": sorted(inputs), **found}, "parameters": parameters, "version": VERSION, "counts": counts})
     return Run(spark, path, manifest)
 
 
