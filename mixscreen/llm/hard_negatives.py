@@ -18,8 +18,8 @@ from .common import partitions, read, small_side, whole_numbers, written
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 #: Vectors that the codebooks are fitted on, most codewords of a half, rounds of fitting.
 SAMPLE, WORDS, ROUNDS = 16_384, 256, 8
-#: Vectors of a block, queries of a chunk, rows that the first round of a search visits for a query, and by how much each further round goes on.
-BLOCK, CHUNK, FIRST, GROWTH = 2048, 256, 4096, 8
+#: Vectors of a block, queries of a chunk, requests that are passed on at a time, rows that the first round of a search visits for a query, and by how much each further round goes on.
+BLOCK, CHUNK, ASKED, FIRST, GROWTH = 2048, 256, 4096, 4096, 8
 QUERY = "gid long, label long, x array<long>, w array<int>, low array<long>, high array<long>, kth array<long>"
 
 
@@ -160,25 +160,31 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, p
 
 
 def _asked(cells: Broadcast, after: int, upto: int, open_only: bool):
-    """Rows of QUERY to (cell, and the query) for each cell to visit; open_only: to the gids of those that may need more cells instead."""
+    """Rows of QUERY to (cell, and the query) for each cell to visit, ASKED at a time; open_only: to the gids of those that may need more cells instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs = vectors(batch.column(2))
-            found, again = [], []
+            found: list[int] = []
+            again: list[int] = []
+
+            def given() -> pa.RecordBatch:
+                rows = batch.take(pa.array(again[:ASKED], pa.int32()))
+                out = pa.RecordBatch.from_arrays([rows.column(0)], ["gid"]) if open_only else pa.RecordBatch.from_arrays([pa.array(found[:ASKED], pa.int32()), *rows.columns], ["cell", *rows.schema.names])
+                del found[:ASKED], again[:ASKED]
+                return out
+
             for k in range(batch.num_rows):
                 low, high, kth = (np.array(batch.column(c)[k].as_py(), object) for c in (4, 5, 6))
                 least = np.array([x if y is None else max(x, y) for x, y in zip(low, kth, strict=True)], float)
                 own, more = cells.value.visit(xs[k], least, high.astype(float), after, upto)
-                if open_only:
-                    found += [0] * more
-                    again += [k] * more
-                else:
-                    found += own
-                    again += [k] * len(own)
+                own = [0] * more if open_only else own
+                found += own
+                again += [k] * len(own)
+                while len(again) >= ASKED:
+                    yield given()
             if again:
-                rows = batch.take(pa.array(again, pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.column(0)], ["gid"]) if open_only else pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *rows.columns], ["cell", *rows.schema.names])
+                yield given()
 
     return run
 
@@ -324,7 +330,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = POSITIVE
     lists = found.groupBy("gid", "positive_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "id"))).alias("negatives"))
     lists = lists.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("positive_score", "negatives"))).alias("negatives"))
     lists = near.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "id"))).alias("positives")).join(lists, "gid")
-    lists = small_side(written(groups.join(lists, "gid").select("label", "x", "positives", "negatives")), 50_000)
+    lists = small_side(written(groups.join(lists, "gid").select("label", "x", "positives", "negatives")), 10_000)
     out = anchors.join(lists, ["label", "x"]).withColumn("p", F.explode(F.slice(F.filter("positives", lambda p: p["id"] != F.col("vec_id")), 1, positives)))
     out = out.select("vec_id", "p", F.posexplode(F.try_element_at("negatives", -F.col("p.n"))))
     return out.select(F.col("vec_id").alias("anchor_id"), F.col("p.id").alias("positive_id"), (F.col("pos") + 1).alias("rank"), F.col("col.id").alias("negative_id"), (-F.col("p.n")).alias("positive_score"), (-F.col("col.n")).alias("negative_score"))

@@ -168,7 +168,8 @@ def mined(rows, anchor, positives=5, negatives=10, low=30, high=90):
 
 
 @pytest.mark.parametrize(("seed", "n", "d", "options"), [(1, 400, 8, {}), (2, 500, 6, {"words": 5, "first": 8}), (3, 300, 5, {"words": 12, "first": 1, "sample": 40}), (4, 60, 1, {"words": 3, "first": 4})])
-def test_hard_negatives(spark, seed, n, d, options):
+def test_hard_negatives(spark, monkeypatch, seed, n, d, options):
+    monkeypatch.setattr(hard_negatives, "ASKED", 7 if seed % 2 else 4096)
     rows = clouds(seed, n, d)
     rows += [(10_000 + k, 1, rows[20][2]) for k in range(150)] + [(20_000 + k, 2, rows[20][2]) for k in range(0, 40, 2)]  # copies, with their anchors
     rows += [(5, None, rows[0][2]), (None, 1, rows[0][2]), (30_000, 1, None), rows[20], rows[20]]
