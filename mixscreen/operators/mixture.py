@@ -27,8 +27,9 @@ def packed(header: DataFrame, lines: DataFrame, book: Book, default: str = DEFAU
         raise ValueError(f"{default} is not in the catalog")
     own = lines if dealt else lines.repartition("candidate_id")
     places = book.places().withColumn("term", first_term(F.col("code")))
+    # a book has MOST_CODES codes at most
     term = F.when(F.col("at").isNull(), first_term(F.col("code"))).otherwise(F.col("term"))
-    own = own.join(places, "code", "left").select("candidate_id", F.expr("if(at IS NULL, NULL, code) AS code"), "at", term.alias("term"), "amount")
+    own = own.join(F.broadcast(places), "code", "left").select("candidate_id", F.expr("if(at IS NULL, NULL, code) AS code"), "at", term.alias("term"), "amount")
     merged = own.groupBy("candidate_id", "code", "at", "term").agg(F.expr("sum(if(amount > 0, amount, NULL)) AS amount"))
     counted = F.col("at").isNotNull() & F.col("amount").isNotNull()
     lists = merged.groupBy("candidate_id").agg(F.collect_list(F.when(counted, F.struct("code", "amount", "at"))).alias("own"), F.sum(F.when(counted, F.col("amount"))).alias("total"), F.min("term").alias("code_term"))
