@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import subprocess
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -48,28 +49,72 @@ def test_exact(spark, docs):
     assert exact_dedup.heavy_hitters(rows, 4).count() >= 1
 
 
+def scheduled(blocks, weights, period=None):
+    """The slots of each source's blocks, all from one plan."""
+    plan = mixing.Plan(blocks, weights, period)
+    chunks = {}
+    for run in range(plan.count()):
+        for s, r, c, own in plan.scheduled(run):
+            chunks.setdefault(s, {})[r, c] = own
+    got = {}
+    for s, n in blocks.items():
+        got[s] = np.array(plan.block_slots(s, 0, n - 1, chunks[s]))
+        for a, z in ((0, n - 1), (n // 3, n // 2), (n - 1, n - 1)):
+            own = {k: chunks[s][k] for k in plan.chunks(s, a, z)}
+            assert plan.block_slots(s, a, z, own) == got[s][a : z + 1].tolist()
+    assert sorted(np.concatenate(list(got.values()))) == list(range(sum(blocks.values())))
+    return got
+
+
 def test_pfair():
-    for weights in ({"a": 1, "b": 2, "c": 5}, {"x": 3, "y": 3}, {k: 1 for k in range(7)}):
+    for weights in ({"a": 1, "b": 2, "c": 5}, {"x": 3, "y": 3}, {str(k): 1 for k in range(7)}):
         share = mixing.shares(weights, 100)
         assert sum(share.values()) == 100
-        done = dict.fromkeys(weights, 0)
-        for t, s in enumerate(mixing.one_period(share, 100), 1):
-            done[s] += 1
-            assert all(abs(done[k] - share[k] / 100 * t) < 1 for k in weights)
+        got = scheduled({s: 3 * n for s, n in share.items()}, weights, 100)
+        t = np.arange(301)
+        assert all((abs(np.searchsorted(got[s], t) - share[s] / 100 * t) < 1).all() for s in weights)
 
 
-@pytest.mark.parametrize("weights", [{k: 1 for k in range(3)}, {k: 1 + k % 3 for k in range(7)}, {k: 1 for k in range(450)}, {"a": 0.001, "b": 0.3, "c": 0.699}, {"a": 10**12 + 1, "b": 3, "c": 10**12}])
+@pytest.mark.parametrize("weights", [{str(k): 1 for k in range(3)}, {str(k): 1 + k % 3 for k in range(7)}, {str(k): 1 for k in range(450)}, {"a": 0.001, "b": 0.3, "c": 0.699}, {"a": 10**12 + 1, "b": 3, "c": 10**12}])
 def test_pfair_target_weights(weights):
-    blocks = {s: 1 + int(20_000 * w / sum(weights.values())) for s, w in weights.items()}
-    phases = mixing.plan(blocks, weights)
-    at = {s: mixing.block_slots(phases[s], 0, n) for s, n in blocks.items()}
-    assert sorted(np.concatenate(list(at.values()))) == list(range(sum(blocks.values())))
+    at = scheduled({s: 1 + int(20_000 * w / sum(weights.values())) for s, w in weights.items()}, weights)
     ends = min(x[-1] for x in at.values())  # up to here all have blocks
     assert ends > 1000
     for s, x in at.items():
         served = np.searchsorted(x, np.arange(ends + 2))  # before each slot
         assert (abs(served - weights[s] / sum(weights.values()) * np.arange(ends + 2)) < 1 + 1e-9).all()
-        assert (mixing.block_slots(phases[s], 1, len(x)) == x[1:]).all()
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.333333, "b": 0.271828, "c": 0.394839}, {"a": 6, "b": 2.5, "c": 0.5}, {str(k): 1 + k % 4 for k in range(60)}])
+def test_pfair_sources_that_end(weights):
+    """Never a block from the fluid schedule, in which sources that end leave their part to the others; the same as the plain schedule."""
+    blocks = {s: 1 + (37 * k * k + 11 * k) % 400 for k, s in enumerate(weights)}
+    got = scheduled(blocks, weights)
+    order = naive_schedule(blocks, weights)
+    assert all(order[t] == s for s, x in got.items() for t in x)
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    left, served, v, t = dict(blocks), dict.fromkeys(blocks, Fraction(0)), Fraction(0), 0
+    for s in order:
+        todo = Fraction(1)
+        while todo:  # the fluid of one slot
+            active = [x for x in blocks if served[x] < blocks[x]]
+            rate = sum(exact[x] for x in active)
+            step = min(todo, *((blocks[x] - served[x]) * rate / exact[x] for x in active))
+            for x in active:
+                served[x] += step * exact[x] / rate
+            todo -= step
+        left[s] -= 1
+        assert all(abs(blocks[x] - left[x] - served[x]) < 1 for x in blocks)
+
+
+def test_pfair_grows_with_sources_alone():
+    """100,000 sources that end one after another; a billion blocks."""
+    began = time.time()
+    plan = mixing.Plan({f"s{k}": 10_000 + k for k in range(100_000)}, {f"s{k}": 1 for k in range(100_000)})
+    last = plan.groups[0][1][-1]
+    assert last[2] + last[3] == sum(10_000 + k for k in range(100_000)) and time.time() - began < 30
+    rows = list(plan.scheduled(plan.count() - 1))
+    assert rows == [("s99999", plan.count() - 1, 0, [0])]
 
 
 def test_mix_many_sources(spark):
@@ -94,19 +139,17 @@ def test_mix(spark, docs):
 
 
 def naive_schedule(blocks, weights):
-    """The source of each slot, slot by slot: of the sources whose next block is released the one with the earliest deadline."""
-    left, out = {s: n for s, n in blocks.items() if n}, []
-    while left:
-        active = {s: Fraction(str(weights[s])) for s in left if weights[s] > 0} or {s: Fraction(1) for s in left}
-        total, done, t = sum(active.values()), dict.fromkeys(active, 0), 0
-        while all(left[s] for s in active):
-            due = {s: (math.ceil((done[s] + 1) * total / active[s]), str(s)) for s in active if math.floor(done[s] * total / active[s]) <= t}
-            s = min(due, key=due.get)
-            out.append(s)
-            done[s] += 1
-            left[s] -= 1
-            t += 1
-        left = {s: n for s, n in left.items() if n}
+    """The source of each slot: of all released blocks that with the earliest deadline, all windows being those of the fluid schedule."""
+    out = []
+    for own in ([s for s in blocks if weights[s] > 0], [s for s in blocks if not weights[s] > 0]):
+        w = {s: Fraction(str(weights[s])) or Fraction(1) for s in own}
+        passed = lambda v: sum(min(w[s] * v, blocks[s]) for s in own)  # noqa: B023, E731
+        jobs = [(math.floor(passed(j / w[s])), math.ceil(passed((j + 1) / w[s])), str(s), s) for s in own for j in range(blocks[s])]
+        for t in range(len(jobs)):
+            job = min((x for x in jobs if x[0] <= t), key=lambda x: x[1:3])
+            assert t < job[1]
+            jobs.remove(job)
+            out.append(job[3])
     return out
 
 
@@ -134,6 +177,18 @@ def test_mix_brute_force(spark):
     assert all(r[c] == c for r in got for c in names if c != "mix_slot")
 
 
+def test_mix_equal_rows(spark):
+    """Rows that hundreds of others equal are ranked in tables of their own; each row has a position."""
+    rows = [(None, "same", None, "a")] * 700 + [(7, "t", None, "b")] * 300 + [(k, "t", None, "ab"[k % 2]) for k in range(8, 208)]
+    got = mixing.mix_sources(make(spark, rows).repartition(3), {"a": 2}, block=4, ranked=16).collect()
+    assert len(got) == 1200 and len({r.mix_position for r in got}) == 1200
+    assert sorted((r.doc_id or -1, r.source) for r in got) == sorted((r[0] or -1, r[3]) for r in rows)
+    order = naive_schedule({"a": 200, "b": 100}, {"a": 2, "b": 1})
+    assert all(order[r.mix_slot] == r.source and r.mix_position // 4 == r.mix_slot for r in got)
+    hot = mixing._ties_apart(make(spark, rows).selectExpr("source AS s", "0 AS b", "xxhash64(doc_id, source) AS h"), "s", "b", "h", "x", 16)
+    assert max(r["count"] for r in hot.where("x > 0").groupBy("s", "x").count().collect()) <= 16 and hot.count() == 1200 and hot.where("x = 0").count() == 200
+
+
 @pytest.mark.parametrize("most", [20, 500_000])
 def test_components(spark, monkeypatch, most):
     monkeypatch.setattr(unionfind, "LINKS", most)
