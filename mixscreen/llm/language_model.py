@@ -16,9 +16,8 @@ from .common import hashed, mix, partitions, read, remainder, unique_sorted, wri
 #: Characters of text in a part, within which equal n-grams are asked for once; share of the training documents whose
 #: counts are held out to learn the weights (one in TUNE); buckets of context frequency (powers of two); steps of EM.
 PART_CHARS, TUNE, BUCKETS, STEPS = 10_000_000, 8, 24, 60
-#: Cells of an octave in which held-out events are counted, so that a probability is known to 4.5 %: EM's mixture weights
-#: come from these, scores from exact counts. A context bucket k has at most CELL * k by CELL * 44 cells: under 800,000 in all.
-CELL = 8
+#: EM ends where no weight changes by more, or after STEPS.
+SETTLED = 1e-7
 #: Characters of all texts for each hash range, whose n-grams one task counts.
 RANGE_CHARS = 32_000_000
 END = np.uint64(0x7E1D5C0FFEE5A11D)
@@ -171,46 +170,50 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.ceil(np.log2(context + 1)).astype(np.int64))
 
 
-def _held_out(n: int, apart_n: int):
-    """Cells of held-out events: context bucket, and logarithms of both estimates from the counts that are left."""
+def _held_out():
+    """Distinct held-out events of a part: context bucket, and counts of bigram, context and word that are left; n: how often."""
 
     def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for docs in left["docs"]:
             _, train, counts, ((b, c, w), (b1, c1, w1)) = _events(docs, right, ("total", "apart"))
             b, c, w = b - b1, c - c1, w - w1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p2 = np.where(b > 0, np.round(CELL * np.log2(b / c)), -9999)
-                p1 = np.where(w > 0, np.round(CELL * np.log2(w / max(1, n - apart_n))), -9999)
-            out.append(pd.DataFrame({"bucket": _bucket(c), "p2": p2.astype(np.int64), "p1": p1.astype(np.int64), "n": np.repeat(train, counts).astype(np.int64)}))
-        return pd.concat(out).groupby(["bucket", "p2", "p1"], as_index=False)["n"].sum()
+            own = pd.DataFrame({"bucket": _bucket(c), "b": b, "c": c, "w": w})[np.repeat(train, counts)]
+            out.append(own.groupby(["bucket", "b", "c", "w"], as_index=False).size().rename(columns={"size": "n"}))
+        return pd.concat(out)
 
     return run
 
 
-def expectation_maximisation(cells: pd.DataFrame, types: int, steps: int = STEPS) -> np.ndarray:
+def expectation_maximisation(events: DataFrame | None, left: int, types: int, steps: int = STEPS) -> np.ndarray:
     """Weights (bigram, unigram, uniform) of each context bucket that make the held-out events likeliest.
 
-    Where no event fell into a bucket the nearest lower bucket's weights hold, at first (0, 0.9, 0.1), or the uniform part's alone if nothing was learned. The weight of
-    the uniform part stays over 0, so that no text gets probability 0; an unseen context has no bigram part.
+    events: as _held_out() gives them (None: there are none); left: all occurrences that aren't held out. Spark sums each step's shares up, on
+    exact counts: three numbers a bucket come to the driver. Where no event fell into a bucket the nearest lower bucket's
+    weights hold, at first (0, 0.9, 0.1), or the uniform part's alone if nothing was learned. The weight of the uniform
+    part stays over 0, so that no text gets probability 0; an unseen context has no bigram part.
     """
-    out = np.zeros((BUCKETS, 3))
+    weights = np.full((BUCKETS, 3), 1 / 3)
+    seen: set[int] = set()
+    for _ in range(steps if events is not None else 0):
+        # the weights are a constant of the plan, not of its generated code, which is compiled once
+        now = F.lit(weights.ravel().tolist())
+        weigh = lambda k: F.get(now, (F.col("bucket") * 3 + k).cast("int"))  # noqa: B023, E731
+        parts = [weigh(0) * F.coalesce(F.try_divide(F.col("b").cast("double"), "c"), F.lit(0.0)), weigh(1) * F.col("w") / max(1, left), weigh(2) / (types + 1)]
+        shares = events.select("bucket", "n", *(p.alias(f"p{k}") for k, p in enumerate(parts))).withColumn("p", F.expr("n / (p0 + p1 + p2)"))
+        sums = {r[0]: np.array(r[1:]) for r in shares.groupBy("bucket").agg(*(F.sum(F.expr(f"p{k} * p")) for k in range(3))).collect()}
+        seen, before = set(sums), weights.copy()
+        for k, x in sums.items():
+            w = np.maximum(x / x.sum(), [0, 0, 1e-9])
+            weights[k] = w / w.sum()
+        if abs(weights - before).max() <= SETTLED:
+            break
     before = np.array([0.0, 0.9, 0.1]) if types else np.array([0.0, 0.0, 1.0])
     for k in range(BUCKETS):
-        own = cells[(cells["bucket"] == k) & (cells["n"] > 0)]
-        if len(own):
-            p = np.stack([np.where(own[x] > -9999, np.exp2(own[x] / CELL), 0.0) for x in ("p2", "p1")] + [np.full(len(own), 1 / (types + 1))])
-            n, w = own["n"].to_numpy(np.float64), np.full(3, 1 / 3)
-            for _ in range(steps):
-                share = w[:, None] * p
-                w = (share / share.sum(axis=0) * n).sum(axis=1) / n.sum()
-                w = np.maximum(w, [0, 0, 1e-9])
-                w /= w.sum()
-            before = w
-        out[k] = before
-    w = out[0] * [0, 1, 1]
-    out[0] = w / w.sum()
-    return out
+        weights[k] = before = weights[k] if k in seen else before
+    w = weights[0] * [0, 1, 1]
+    weights[0] = w / w.sum()
+    return weights
 
 
 def _scored(n: int, types: int, weights: np.ndarray):
@@ -254,14 +257,10 @@ def score_documents(docs: DataFrame, trained: Column) -> DataFrame:
     known = replies.where("part is null").groupBy("kind").agg(F.sum("types"), F.sum("n"), F.sum("apart_n")).collect()
     types, n, apart_n = next(((r[1], r[2], r[3]) for r in known if r[0] == UNIGRAM), (0, 0, 0))
     replies = replies.where("part is not null").select("part", "kind", "bucket", "total", "apart")
-    # the cells are bounded by CELL, the 64 octaves of counts and BUCKETS, whatever the input
     tuning = parts.where("tune")
     lengths = replies.join(tuning.select("part"), "part", "left_semi")
-    if n:
-        cells = tuning.groupBy("part").cogroup(lengths.groupBy("part")).applyInPandas(_held_out(n, apart_n), "bucket long, p2 long, p1 long, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).toPandas()
-    else:
-        cells = pd.DataFrame({"bucket": [], "p2": [], "p1": [], "n": []})
-    weights = expectation_maximisation(cells, types)
+    events = written(tuning.groupBy("part").cogroup(lengths.groupBy("part")).applyInPandas(_held_out(), "bucket long, b long, c long, w long, n long")) if n else None
+    weights = expectation_maximisation(events, n - apart_n, types)
     schema = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("part").cogroup(replies.select("part", "kind", "bucket", "total").groupBy("part")).applyInPandas(_scored(n, types, weights), schema)
 

@@ -345,19 +345,20 @@ def test_lm(spark, monkeypatch):
     for i, e in events:
         for c, w in e if i in tunes and not held(i) else ():
             b, f, u = bi[c, w] - bi1[c, w], uni[c] - uni1.get(c, 0), uni[w] - uni1[w]
-            p2 = round(language_model.CELL * np.log2(b / f)) if b else None
-            p1 = round(language_model.CELL * np.log2(u / (n - sum(uni1.values())))) if u else None
-            cells.setdefault(int(np.ceil(np.log2(f + 1))), []).append([0 if x is None else 2 ** (x / language_model.CELL) for x in (p2, p1)] + [1 / (v + 1)])
+            cells.setdefault(int(np.ceil(np.log2(f + 1))), []).append([b / max(f, 1), u / (n - sum(uni1.values())), 1 / (v + 1)])
     assert len(cells) >= 3
+    step = {k: np.full(3, 1 / 3) for k in cells}
+    for _ in range(language_model.STEPS):
+        last, step = step, {}
+        for k, p in cells.items():
+            post = last[k] * np.array(p)
+            w = np.maximum((post / post.sum(axis=1, keepdims=True)).mean(axis=0), [0, 0, 1e-9])
+            step[k] = w / w.sum()
+        if max(abs(step[k] - last[k]).max() for k in cells) <= language_model.SETTLED:
+            break
     weights, before = [], np.array([0, 0.9, 0.1])
     for k in range(language_model.BUCKETS):
-        if k in cells:
-            w = np.full(3, 1 / 3)
-            for _ in range(language_model.STEPS):
-                post = w * np.array(cells[k])
-                w = np.maximum((post / post.sum(axis=1, keepdims=True)).mean(axis=0), [0, 0, 1e-9])
-                w /= w.sum()
-            before = w
+        before = step.get(k, before)
         weights.append(before)
     weights[0] = weights[0] * [0, 1, 1] / (weights[0][1:].sum())
     got = sorted(language_model.score_documents(df.repartition(3), common.remainder("doc_id", 7) != 2).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
