@@ -70,7 +70,8 @@ def hashed(words: list) -> np.ndarray:
 
 def unique_sorted(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
-    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+    new = x[1:] != x[:-1]
+    return x if new.all() else x[np.concatenate(([True], new))]
 
 
 def shingles(texts: list[str], size: int = 5) -> list[np.ndarray]:

@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, read, small_side, unique_sorted, unused, written
-from .minhash import band_keys, chained, one_permutation, shared
+from .minhash import band_keys, binned, chained, filled, shared
 
 #: Characters in a shingle; Jaccard similarity of copies; bands and rows: a pair at the threshold is missed with probability (1 - 0.8^4)^12 < 0.002.
 SHINGLE, THRESHOLD, BANDS, ROWS = 7, 0.8, 12, 4
 GAP = "\0" * SHINGLE
 LAST = (1 << 63) - 1
-#: Characters whose shingles are made together.
-TOGETHER = 500_000
+#: Characters whose shingles are made together, in 8 bytes each.
+TOGETHER = 1 << 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
+SQUARE = np.uint64(pow(int(ODD), 2, 1 << 64))
+#: What no plain line has, nor ends or begins with: in ASCII, and beyond.
+UNPLAIN = ["  ", " \n", "\n ", *(x for x in map(chr, range(128)) if x.isspace() and x not in " \n")]
+BEYOND = UNPLAIN + [x for x in map(chr, range(128, 0x3001)) if x.isspace()]
 #: Values of lines hardly repeat: dictionaries would be built in vain.
 PLAIN = {"parquet.enable.dictionary": "false"}
-LINES = "digest binary, id long, line string, places array<struct<doc:long,key:long,line:int>>, bands array<long>"
+LINES = "digest binary, id long, line string, n int, places array<struct<doc:long,key:long,line:int>>, bands binary"
 
 
 def plain(line: str) -> str:
@@ -30,63 +34,80 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all shingles, where each line's begin): runs of SHINGLE characters, or the whole line if it is shorter."""
-    text = GAP.join(lines) + GAP
-    c = (np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.uint64)
-    runs = c[: len(c) - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        runs *= ODD
-        runs += c[k : len(c) - SHINGLE + 1 + k]
-    sizes = np.array([len(x) for x in lines], np.int64)
-    begins = np.cumsum(sizes + SHINGLE) - sizes - SHINGLE
-    counts = np.maximum(1, sizes - SHINGLE + 1)
-    starts = np.cumsum(counts) - counts
-    return mix(runs[np.arange(int(counts.sum())) + np.repeat(begins - starts, counts)]), starts
+def plain_lines(text: str) -> list[str]:
+    """plain() of each line."""
+    low = text.lower()
+    if low[:1] == " " or low[-1:] == " " or any(x in low for x in (UNPLAIN if low.isascii() else BEYOND)):
+        return [" ".join(x.split()) for x in low.split("\n")]
+    return low.split("\n")
 
 
-def line_sets(lines: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingles of each line."""
-    values, starts = line_shingles(lines)
-    return [unique_sorted(x) for x in np.split(values, starts[1:])]
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """Band keys, a row for each line."""
-    out = np.empty((len(lines), BANDS), np.uint64)
+def _runs(lines: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every few lines, as many as the processor's cache holds: (the first one's number, 64-bit hashes of the runs of SHINGLE characters that begin at each place of
+    the lines, of which GAP follows each; each line's characters; its number of shingles, which begin with it: a shorter line is one)."""
     at = 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (size == 0 or size < TOGETHER):
             size += len(lines[end])
             end += 1
-        out[at:end] = band_keys(one_permutation(*line_shingles(lines[at:end]), BANDS * ROWS), BANDS, ROWS)
+        text = GAP.join(lines[at:end]) + GAP
+        c = (np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.uint64)
+        two = c[:-1] * ODD + c[1:]
+        runs = two[:-4] * SQUARE + two[2:-2]
+        runs = (runs * SQUARE + two[4:])[:-1] * ODD + c[6:]
+        sizes = np.array([len(x) for x in lines[at:end]], np.int64)
+        yield at, mix(runs), sizes, np.maximum(1, sizes - SHINGLE + 1)
         at = end
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line."""
+    out = []
+    for _, values, sizes, counts in _runs(lines):
+        begins = np.cumsum(sizes + SHINGLE) - sizes - SHINGLE
+        out += [unique_sorted(values[i:j]) for i, j in zip(begins.tolist(), (begins + counts).tolist(), strict=True)]
     return out
 
 
+def signatures(lines: list[str]) -> np.ndarray:
+    """Band keys, a row for each line."""
+    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    for at, values, sizes, counts in _runs(lines):
+        # runs that begin behind a line's last shingle go to a row of their own
+        n = len(sizes)
+        rows = np.repeat(np.stack((np.arange(n), np.full(n, n)), axis=1).ravel(), np.stack((counts, sizes + SHINGLE - counts), axis=1).ravel())
+        values >>= np.uint64(32)
+        out[at : at + n] = binned(values, rows[: len(values)], n + 1, BANDS * ROWS)[:n]
+    return band_keys(filled(out), BANDS, ROWS)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines of every few hundred documents: digest, number, text, occurrences in order, band keys."""
+    """The distinct lines of every few hundred documents: digest, number, text, occurrences (their number, and each in order), band keys."""
     place = pa.struct([("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            seen: dict[str, list] = {}
-            for doc, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for n, line in enumerate(text.split("\n")):
-                    if p := plain(line):
-                        seen.setdefault(p, []).append((doc, key, n))
-            if not seen:
+            every = [plain_lines(text) for text in part.column(2).to_pylist()]
+            seen = {"": 0}
+            which = np.array([seen.setdefault(p, len(seen)) for lines in every for p in lines])
+            if len(seen) == 1:
                 continue
-            lines = list(seen)
+            lines, sizes = list(seen)[1:], [len(x) for x in every]
+            row = np.repeat(np.arange(len(every)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hold = which > 0
+            which, row, at = which[hold] - 1, row[hold], at[hold]
             digests = [hashlib.blake2b(p.encode(), digest_size=16).digest() for p in lines]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * BANDS, pa.int32()), pa.array(signatures(lines).ravel().view(np.int64)))
-            found = [sorted(set(v)) if len(v) > 1 else v for v in seen.values()]
-            flat = [x for v in found for x in v]
-            places = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], fields=list(place))
-            places = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), places)
+            bands = pa.array(np.ascontiguousarray(signatures(lines)).view(f"V{8 * BANDS}").ravel().tolist(), pa.binary())
+            doc, key = (part.column(k).to_numpy()[row] for k in range(2))
+            found = np.stack((which, doc, key, at))[:, np.lexsort((at, key, doc, which))]
+            found = found[:, np.append(True, (found[:, 1:] != found[:, :-1]).any(axis=0))]
+            counts = np.bincount(found[0])
+            places = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(found[1:], (pa.int64(), pa.int64(), pa.int32()), strict=True)], fields=list(place))
+            places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), places)
             ids = pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, pa.array(lines, pa.string()), places, bands], ["digest", "id", "line", "places", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, pa.array(lines, pa.string()), pa.array(counts, pa.int32()), places, bands], ["digest", "id", "line", "n", "places", "bands"])
 
 
 def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -110,12 +131,15 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def items(ids: DataFrame) -> DataFrame:
         return lines.select("id", F.col("line").alias("item")).join(small_side(ids), "id", "left_semi").groupBy("id").agg(F.first("item").alias("item"))
 
-    roots = chained(shared(lines.select("id", "bands")), items, threshold, line_sets, hashes=0)
+    roots = chained(shared(lines.select("id", "bands")), items, threshold, line_sets, hashes=0, keep=True)
     # a component is named by its root, and else by the digest of its line
-    named = lines.select("digest", "id", "places").join(small_side(written(roots)), "id", "left")
-    named = named.select(F.coalesce(F.col("root").cast("string").cast("binary"), F.col("digest")).alias("component"), "places")
-    stays = written(named.groupBy("component").agg(F.min(F.col("places")[0]).alias("stays"), F.sum(F.size("places")).alias("n")).where("n > 1").select("component", "stays"))
-    gone = named.join(small_side(stays), "component").select(F.explode("places").alias("p"), "stays").where("p != stays")
+    named = lines.join(small_side(written(roots)), "id", "left")
+    named = named.select(F.coalesce(F.col("root").cast("string").cast("binary"), F.col("digest")).alias("component"), "n", "places")
+    # few components have copies: only their places are ordered
+    copied = written(named.groupBy("component").agg(F.sum("n").alias("n")).where("n > 1").select("component"))
+    copies = written(named.join(small_side(copied), "component", "left_semi").select("component", "places"))
+    stays = written(copies.groupBy("component").agg(F.min(F.col("places")[0]).alias("stays")))
+    gone = copies.join(small_side(stays), "component").select(F.explode("places").alias("p"), "stays").where("p != stays")
     d, k = unused("__doc", docs.columns), unused("__key", docs.columns)
     removed = gone.groupBy(F.col("p.doc").alias(d), F.col("p.key").alias(k)).agg(F.array_sort(F.collect_set("p.line")).alias("removed_lines"))
     out = docs.drop("removed_lines").join(removed.hint("shuffle_hash"), (me == F.col(d)) & (key == F.col(k)), "left").drop(d, k)

@@ -23,6 +23,8 @@ CHUNK = 512
 STEP, HASHES, TOLERANCE = 16, 128, 1e-4
 #: Bits of a band key that hold the band's number.
 BAND_BITS = 8
+#: Of one permutation hashing: a bin without values. Members of a tile whose pairs are listed and looked up at once.
+NONE, LISTED = np.uint32(0xFFFFFFFF), 64
 
 
 def minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:
@@ -39,23 +41,28 @@ def minima(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int = 1) -
     return out
 
 
-def one_permutation(hashes: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
-    """Like minima(), of values that are well mixed already: each counts in one of the bins; an empty bin takes over the next filled one's value, changed by the distance."""
-    h = (hashes >> np.uint64(32)).astype(np.uint32)
-    counts = np.diff(np.append(starts, len(hashes)))
-    at = np.repeat(np.arange(len(starts)) * bins, counts) + ((h.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-    none = np.uint32(0xFFFFFFFF)
-    out = np.full(len(starts) * bins, none)
-    np.minimum.at(out, at, h)
-    out = out.reshape(-1, bins)
-    short = np.flatnonzero((out == none).any(axis=1))
-    own = out[short]
-    filled, full = own != none, own.copy()
-    for d in range(1, bins):
-        take = (full == none) & np.roll(filled, -d, axis=1)
-        if take.any():
-            full[take] = (np.roll(own, -d, axis=1)[take] ^ np.uint32(d)) * np.uint32(0x9E3779B1) | np.uint32(1)
-    out[short] = full
+def binned(values: np.ndarray, rows: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """One permutation hashing, `bins` values for each of n rows: the least of the row's 32-bit values (given in 64 bits) that fall in the bin, or NONE."""
+    at = values * np.uint64(bins)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
+    at += rows * bins
+    out = np.full(n * bins, NONE)
+    np.minimum.at(out, at, values.astype(np.uint32))
+    return out.reshape(-1, bins)
+
+
+def filled(out: np.ndarray) -> np.ndarray:
+    """binned() values, in which an empty bin takes over the next filled one's value, changed by the distance."""
+    short = np.flatnonzero((out == NONE).any(axis=1))
+    own, bins = out[short], out.shape[1]
+    places = np.arange(bins, dtype=np.int32)
+    at = np.where(own == NONE, np.int32(2 * bins), places)
+    at = np.concatenate((at, np.where(own == NONE, np.int32(2 * bins), places + bins)), axis=1)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    away = (at - places).astype(np.uint32)
+    taken = (np.take_along_axis(own, at % bins, axis=1) ^ away) * np.uint32(0x9E3779B1) | np.uint32(1)
+    out[short] = np.where(away == 0, own, np.where(away < bins, taken, NONE))
     return out
 
 
@@ -63,21 +70,22 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of `rows` values, one row for each signature; its lowest bits are the band's number."""
     if bands > 1 << BAND_BITS:
         raise ValueError(f"more than {1 << BAND_BITS} bands")
-    out = np.empty((len(signatures), bands), np.uint64)
-    for b in range(bands):
-        key = np.full(len(signatures), np.uint64(b + 1))
-        for r in range(rows):
-            key = mix(key ^ signatures[:, b * rows + r].astype(np.uint64))
-        out[:, b] = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(b)
-    return out
+    number = np.arange(bands, dtype=np.uint64)
+    key = np.broadcast_to(number + np.uint64(1), (len(signatures), bands))
+    for r in range(rows):
+        key = mix(key ^ signatures[:, r : bands * rows : rows])
+    return (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | number
 
 
 def _sorted_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (key, id)."""
-    at = np.lexsort((ids, keys))
+    at = np.argsort(keys)
     keys, ids = keys[at], ids[at]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    new[1:] = keys[1:] != keys[:-1]
+    tied = np.flatnonzero(~new | ~np.append(new[1:], True))  # most keys are alone: only the others' ids are sorted
+    ids[tied] = ids[tied[np.lexsort((ids[tied], keys[tied]))]]
+    new[1:] |= ids[1:] != ids[:-1]
     return keys[new], ids[new]
 
 
@@ -123,8 +131,9 @@ def _local(buckets: int):
             if not batch.num_rows:
                 continue
             bands = batch.column(1)
-            n = len(bands.flatten()) // batch.num_rows
-            held.append((bands.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)))
+            keys = np.frombuffer(b"".join(bands.to_pylist()), np.uint64) if pa.types.is_binary(bands.type) else bands.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n = len(keys) // batch.num_rows
+            held.append((keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n)))
             size += len(held[-1][0])
             if size > 4_000_000:
                 yield packed()
@@ -147,7 +156,7 @@ def _starred(group: pd.DataFrame) -> pd.DataFrame:
 def shared(signed: DataFrame) -> DataFrame:
     """(key, a, b), written: of each band key that several ids have, stars that join all its ids.
 
-    signed: id long, bands array<long> (as many for each row; rows may repeat).
+    signed: id long, bands array<long> or the same as binary (as many for each row; rows may repeat).
     """
     packed = signed.select("id", "bands").mapInArrow(_local(partitions(signed.sparkSession)), "bucket int, keys binary, a binary, b binary")
     return written(packed.groupBy("bucket").applyInPandas(_starred, "key long, a long, b long"))
@@ -206,14 +215,26 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
+@cache
+def upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs a < b below n."""
+    return np.triu_indices(n, 1)
+
+
 def candidates(signatures: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a < b) that survive: STEP values at a time, pairs go whose posterior probability falls below the tolerance."""
     n = len(signatures)
-    match = np.zeros((n, n), np.int16)
-    for k in range(STEP):
-        match += signatures[:, k, None] == signatures[None, :, k]
-    a, b = np.nonzero(np.triu(match >= least_matches(STEP, threshold, tolerance), 1))
-    found = match[a, b].astype(np.int64)
+    if n <= LISTED:
+        a, b = upper(n)
+        found = (signatures[a, :STEP] == signatures[b, :STEP]).sum(axis=1)
+        hold = found >= least_matches(STEP, threshold, tolerance)
+        a, b, found = a[hold], b[hold], found[hold]
+    else:
+        match = np.zeros((n, n), np.int16)
+        for k in range(STEP):
+            match += signatures[:, k, None] == signatures[None, :, k]
+        a, b = np.nonzero(np.triu(match >= least_matches(STEP, threshold, tolerance), 1))
+        found = match[a, b].astype(np.int64)
     for k in range(STEP, signatures.shape[1], STEP):
         found = found + (signatures[a, k : k + STEP] == signatures[b, k : k + STEP]).sum(axis=1)
         hold = found >= least_matches(k + STEP, threshold, tolerance)
@@ -231,11 +252,18 @@ def survives(x: np.ndarray, y: np.ndarray, threshold: float, tolerance: float) -
     return True
 
 
+def in_both(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of values that two sorted sets share."""
+    z = np.concatenate((x, y))
+    z.sort(kind="stable")
+    return int(np.count_nonzero(z[1:] == z[:-1]))
+
+
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets of each pair. Where pairs are many, they come from products of membership matrices, some values at a time."""
     n = len(sets)
     if len(a) <= 4 * n:
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+        return np.array([in_both(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
     _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     hold = counts[at] > 1  # values of one set alone are in no intersection
@@ -363,7 +391,7 @@ def _compared(to_sets: Callable[[list[bytes]], list[np.ndarray]], threshold: flo
                     m, n = len(mine), len(x)
                     if min(m, n) < threshold * max(m, n) - 1e-9 or hashes and not survives(own, s, threshold, tolerance):
                         continue
-                    common = m + n - len(unique_count(mine, x))
+                    common = in_both(mine, x)
                     if (similarity := common / (m + n - common)) >= threshold - 1e-12:
                         for c, v in zip(out, (a, i, similarity), strict=True):
                             c.append(v)
@@ -372,23 +400,19 @@ def _compared(to_sets: Callable[[list[bytes]], list[np.ndarray]], threshold: flo
     return run
 
 
-def unique_count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The union of two sorted sets."""
-    z = np.sort(np.concatenate((x, y)), kind="stable")
-    return z[np.concatenate(([True], z[1:] != z[:-1]))]
-
-
-def chained(found: DataFrame, items: Callable[[DataFrame], DataFrame], threshold: float, to_sets: Callable[[list[bytes]], list[np.ndarray]] = packed_sets, tolerance: float = TOLERANCE, hashes: int = HASHES) -> DataFrame:
+def chained(found: DataFrame, items: Callable[[DataFrame], DataFrame], threshold: float, to_sets: Callable[[list[bytes]], list[np.ndarray]] = packed_sets, tolerance: float = TOLERANCE, hashes: int = HASHES, keep: bool = False) -> DataFrame:
     """(id, root): the classes into which chains of links put ids; ids without a link are left out.
 
     found: stars as shared() gives them. items: gives (id, item) of a table of ids. hashes: 0 verifies every candidate
-    pair, without pruning. No link that joins two classes is lost, though not all are looked for: each id is compared
+    pair, without pruning. keep: items are written, and read again when some of them are compared again. No link that joins two classes is lost, though not all are looked for: each id is compared
     with those that stand for it, which takes no more pairs than rows; what is left are keys whose ids are still in
     several classes, and there every two ids of different classes meet.
     """
     pairs = found.select("a", "b").distinct()
     wanted = written(pairs.unionAll(pairs.select("a", F.col("a").alias("b")).distinct()).withColumnRenamed("b", "id"))
-    rows = wanted.join(items(wanted.select("id").distinct()), "id").select("a", "id", "item")
+    own = items(wanted.select("id").distinct())
+    own = written(own) if keep else own
+    rows = wanted.join(own, "id").select("a", "id", "item")
     links = rows.repartition(partitions(found.sparkSession), "a").sortWithinPartitions("a", F.col("a") != F.col("id"), "id").mapInArrow(_compared(to_sets, threshold, tolerance, hashes), LINKS)
     links = written(links.select("a", "b"))
     roots = small_side(components(links))
@@ -399,5 +423,7 @@ def chained(found: DataFrame, items: Callable[[DataFrame], DataFrame], threshold
     rest = written(named.join(split, "key", "left_semi").select("key", F.explode(both).alias("x")).select("key", "x.id", "x.label").distinct())
     if not rest.limit(1).count():
         return roots
-    more = verified(tiles(rest, labelled=True), items(rest.select("id").distinct()), threshold, to_sets, tolerance, hashes or STEP, "forest").select("a", "b")
+    again = rest.select("id").distinct()
+    again = own.join(small_side(again), "id", "left_semi") if keep else items(again)
+    more = verified(tiles(rest, labelled=True), again, threshold, to_sets, tolerance, hashes or STEP, "forest").select("a", "b")
     return components(links.unionAll(written(more)))

@@ -312,6 +312,68 @@ def test_lines(spark):
     assert got == {1: rows[0][1], 2: "\nsomething else entirely in here", 3: "third", 4: None, 5: ""}
 
 
+def test_lines_are_ordered_where_copied(spark, monkeypatch):
+    """Occurrences are kept for ordering of copied lines alone, and texts of lines are looked up once, though lines are compared twice."""
+    tables = []
+
+    def seen(df, *args, **options):
+        tables.append(common.written(df, *args, **options))
+        return tables[-1]
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    monkeypatch.setattr(minhash, "written", seen)
+    x = prose(811, 60).split()
+    chain = [" ".join("changed" if j in range(3 * k, 3 * k + 3) else w for j, w in enumerate(x)) for k in range(12)]
+    rows = [(k, f"{prose(820 + k, 12)}\n{t}", None, None) for k, t in enumerate([" ".join(x), *chain, " ".join(x)])]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.line_dedup(make(spark, rows)).collect()}
+    assert got == {k: [1] if k else None for k in range(14)}
+    ordered = [t for t in tables if {"component", "places"} <= set(t.columns)]
+    assert len(ordered) == 1 and sum(len(r.places) for r in ordered[0].collect()) == 14
+    assert len([t for t in tables if t.columns == ["id", "item"]]) == 1
+
+
+def test_line_signatures():
+    """Those of one hash after another, also of lines shorter than a shingle, not ASCII, or longer than what is hashed together."""
+    r = random.Random(5)
+    lines = ["a", "abcdefg", "abcdefgh", "\u00e9" * 5, "\u65e5\u672c\u8a9e" * 30, "x" * 40_000] + ["".join(r.choice("abcde\u00e9 ") for _ in range(r.randrange(1, 400))) for _ in range(200)]
+    most = 1 << 64
+
+    def mixed(x):
+        return int(common.mix(np.array([x % most], np.uint64))[0])
+
+    bins, sets, keys = line_dedup.BANDS * line_dedup.ROWS, [], []
+    for line in lines:
+        c = [*map(ord, line), *[0] * line_dedup.SHINGLE]
+        runs = set()
+        for k in range(max(1, len(line) - line_dedup.SHINGLE + 1)):
+            h = 0
+            for x in c[k : k + line_dedup.SHINGLE]:
+                h = (h * int(line_dedup.ODD) + x) % most
+            runs.add(h)
+        sets.append(sorted(mixed(h) for h in runs))
+        least: dict = {}
+        for h in sets[-1]:
+            least.setdefault((h >> 32) * bins >> 32, h >> 32)
+        values = []
+        for k in range(bins):
+            d = next(d for d in range(bins) if (k + d) % bins in least)
+            v = least[(k + d) % bins]
+            values.append(((v ^ d) * 0x9E3779B1 | 1) % (1 << 32) if d else v)
+        keys.append([])
+        for b in range(line_dedup.BANDS):
+            key = b + 1
+            for v in values[b * line_dedup.ROWS : (b + 1) * line_dedup.ROWS]:
+                key = mixed(key ^ v)
+            keys[-1].append(key >> 8 << 8 | b)
+    assert line_dedup.signatures(lines).tolist() == keys
+    assert [x.tolist() for x in line_dedup.line_sets(lines)] == sets
+
+
+def test_plain_lines():
+    for t in ("", " ", "\n\n", "A b\nc", "a  b", "a \nb", "a\n b", "a\tb\r\nc", "\u0391\u03a3\n\u03a3\u0391\u03a3 b", "a\u3000b\n", "x\x85z", "\x1ca", "\u0130\nI", "caf\u00e9\u00a0x"):
+        assert line_dedup.plain_lines(t) == [line_dedup.plain(x) for x in t.split("\n")]
+
+
 def test_lines_of_null_and_repeated_ids(spark):
     x, y, z = (" ".join(prose(k, 12).split()) for k in (801, 802, 803))
     rows = [(1, x), (None, f"{x}\nfirst own line"), (None, f"clean of nulls\n{y}"), (None, f"clean too\n{y}"), (7, f"{x}\nsecond own line"), (7, f"clean of sevens\n{z}"), (7, f"also of sevens\n{z}"), (8, z)]
