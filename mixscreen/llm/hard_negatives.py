@@ -12,14 +12,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read, small_side, whole_numbers, written
+from .common import partitions, read, whole_numbers, written
 
 #: Positives of an anchor, negatives of a positive, and the window of a negative's score in hundredths of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 #: Vectors that the codebooks are fitted on, most codewords of a half, rounds of fitting.
 SAMPLE, WORDS, ROUNDS = 16_384, 256, 8
-#: Vectors of a block, queries of a chunk, requests that are passed on at a time, rows that the first round of a search visits for a query, and by how much each further round goes on.
+#: Vectors of a block, queries of a chunk, requests that are passed on at a time (and so many more as the chunk that passes it has), rows that the first round of a search visits for a query, and by how much each further round goes on.
 BLOCK, CHUNK, ASKED, FIRST, GROWTH = 2048, 256, 4096, 4096, 8
+#: Bytes of lists that are broadcast to the anchors; more are shuffled.
+LISTED = 16 << 20
+#: A number over that of any cell's parts.
+PARTS = 1 << 31
 QUERY = "gid long, label long, x array<long>, w array<int>, low array<long>, high array<long>, kth array<long>"
 
 
@@ -28,6 +32,15 @@ def vectors(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(flat) else flat.reshape(len(column), 0)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The entries as the smallest of the integer types that holds them all."""
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= x.min(initial=0) and x.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def unpacked(data: pa.Buffer, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{len(data) // (n * d)}").reshape(n, d).astype(np.int64) if n * d else np.zeros((n, d), np.int64)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows of a with those of b, as 64-bit numbers; an error where one might be none."""
     most = int(np.abs(a.astype(object)).max(initial=0)) * int(np.abs(b.astype(object)).max(initial=0)) * a.shape[1] if a.size and b.size and max(-int(a.min()), int(a.max()), -int(b.min()), int(b.max())) >= 1 << 20 else a.shape[1] << 40
@@ -120,21 +133,18 @@ def _placed(cells: Cells):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, ids, label, x), sorted by cell and first id, as blocks of at most BLOCK vectors of a cell."""
-    for cell, part in _runs(batches, BLOCK):
-        ids = part.column(1)
-        columns = [pa.array([cell], pa.int32()), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in (ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), part.column(2).to_numpy(), vectors(part.column(3))))]
-        yield pa.RecordBatch.from_arrays(columns, ["cell", "ids", "sizes", "labels", "xs"])
+def _blocks(buckets: int):
+    """Rows (cell and part as one number, ids, label, x), sorted by it and first id, as blocks of at most BLOCK vectors of a part of a cell, each in one of the buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _runs(batches, BLOCK):
+            cell, part = divmod(key, PARTS)
+            ids = rows.column(1)
+            values = *(np.ascontiguousarray(c).tobytes() for c in (ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), rows.column(2).to_numpy())), packed(vectors(rows.column(3)))
+            columns = [pa.array([k], pa.int32()) for k in ((cell + part) % buckets, cell)] + [pa.array([v], pa.binary()) for v in values]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "cell", "ids", "sizes", "labels", "xs"])
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, gid, label, x, w, low, high, kth) as chunks of at most CHUNK queries of a cell."""
-    for cell, part in _runs(batches, CHUNK):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema) as out:
-            out.write_batch(part)
-        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["cell", "queries"])
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -159,53 +169,98 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, p
         yield at, whole()
 
 
-def _asked(cells: Broadcast, after: int, upto: int, open_only: bool):
-    """Rows of QUERY to (cell, and the query) for each cell to visit, ASKED at a time; open_only: to the gids of those that may need more cells instead."""
+def _visits(cells: Cells, part: pa.RecordBatch, after: int, upto: int) -> Iterator[tuple[list[int], bool]]:
+    """Cells.visit() of each row of QUERY."""
+    xs = vectors(part.column(2))
+    for k in range(part.num_rows):
+        low, high, kth = (np.array(part.column(c)[k].as_py(), object) for c in (4, 5, 6))
+        least = np.array([x if y is None else max(x, y) for x, y in zip(low, kth, strict=True)], float)
+        yield cells.visit(xs[k], least, high.astype(float), after, upto)
+
+
+def _open(cells: Broadcast, after: int, upto: int):
+    """Rows of QUERY to the gids of those that may need more cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [m for _, m in _visits(cells.value, batch, after, upto)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(more, pa.bool_()))], ["gid"])
+
+    return run
+
+
+def _asked(cells: Broadcast, buckets: int, after: int, upto: int):
+    """Rows of QUERY as chunks (to, cells, queries, own): for each bucket that holds a part of a cell to visit, up to CHUNK queries with the cells that each of them visits there, and all of these.
+
+    So a query is sent once to a bucket, not once to a cell.
+    """
+
+    def deal(part: pa.RecordBatch) -> Iterator[tuple[int, int, list]]:
+        visited = [np.array(c, np.int64) for c, _ in _visits(cells.value, part, after, upto)]
+        query, cell = np.repeat(np.arange(len(visited)), [len(c) for c in visited]), np.concatenate(visited)
+        parts = np.minimum(-(-cells.value.n.ravel()[cell] // BLOCK), buckets)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        query, cell = np.repeat(query, parts), np.repeat(cell, parts)
+        bucket = (cell + nth) % buckets
+        order = np.lexsort((cell, query, bucket))
+        query, cell, bucket = query[order], cell[order], bucket[order]
+        xs = vectors(part.column(2))
+        for own in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1) if len(bucket) else []:
+            asks, starts = np.unique(query[own], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), pa.array(cell[own]))
+            rows = part.drop_columns(["x"]).take(pa.array(asks))
+            sink = pa.BufferOutputStream()
+            rows = pa.RecordBatch.from_arrays([*rows.columns, lists], [*rows.schema.names, "cells"])
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            yield len(asks), int(bucket[own[0]]), [np.unique(cell[own]).tolist(), sink.getvalue().to_pybytes(), packed(xs[asks])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = vectors(batch.column(2))
-            found: list[int] = []
-            again: list[int] = []
-
-            def given() -> pa.RecordBatch:
-                rows = batch.take(pa.array(again[:ASKED], pa.int32()))
-                out = pa.RecordBatch.from_arrays([rows.column(0)], ["gid"]) if open_only else pa.RecordBatch.from_arrays([pa.array(found[:ASKED], pa.int32()), *rows.columns], ["cell", *rows.schema.names])
-                del found[:ASKED], again[:ASKED]
-                return out
-
-            for k in range(batch.num_rows):
-                low, high, kth = (np.array(batch.column(c)[k].as_py(), object) for c in (4, 5, 6))
-                least = np.array([x if y is None else max(x, y) for x, y in zip(low, kth, strict=True)], float)
-                own, more = cells.value.visit(xs[k], least, high.astype(float), after, upto)
-                own = [0] * more if open_only else own
-                found += own
-                again += [k] * len(own)
-                while len(again) >= ASKED:
-                    yield given()
-            if again:
-                yield given()
+            held, n = [], 0
+            for at in range(0, batch.num_rows, CHUNK):
+                last = at + CHUNK >= batch.num_rows
+                for asks, bucket, values in deal(batch.slice(at, CHUNK)):
+                    held.append((bucket, *values))
+                    n += asks
+                    if n >= ASKED:
+                        yield passed(held)
+                        held, n = [], 0
+                if last and held:
+                    yield passed(held)
+
+    def passed(held: list) -> pa.RecordBatch:
+        kinds = pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held, strict=True), kinds, strict=True)], ["to", "cells", "queries", "own"])
 
     return run
 
 
-def _scored(same: bool, k: int):
-    """Joined chunks and blocks of a cell to (gid, w, score, id): for each query and window the best k vectors' ids in the block that can still count."""
+def _scored(same: bool, k: int, d: int):
+    """Joined chunks and blocks of a bucket to (gid, w, score, id): for each query that visits the block's cell, and window, the best k vectors' ids in the block that can still count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = None
         for batch in batches:
             for r in range(batch.num_rows):
-                queries = pa.ipc.open_stream(batch.column(1)[r].as_py()).read_next_batch()
-                ids, sizes, labels, xs = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64 if c != 3 else np.int32) for c in (2, 3, 4, 5))
+                if data is None or not batch.column(0)[r].as_buffer().equals(data):  # a chunk meets all blocks of its bucket, one after another
+                    data = batch.column(0)[r].as_buffer()
+                    chunk = pa.ipc.open_stream(data).read_next_batch()
+                    visits = chunk.column(6)
+                    of_visit, visits = np.repeat(np.arange(len(visits)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
+                    chunk_xs = unpacked(batch.column(1)[r].as_buffer(), chunk.num_rows, d)
+                here = of_visit[visits == batch.column(2)[r].as_py()]
+                queries = chunk.take(pa.array(here))
+                ids, sizes, labels = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64 if c != 4 else np.int32) for c in (3, 4, 5))
                 n = len(sizes)
-                scores = products(vectors(queries.column(3)), xs.reshape(n, -1))
-                fits = (queries.column(2).to_numpy()[:, None] == labels[None, :]) == same
+                scores = products(chunk_xs[here], unpacked(batch.column(6)[r].as_buffer(), n, d))
+                fits = (queries.column(1).to_numpy()[:, None] == labels[None, :]) == same
                 starts = np.concatenate(([0], np.cumsum(sizes)))
                 # of each query and window, one row
-                sizes_w = np.diff(queries.column(4).offsets.to_numpy())
+                sizes_w = np.diff(queries.column(2).offsets.to_numpy())
                 of = np.repeat(np.arange(len(sizes_w)), sizes_w)
-                w, low, high = (queries.column(c).flatten().to_numpy() for c in (4, 5, 6))
-                kth = queries.column(7).flatten()
+                w, low, high = (queries.column(c).flatten().to_numpy() for c in (2, 3, 4))
+                kth = queries.column(5).flatten()
                 low = np.maximum(low, kth.fill_null(-(1 << 63)).to_numpy())
                 for at in range(0, len(of), CHUNK):
                     part = slice(at, at + CHUNK)
@@ -222,7 +277,7 @@ def _scored(same: bool, k: int):
                         many = sizes[places]
                         each = np.repeat(np.arange(len(rows)), many)
                         which = np.repeat(starts[places] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-                        gid = queries.column(1).to_numpy()[of[part]][rows]
+                        gid = queries.column(0).to_numpy()[of[part]][rows]
                         yield pa.RecordBatch.from_arrays([pa.array(gid[each]), pa.array(w[part][rows][each]), pa.array(value[each]), pa.array(ids[which])], ["gid", "w", "score", "id"])
 
     return run
@@ -238,6 +293,7 @@ class Index:
         key = F.pmod(F.xxhash64("x", "label"), F.lit(1 << 30))
         few = rows.where(key < int(share * (1 << 30))).select("x", key.alias("k")).orderBy("k", "x").limit(sample).collect()
         x = np.array([r.x for r in few], np.int64).reshape(len(few), -1)
+        self.d, self.buckets = x.shape[1], 2 * partitions(self.spark)
         words = words or max(1, min(WORDS, round(self.total**0.25)))
         half = x.shape[1] // 2
         cells = Cells([codebook(x[:, :half], words), codebook(x[:, half:], words)])
@@ -249,35 +305,37 @@ class Index:
         # large cells are dealt out in parts of about a block
         parts = F.broadcast(self.spark.createDataFrame([(r.cell, -(-r.n // BLOCK)) for r in found], "cell int, parts long"))
         dealt = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
-        dealt = dealt.repartition(partitions(self.spark), "cell", "part").sortWithinPartitions("cell", "part", F.col("ids")[0])
-        self.blocks = written(dealt.select("cell", "ids", "label", "x").mapInArrow(_blocks, "cell int, ids binary, sizes binary, labels binary, xs binary"))
+        dealt = dealt.repartition(partitions(self.spark), "cell", "part").select((F.col("cell").cast("long") * PARTS + F.col("part")).alias("key"), "ids", "label", "x")
+        dealt = dealt.sortWithinPartitions("key", F.col("ids")[0])
+        self.blocks = written(dealt.mapInArrow(_blocks(self.buckets), "bucket int, cell int, ids binary, sizes binary, labels binary, xs binary"))
 
     def search(self, queries: DataFrame, same: bool, k: int, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
         """(gid, w, score, id): for each query (gid, label, x, w, low, high: arrays of its windows) and window the k best ids of rows of the same label, or of others, by inner product with x; ties by smaller id.
 
         Round by round each query visits the next cells of its order, `growth` times as many rows as before; a query
         whose windows are certified, because no cell left can reach their scores or their k-th best, goes no further.
-        Chunks of queries meet blocks of a cell in a join; what a task makes of them is cut to the k best by a group
-        limit before it is shuffled.
+        Chunks of queries meet the blocks of a bucket in a join; what a task makes of them is cut to the k best by a
+        group limit before it is shuffled. Joins are merge joins: Spark takes a chunk for as small as its query's row,
+        and would broadcast all of them by way of the driver.
         """
         n, after, upto = partitions(self.spark), 0, first
         found = None
         last = Window.partitionBy("gid", "w").orderBy(F.desc("score"), "id")
         rest = queries.withColumn("kth", F.transform("w", lambda _: F.lit(None).cast("long")))
         while True:
-            asked = rest.mapInArrow(_asked(self.cells, after, upto, False), f"cell int, {QUERY}").repartition(n, "cell", F.pmod("gid", F.lit(16))).sortWithinPartitions("cell")
-            chunks = asked.mapInArrow(_chunks, "cell int, queries binary")
-            new = chunks.join(self.blocks, "cell").select("cell", "queries", "ids", "sizes", "labels", "xs").mapInArrow(_scored(same, k), "gid long, w int, score long, id long")
+            asked = rest.repartition(n, "gid").mapInArrow(_asked(self.cells, self.buckets, after, upto), "to int, cells array<int>, queries binary, own binary")
+            met = asked.join(self.blocks.hint("merge"), F.expr("to = bucket AND array_contains(cells, cell)"))
+            new = met.select("queries", "own", "cell", "ids", "sizes", "labels", "xs").mapInArrow(_scored(same, k, self.d), "gid long, w int, score long, id long")
             both = new if found is None else new.unionByName(found)
             found = written(both.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k).drop("r"))
             if upto >= self.total:
                 return found
-            more = written(rest.mapInArrow(_asked(self.cells, after, upto, True), "gid long"))
+            more = written(rest.repartition(n, "gid").mapInArrow(_open(self.cells, after, upto), "gid long"))
             if more.isEmpty():
                 return found
             full = found.groupBy("gid", "w").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
             full = full.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("of"))
-            rest = rest.drop("kth").join(more, "gid", "left_semi").join(full, "gid", "left")
+            rest = rest.drop("kth").join(more.hint("merge"), "gid", "left_semi").join(full.hint("merge"), "gid", "left")
             rest = written(rest.select(*queries.columns, F.transform("w", lambda w: F.try_element_at("of", w)).alias("kth")))
             after, upto = upto, upto * growth
 
@@ -323,14 +381,16 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = POSITIVE
     windows = windows.withColumns({"low": F.expr(f"({low} * score + 99) div 100"), "high": F.expr(f"({high} * score) div 100")}).where("low <= high")
     windows = written(windows)
     listed = windows.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("w", "low", "high"))).alias("of")).select("gid", *[F.col(f"of.{c}").alias(c) for c in ("w", "low", "high")])
-    far = index.search(written(groups.join(listed, "gid").select("gid", "label", "x", "w", "low", "high")), False, negatives, first)
+    far = index.search(written(groups.join(listed.hint("merge"), "gid").select("gid", "label", "x", "w", "low", "high")), False, negatives, first)
 
     # a row for each group of anchors, with its lists
-    found = far.join(windows.select("gid", "w", F.col("score").alias("positive_score")), ["gid", "w"])
+    found = far.join(windows.select("gid", "w", F.col("score").alias("positive_score")).hint("merge"), ["gid", "w"])
     lists = found.groupBy("gid", "positive_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "id"))).alias("negatives"))
     lists = lists.groupBy("gid").agg(F.map_from_entries(F.collect_list(F.struct("positive_score", "negatives"))).alias("negatives"))
-    lists = near.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "id"))).alias("positives")).join(lists, "gid")
-    lists = small_side(written(groups.join(lists, "gid").select("label", "x", "positives", "negatives")), 10_000)
+    lists = near.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "id"))).alias("positives")).join(lists.hint("merge"), "gid")
+    lists = written(groups.join(lists.hint("merge"), "gid").select("label", "x", "positives", "negatives"))
+    most = max(1, LISTED // (8 * (sizes.high + 5 * (positives + 1) * (negatives + 1))))
+    lists = F.broadcast(lists) if lists.limit(most + 1).count() <= most else lists.hint("merge")
     out = anchors.join(lists, ["label", "x"]).withColumn("p", F.explode(F.slice(F.filter("positives", lambda p: p["id"] != F.col("vec_id")), 1, positives)))
     out = out.select("vec_id", "p", F.posexplode(F.try_element_at("negatives", -F.col("p.n"))))
     return out.select(F.col("vec_id").alias("anchor_id"), F.col("p.id").alias("positive_id"), (F.col("pos") + 1).alias("rank"), F.col("col.id").alias("negative_id"), (-F.col("p.n")).alias("positive_score"), (-F.col("col.n")).alias("negative_score"))

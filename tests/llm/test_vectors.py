@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -191,6 +192,40 @@ def test_hard_negatives_of_few(spark):
         mine([(0, 1, [1]), (1, 1, [1, 2])])
 
 
+def test_hard_negatives_of_many_blocks(spark, monkeypatch):
+    """Queries go to the blocks by merge joins, once a bucket: their estimated size, which is that of the table of queries, says nothing about what they are."""
+    for name, value in (("BLOCK", 8), ("CHUNK", 3), ("LISTED", 1)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    plans = []
+    monkeypatch.setattr(hard_negatives, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or common.written(df))
+    rows = clouds(6, 300, 6)
+    got = sorted(map(tuple, hard_negatives.hard_negatives(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, words=2, first=50).collect()))
+    assert got == mined(rows, lambda i: i % 10 == 0) != []
+    searches = [p for p in plans if "queries" in p]
+    assert len(searches) > 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in searches)
+    assert not [p for p in plans if "Broadcast" in p and "parts" not in p]
+
+
+def test_requests_by_bucket():
+    """Each query is sent once to each bucket with a part of a cell that it visits, with the cells that it visits there."""
+    r = np.random.default_rng(4)
+    x = r.integers(-100, 100, (9000, 4))
+    cells = hard_negatives.Cells([hard_negatives.codebook(x[:500, :2], 3), hard_negatives.codebook(x[:500, 2:], 2)])
+    cell = cells.place(x)[0]
+    cells.n, cells.radius = np.bincount(cell, minlength=6).reshape(3, 2), [np.full((3, 2), 1e9)] * 2
+    rows = [{"gid": k, "label": 0, "x": x[k].tolist(), "w": [0], "low": [-(10**9)], "high": [10**9], "kth": [None]} for k in range(7)]
+    kinds = {"gid": pa.int64(), "label": pa.int64(), "x": pa.list_(pa.int64()), "w": pa.list_(pa.int32())} | {c: pa.list_(pa.int64()) for c in ("low", "high", "kth")}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+    got = [row for out in hard_negatives._asked(type("B", (), {"value": cells}), 2, 0, 10**6)(iter([batch])) for row in out.to_pylist()]
+    parts = {c: -(-n // hard_negatives.BLOCK) for c, n in enumerate(cells.n.ravel().tolist()) if n}
+    want = {b: sorted({c for c, n in parts.items() for p in range(n) if (c + p) % 2 == b}) for b in (0, 1)}
+    assert len(got) == 2 and {row["to"]: row["cells"] for row in got} == want
+    for row in got:
+        chunk = pa.ipc.open_stream(row["queries"]).read_next_batch()
+        assert chunk.column(0).to_pylist() == list(range(7)) and chunk.column(6).to_pylist() == [row["cells"]] * 7
+        assert hard_negatives.unpacked(pa.py_buffer(row["own"]), 7, 4).tolist() == x[:7].tolist() and len(row["own"]) == 28
+
+
 def test_visits_are_certified():
     """Cells left out or beyond the end hold no vector that a window takes."""
     r = np.random.default_rng(0)
