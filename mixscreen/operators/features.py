@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clipped
@@ -40,6 +40,13 @@ class Book:
         labels = phases().values()
         self.vectors = [[*((r[p] or 0.0) for p in PROPERTIES), *(float(sum(x in (r.role, r.family) for x in own)) for own in labels), *(float(x in (r.role, r.family)) for x in ROLES)] for r in rows]
 
+    @classmethod
+    def of(cls, spark: SparkSession, codes: list[str], vectors: list[list[float]]) -> Book:
+        """The book of these codes, in order, and their vectors."""
+        book = cls.__new__(cls)
+        book.spark, book.codes, book.vectors = spark, codes, vectors
+        return book
+
     def places(self) -> DataFrame:
         """(code, at)"""
         return local(self.spark, [(c, k) for k, c in enumerate(self.codes)], "code string, at int") if self.codes else self.spark.createDataFrame([], "code string, at int")
@@ -109,3 +116,13 @@ def features(wide: DataFrame) -> DataFrame:
     out = out.selectExpr(*rest, *[f"__{f}" for f in FEATURES], f"{even('__own', 0.05, 0.03)} AS __u", f"{even('__meta', 0.06, 0.035)} AS __d")
     bonus = {f: f"__u * {b}" for f, b in BONUS.items()} | {f: f"__d * {b}" for f, b in META_BONUS.items()}
     return out.selectExpr(*rest, *[clipped(f"__{f} + {bonus[f]}" if f in bonus else f"__{f}") + f" AS {f}" for f in FEATURES])
+
+
+def restored(rows: DataFrame, book: Book) -> DataFrame:
+    """rows (components, tags) with the features they lack, phase shares and w_density, computed again from components, which make the same values but for the order of sums."""
+    kept = {f: f"__kept_{f}" for f in FEATURES if f in rows.columns}
+    codes = json.dumps(book.codes).replace("\\", "\\\\").replace("'", "\\'")
+    parts = f"transform(map_entries(components), e -> struct(e.value AS frac, CAST(array_position(from_json('{codes}', 'array<string>'), e.key) - 1 AS int) AS at)) AS parts"
+    wide = measured(rows.withColumnsRenamed(kept).selectExpr("*", parts), book)
+    out = features(wide.drop("parts", "max_share", "n_components")).drop(*kept)
+    return out.withColumnsRenamed({name: f for f, name in kept.items()})

@@ -48,6 +48,12 @@ def keys(header: DataFrame, shares: DataFrame, prefix: str = "") -> DataFrame:
     return with_keys(header.join(own, "candidate_id"), prefix).select("candidate_id", "archetype", *KEYS)
 
 
+#: SQL of parts in falling order of their shares, and of keys made of these (__s) and of parts in the order of codes (__c).
+BY_SHARE = "array_sort(transform(parts, x -> struct(-x.frac AS n, x.code AS code, x.frac AS frac))) AS __s"
+SHOWN = [
+    "array_join(transform(__s, x -> concat(x.code, '=', regexp_replace(format_number(x.frac * 100, 2), '0$', ''), '%')), '; ') AS formula",
+    "array_join(transform(filter(__c, x -> x.frac > 0.055D), x -> x.code), '|') AS coarse_key",
+]
 KEYS = ["fingerprint", "hash16", "formula", "coarse_key", "top1", "top2", "components"]
 
 
@@ -58,18 +64,23 @@ def with_keys(rows: DataFrame, prefix: str = "") -> DataFrame:
     in it. Formulas have per cent to two places, as short as they are. Ties of shares go to the code that sorts first.
     """
     rest = [c for c in rows.columns if c != "parts"]
-    out = rows.selectExpr(*rest, "array_sort(transform(parts, x -> struct(-x.frac AS n, x.code AS code, x.frac AS frac))) AS __s", "array_sort(transform(parts, x -> struct(x.code AS code, x.frac AS frac))) AS __c")
+    out = rows.selectExpr(*rest, BY_SHARE, "array_sort(transform(parts, x -> struct(x.code AS code, x.frac AS frac))) AS __c")
     text = "array_join(transform(__c, x -> concat(x.code, ':', format_number(x.frac, 6))), ' ')"
     tags = "array_join(array_sort(coalesce(tags, CAST(array() AS array<string>))), ' ')"
     out = out.withColumn("fingerprint", F.concat_ws(" ", F.concat(F.lit(prefix), "archetype"), F.expr(text), F.expr(tags)))
     return out.selectExpr(
         *rest, "fingerprint", "substring(sha2(fingerprint, 256), 1, 16) AS hash16",
-        "array_join(transform(__s, x -> concat(x.code, '=', regexp_replace(format_number(x.frac * 100, 2), '0$', ''), '%')), '; ') AS formula",
-        "array_join(transform(filter(__c, x -> x.frac > 0.055D), x -> x.code), '|') AS coarse_key",
+        *SHOWN,
         "coalesce(get(__s, 0).code, 'NONE') AS top1", "coalesce(get(__s, 1).code, 'NONE') AS top2", "map_from_entries(__c) AS components",
     )
 
 
+def with_shown(rows: DataFrame) -> DataFrame:
+    """rows of with_keys() that have components, with formula and coarse_key again: the same values."""
+    parts = rows.selectExpr("*", "transform(map_entries(components), e -> struct(e.key AS code, e.value AS frac)) AS parts")
+    return parts.selectExpr(*rows.columns, BY_SHARE, "parts AS __c").selectExpr(*rows.columns, *SHOWN)
+
+
 def signature(wide: DataFrame) -> DataFrame:
     """Adds dominant (the largest of the eight phases) and signature (top1, top2, dominant)."""
     like = f"array({', '.join(f'round({p}_like, 9)' for p in DOMINANT)})"

@@ -73,7 +73,12 @@ def ledger(rows: DataFrame) -> DataFrame:
 
 
 def rejected(rows: DataFrame) -> DataFrame:
-    return ledger(rows.where(F.col("gate_status").isin("REJECTED", "REVIEW")))
+    return ledger(stopped(rows))
+
+
+def stopped(rows: DataFrame) -> DataFrame:
+    """The rows, of a ledger or of a screen, that are rejected or to be reviewed."""
+    return rows.where(F.col("gate_status").isin("REJECTED", "REVIEW"))
 
 
 def gate_summary(rows: DataFrame) -> DataFrame:

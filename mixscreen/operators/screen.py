@@ -12,6 +12,7 @@ from ..sources.catalog import DEFAULT_PROFILE, FEATURES, banned
 
 META_PROFILES, STAGE_PROFILES = ["DEMIURGE", "WORLD_REWRITER"], ["CANVAS", "STAGEKEEPER"]
 GATE = ["material_score", "canvas_score", "stagekeeper_score", "demiurge_score", "scene_viability", "birth_readiness", "containment_integrity", "hypothesis_visibility", "expert_gate", "final_priority"]
+JOINT = ["scene_viability", "birth_readiness", "final_priority"]
 
 # Profile: feature < threshold times factor.
 PENALTIES = """
@@ -109,7 +110,13 @@ def gate_metrics(rows: DataFrame) -> DataFrame:
         f"{mean('safe_containment', 'low_hazard', 'bio_safety', 'durability', 'testability')} AS containment_integrity",
     )
     expert = "if(array_contains(tags, 'EXPERT_VALIDATION_REQUIRED'), 1D, 0.72D)"
-    out = out.selectExpr("*", f"{mean('canvas_score', 'stagekeeper_score', 'hypothesis_visibility', 'containment_integrity')} AS scene_viability", f"{mean('testability', 'low_hazard', 'containment_integrity', expert)} AS expert_gate")
+    return joint_metrics(out.selectExpr("*", f"{mean('testability', 'low_hazard', 'containment_integrity', expert)} AS expert_gate"))
+
+
+def joint_metrics(rows: DataFrame) -> DataFrame:
+    """Adds the gate metrics that are made of the seven others alone (JOINT)."""
+    mean = lambda *xs: average(list(xs))
+    out = rows.selectExpr("*", f"{mean('canvas_score', 'stagekeeper_score', 'hypothesis_visibility', 'containment_integrity')} AS scene_viability")
     floor = lambda x, f: f"greatest({f}D, {x})"
     final = f"""CASE WHEN {META} THEN {mean('material_score', 'demiurge_score')} * {floor('expert_gate', 0.10)} * {floor('hypothesis_visibility', 0.10)}
         WHEN {STAGE} THEN {mean('material_score', 'canvas_score', 'stagekeeper_score')} * {floor('expert_gate', 0.10)}

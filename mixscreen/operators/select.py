@@ -21,6 +21,14 @@ def dedup_diverse(rows: DataFrame) -> DataFrame:
     return best_by(rows.where("score > 0"), ["archetype", "coarse_key", "signature"])
 
 
+def leaders(rows: DataFrame, n: int) -> DataFrame:
+    """candidate_id of the best row of each archetype and of its n best diverse ones: champions, dedup_diverse and top up to n of these rows alone are those of all. Only keys, scores and hashes are dealt out."""
+    first = rows.groupBy("archetype").agg(F.min(_order("score")).alias("b")).select("b.candidate_id")
+    best = rows.where("score > 0").groupBy("archetype", "coarse_key", "signature").agg(F.min(_order("score")).alias("b"))
+    best = top(best.select("archetype", (-F.col("b.n")).alias("score"), "b.hash16", "b.candidate_id"), n)
+    return first.unionByName(best.select("candidate_id")).distinct()
+
+
 def top(rows: DataFrame, n: int, by: str = "archetype", score: str = "score") -> DataFrame:
     """The n best rows of each value of `by`, with their rank."""
     w = Window.partitionBy(by).orderBy(F.desc(score), "hash16", "candidate_id")

@@ -12,22 +12,35 @@ from pyspark.sql import functions as F
 
 from ..functions import tidy
 from ..operators import reports, select
+from ..operators.features import Book
 from ..sources import files
-from ..sources.catalog import BANNED, BIASES, INGREDIENTS, PHASES, TARGETS
-from .screening import screened, slim
-
+from ..sources.catalog import BANNED, BIASES, INGREDIENTS, PHASES, TARGETS, catalog
+from .screening import narrow, screened, slim, widened
+
+#: Most rows of a profile in any report but ledgers.
+TOP = 20
+#: How reports are written: ledgers take 0.91 of the bytes of level 3.
+PARQUET = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+#: Most ids of leaders that are broadcast to look up their rows.
+LEADERS = 500_000
 #: Changes whenever the same inputs give other rows.
-VERSION = 3
+VERSION = 4
 #: The counts that are taken as rows are written.
 COUNTS = {"n_rows": "count(1)", "rejected_or_review": "count_if(gate_status IN ('REJECTED', 'REVIEW'))", "n_passed": "count_if(gate_status = 'PASSED')", "n_rejected": "count_if(gate_status = 'REJECTED')", "n_review": "count_if(gate_status = 'REVIEW')", "n_positive": "count_if(score > 0)"}
 
 
 class Run:
-    """Screened rows as a table, and what is known of them: key, inputs, parameters and counts."""
+    """Screened rows as a table (stored), without what can be computed again of a row, and what is known of them: key, inputs, parameters and counts."""
 
     def __init__(self, spark: SparkSession, path: str, manifest: dict) -> None:
         self.spark, self.path, self.manifest = spark, path, manifest
-        self.rows = spark.read.parquet(f"{path}/{manifest['rows']}")
+        self.stored = spark.read.parquet(f"{path}/{manifest['rows']}")
+        self.rows = self.widened(self.stored)
+
+    def widened(self, stored: DataFrame) -> DataFrame:
+        """All columns of some of the stored rows."""
+        own = self.manifest["book"]
+        return widened(stored, own and Book.of(self.spark, **own))
 
     def counts(self) -> DataFrame:
         """One row of the counts taken as the rows were written: nothing is read."""
@@ -72,29 +85,34 @@ def _root(spark: SparkSession) -> str:
     return f"{files.root(spark)}/mixscreen-runs-{spark.sparkContext.applicationId}"
 
 
-def kept_run(spark: SparkSession, inputs: list[str], make: Callable[[], DataFrame], **parameters: str | float | None) -> Run:
+def kept_run(spark: SparkSession, inputs: list[str], make: Callable[[], DataFrame], cat: DataFrame | None = None, **parameters: str | float | None) -> Run:
     """The run of the rows that make() gives, made if this application has none of these inputs and parameters yet.
 
     inputs: paths of all that make() reads; files that came, went or changed make another run. parameters: what else the
-    rows depend on, such as a seed. Counts come from an Observation in the pass that writes. A run stays until its
+    rows depend on, such as a seed. cat: the catalog that make() screens by; features and phase shares are then not
+    stored but computed again by it when they are read. Counts come from an Observation in the pass that writes. A run stays until its
     delete() or delete_runs(). A run that broke off has no manifest and is made anew; an empty input gives an empty run.
     """
     found = files.fingerprint(spark, inputs)
-    key = key_of({"paths": sorted(inputs), **found}, parameters)
+    book = None if cat is None else Book(cat)
+    own = book and {"codes": book.codes, "vectors": book.vectors}
+    key = key_of({"paths": sorted(inputs), **found}, parameters | ({"book": own} if own else {}))
     path = f"{_root(spark)}/{key}"
     manifest = _manifest(spark, path)
     if manifest is None:
         seen = Observation()
         rows = slim(make()).observe(seen, *[F.expr(sql).alias(c) for c, sql in COUNTS.items()])
         folder = f"rows-{uuid.uuid4().hex}"  # so that two that make the same run at once don't meet
-        rows.write.option("compression", "zstd").parquet(f"{path}/{folder}")
+        with files.swept(spark):
+            narrow(rows, book is not None).write.option("compression", "zstd").parquet(f"{path}/{folder}")
         counts = dict.fromkeys(COUNTS, 0) | {c: int(n) for c, n in files.observed(spark.read.parquet(f"{path}/{folder}"), seen).items()}
-        manifest = _manifest(spark, path, {"key": key, "rows": folder, "inputs": {"paths": sorted(inputs), **found}, "parameters": parameters, "version": VERSION, "counts": counts})
+        manifest = _manifest(spark, path, {"key": key, "rows": folder, "inputs": {"paths": sorted(inputs), **found}, "parameters": parameters, "book": own, "version": VERSION, "counts": counts})
     return Run(spark, path, manifest)
 
 
 def screen_run(header: DataFrame, lines: DataFrame, inputs: list[str], **parameters: str | float | None) -> Run:
-    return kept_run(header.sparkSession, inputs, lambda: screened(header, lines), **parameters)
+    cat = catalog(header.sparkSession)
+    return kept_run(header.sparkSession, inputs, lambda: screened(header, lines, cat), cat, **parameters)
 
 
 def delete_runs(spark: SparkSession) -> None:
@@ -102,20 +120,28 @@ def delete_runs(spark: SparkSession) -> None:
     files.delete(spark, _root(spark))
 
 
-def report_set(run: Run) -> dict[str, DataFrame]:
-    """All reports of a run, by name."""
-    rows = run.rows
+def report_set(run: Run, best: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All reports of a run, by name; best: its rows with the leaders among them, if these were picked."""
+    rows, best = run.rows, run.rows if best is None else best
     return {
-        "champions": reports.flat(reports.champions(rows)), "shortlist": reports.flat(reports.shortlist(rows)), "top": reports.flat(select.top(select.dedup_diverse(rows), 20)), "decisions": reports.ledger(rows), "rejected": reports.rejected(rows),
-        "requests": reports.review_requests(rows), "profiles": reports.archetype_summary(rows).select("archetype", "n_rows", "n_passed", F.col("best.candidate_id").alias("best_id"), tidy("best.score", 8).alias("best_score")), "gate": run.gate_summary(),
+        "champions": reports.flat(reports.champions(best)), "shortlist": reports.flat(reports.shortlist(best)), "top": reports.flat(select.top(select.dedup_diverse(best), TOP)), "decisions": reports.ledger(rows), "rejected": reports.rejected(rows),
+        "requests": reports.review_requests(best), "profiles": reports.archetype_summary(rows).select("archetype", "n_rows", "n_passed", F.col("best.candidate_id").alias("best_id"), tidy("best.score", 8).alias("best_score")), "gate": run.gate_summary(),
     }
 
 
 def write_reports(run: Run, path: str) -> dict[str, DataFrame]:
-    """Writes all reports of a run below path, a folder each, and the manifest; gives them as read back. Rows are screened once, and their table is read by every report."""
+    """Writes all reports of a run below path, a folder each, and the manifest; gives them as read back. Rows are screened once.
+
+    The few rows that reports of the best have are picked first, by keys and scores alone, and all these reports are
+    made of them; rejected rows are taken from the decisions, not made again.
+    """
     out = {}
-    for name, df in report_set(run).items():
-        df.write.parquet(f"{path}/{name}")
-        out[name] = run.spark.read.parquet(f"{path}/{name}")
+    with files.swept(run.spark):
+        ids = files.small_side(files.written(select.leaders(run.rows, TOP)), LEADERS)
+        best = files.written(run.widened(run.stored.join(ids, "candidate_id", "left_semi")))
+        for name, df in report_set(run, best).items():
+            df = reports.stopped(out["decisions"]) if name == "rejected" else df
+            df.write.options(**PARQUET).parquet(f"{path}/{name}")
+            out[name] = run.spark.read.parquet(f"{path}/{name}")
     _manifest(run.spark, path, run.manifest)
     return out

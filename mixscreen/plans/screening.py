@@ -51,6 +51,23 @@ def rejected(wide: DataFrame) -> DataFrame:
     return wide.withColumn("__own", own).withColumn("reject_reason", screen.reject_reason(found_term())).drop("__own")
 
 
+#: Columns of slim() that with_shown() and joint_metrics() make again of the others, those that restored() makes by the catalog, and of these the few that ledgers have.
+DERIVED = ["formula", "coarse_key", *screen.JOINT]
+LEDGER = ["creative_potential", "safe_containment", "signal_clarity"]
+BY_CATALOG = [c for c in [*FEATURES, "w_density", *[f"{p}_like" for p in phases()]] if c not in LEDGER]
+
+
+def narrow(rows: DataFrame, by_catalog: bool) -> DataFrame:
+    """Rows of slim() without what widened() makes again; by_catalog: also by the catalog."""
+    return rows.drop(*DERIVED, *(BY_CATALOG if by_catalog else []))
+
+
+def widened(rows: DataFrame, book: Book | None) -> DataFrame:
+    """Rows of narrow() with all columns of slim(): projections, of which Spark computes those that are used."""
+    out = screen.joint_metrics(mixture.with_shown(rows))
+    return slim(features.restored(out, book) if book else out)
+
+
 def slim(rows: DataFrame) -> DataFrame:
     """What selections and reports need."""
     keep = ["candidate_id", "ordinal", "archetype", "description", "source", "tags", "score", "hash16", "formula", "coarse_key", "signature", "components", "reject_reason", *FEATURES, *screen.GATE, "gate_status", "gate_reason", "w_density", *[f"{p}_like" for p in phases()]]

@@ -76,6 +76,18 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go at its end, not when the driver happens to collect its garbage; what is read twice is written before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def observed(rows: DataFrame, seen: Observation) -> dict:
     """What was observed of rows as they were written; nothing where there are none (rows should be cheap to look into, such as a table)."""
     return {} if rows.isEmpty() else seen.get

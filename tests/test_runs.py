@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from datetime import date
 from pathlib import Path
 
@@ -10,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixscreen.functions import uniform
-from mixscreen.operators import features, mixture, reports, screen, variants
+from mixscreen.operators import features, mixture, reports, screen, select, variants
 from mixscreen.plans import runs
-from mixscreen.plans.screening import screened, slim, stored
+from mixscreen.plans.screening import BY_CATALOG, DERIVED, screened, slim, stored
 from mixscreen.sources import files
 from mixscreen.sources.catalog import BANNED, FEATURES, PROPERTIES, catalog, ingredients, local, profiles, targets
 
@@ -100,6 +101,56 @@ def test_kept_runs(spark, tmp_path):
     assert not Path(c.path.removeprefix("file://")).exists()
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_runs_are_narrow(spark, tmp_path, other):
+    """What can be computed again of a row isn't stored, and comes out the same, also by another catalog."""
+    header, lines = mixtures(spark, 90, hot=3)
+    header.write.parquet(str(tmp_path / "h"))
+    cat = catalog(spark).withColumn("code", F.when(F.col("position") == 1, "IT'S \\ A \"CODE\"").otherwise(F.col("code"))).withColumn("low_hazard", F.col("low_hazard") * 0.7) if other else catalog(spark)
+    lines = lines.unionByName(spark.createDataFrame([(k, "IT'S \\ A \"CODE\"", 2.0) for k in range(20)], LINES))
+    run = runs.kept_run(spark, [f"file://{tmp_path}/h"], lambda: screened(header, lines, cat), cat, seed=int(other))
+    assert not {*DERIVED, *BY_CATALOG} & set(run.stored.columns) and {"score", "hash16", "signature", "components", "safe_containment"} <= set(run.stored.columns)
+    whole = slim(screened(header, lines, cat))
+    assert run.rows.columns == whole.columns and texts(run.rows) == texts(whole) and run.rows.dtypes == whole.dtypes
+    exact = ["candidate_id", *DERIVED, "score", "components"]
+    again = slim(screen.joint_metrics(mixture.with_shown(run.stored)).withColumns({c: F.lit(0) for c in BY_CATALOG}))
+    assert sorted(map(str, again.select(exact).collect())) == sorted(map(str, run.rows.select(exact).collect()))
+    assert runs.kept_run(spark, [f"file://{tmp_path}/h"], lambda: screened(header, lines), seed=int(other)).path != run.path
+
+
+def test_reports_of_picked_rows(spark, tmp_path, monkeypatch):
+    """Reports of the best are made of few rows, and are those of all; rejected rows are those of the decisions."""
+    header, lines = mixtures(spark, 400)
+    header.write.parquet(str(tmp_path / "h"))
+    monkeypatch.setattr(runs, "TOP", 4)
+    run = runs.screen_run(header, lines, [f"file://{tmp_path}/h"])
+    picked = select.leaders(run.rows, 4)
+    assert picked.count() <= 5 * 13 and "energy_conversion" not in (plan := picked._jdf.queryExecution().executedPlan().toString()) and "expert_gate" not in plan
+    want = {name: texts(df) for name, df in runs.report_set(run).items()}
+    seen, whole = [], runs.report_set
+    monkeypatch.setattr(runs, "report_set", lambda run, best=None: seen.append(best.count()) or whole(run, best))
+    out = runs.write_reports(run, f"file://{tmp_path}/reports")
+    assert {name: texts(df) for name, df in out.items()} == want and 0 < seen[0] <= 5 * 13
+    assert all(len(want[name]) > 0 for name in want)
+
+
+def test_swept(spark, tmp_path):
+    """Shuffle files go as the query ends."""
+    own = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    write = lambda n: spark.range(5000).groupBy((F.col("id") % n).alias("k")).count().write.parquet(str(tmp_path / str(n)))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    write(7)
+    kept = own()
+    with files.swept(spark):
+        write(11)
+        for _ in range(50):
+            if own() <= kept:
+                break
+            time.sleep(0.2)
+    assert 0 < own() <= kept and spark.conf.get(key, None) == before and spark.read.parquet(str(tmp_path / "11")).count() == 11
+
+
 def test_run_of_nothing(spark, tmp_path):
     spark.createDataFrame([], HEADER).write.parquet(str(tmp_path / "h"))
     paths = [f"file://{tmp_path}/h"]
